@@ -23,7 +23,7 @@ TABLES = (
 def session(cores: str = "8") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]").appName("compare")
-        .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+        .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
