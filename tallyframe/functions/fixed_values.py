@@ -146,3 +146,17 @@ KEPT_TURNS = 6
 CONTEXT_TURNS = 4
 SCATTER_POINTS = 1000
 SCATTER_SEED = 42
+
+# Candidate models in order of preference; the earlier one wins equal scores.
+NAIVE, SEASONAL, LINEAR, RIDGE, BOOSTED = (
+    "naive_last_value", "seasonal_naive", "linear_regression", "ridge", "boosted_trees",
+)
+MODELS = (NAIVE, SEASONAL, LINEAR, RIDGE, BOOSTED)
+
+# Cells that mean "missing" in a delimited file.
+MISSING_CELLS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+PROFILER_VERSION = 2
+CATALOGUE_VERSION = 3
