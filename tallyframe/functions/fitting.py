@@ -1,12 +1,13 @@
 """The per-series fit: the one step that runs Python on the executors.
 
-Each call sees one short series (or one fold of it) as a pandas frame; Spark decides where.
+Each call sees one short series (or one fold of it) as an Arrow table; Spark decides where.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from tallyframe.functions.fixed_values import FEATURE_COLUMNS, LINEAR, RIDGE, RIDGE_ALPHA, SEASONAL
 
@@ -24,16 +25,27 @@ def coefficients(features: np.ndarray, target: np.ndarray, algorithm: str) -> tu
     return slope, float(level - centre @ slope)
 
 
-def fold_predictions(rows: pd.DataFrame) -> pd.DataFrame:
+def matrix(rows: pa.Table) -> np.ndarray:
+    return np.column_stack([rows.column(c).to_numpy().astype(float) for c in FEATURES])
+
+
+def fold_predictions(rows: pa.Table, kept: list[str]) -> pa.Table:
     """Predictions of both regressions for the test rows of one fold; none on a constant target."""
-    train, test = rows[rows["is_train"]], rows[~rows["is_train"]]
+    is_train = rows.column("is_train").to_numpy(zero_copy_only=False)
+    features, target = matrix(rows), rows.column("value").to_numpy()
+    train_x, train_y, test_x = features[is_train], target[is_train], features[~is_train]
+    constant = len(train_y) == 0 or train_y.min() == train_y.max()
+    test = rows.filter(pa.array(~is_train & (not constant))).select([*kept, "value"])
     parts = []
-    if len(test) and train["value"].nunique() > 1:
-        for algorithm in (LINEAR, RIDGE):
-            slope, intercept = coefficients(train[FEATURES].to_numpy(float), train["value"].to_numpy(float), algorithm)
-            predicted = test[FEATURES].to_numpy(float) @ slope + intercept
-            parts.append(test.assign(algorithm=algorithm, predicted=predicted))
-    return pd.concat(parts) if parts else test.iloc[:0].assign(algorithm="", predicted=0.0)
+    for algorithm in (LINEAR, RIDGE):
+        if len(test):
+            slope, intercept = coefficients(train_x, train_y, algorithm)
+            predicted = pa.array(test_x @ slope + intercept)
+        else:
+            predicted = pa.array([], pa.float64())
+        named = test.append_column("algorithm", pa.array([algorithm] * len(test), pa.string()))
+        parts.append(named.append_column("predicted", predicted))
+    return pa.concat_tables(parts)
 
 
 def next_period(period: pd.Timestamp, granularity: str) -> pd.Timestamp:
@@ -52,31 +64,34 @@ def next_features(values: list[float], mean: float, t: int, period: pd.Timestamp
     ]
 
 
-def forecast_series(rows: pd.DataFrame, granularity: str) -> pd.DataFrame:
+def forecast_series(rows: pa.Table, granularity: str, kept: list[str]) -> pa.Table:
     """Step-by-step forecast of one series: each prediction becomes history for the next step.
 
     Position and running mean go on from the whole series, as they did in training.
     """
-    rows = rows.sort_values("period")
-    last = rows.iloc[-1]
-    values = rows["value"].tolist()
-    t = int(last["t"])
+    rows = rows.sort_by("period")
+    last = {c: rows.column(c)[-1].as_py() for c in ("t", "value", "cumulative_trend", "algorithm", "period", "horizon", "non_negative")}
+    values = rows.column("value").to_pylist()
+    t, algorithm, period = last["t"], last["algorithm"], pd.Timestamp(last["period"])
     mean = (last["cumulative_trend"] * t + last["value"]) / (t + 1)
-    algorithm, period = last["algorithm"], pd.Timestamp(last["period"])
-    slope, intercept = np.zeros(len(FEATURES)), values[-1]
-    if algorithm == SEASONAL:
-        intercept = None
-    elif algorithm in (LINEAR, RIDGE):
-        slope, intercept = coefficients(rows[FEATURES].to_numpy(float), np.array(values), algorithm)
-    out = []
-    for step in range(1, int(last["horizon"]) + 1):
+    slope, intercept = np.zeros(len(FEATURES)), last["value"]
+    if algorithm in (LINEAR, RIDGE):
+        slope, intercept = coefficients(matrix(rows), np.array(values), algorithm)
+    periods, predictions = [], []
+    for _ in range(last["horizon"]):
         period = next_period(period, granularity)
         t += 1
         features = next_features(values, mean, t, period)
-        predicted = features[1] if intercept is None else float(np.dot(features, slope) + intercept)
+        predicted = values[-1] if algorithm == SEASONAL else float(np.dot(features, slope) + intercept)
         if last["non_negative"]:
             predicted = max(0.0, predicted)
-        out.append((period.date(), step, predicted))
+        periods.append(period.date())
+        predictions.append(predicted)
         values.append(predicted)
         mean = (mean * t + predicted) / (t + 1)
-    return pd.DataFrame(out, columns=["period", "step", "predicted"])
+    same = rows.slice(0, 1).select(kept).take(pa.array([0] * len(periods), pa.int64()))
+    steps = pa.array(range(1, len(periods) + 1), pa.int64())
+    return (
+        same.append_column("period", pa.array(periods, pa.date32())).append_column("step", steps)
+        .append_column("predicted", pa.array(predictions, pa.float64()))
+    )

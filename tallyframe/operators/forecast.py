@@ -8,9 +8,8 @@ series (see periods.FIRST_DATE), so the groups stay small however large the raw
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +17,7 @@ from pyspark.sql import types as T
 from tallyframe.functions import fixed_values as fixed
 from tallyframe.functions.fitting import fold_predictions, forecast_series
 from tallyframe.operators.metrics import Metric
-from tallyframe.operators.series import make_features, max_horizon, planned_horizon, resample, resample_many
+from tallyframe.operators.series import make_features, max_horizon, planned_horizon, resample, resample_metrics
 
 FEATURES = list(fixed.FEATURE_COLUMNS)
 
@@ -32,6 +31,15 @@ def _with_series(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df if keys or "_series" in df.columns else df.withColumn("_series", F.lit(0))
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Groups spread over the session's shuffle partitions.
+
+    A panel is small in bytes but dear in Python time, so its partitions must not be merged by
+    size; a stated number keeps them apart, and the grouping then needs no other shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
     return [df.schema[c] for c in names]
 
@@ -90,12 +98,10 @@ def regression_predictions(folds: DataFrame, keys: Sequence[str] = ()) -> DataFr
         T.StructField("algorithm", T.StringType()), T.StructField("predicted", T.DoubleType()),
     ])
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        return fold_predictions(rows).rename(columns={"value": "actual"})[[*names, "actual", "algorithm", "predicted"]]
+    def fit(rows: pa.Table) -> pa.Table:
+        return fold_predictions(rows, names).rename_columns([*names, "actual", "algorithm", "predicted"])
 
-    return folds.groupBy(*keys, "fold").applyInPandas(fit, schema).select(
-        *names, "actual", "algorithm", "predicted"
-    )
+    return spread(folds, [*keys, "fold"]).groupBy(*keys, "fold").applyInArrow(fit, schema)
 
 
 def error_metrics(predictions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -174,11 +180,10 @@ def forecast_recursive(
     ])
     constant = [*names, "algorithm", "non_negative", "rmse"]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        future = forecast_series(rows, granularity)
-        return future.assign(**{c: rows[c].iloc[0] for c in constant})[[*constant, "period", "step", "predicted"]]
+    def run(rows: pa.Table) -> pa.Table:
+        return forecast_series(rows, granularity, constant)
 
-    forecasts = joined.groupBy(*names).applyInPandas(run, schema)
+    forecasts = spread(joined, names).groupBy(*names).applyInArrow(run, schema)
     lower, upper = prediction_interval(F.col("predicted"), F.col("rmse"), F.col("step"), F.col("non_negative"))
     return forecasts.select(
         *keys, "period", "step", "algorithm", F.round("predicted", 4).alias("predicted_value"),
@@ -187,19 +192,19 @@ def forecast_recursive(
 
 
 def plan_forecasts(
-    features: DataFrame, series: DataFrame, selected: DataFrame, granularity: str,
+    features: DataFrame, selected: DataFrame, granularity: str,
     keys: Sequence[str] = (), horizon: int | None = None, non_negative: bool = False,
 ) -> DataFrame:
     """Selected model, capped horizon and history length per series with enough feature rows."""
     named = lambda df: _with_series(df, keys)
     names = list(keys) or ["_series"]
-    limit = max_horizon(F.col("periods"))
-    lengths = named(series).groupBy(*names).agg(F.count(F.lit(1)).alias("periods"))
-    usable = named(features).groupBy(*names).agg(F.count(F.lit(1)).alias("history_periods"))
+    lengths = named(features).groupBy(*names).agg(
+        (F.max("t") + 1).alias("periods"), F.count(F.lit(1)).alias("history_periods")
+    ).where(F.col("history_periods") >= fixed.MIN_FEATURE_ROWS)
     return (
-        named(selected).join(lengths, names).join(usable.where(F.col("history_periods") >= fixed.MIN_FEATURE_ROWS), names)
+        named(selected).join(lengths, names)
         .withColumn("granularity", F.lit(granularity))
-        .withColumn("max_horizon", limit)
+        .withColumn("max_horizon", max_horizon(F.col("periods")))
         .withColumn("horizon", planned_horizon(granularity, F.col("max_horizon"), horizon))
         .withColumn("is_capped", F.lit(horizon or 0) > F.col("max_horizon"))
         .withColumn("non_negative", F.lit(non_negative))
@@ -219,10 +224,12 @@ def forecast(
     """Forecast of every series in the table: resample, validate, select, predict with intervals."""
     if horizon is not None and horizon <= 0:
         raise ValueError("forecast horizon must be a positive integer")
-    series = resample(df, metric, date_column, granularity, keys)
-    features = make_features(series, keys)
+    # Series without a key cannot be told apart in the joins below. Dropping them here also gives
+    # every reader of the panel the same plan, so that Spark makes its shuffle only once.
+    rows = df.dropna(subset=list(keys)) if keys else df
+    features = make_features(resample(rows, metric, date_column, granularity, keys), keys)
     selected = select_model(validate_models(features, keys), keys)
-    plan = plan_forecasts(features, series, selected, granularity, keys, horizon, non_negative)
+    plan = plan_forecasts(features, selected, granularity, keys, horizon, non_negative)
     return forecast_recursive(features, plan, granularity, keys)
 
 
@@ -315,11 +322,7 @@ def forecast_batch(
     better). The best regression or baseline is scored per (metric, granularity).
     """
     keys = ["metric_key", "granularity"]
-    panels = [
-        resample_many(df, m, date_column, granularities).select(F.lit(m.alias).alias("metric_key"), "granularity", "period", "value")
-        for m in metrics
-    ]
-    panel = reduce(DataFrame.union, panels)
+    panel = resample_metrics(df, metrics, date_column, granularities)
     features = make_features(panel, keys)
     needed = F.create_map(*[F.lit(x) for pair in fixed.MIN_PERIODS.items() for x in pair])[F.col("granularity")]
     lengths = panel.groupBy(*keys).agg(F.count(F.lit(1)).alias("periods"))

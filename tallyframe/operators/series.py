@@ -27,7 +27,8 @@ def drop_exact_duplicates(df: DataFrame) -> DataFrame:
 
 
 def forward_back_fill(
-    df: DataFrame, date_column: str, columns: Sequence[str], keys: Sequence[str], tie_break: Sequence[str]
+    df: DataFrame, date_column: str, columns: Sequence[str], keys: Sequence[str], tie_break: Sequence[str],
+    guard: Column | None = None,
 ) -> DataFrame:
     """Numeric nulls take the last earlier value of their series in time order, else the next later.
 
@@ -35,6 +36,9 @@ def forward_back_fill(
     runs over timestamps within a second, seconds within a day and days, so each window is bounded
     even where one series, or one moment, holds a large part of the rows. Rows without a usable
     date stay as they are.
+
+    The rows are read three times. Where they come out of an aggregation, a ``guard`` that is true
+    and depends on its result keeps the filters above it, so that its shuffle is made only once.
     """
     if not tie_break:
         raise ValueError("tie_break columns are required: rows of one timestamp have no order of their own")
@@ -49,7 +53,8 @@ def forward_back_fill(
     def entry(c: str) -> Column:
         return F.when(F.col(c).isNotNull(), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(c).alias("v")))
 
-    dated = rows.where(F.col("_ts").isNotNull())
+    kept = guard if guard is not None else F.lit(True)
+    dated = rows.where(F.when(kept, F.col("_ts").isNotNull()))
     moments = dated.groupBy(*series, "_ts").agg(
         *[F.max(entry(c))["v"].alias(f"_last_{c}") for c in columns],
         *[F.min(entry(c))["v"].alias(f"_first_{c}") for c in columns],
@@ -76,9 +81,9 @@ def forward_back_fill(
         .select(*series, "_ts", *[F.coalesce(f"_last_{c}_0", f"_last_{c}_1", f"_last_{c}_2").alias(f"_fill_{c}") for c in columns])
     )
     # Only rows that miss a value travel to the filled moments.
-    missing = rows.where(needs).join(filled, [*series, "_ts"], "left").join(starts, series, "left")
+    missing = rows.where(F.when(kept, needs)).join(filled, [*series, "_ts"], "left").join(starts, series, "left")
     completed = missing.withColumns({c: F.coalesce(c, f"_fill_{c}", f"_start_{c}") for c in columns})
-    return rows.where(~needs).select(*df.columns).union(completed.select(*df.columns))
+    return rows.where(F.when(kept, ~needs)).select(*df.columns).union(completed.select(*df.columns))
 
 
 def clean_series_input(
@@ -97,10 +102,10 @@ def clean_series_input(
     metric = as_metric(metric)
     counted = metric.aggregation in ("count", "nunique")
     value_type = column_type(df, metric.field)
-    rows = drop_exact_duplicates(df)
+    rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
     if is_numeric(value_type):
         order = list(tie_break or [c for c in df.columns if c not in (metric.field, date_column, *keys)] or [metric.field])
-        rows = forward_back_fill(rows, date_column, [metric.field], keys, order)
+        rows = forward_back_fill(rows, date_column, [metric.field], keys, order, guard=F.col("_copies") > 0)
     value = present(rows, metric.field) if counted else as_number(rows, metric.field)
     cleaned = rows.select(*keys, as_timestamp(rows, date_column).alias("ts"), value.alias("value"))
     if non_negative and not counted:
@@ -108,51 +113,58 @@ def clean_series_input(
     return cleaned.dropna(subset=["ts", "value"])
 
 
-def resample_many(
+def resample_metrics(
     df: DataFrame,
-    metric: Metric | str,
+    metrics: Sequence[Metric | str],
     date_column: str,
     granularities: Sequence[str] = fixed.GRANULARITIES,
     keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Gap-free (keys, granularity, period, value) series at several granularities in one scan.
+    """Gap-free (keys, metric_key, granularity, period, value) series of all metrics in one scan.
 
     An empty period is 0 for sums and counts, null for means and extremes.
     """
     unknown = [g for g in granularities if g not in fixed.GRANULARITIES]
     if unknown:
         raise ValueError(f"series granularities are {fixed.GRANULARITIES}, not {unknown}")
-    metric = as_metric(metric)
+    metrics = [as_metric(m) for m in metrics]
     stamp = as_timestamp(df, date_column)
     periods = F.array(*[
         F.struct(F.lit(g).alias("granularity"), resample_start(F.col("_ts"), g).alias("period")) for g in granularities
     ])
-    value = Metric(metric.field, metric.aggregation, "value")
-    names = list(dict.fromkeys([*keys, metric.field]))
+    names = list(dict.fromkeys([*keys, *[m.field for m in metrics]]))
     rows = df.withColumn("_ts", stamp).where(F.col("_ts").isNotNull()).select(*names, F.inline(periods))
-    totals = rows.groupBy(*keys, "granularity", "period").agg(metric_aggregate(rows, value).cast("double").alias("value"))
+    # Metric results are named apart from the keys, which may share their names.
+    named = {f"_m{i}": m for i, m in enumerate(metrics)}
+    totals = rows.groupBy(*keys, "granularity", "period").agg(*[
+        metric_aggregate(rows, Metric(m.field, m.aggregation, alias)).cast("double").alias(alias) for alias, m in named.items()
+    ])
+    long = totals.unpivot([*keys, "granularity", "period"], list(named), "_alias", "value")
     # The gap up to the next period with data is laid out from the earlier side; no join needed.
-    following = F.lead("period").over(Window.partitionBy(*keys, "granularity").orderBy("period"))
-    last = (
-        F.when(F.col("granularity") == "day", F.date_sub("_next", 1))
-        .when(F.col("granularity") == "week", F.date_sub("_next", 7))
-        .otherwise(F.add_months("_next", -1))
-    )
-    days = F.sequence(F.col("period"), last, F.expr("interval 1 day"))
-    weeks = F.sequence(F.col("period"), last, F.expr("interval 7 days"))
-    months = F.sequence(F.col("period"), last, F.expr("interval 1 month"))
+    following = F.lead("period").over(Window.partitionBy(*keys, "granularity", "_alias").orderBy("period"))
+    days = F.sequence(F.col("period"), F.date_sub("_next", 1), F.expr("interval 1 day"))
+    weeks = F.sequence(F.col("period"), F.date_sub("_next", 7), F.expr("interval 7 days"))
+    months = F.sequence(F.col("period"), F.add_months("_next", -1), F.expr("interval 1 month"))
     spine = (
         F.when(F.col("_next").isNull(), F.array("period"))
         .when(F.col("granularity") == "day", days).when(F.col("granularity") == "week", weeks).otherwise(months)
     )
-    filled = totals.withColumn("_next", following).select(
-        *keys, "granularity", "value", F.posexplode(spine).alias("_gap", "period")
+    filled = long.withColumn("_next", following).select(
+        *keys, "_alias", "granularity", "value", F.posexplode(spine).alias("_gap", "period")
     )
-    empty = F.lit(0.0) if metric.aggregation in ZERO_WHEN_EMPTY else F.lit(None).cast("double")
-    result = F.when(F.col("_gap") == 0, F.col("value")).otherwise(empty)
-    if metric.aggregation in ZERO_WHEN_EMPTY:
-        result = F.coalesce(result, F.lit(0.0))
-    return filled.select(*keys, "granularity", "period", result.alias("value"))
+    zero = [alias for alias, m in named.items() if m.aggregation in ZERO_WHEN_EMPTY]
+    stated = F.when(F.col("_gap") == 0, F.col("value"))
+    value = F.when(F.col("_alias").isin(*zero), F.coalesce(stated, F.lit(0.0))).otherwise(stated) if zero else stated
+    key = F.create_map(*[F.lit(x) for alias, m in named.items() for x in (alias, m.alias)])[F.col("_alias")]
+    return filled.select(*keys, key.alias("metric_key"), "granularity", "period", value.alias("value"))
+
+
+def resample_many(
+    df: DataFrame, metric: Metric | str, date_column: str,
+    granularities: Sequence[str] = fixed.GRANULARITIES, keys: Sequence[str] = (),
+) -> DataFrame:
+    """Gap-free (keys, granularity, period, value) series of one metric at several granularities."""
+    return resample_metrics(df, [metric], date_column, granularities, keys).drop("metric_key")
 
 
 def resample(

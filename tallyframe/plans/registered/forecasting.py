@@ -135,8 +135,8 @@ def forecast_recursive(spark, sf):
 
 def planned(spark, sf):
     """Baseline choice per series with horizon 5."""
-    series, features = monthly(spark, sf), monthly_features(spark, sf)
-    return ops.plan_forecasts(features, series, ops.select_model(baseline_scores(spark, sf), KEYS), "month", KEYS, 5, True)
+    features = monthly_features(spark, sf)
+    return ops.plan_forecasts(features, ops.select_model(baseline_scores(spark, sf), KEYS), "month", KEYS, 5, True)
 
 
 def baseline_forecast(spark, sf):

@@ -10,8 +10,8 @@ from pyspark.sql import SparkSession
 SETTING = "spark.checkpoint.dir"
 
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new path under the folder that the session names in spark.checkpoint.dir.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir.
 
     A local folder is used only where the setting is absent, as in tests on one machine.
     """
@@ -19,4 +19,10 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not root:
         root = tempfile.mkdtemp(prefix="tallyframe-")
         spark.conf.set(SETTING, root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new path under the shared folder."""
+    return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+
