@@ -6,6 +6,7 @@ length, and plain comparisons reach the file scan. Wrong requests raise before a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import timedelta
@@ -101,12 +102,33 @@ def _bound(field: str, value: Any) -> float:
         raise ValueError(f"filter value {value!r} for field {field!r} must be numeric") from error
 
 
-def _comparable(df: DataFrame, field: str) -> Column:
-    """Number to compare with a bound; whole-number columns stay bare so that scans can skip."""
-    data_type = column_type(df, field)
-    if is_numeric(data_type) and not isinstance(data_type, (T.DoubleType, T.FloatType)):
-        return F.col(field)
-    return as_number(df, field)
+WHOLE_LIMIT = 2**63 - 1
+
+
+def _between(df: DataFrame, field: str, low: float, high: float, low_open: bool = False, high_open: bool = False) -> Column:
+    """Finite values within the bounds, written so that the column stays bare and scans can skip.
+
+    On whole-number columns the bounds become whole as well. On floats the infinities are open
+    bounds; NaN sorts above all numbers and thus falls out with them.
+    """
+    if math.isnan(low) or math.isnan(high):
+        return F.lit(False)
+    data_type, col = column_type(df, field), F.col(field)
+    if is_numeric(data_type) and not isinstance(data_type, (T.DoubleType, T.FloatType, T.DecimalType)):
+        if low > WHOLE_LIMIT or high < -WHOLE_LIMIT:
+            return F.lit(False)
+        tests = [col.isNotNull()]
+        if low > -WHOLE_LIMIT:
+            tests.append(col >= (math.floor(low) + 1 if low_open else math.ceil(low)))
+        if high < WHOLE_LIMIT:
+            tests.append(col <= (math.ceil(high) - 1 if high_open else math.floor(high)))
+        return reduce(and_, tests)
+    if not isinstance(data_type, (T.DoubleType, T.FloatType)):
+        col = as_number(df, field)
+    infinity = float("inf")
+    lower = col > low if low_open or low == -infinity else col >= low
+    upper = col < high if high_open or high == infinity else col <= high
+    return lower & upper
 
 
 def _date_condition(df: DataFrame, field: str, operator: str, value: Any) -> Column:
@@ -145,17 +167,14 @@ def condition_column(df: DataFrame, condition: Condition, match_case: bool = Fal
     if operator == "contains":
         return F.lower(F.col(field).cast("string")).contains(str(value).lower())
     if operator in ("greater_than", "greater_than_or_equal", "less_than", "less_than_or_equal"):
-        number, bound = _comparable(df, field), _bound(field, value)
-        return {
-            "greater_than": number > bound,
-            "greater_than_or_equal": number >= bound,
-            "less_than": number < bound,
-            "less_than_or_equal": number <= bound,
-        }[operator]
+        bound, infinity = _bound(field, value), float("inf")
+        if operator.startswith("greater"):
+            return _between(df, field, bound, infinity, low_open=operator == "greater_than")
+        return _between(df, field, -infinity, bound, high_open=operator == "less_than")
     if operator == "between":
         if not isinstance(value, (list, tuple)) or len(value) != 2:
             raise ValueError("the between operator requires exactly two values")
-        return _comparable(df, field).between(_bound(field, value[0]), _bound(field, value[1]))
+        return _between(df, field, _bound(field, value[0]), _bound(field, value[1]))
     if operator in ("date_from", "date_to"):
         return _date_condition(df, field, operator, value)
     raise ValueError(f"unsupported filter operator {operator!r}; known are {fixed.FILTER_OPERATORS}")
