@@ -5,9 +5,12 @@ Each call sees one short series (or one fold of it) as an Arrow table; Spark dec
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from tallyframe.functions.fixed_values import FEATURE_COLUMNS, LINEAR, RIDGE, RIDGE_ALPHA, SEASONAL
 
@@ -25,6 +28,32 @@ def coefficients(features: np.ndarray, target: np.ndarray, algorithm: str) -> tu
     return slope, float(level - centre @ slope)
 
 
+def by_group(batches: Iterator[pa.RecordBatch], names: list[str], function: Callable[[pa.Table], pa.Table]) -> Iterator[pa.RecordBatch]:
+    """Apply a function to every run of rows with equal keys in batches that are sorted by them.
+
+    A run may go on into the next batch, so the last one of each batch waits for it.
+    """
+    waiting = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if waiting is not None:
+            table = pa.concat_tables([waiting, table]).combine_chunks()
+        changes = np.zeros(max(len(table) - 1, 0), dtype=bool)
+        for name in names:
+            column = table.column(name).combine_chunks()
+            before, after = column.slice(0, len(column) - 1), column.slice(1)
+            differs = pc.fill_null(pc.not_equal(before, after), False).to_numpy(zero_copy_only=False)
+            gap = pc.is_null(before).to_numpy(zero_copy_only=False) != pc.is_null(after).to_numpy(zero_copy_only=False)
+            changes |= differs | gap
+        starts = [0, *(np.flatnonzero(changes) + 1).tolist()]
+        done = [function(table.slice(a, b - a)) for a, b in zip(starts, starts[1:])]
+        waiting = table.slice(starts[-1])
+        if done:
+            yield from pa.concat_tables(done).combine_chunks().to_batches()
+    if waiting is not None and len(waiting):
+        yield from function(waiting).combine_chunks().to_batches()
+
+
 def matrix(rows: pa.Table) -> np.ndarray:
     return np.column_stack([rows.column(c).to_numpy().astype(float) for c in FEATURES])
 

@@ -35,9 +35,16 @@ def finite(col: Column) -> Column:
     return F.when(F.isnan(col) | (F.abs(col) == float("inf")), F.lit(None)).otherwise(col)
 
 
+NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
 def text_to_double(col: Column) -> Column:
-    # A trailing d or f is a Java literal suffix which the cast would accept.
-    return F.when(~col.rlike(r"(?i)[df]\s*$"), finite(col.try_cast("double")))
+    """Plain decimal text as a finite double, else null.
+
+    The pattern goes first: it keeps out Java forms such as ``5d``, and a failing cast costs far
+    more than a failing match.
+    """
+    return F.when(col.rlike(NUMBER_PATTERN), finite(col.try_cast("double")))
 
 
 def as_number(df: DataFrame, name: str) -> Column:

@@ -1,13 +1,15 @@
 """Forecasts of every series in a panel: folds, scores, model choice, prediction and quality.
 
 Features, folds, baselines, scores and the choice are Spark expressions; only the regressions run
-in grouped pandas functions. One group is one series, or one fold of it, and the calendar bounds a
-series (see periods.FIRST_DATE), so the groups stay small however large the raw data is.
+in Python, one series or one fold of it at a time. The calendar bounds a series (see
+periods.FIRST_DATE), so what Python holds stays small however large the raw data is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions import fixed_values as fixed
-from tallyframe.functions.fitting import fold_predictions, forecast_series
+from tallyframe.functions.fitting import by_group, fold_predictions, forecast_series
 from tallyframe.operators.metrics import Metric
 from tallyframe.operators.series import make_features, max_horizon, planned_horizon, resample, resample_metrics
 
@@ -31,13 +33,19 @@ def _with_series(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df if keys or "_series" in df.columns else df.withColumn("_series", F.lit(0))
 
 
-def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Groups spread over the session's shuffle partitions.
+def apply_by_series(
+    df: DataFrame, keys: Sequence[str], function: Callable[[pa.Table], pa.Table], schema: T.StructType
+) -> DataFrame:
+    """The function applied to the rows of each key, in period order.
 
-    A panel is small in bytes but dear in Python time, so its partitions must not be merged by
-    size; a stated number keeps them apart, and the grouping then needs no other shuffle.
+    Rows are hashed to the session's shuffle partitions and sorted there by Spark, and each task
+    streams them through Python, holding one series at a time. A panel is small in bytes but dear
+    in Python time, so the number of partitions is stated: they are then not merged by size.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    names = list(keys)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    arranged = df.repartition(partitions, *names).sortWithinPartitions(*names, "period")
+    return arranged.mapInArrow(lambda batches: by_group(batches, names, function), schema)
 
 
 def _fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
@@ -101,7 +109,7 @@ def regression_predictions(folds: DataFrame, keys: Sequence[str] = ()) -> DataFr
     def fit(rows: pa.Table) -> pa.Table:
         return fold_predictions(rows, names).rename_columns([*names, "actual", "algorithm", "predicted"])
 
-    return spread(folds, [*keys, "fold"]).groupBy(*keys, "fold").applyInArrow(fit, schema)
+    return apply_by_series(folds, [*keys, "fold"], fit, schema)
 
 
 def error_metrics(predictions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -183,7 +191,7 @@ def forecast_recursive(
     def run(rows: pa.Table) -> pa.Table:
         return forecast_series(rows, granularity, constant)
 
-    forecasts = spread(joined, names).groupBy(*names).applyInArrow(run, schema)
+    forecasts = apply_by_series(joined, names, run, schema)
     lower, upper = prediction_interval(F.col("predicted"), F.col("rmse"), F.col("step"), F.col("non_negative"))
     return forecasts.select(
         *keys, "period", "step", "algorithm", F.round("predicted", 4).alias("predicted_value"),
@@ -226,7 +234,7 @@ def forecast(
         raise ValueError("forecast horizon must be a positive integer")
     # Series without a key cannot be told apart in the joins below. Dropping them here also gives
     # every reader of the panel the same plan, so that Spark makes its shuffle only once.
-    rows = df.dropna(subset=list(keys)) if keys else df
+    rows = df.where(reduce(and_, [F.col(k).isNotNull() for k in keys])) if keys else df
     features = make_features(resample(rows, metric, date_column, granularity, keys), keys)
     selected = select_model(validate_models(features, keys), keys)
     plan = plan_forecasts(features, selected, granularity, keys, horizon, non_negative)

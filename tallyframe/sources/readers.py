@@ -28,7 +28,8 @@ def demote_integral(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 def _whole(col: Column) -> Column:
     number = text_to_double(col)
-    return F.coalesce(F.trim(col).try_cast("bigint"), F.when(number % 1 == 0, number.try_cast("bigint")))
+    exact = F.when(col.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(col).try_cast("bigint"))
+    return F.coalesce(exact, F.when(number % 1 == 0, number.try_cast("bigint")))
 
 
 def coerce_text_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -40,22 +41,20 @@ def coerce_text_columns(df: DataFrame, columns: Sequence[str] | None = None) ->
     if not names:
         return df
     cleaned = df.withColumns({c: F.when(F.trim(F.col(c)) != "", F.trim(F.col(c))) for c in names})
-    counts = []
-    for i, c in enumerate(names):
-        col = F.col(c)
-        counts += [
-            F.count(col).alias(f"all{i}"), F.count(_whole(col)).alias(f"whole{i}"),
-            F.count(text_to_double(col)).alias(f"number{i}"), F.count_if(F.lower(col).isin("true", "false")).alias(f"bool{i}"),
-        ]
-    found = cleaned.agg(*counts).first()
+    col = F.col("value")
+    fits = cleaned.select(*names).unpivot([], names, "column", "value").where(col.isNotNull()).groupBy("column").agg(
+        F.count(F.lit(1)).alias("all"), F.count(_whole(col)).alias("whole"), F.count(text_to_double(col)).alias("number"),
+        F.count_if(F.lower(col).isin("true", "false")).alias("bool"),
+    )
+    # One row per column comes back, whatever the size of the table.
+    found = {row["column"]: row for row in fits.collect()}
     casts = {}
-    for i, c in enumerate(names):
-        total = found[f"all{i}"]
-        if total and found[f"whole{i}"] == total:
+    for c, row in found.items():
+        if row["whole"] == row["all"]:
             casts[c] = _whole(F.col(c))
-        elif total and found[f"number{i}"] == total:
+        elif row["number"] == row["all"]:
             casts[c] = text_to_double(F.col(c))
-        elif total and found[f"bool{i}"] == total:
+        elif row["bool"] == row["all"]:
             casts[c] = F.lower(F.col(c)) == "true"
     return cleaned.withColumns(casts) if casts else cleaned
 
