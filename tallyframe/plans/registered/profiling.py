@@ -371,7 +371,16 @@ def time_range(spark, sf):
     return catalogue.time_range(table(spark, sf, "events"), "ts", ["event_type"])
 
 
-@query("dataset_fingerprint")
+SIGNED = "o_custkey:bigint,o_orderdate:timestamp_ntz,o_orderkey:bigint,o_orderpriority:string,o_orderstatus:string,o_totalprice:double"
+NUMBER_SIGNATURE = """'{c}:' || printf('%.3f:%.3f:%.3f:%.3f', avg({c}), stddev_pop({c}), CAST(min({c}) AS DOUBLE), CAST(max({c}) AS DOUBLE))"""
+
+
+@query(
+    "dataset_fingerprint",
+    f"""SELECT substring(md5('{','.join(c.split(":")[0] for c in SIGNED.split(","))}|{SIGNED}|rows:' || count(*) || '|' ||
+          {" || ',' || ".join(NUMBER_SIGNATURE.format(c=c) for c in ("o_custkey", "o_orderkey", "o_totalprice"))} || '|fe_v2'), 1, 16) AS fingerprint,
+          count(*) AS row_count FROM orders""",
+)
 def dataset_fingerprint(spark, sf):
     return catalogue.dataset_fingerprint(table(spark, sf, "orders"))
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tallyframe.functions.numeric import parse_numeric_text
 from tallyframe.operators.forecast import select_model
 from tallyframe.plans.registered.base import query, table
-from tallyframe.plans.registered.forecasting import KEYS, baseline_scores
+from tallyframe.plans.registered.forecasting import KEYS, SELECTED_SQL, baseline_scores
+from tallyframe.plans.registered.profiling import of_table
 from tallyframe.sources import readers, stores
 from tallyframe.sources.shared import shared_folder
 
@@ -68,12 +69,17 @@ def parse_numeric_text_column(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", parse_numeric_text(stated).alias("amount"))
 
 
-@query("write_profile_store")
+STORED = "SELECT \"column\", row_count, unique_count, semantic_type, is_identifier FROM "
+
+
+@query("write_profile_store", STORED + of_table("customer") + " UNION ALL " + STORED + of_table("orders"))
 def write_profile_store(spark, sf):
     path = shared_folder(spark, "profiles")
     for name in ("customer", "orders", "customer"):
         stores.write_profile_store(table(spark, sf, name), path)
-    return stores.read_profile_store(spark, path)
+    return stores.read_profile_store(spark, path).select(
+        "column", "row_count", "unique_count", "semantic_type", "is_identifier"
+    )
 
 
 @query("stored_metrics")
@@ -83,7 +89,15 @@ def stored_metrics(spark, sf):
     return stores.stored_metrics(stores.read_profile_store(spark, path))
 
 
-@query("forecast_run_log")
+RUN_SQL = f"""SELECT 'lineitem' AS fingerprint, CAST(l_suppkey AS VARCHAR) AS metric_key, 'month' AS granularity, algorithm, mae, rmse, r2,
+  n_folds FROM {SELECTED_SQL}"""
+
+
+@query(
+    "forecast_run_log",
+    f"""SELECT *, 1 AS version FROM ({RUN_SQL})
+        UNION ALL SELECT *, 2 AS version FROM ({RUN_SQL}) WHERE algorithm <> 'naive_last_value'""",
+)
 def forecast_run_log(spark, sf):
     path = shared_folder(spark, "runs")
     chosen = select_model(baseline_scores(spark, sf), KEYS)

@@ -25,7 +25,8 @@ def write_profile_store(df: DataFrame, path: str, hints: NameHints = NameHints()
     stamped = profiled.join(F.broadcast(key), "_one").drop("_one").withColumns({
         "profiler_version": F.lit(fixed.PROFILER_VERSION), "catalogue_version": F.lit(fixed.CATALOGUE_VERSION),
     })
-    (stamped.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    # One row per column: one file per dataset.
+    (stamped.repartition(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("fingerprint").parquet(path))
 
 
