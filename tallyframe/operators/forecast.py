@@ -12,10 +12,12 @@ from functools import reduce
 from operator import and_
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.functions import fitting
 from tallyframe.functions import fixed_values as fixed
 from tallyframe.functions.fitting import by_group, fold_predictions, forecast_series
 from tallyframe.operators.metrics import Metric
@@ -23,6 +25,9 @@ from tallyframe.operators.series import make_features, max_horizon, planned_hori
 
 FEATURES = list(fixed.FEATURE_COLUMNS)
 
+# The fitting functions travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(fitting)
+
 
 def _keyed(df: DataFrame, keys: Sequence[str]) -> list[str]:
     return list(keys) or ["_series"]

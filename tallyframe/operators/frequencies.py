@@ -22,6 +22,7 @@ from tallyframe.functions.numeric import FLOATING, column_type, is_numeric, is_t
 # instead of a document.
 LONG_TEXT = 256
 DIGEST_PREFIX = "sha256:"
+DIGEST_LENGTH = len(DIGEST_PREFIX) + 64
 
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 

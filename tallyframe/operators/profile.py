@@ -104,20 +104,18 @@ def text_dates(df: DataFrame, frequencies: DataFrame, columns: Sequence[str]) ->
     )
 
 
-def _name_flags(names: Sequence[str], hints: NameHints) -> Column:
-    """Column of structs of name flags, looked up by column name; the names are few and known."""
-    pairs = []
-    for name in names:
-        flags = {
-            "date_name": name_has(name, hints.date),
-            "id_name": name_has(name, hints.identifier),
-            "strong_id_name": strong_identifier_name(name),
-            "monetary_name": name_has(name, hints.monetary),
-            "percentage_name": name_has(name, hints.percentage),
-            "geographic_name": name_has(name, hints.geographic),
-        }
-        pairs += [F.lit(name), F.struct(*[F.lit(v).alias(k) for k, v in flags.items()])]
-    return F.create_map(*pairs)[F.col("column")]
+def _name_flags(names: Sequence[str], hints: NameHints) -> dict[str, Column]:
+    """Flag columns for what a column's name suggests; the names are few and known here."""
+    tests = {
+        "date_name": lambda c: name_has(c, hints.date),
+        "id_name": lambda c: name_has(c, hints.identifier),
+        "strong_id_name": strong_identifier_name,
+        "monetary_name": lambda c: name_has(c, hints.monetary),
+        "percentage_name": lambda c: name_has(c, hints.percentage),
+        "geographic_name": lambda c: name_has(c, hints.geographic),
+    }
+    hits = {flag: [c for c in names if test(c)] for flag, test in tests.items()}
+    return {flag: F.col("column").isin(*found) if found else F.lit(False) for flag, found in hits.items()}
 
 
 def profile_columns(
@@ -135,7 +133,6 @@ def profile_columns(
     types = {c: column_type(df, c) for c in names}
     flat = freq.flat_columns(df, names)
     described = describe_columns(df, names)
-    nothing = F.lit(None)
     empty = {
         "non_null": "bigint", "unique_count": "bigint", "whole_count": "bigint",
         **dict.fromkeys(("min", "max", "mean", "std", "negative", "zero", "bit", "unit", "boolean_share", "true_share"), "double"),
@@ -165,101 +162,85 @@ def profile_columns(
             candidates = freq.only(frequencies, F.col("whole").isNotNull()).join(F.broadcast(unique), "column", "left_semi")
             shares = freq.sequential_shares(candidates).select("column", "step_share")
             described = described.join(F.broadcast(shares), "column", "left")
-    absent = {c: nothing.cast(t).alias(c) for c, t in empty.items() if c not in described.columns}
-    measured = described.withColumns(absent).withColumn("non_null", F.coalesce("non_null", "nested_non_null", F.lit(0)))
-    return _with_rules(measured, names, hints)
+    found = set(described.columns)
+    absent = [f"CAST(NULL AS {t}) AS {c}" for c, t in empty.items() if c not in found]
+    return _with_rules(described.selectExpr("*", *absent), names, hints)
+
+
+# The typing rules in SQL, each step over the columns of the one before. Thresholds come from the
+# fixed values; measures that a column's kind does not have are null and fail every comparison.
+MEASURE_RULES = {
+    "unique_count": "CAST(coalesce(unique_count, 0) AS BIGINT)",
+    "non_null": "coalesce(non_null, nested_non_null, 0)",
+    "date_parse_rate": "CASE WHEN kind = 'datetime' THEN 1.0D ELSE coalesce(date_parse_rate, 0.0D) END",
+}
+STEP_RULES = (
+    {
+        "ratio": "CASE WHEN kind <> 'unknown' AND non_null > 0 THEN unique_count / non_null ELSE 0.0D END",
+        "is_whole": "coalesce(whole_count = unique_count AND unique_count > 0, false)",
+        "is_sequence": f"coalesce(unique_count >= {fixed.SEQUENTIAL_MIN_VALUES} AND step_share > {fixed.SEQUENTIAL_STEP_SHARE}, false)",
+        "is_date": f"date_parse_rate >= {fixed.DATE_PARSE_FLOOR}",
+    },
+    {
+        "is_identifier": f"""CASE kind
+            WHEN 'numeric' THEN ratio >= {fixed.IDENTIFIER_UNIQUE_RATIO} AND (id_name OR (
+                NOT (monetary_name OR percentage_name) AND is_whole AND is_sequence
+                AND ratio >= {fixed.UNNAMED_IDENTIFIER_UNIQUE_RATIO}))
+            WHEN 'text' THEN strong_id_name AND unique_count > 1 AND NOT is_date
+            ELSE false END""",
+        "is_constant": "unique_count <= 1 AND kind <> 'unknown'",
+    },
+    {
+        "semantic_type": f"""CASE
+            WHEN kind IN ('boolean', 'datetime', 'unknown') THEN kind
+            WHEN is_identifier THEN 'identifier'
+            WHEN kind = 'numeric' THEN CASE
+                WHEN bit = 1 AND unique_count <= 2 THEN 'boolean'
+                WHEN unit > {fixed.UNIT_INTERVAL_SHARE} AND percentage_name THEN 'percentage'
+                WHEN monetary_name THEN 'monetary'
+                WHEN is_whole THEN 'discrete_numeric' ELSE 'continuous_numeric' END
+            WHEN is_date THEN 'datetime'
+            WHEN boolean_share > {fixed.BOOLEAN_WORD_SHARE} THEN 'boolean'
+            WHEN geographic_name THEN 'geographic'
+            WHEN unique_count <= {fixed.MAX_CATEGORICAL_CARDINALITY} AND ratio <= {fixed.CATEGORICAL_UNIQUE_RATIO} THEN 'categorical'
+            ELSE 'free_text' END""",
+        "forecast_rejection_reasons": f"""CASE kind
+            WHEN 'numeric' THEN concat_ws('; ', IF(is_identifier, 'looks like an identifier column', NULL),
+                IF(is_constant, 'column has zero variance (constant)', NULL),
+                IF(unique_count < {fixed.MIN_FORECAST_DISTINCT}, 'fewer than 3 distinct values', NULL))
+            WHEN 'datetime' THEN 'datetime column, not a metric' WHEN 'text' THEN 'non-numeric column'
+            WHEN 'boolean' THEN 'boolean column' ELSE 'unrecognized dtype' END""",
+    },
+)
+PROFILE_FIELDS = (
+    "position", "column", "dtype", "kind", "semantic_type", "row_count", "row_count > non_null AS nullable",
+    "row_count - non_null AS missing_count", "coalesce(try_divide(row_count - non_null, row_count), 0.0D) AS missing_ratio",
+    "unique_count", "round(ratio, 4) AS unique_ratio", "min AS min_value", "max AS max_value",
+    "CASE WHEN kind = 'boolean' THEN true_share ELSE mean END AS mean", "median", "std",
+    "round(coalesce(negative, 0.0D), 4) AS negative_ratio", "round(coalesce(zero, 0.0D), 4) AS zero_ratio",
+    "first_time", "last_time", "is_identifier", "is_constant",
+    f"""kind IN ('numeric', 'text') AND ratio >= {fixed.HIGH_CARDINALITY_RATIO}
+        AND unique_count > {fixed.MAX_CATEGORICAL_CARDINALITY} AS is_high_cardinality""",
+    "kind = 'numeric' AND forecast_rejection_reasons = '' AS is_forecast_candidate", "forecast_rejection_reasons",
+    "date_parse_rate",
+    # What the date score needs, for text and time columns alike.
+    "CASE WHEN kind = 'datetime' THEN ratio ELSE coalesce(try_divide(distinct_dates, dated_rows), 0.0D) END AS date_unique_ratio",
+    "coalesce(first_time, first_date) AS date_start", "coalesce(last_time, last_date) AS date_end", "date_name",
+)
 
 
 def _with_rules(measured: DataFrame, names: Sequence[str], hints: NameHints) -> DataFrame:
-    """The typing rules, as expressions over the measures."""
-    numeric, text = F.col("kind") == "numeric", F.col("kind") == "text"
-    flag = lambda name: F.col("flags")[name]
-    frame = measured.withColumns({
-        "flags": _name_flags(names, hints),
-        "unique_count": F.coalesce("unique_count", F.lit(0)).cast("bigint"),
-        "whole_count": F.coalesce("whole_count", F.lit(0)).cast("bigint"),
-        "date_parse_rate": F.when(F.col("kind") == "datetime", 1.0).otherwise(F.coalesce("date_parse_rate", F.lit(0.0))),
-    })
-    ratio = F.when(F.col("non_null") > 0, F.col("unique_count") / F.col("non_null")).otherwise(F.lit(0.0))
-    frame = frame.withColumn("ratio", F.when(F.col("kind") == "unknown", F.lit(0.0)).otherwise(ratio))
-    whole = (F.col("whole_count") == F.col("unique_count")) & (F.col("unique_count") > 0)
-    sequential = F.coalesce(
-        (F.col("unique_count") >= fixed.SEQUENTIAL_MIN_VALUES) & (F.col("step_share") > fixed.SEQUENTIAL_STEP_SHARE),
-        F.lit(False),
-    )
-    business = flag("monetary_name") | flag("percentage_name")
-    numeric_id = (F.col("ratio") >= fixed.IDENTIFIER_UNIQUE_RATIO) & (
-        flag("id_name")
-        | (~business & whole & (F.col("ratio") >= fixed.UNNAMED_IDENTIFIER_UNIQUE_RATIO) & sequential)
-    )
-    is_date = F.col("date_parse_rate") >= fixed.DATE_PARSE_FLOOR
-    text_id = flag("strong_id_name") & (F.col("unique_count") > 1)
-    identifier = F.when(numeric, numeric_id).when(text, text_id & ~is_date).otherwise(F.lit(False))
-    bits = F.coalesce(F.col("bit") == 1, F.lit(False)) & (F.col("unique_count") <= 2)
-    unit = F.coalesce(F.col("unit") > fixed.UNIT_INTERVAL_SHARE, F.lit(False))
-    words = F.coalesce(F.col("boolean_share") > fixed.BOOLEAN_WORD_SHARE, F.lit(False))
-    few = (F.col("unique_count") <= fixed.MAX_CATEGORICAL_CARDINALITY) & (
-        F.col("ratio") <= fixed.CATEGORICAL_UNIQUE_RATIO
-    )
-    semantic = (
-        F.when(F.col("kind").isin("boolean", "datetime", "unknown"), F.col("kind"))
-        .when(numeric & numeric_id, "identifier")
-        .when(numeric & bits, "boolean")
-        .when(numeric & unit & flag("percentage_name"), "percentage")
-        .when(numeric & flag("monetary_name"), "monetary")
-        .when(numeric & whole, "discrete_numeric")
-        .when(numeric, "continuous_numeric")
-        .when(is_date, "datetime")
-        .when(text_id, "identifier")
-        .when(words, "boolean")
-        .when(flag("geographic_name"), "geographic")
-        .when(few, "categorical")
-        .otherwise("free_text")
-    )
-    crowded = (F.col("ratio") >= fixed.HIGH_CARDINALITY_RATIO) & (
-        F.col("unique_count") > fixed.MAX_CATEGORICAL_CARDINALITY
-    )
-    constant = (F.col("unique_count") <= 1) & (F.col("kind") != "unknown")
-    reasons = F.when(
-        numeric,
-        F.concat_ws(
-            "; ",
-            F.when(identifier, "looks like an identifier column"),
-            F.when(constant, "column has zero variance (constant)"),
-            F.when(F.col("unique_count") < fixed.MIN_FORECAST_DISTINCT, "fewer than 3 distinct values"),
-        ),
-    ).otherwise(
-        F.when(F.col("kind") == "datetime", "datetime column, not a metric").when(text, "non-numeric column")
-        .when(F.col("kind") == "boolean", "boolean column").otherwise("unrecognized dtype")
-    )
-    missing = F.col("row_count") - F.col("non_null")
-    return frame.select(
-        "position", "column", "dtype", "kind", semantic.alias("semantic_type"), "row_count",
-        (missing > 0).alias("nullable"), missing.alias("missing_count"),
-        F.coalesce(F.try_divide(missing, F.col("row_count")), F.lit(0.0)).alias("missing_ratio"),
-        "unique_count", F.round("ratio", 4).alias("unique_ratio"),
-        F.col("min").alias("min_value"), F.col("max").alias("max_value"),
-        F.when(F.col("kind") == "boolean", F.col("true_share")).otherwise(F.col("mean")).alias("mean"), "median", "std",
-        F.round(F.coalesce("negative", F.lit(0.0)), 4).alias("negative_ratio"),
-        F.round(F.coalesce("zero", F.lit(0.0)), 4).alias("zero_ratio"),
-        "first_time", "last_time", identifier.alias("is_identifier"), constant.alias("is_constant"),
-        F.when(numeric | text, crowded).otherwise(F.lit(False)).alias("is_high_cardinality"),
-        (numeric & (reasons == "")).alias("is_forecast_candidate"), reasons.alias("forecast_rejection_reasons"),
-        "date_parse_rate",
-        # Kept for date ranking: what the score needs, for text and time columns alike.
-        F.when(F.col("kind") == "datetime", F.col("ratio"))
-        .otherwise(F.coalesce(F.try_divide(F.col("distinct_dates"), F.col("dated_rows")), F.lit(0.0)))
-        .alias("date_unique_ratio"),
-        F.coalesce("first_time", "first_date").alias("date_start"),
-        F.coalesce("last_time", "last_date").alias("date_end"), flag("date_name").alias("date_name"),
-    )
+    frame = measured.withColumns({**_name_flags(names, hints), **{c: F.expr(rule) for c, rule in MEASURE_RULES.items()}})
+    for rules in STEP_RULES:
+        frame = frame.selectExpr("*", *[f"{rule} AS {c}" for c, rule in rules.items()])
+    return frame.selectExpr(*PROFILE_FIELDS)
 
 
 def profile_samples(df: DataFrame, columns: Sequence[str] | None = None, count: int = 3) -> DataFrame:
     """The smallest distinct values per column, as text; long texts come whole, after short ones."""
     names = freq.flat_columns(df, columns)
     frequencies = freq.value_frequencies(df, names)
-    is_digest = F.col("value").startswith(freq.DIGEST_PREFIX)
+    is_digest = F.col("value").startswith(freq.DIGEST_PREFIX) & (F.length("value") == freq.DIGEST_LENGTH)
     order = [is_digest, F.col("number"), F.col("value")]
     picked = (
         frequencies.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(*order)).cast("bigint"))
@@ -268,14 +249,17 @@ def profile_samples(df: DataFrame, columns: Sequence[str] | None = None, count:
     texts = [c for c in names if is_text(column_type(df, c))]
     if not texts:
         return picked.select("column", "rank", F.col("value").alias("sample"))
-    # At most `count` digests per column are looked up again, so this side is tiny by construction.
+    # At most `count` values per column are looked up again, so this side is tiny by construction.
     long = (
         df.select(*texts).unpivot([], texts, "column", "text")
         .where(F.length("text") > freq.LONG_TEXT).withColumn("value", freq.text_key(F.col("text")))
-        .join(F.broadcast(picked.where(is_digest)), ["column", "value"])
-        .groupBy("column", "rank").agg(F.first("text").alias("sample"))
+        .join(F.broadcast(picked.where(is_digest).select("column", "value")), ["column", "value"])
+        .groupBy("column", "value").agg(F.first("text").alias("text"))
+    )
+    # A short text that merely looks like a digest finds no long one and stays as it is.
+    return picked.join(long, ["column", "value"], "left").select(
+        "column", "rank", F.coalesce("text", "value").alias("sample")
     )
-    return picked.where(~is_digest).select("column", "rank", F.col("value").alias("sample")).union(long)
 
 
 def sequential_key_test(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -68,6 +68,8 @@ def test_long_texts_are_told_apart_by_their_ends(spark, rows):
     df = spark.sql("SELECT concat(repeat('a', 300), id % 2) AS t FROM range(10)")
     assert profiled(df, rows)["t"]["unique_count"] == 2
     assert [len(r["sample"]) for r in rows(profile.profile_samples(df))] == [301, 301]
+    lookalike = spark.sql("SELECT concat('sha256:', repeat('b', 64)) AS t")
+    assert rows(profile.profile_samples(lookalike))[0]["sample"] == "sha256:" + "b" * 64
 
 
 def test_catalogue_rules(spark, rows):
