@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +46,9 @@ def text_batches(spark: SparkSession) -> SparkSession:
     """Small Arrow batches for the tasks of a session that pass whole texts to Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark
+
+
+def worker_state(name: str) -> dict:
+    """A dict that lives as long as the Python worker, so later tasks of the worker find what earlier ones left."""
+    module = sys.modules.setdefault("tallyframe_worker_state", types.ModuleType("tallyframe_worker_state"))
+    return module.__dict__.setdefault(name, {})
