@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +18,15 @@ from tallyframe.llm.common import let, named, text_batches
 #: Splits text into the words within which bytes merge. White space is spelled out, since the
 #: engines differ in what they call so.
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-#: Buckets of the rank map; a map inside Spark is searched from its start, so each stays tiny.
-BUCKETS = 1 << 16
+#: Places of the rank map, over twice as many as entries.
+PLACES = 1 << 19
 #: Words gathered by one task before their distinct forms are encoded.
 PACK_WORDS = 5_000_000
 #: Words of more bytes, long runs without a break, are merged with a heap.
-LONG_WORD = 256
-_NONE = 2**31 - 1
+LONG_WORD = 64
+_FACTORS = (1_640_531_527, 1_274_126_177)  # odd, below 2^31: a product with 32 bits stays below 2^63
+_SHIFTS = (23, 17)
+_NO_KEY = (1 << 32) - 1
 
 
 def spark_pattern(pattern: str) -> str:
@@ -37,59 +40,76 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks as one literal: an array of small maps, indexed by a hash of the bytes."""
-    import xxhash
-
-    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for piece, rank in ranks.items():
-        maps[xxhash.xxh64_intdigest(piece, 42) % BUCKETS][piece.hex()] = rank
-    parsed = F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")
-    binary = lambda entry: F.struct(F.unhex(entry["key"]).alias("k"), entry["value"].alias("v"))
-    return F.transform(parsed, lambda m: F.map_from_entries(F.transform(F.map_entries(m), binary)))  # folded to a literal
+def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
+    """The rank of what two tokens make together, by 65,536 * first + second."""
+    return {
+        ranks[piece[:cut]] << 16 | ranks[piece[cut:]]: rank
+        for piece, rank in ranks.items() for cut in range(1, len(piece)) if piece[:cut] in ranks and piece[cut:] in ranks
+    }
 
 
-def _lookup(table: Column, piece: Column) -> Column:
-    # the low bits of the hash, so that it agrees with the unsigned remainder
-    return F.try_element_at(F.get(table, F.xxhash64(piece).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), piece)
+def _place(key, choice: int):
+    return ((key * _FACTORS[choice]) >> _SHIFTS[choice]) & (PLACES - 1)
 
 
-def merged_ids(word: Column, table: Column) -> Column:
-    """The ids of one word of two bytes or more, or of any word that is a token itself.
+def rank_map(ranks: dict[bytes, int]) -> Column:
+    """The ranks of pairs as one literal array that works as a hash map.
 
-    A fold over as many steps as can be needed: the state holds the pieces and the rank of each
-    neighbouring pair; a step joins the leftmost pair of lowest rank and ranks its two new pairs.
+    An entry holds key, rank and, in its last bit, whether a key that belongs here is at its other
+    place; so a lookup reads one entry, seldom two. Spark's own maps are searched from their start.
     """
-    rank = lambda piece: F.coalesce(_lookup(table, piece), F.lit(_NONE))
-    pair = lambda pieces, i: rank(F.concat(F.get(pieces, i), F.get(pieces, i + 1)))
-    size = F.octet_length(word)
-    index = lambda n: F.sequence(F.lit(1), n)
-    start = let(
-        F.transform(index(size), lambda i: F.substring(word, i, F.lit(1))),
-        lambda p: F.struct(p.alias("p"), F.transform(index(size - 1), lambda i: pair(p, i - 1)).alias("r")),
-    )
+    places: list[tuple[int, int] | None] = [None] * PLACES
+    moved = [0] * PLACES
+    for pair in pair_ranks(ranks).items():
+        choice = 0
+        for _ in range(500):
+            at = _place(pair[0], choice)
+            pair, places[at] = places[at], pair
+            if pair is None:
+                break
+            choice = 1 if _place(pair[0], 0) == at else 0  # the other place of the one pushed out
+        else:
+            raise ValueError("the rank map is too full")
+    for at, pair in enumerate(places):
+        if pair and _place(pair[0], 0) != at:
+            moved[_place(pair[0], 0)] = 1
+    entries = [((pair[0] << 17 | pair[1] << 1) if pair else _NO_KEY << 17) | m for pair, m in zip(places, moved)]
+    return F.from_json(F.lit(json.dumps(entries, separators=(",", ":"))), "array<bigint>")  # folded to a literal
+
+
+def merged_ids(pieces: Column, table: Column) -> Column:
+    """The ids of a word given as the ids of its bytes between two -1.
+
+    A fold over as many steps as can be needed. The state holds the pieces and the rank of each
+    neighbouring pair, null for pairs that make no token; a step joins the leftmost pair of lowest
+    rank, whose rank is the id of what they make, and ranks the two pairs it is now part of.
+    """
+
+    def rank(a: Column, b: Column) -> Column:
+        key = F.shiftleft(a, 16).bitwiseOR(b)
 
-    def join(state: Column, at: Column) -> Column:
-        p, r = state["p"], state["r"]
-        none = F.array().cast("array<int>")
+        def at_place(choice: int, other) -> Column:
+            place = F.shiftright(key * F.lit(_FACTORS[choice]), _SHIFTS[choice]).bitwiseAND(F.lit(PLACES - 1)).cast("int")
+            return let(F.get(table, place), lambda e: other(e, F.when(F.shiftright(e, 17) == key, F.shiftright(e, 1).bitwiseAND(F.lit(65535)))))
 
-        def rebuilt(new: Column) -> Column:
-            left = F.when(at > 1, F.array(rank(F.concat(F.get(p, at - 2), new)))).otherwise(none)
-            right = F.when(at < F.size(r), F.array(rank(F.concat(new, F.get(p, at + 1))))).otherwise(none)
-            return F.struct(
-                F.concat(F.slice(p, 1, at - 1), F.array(new), F.slice(p, at + 2, F.size(p))).alias("p"),
-                F.concat(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(p))).alias("r"),
-            )
+        second = at_place(1, lambda _, found: found)
+        return at_place(0, lambda e, found: found.when(e.bitwiseAND(F.lit(1)) == 1, second))
 
-        return let(F.concat(F.get(p, at - 1), F.get(p, at)), rebuilt)
+    def join(state: Column, m: Column, at: Column) -> Column:
+        p, r, rest = state["p"], state["r"], F.size(pieces)
+        ranked = F.array(rank(F.get(p, at - 2), m), rank(m, F.get(p, at + 1)))
+        return F.struct(
+            F.concat(F.slice(p, 1, at - 1), F.array(m), F.slice(p, at + 2, rest)).alias("p"),
+            F.concat(F.slice(r, 1, at - 2), ranked, F.slice(r, at + 2, rest)).alias("r"),
+        )
 
     def step(state: Column, _: Column) -> Column:
-        lowest = F.array_min(state["r"])
-        return let(lowest, lambda m: F.when(F.coalesce(m, F.lit(_NONE)) == _NONE, state).otherwise(
-            let(F.array_position(state["r"], m).cast("int"), lambda at: join(state, at))))
+        return let(F.array_min(state["r"]), lambda m: F.when(m.isNull(), state).otherwise(
+            let(F.array_position(state["r"], m).cast("int"), lambda at: join(state, m, at))))
 
-    fold = F.aggregate(index(size - 1), start, step, lambda state: F.transform(state["p"], lambda piece: _lookup(table, piece)))
-    return let(_lookup(table, word), lambda own: F.when(own.isNotNull(), F.array(own)).otherwise(fold))
+    start = F.struct(pieces.alias("p"), F.zip_with(F.slice(pieces, 1, F.size(pieces) - 1), F.slice(pieces, 2, F.size(pieces)), rank).alias("r"))
+    fold = F.aggregate(F.sequence(F.lit(4), F.size(pieces)), start, step, lambda state: state["p"])
+    return let(F.when(F.size(pieces) < 4, pieces).otherwise(fold), lambda p: F.slice(p, 2, F.size(p) - 2))
 
 
 def heap_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -124,30 +144,53 @@ def heap_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, words) to packs: ids, words per document, a code per word, and the distinct words."""
+def _pack(ranks_path: str):
+    """Rows (doc_id, words) to packs: ids, words per document, a code per word, and the distinct words.
 
-    def packed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    A distinct word is given as the ids of its bytes, as its own id if it is a token, and as nothing
+    if it is a long word, which `_unpack` merges; each between two -1.
+    """
+
+    def packed(parts: list[pa.RecordBatch], vocabulary: pa.Array, own: np.ndarray, letters: np.ndarray) -> pa.RecordBatch:
         rows = pa.Table.from_batches(parts)
         lists = rows.column("words").combine_chunks()
         coded = lists.flatten().cast(pa.binary()).dictionary_encode()
-        sizes = np.diff(lists.offsets.to_numpy()).astype("<i4")
-        ids = rows.column("doc_id").combine_chunks()
+        words, sizes = coded.dictionary, np.diff(lists.offsets.to_numpy()).astype("<i4")
+        widths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = letters[np.frombuffer(b"".join(words.to_pylist()), np.uint8)]
+        token = pc.index_in(words, vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
+        starts = np.cumsum(widths) - widths
+        flat[starts[token >= 0]] = own[token[token >= 0]]
+        kept = np.where(token >= 0, 1, np.where(widths > LONG_WORD, 0, widths))
+        ends = np.cumsum(kept)
+        flat = flat[np.repeat(starts - (ends - kept), kept) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        flat = np.insert(flat, np.concatenate((ends - kept, ends)), -1)
+        ends += 2 * np.arange(1, len(ends) + 1)
+        pieces = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat, pa.int64()))
+        long = np.flatnonzero((widths > LONG_WORD) & (token < 0))
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         return pa.RecordBatch.from_arrays([
-            pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([sizes.tobytes()], pa.binary()),
+            one(rows.column("doc_id").combine_chunks()), pa.array([sizes.tobytes()], pa.binary()),
             pa.array([coded.indices.to_numpy().astype("<i4").tobytes()], pa.binary()),
-            pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary),
-        ], ["doc_ids", "sizes", "codes", "words"])
+            one(pieces), one(pa.array(long, pa.int32())), one(words.take(pa.array(long))),
+        ], ["doc_ids", "sizes", "codes", "pieces", "long", "long_words"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = read_ranks(ranks_path)
+        vocabulary, own = pa.array(list(ranks), pa.binary()), np.array(list(ranks.values()), np.int64)
+        letters = np.array([ranks.get(bytes([i]), 0) for i in range(256)], np.int64)
+        parts, held = [], 0
+        for batch in batches:
+            n = len(batch.column(1).flatten())
+            if held and held + n > PACK_WORDS:
+                yield packed(parts, vocabulary, own, letters)
+                parts, held = [], 0
+            parts.append(batch)
+            held += n
+        if parts:
+            yield packed(parts, vocabulary, own, letters)
 
-    parts, held = [], 0
-    for batch in batches:
-        if held and held + len(batch.column(1).flatten()) > PACK_WORDS:
-            yield packed(parts)
-            parts, held = [], 0
-        parts.append(batch)
-        held += len(batch.column(1).flatten())
-    if parts:
-        yield packed(parts)
+    return run
 
 
 def _unpack(ranks_path: str):
@@ -155,12 +198,12 @@ def _unpack(ranks_path: str):
         ranks: dict[bytes, int] = {}
         for batch in batches:
             for row in range(len(batch)):
-                words, ids = batch.column(3)[row].values, batch.column(4)[row].values
+                ids, long, words = (batch.column(c)[row].values for c in (3, 4, 5))
                 sizes = np.diff(ids.offsets.to_numpy())[: len(ids)].astype(np.int64)
                 flat = ids.flatten().to_numpy()
-                if len(long := np.flatnonzero(np.diff(words.offsets.to_numpy()) > LONG_WORD)):
+                if len(long := long.to_numpy()):
                     ranks = ranks or read_ranks(ranks_path)
-                    extra = [np.array(heap_ids(words[int(i)].as_py(), ranks), np.int32) for i in long]
+                    extra = [np.array(heap_ids(word, ranks), np.int64) for word in words.to_pylist()]
                     flat = np.insert(flat, np.repeat(np.cumsum(sizes)[long], list(map(len, extra))), np.concatenate(extra))
                     sizes[long] = list(map(len, extra))
                 starts = np.cumsum(sizes) - sizes
@@ -190,27 +233,27 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
 
     Each match of the pattern is a word. A task gathers the words of some millions, and Spark folds
     the merges over the distinct ones; their ids then stand for every place of theirs. No shuffle.
-    Words of more than 256 bytes, which a fold would copy too often, are merged with a heap instead.
+    Words of more than 64 bytes, which a fold would copy too often, are merged with a heap instead.
     Null and empty texts have no ids; a null doc_id is kept; repeated rows each give a row; no rows
     give no rows; other columns are ignored.
     """
     text_batches(docs.sparkSession)
-    table = rank_map(read_ranks(ranks_path))
     words = docs.select(
         named(doc_id).cast("long").alias("doc_id"),
         F.regexp_extract_all(F.coalesce(named(text), F.lit("")), F.lit(spark_pattern(pattern)), F.lit(0)).alias("words"),
     )
-    packs = words.mapInArrow(_pack, "doc_ids array<bigint>, sizes binary, codes binary, words array<binary>")
-    short = lambda w: F.when(F.octet_length(w) <= LONG_WORD, merged_ids(w, table)).otherwise(F.array().cast("array<int>"))
-    encoded = packs.select("doc_ids", "sizes", "codes", "words", F.transform("words", short).alias("ids"))
+    shape = "doc_ids array<bigint>, sizes binary, codes binary, pieces array<array<bigint>>, long array<int>, long_words array<binary>"
+    packs = words.mapInArrow(_pack(ranks_path), shape)
+    ids = let(rank_map(read_ranks(ranks_path)), lambda t: F.transform("pieces", lambda p: merged_ids(p, t)))  # one copy of the map
+    encoded = packs.select("doc_ids", "sizes", "codes", ids.alias("ids"), "long", "long_words")
     return encoded.mapInArrow(_unpack(ranks_path), "doc_id long, ids array<int>")
 
 
 def decode_pieces(ids: pa.Array, pieces: pa.Array) -> pa.Array:
     """The bytes of each list of ids, their pieces one after the other."""
     taken = pieces.take(ids.flatten())
-    width = taken.offsets.to_numpy()
-    data = taken.buffers()[2]
+    width = np.concatenate(([0], np.cumsum(pc.binary_length(taken).to_numpy(zero_copy_only=False), dtype=np.int64)))
+    data = taken.buffers()[2]  # the pieces lie one after the other
     cuts = width[ids.offsets.to_numpy() - ids.offsets[0].as_py()]
     return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), data])
 

@@ -13,6 +13,7 @@ from tallyframe.llm.common import text_batches
 from tallyframe.llm.host_rules import apply_host_rules
 from tallyframe.llm.mixing import mix_sources
 from tallyframe.llm.pivot_search import top_k
+from tallyframe.llm.quality import score_quality
 from tallyframe.llm.simhash import near_duplicates
 from tallyframe.llm.token_files import read_token_files, write_token_files
 from tallyframe.plans.registered.base import table
@@ -110,3 +111,8 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op2_quality_field")
+def op2_quality_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
