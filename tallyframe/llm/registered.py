@@ -15,6 +15,7 @@ from tallyframe.llm.mixing import mix_sources
 from tallyframe.llm.pivot_search import top_k
 from tallyframe.llm.quality import score_quality
 from tallyframe.llm.simhash import near_duplicates
+from tallyframe.llm.suffix_dedup import remove_repeats
 from tallyframe.llm.token_files import read_token_files, write_token_files
 from tallyframe.plans.registered.base import table
 
@@ -116,3 +117,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_quality_field")
 def op2_quality_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_suffix_repeats")
+def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_removed", "n_spans",
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
