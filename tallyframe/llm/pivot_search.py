@@ -88,11 +88,17 @@ def search_block(queries: np.ndarray, known: np.ndarray, rows: np.ndarray, ids:
     own = _distances(lifted, pivots)
     norms = (lifted * lifted).sum(axis=1)
     found = []
+    by_pivot = np.ascontiguousarray(table.T)
+    low, gap = np.empty(len(rows), np.float32), np.empty(len(rows), np.float32)
     for q in range(len(queries)):
-        low = np.abs(table - own[q]).max(axis=1)
-        high = (norms[q] + most - low * low) / 2 + 1e-6 * (norms[q] + most + 1)  # the most a score can be
-        order = np.argsort(-high, kind="stable")
+        low.fill(0)
+        for p in range(len(by_pivot)):
+            np.subtract(by_pivot[p], np.float32(own[q, p]), out=gap)
+            np.maximum(low, np.abs(gap, out=gap), out=low)
+        high = (norms[q] + most - low.astype(np.float64) ** 2) / 2 + 1e-6 * (norms[q] + most + 1)  # the most a score can be
         top_s, top_i, floor = np.empty(0, np.int64), np.empty(0, np.int64), known[q]
+        order = np.flatnonzero(high >= floor)
+        order = order[np.argsort(-high[order], kind="stable")]
         for at in range(0, len(order), _STEP):
             take = order[at : at + _STEP]
             if high[take[0]] < floor:
@@ -196,7 +202,7 @@ def top_k(
         known = left.column("known").to_numpy().astype(np.float64)
         ids = right.column("ids").combine_chunks()
         cuts, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-        table = np.stack(right.column("d").combine_chunks().flatten().to_numpy().reshape(-1, count)).astype(np.float64)
+        table = np.stack(right.column("d").combine_chunks().flatten().to_numpy().reshape(-1, count))
         found = search_block(
             _matrix(q, width), np.where(np.isnan(known), -np.inf, known), _matrix(right.column("v"), width),
             [flat[a:b] for a, b in zip(cuts, cuts[1:])], table, pivots, most, k + 1,
