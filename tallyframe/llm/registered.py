@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm.bpe import decode, encode
 from tallyframe.llm.common import text_batches
 from tallyframe.llm.host_rules import apply_host_rules
+from tallyframe.llm.html_text import extract_text
 from tallyframe.llm.mixing import mix_sources
 from tallyframe.llm.pivot_search import top_k
 from tallyframe.llm.quality import score_quality
@@ -125,3 +126,8 @@ def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_removed", "n_spans",
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op5_html_text")
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
