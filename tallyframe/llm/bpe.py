@@ -18,15 +18,13 @@ from tallyframe.llm.common import let, named, text_batches
 #: Splits text into the words within which bytes merge. White space is spelled out, since the
 #: engines differ in what they call so.
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-#: Places of the rank map, over twice as many as entries.
-PLACES = 1 << 19
+#: Places of the rank map, some ten times as many as entries, so that rows of entries fit in quickly.
+PLACES = 1 << 20
+_IDS = 1 << 16
 #: Words gathered by one task before their distinct forms are encoded.
-PACK_WORDS = 5_000_000
+PACK_WORDS = 2_700_000
 #: Words of more bytes, long runs without a break, are merged with a heap.
 LONG_WORD = 64
-_FACTORS = (1_640_531_527, 1_274_126_177)  # odd, below 2^31: a product with 32 bits stays below 2^63
-_SHIFTS = (23, 17)
-_NO_KEY = (1 << 32) - 1
 
 
 def spark_pattern(pattern: str) -> str:
@@ -40,76 +38,59 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
 
 
-def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
-    """The rank of what two tokens make together, by 65,536 * first + second."""
-    return {
-        ranks[piece[:cut]] << 16 | ranks[piece[cut:]]: rank
-        for piece, rank in ranks.items() for cut in range(1, len(piece)) if piece[:cut] in ranks and piece[cut:] in ranks
-    }
-
-
-def _place(key, choice: int):
-    return ((key * _FACTORS[choice]) >> _SHIFTS[choice]) & (PLACES - 1)
+def pair_ranks(ranks: dict[bytes, int]) -> dict[int, dict[int, int]]:
+    """By first token and second token: the rank of what the two make together."""
+    pairs: dict[int, dict[int, int]] = {}
+    for piece, rank in ranks.items():
+        for cut in range(1, len(piece)):
+            if (a := ranks.get(piece[:cut])) is not None and (b := ranks.get(piece[cut:])) is not None:
+                pairs.setdefault(a, {})[b] = rank
+    return pairs
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks of pairs as one literal array that works as a hash map.
+    """The ranks of pairs as one literal: two arrays of int that work as a sparse table.
 
-    An entry holds key, rank and, in its last bit, whether a key that belongs here is at its other
-    place; so a lookup reads one entry, seldom two. Spark's own maps are searched from their start.
+    `at` says where the row of a first token begins in `of`; the second token is the place from there.
+    Rows lie over each other where their entries leave room, so an entry repeats its first token. A
+    lookup reads one entry; Spark's own maps are searched from their start.
     """
-    places: list[tuple[int, int] | None] = [None] * PLACES
-    moved = [0] * PLACES
-    for pair in pair_ranks(ranks).items():
-        choice = 0
-        for _ in range(500):
-            at = _place(pair[0], choice)
-            pair, places[at] = places[at], pair
-            if pair is None:
-                break
-            choice = 1 if _place(pair[0], 0) == at else 0  # the other place of the one pushed out
-        else:
-            raise ValueError("the rank map is too full")
-    for at, pair in enumerate(places):
-        if pair and _place(pair[0], 0) != at:
-            moved[_place(pair[0], 0)] = 1
-    entries = [((pair[0] << 17 | pair[1] << 1) if pair else _NO_KEY << 17) | m for pair, m in zip(places, moved)]
-    return F.from_json(F.lit(json.dumps(entries, separators=(",", ":"))), "array<bigint>")  # folded to a literal
+    if max(ranks.values(), default=0) >= _IDS - 1:
+        raise ValueError("ids need to fit in 16 bits")
+    rng = np.random.default_rng(1)
+    taken, of, at = np.zeros(PLACES + _IDS, bool), np.full(PLACES + _IDS, -1, np.int32), np.zeros(_IDS, np.int32)
+    for a, row in sorted(pair_ranks(ranks).items(), key=lambda item: (-len(item[1]), item[0])):
+        places = np.fromiter(row, np.int64, len(row))
+        start = int(rng.integers(PLACES))
+        while taken[start + places].any():
+            start = int(rng.integers(PLACES))
+        taken[start + places], at[a] = True, start
+        of[start + places] = (np.uint32(a << 16) | np.fromiter(row.values(), np.uint32, len(row))).view(np.int32)
+    text = json.dumps({"at": at.tolist(), "of": of.tolist()}, separators=(",", ":"))
+    return F.from_json(F.lit(text), "at array<int>, of array<int>")  # folded to a literal
 
 
 def merged_ids(pieces: Column, table: Column) -> Column:
-    """The ids of a word given as the ids of its bytes between two -1.
+    """The ids of a word given as the ids of its bytes.
 
-    A fold over as many steps as can be needed. The state holds the pieces and the rank of each
-    neighbouring pair, null for pairs that make no token; a step joins the leftmost pair of lowest
-    rank, whose rank is the id of what they make, and ranks the two pairs it is now part of.
+    A fold over as many steps as can be needed: each ranks all neighbouring pairs and joins the
+    leftmost of the lowest rank, whose rank is the id of what they make.
     """
 
     def rank(a: Column, b: Column) -> Column:
-        key = F.shiftleft(a, 16).bitwiseOR(b)
-
-        def at_place(choice: int, other) -> Column:
-            place = F.shiftright(key * F.lit(_FACTORS[choice]), _SHIFTS[choice]).bitwiseAND(F.lit(PLACES - 1)).cast("int")
-            return let(F.get(table, place), lambda e: other(e, F.when(F.shiftright(e, 17) == key, F.shiftright(e, 1).bitwiseAND(F.lit(65535)))))
-
-        second = at_place(1, lambda _, found: found)
-        return at_place(0, lambda e, found: found.when(e.bitwiseAND(F.lit(1)) == 1, second))
+        entry = F.get(table["of"], F.get(table["at"], a) + b)
+        return F.when(F.shiftrightunsigned(entry, 16) == a, entry.bitwiseAND(F.lit(_IDS - 1)))
 
-    def join(state: Column, m: Column, at: Column) -> Column:
-        p, r, rest = state["p"], state["r"], F.size(pieces)
-        ranked = F.array(rank(F.get(p, at - 2), m), rank(m, F.get(p, at + 1)))
-        return F.struct(
-            F.concat(F.slice(p, 1, at - 1), F.array(m), F.slice(p, at + 2, rest)).alias("p"),
-            F.concat(F.slice(r, 1, at - 2), ranked, F.slice(r, at + 2, rest)).alias("r"),
-        )
+    def joined(p: Column, m: Column, at: Column) -> Column:
+        moved = F.transform(p, lambda x, i: F.when(i == at, F.lit(-1)).when(i == at - 1, m).otherwise(x))
+        return F.filter(moved, lambda x: x >= 0)
 
-    def step(state: Column, _: Column) -> Column:
-        return let(F.array_min(state["r"]), lambda m: F.when(m.isNull(), state).otherwise(
-            let(F.array_position(state["r"], m).cast("int"), lambda at: join(state, m, at))))
+    def step(p: Column, _: Column) -> Column:
+        pairs = F.zip_with(p, F.slice(p, 2, F.size(p)), rank)
+        return let(pairs, lambda r: let(F.array_min(r), lambda m: F.when(m.isNull(), p).otherwise(
+            let(F.array_position(r, m).cast("int"), lambda at: joined(p, m, at)))))
 
-    start = F.struct(pieces.alias("p"), F.zip_with(F.slice(pieces, 1, F.size(pieces) - 1), F.slice(pieces, 2, F.size(pieces)), rank).alias("r"))
-    fold = F.aggregate(F.sequence(F.lit(4), F.size(pieces)), start, step, lambda state: state["p"])
-    return let(F.when(F.size(pieces) < 4, pieces).otherwise(fold), lambda p: F.slice(p, 2, F.size(p) - 2))
+    return F.when(F.size(pieces) < 2, pieces).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(pieces)), pieces, step))
 
 
 def heap_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -148,37 +129,37 @@ def _pack(ranks_path: str):
     """Rows (doc_id, words) to packs: ids, words per document, a code per word, and the distinct words.
 
     A distinct word is given as the ids of its bytes, as its own id if it is a token, and as nothing
-    if it is a long word, which `_unpack` merges; each between two -1.
+    if it is a long word, which `_unpack` merges.
     """
 
     def packed(parts: list[pa.RecordBatch], vocabulary: pa.Array, own: np.ndarray, letters: np.ndarray) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(parts)
-        lists = rows.column("words").combine_chunks()
-        coded = lists.flatten().cast(pa.binary()).dictionary_encode()
-        words, sizes = coded.dictionary, np.diff(lists.offsets.to_numpy()).astype("<i4")
+        sizes = np.concatenate([np.diff(p.column(1).offsets.to_numpy()) for p in parts]).astype("<i4")
+        doc_ids = pa.chunked_array([p.column(0) for p in parts]).combine_chunks()
+        coded = pa.chunked_array([p.column(1).flatten().cast(pa.binary()) for p in parts]).dictionary_encode()
+        parts.clear()
+        words = coded.chunk(coded.num_chunks - 1).dictionary  # that of the last chunk holds all
+        codes = np.concatenate([chunk.indices.to_numpy() for chunk in coded.chunks]).astype("<i4")
+        del coded
         widths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = letters[np.frombuffer(b"".join(words.to_pylist()), np.uint8)]
+        flat = letters[np.frombuffer(words.buffers()[2] or b"", np.uint8)[: int(widths.sum())]]
         token = pc.index_in(words, vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
         starts = np.cumsum(widths) - widths
         flat[starts[token >= 0]] = own[token[token >= 0]]
         kept = np.where(token >= 0, 1, np.where(widths > LONG_WORD, 0, widths))
         ends = np.cumsum(kept)
         flat = flat[np.repeat(starts - (ends - kept), kept) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        flat = np.insert(flat, np.concatenate((ends - kept, ends)), -1)
-        ends += 2 * np.arange(1, len(ends) + 1)
-        pieces = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat, pa.int64()))
+        pieces = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat, pa.int32()))
         long = np.flatnonzero((widths > LONG_WORD) & (token < 0))
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         return pa.RecordBatch.from_arrays([
-            one(rows.column("doc_id").combine_chunks()), pa.array([sizes.tobytes()], pa.binary()),
-            pa.array([coded.indices.to_numpy().astype("<i4").tobytes()], pa.binary()),
+            one(doc_ids), pa.array([sizes.tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary()),
             one(pieces), one(pa.array(long, pa.int32())), one(words.take(pa.array(long))),
         ], ["doc_ids", "sizes", "codes", "pieces", "long", "long_words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = read_ranks(ranks_path)
-        vocabulary, own = pa.array(list(ranks), pa.binary()), np.array(list(ranks.values()), np.int64)
-        letters = np.array([ranks.get(bytes([i]), 0) for i in range(256)], np.int64)
+        vocabulary, own = pa.array(list(ranks), pa.binary()), np.array(list(ranks.values()), np.int32)
+        letters = np.array([ranks.get(bytes([i]), 0) for i in range(256)], np.int32)
         parts, held = [], 0
         for batch in batches:
             n = len(batch.column(1).flatten())
@@ -212,8 +193,8 @@ def _unpack(ranks_path: str):
                 doc_ids = batch.column(0)[row].values
                 ends = np.cumsum(per_doc)
                 at = 0
-                while at < len(per_doc):  # some documents at a time, about a million words
-                    to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000)))
+                while at < len(per_doc):  # some documents at a time, about a quarter of a million words
+                    to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 250_000)))
                     own = codes[ends[at] - per_doc[at] : ends[to - 1]]
                     lengths = sizes[own]
                     stops = np.cumsum(lengths)
@@ -242,7 +223,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
         named(doc_id).cast("long").alias("doc_id"),
         F.regexp_extract_all(F.coalesce(named(text), F.lit("")), F.lit(spark_pattern(pattern)), F.lit(0)).alias("words"),
     )
-    shape = "doc_ids array<bigint>, sizes binary, codes binary, pieces array<array<bigint>>, long array<int>, long_words array<binary>"
+    shape = "doc_ids array<bigint>, sizes binary, codes binary, pieces array<array<int>>, long array<int>, long_words array<binary>"
     packs = words.mapInArrow(_pack(ranks_path), shape)
     ids = let(rank_map(read_ranks(ranks_path)), lambda t: F.transform("pieces", lambda p: merged_ids(p, t)))  # one copy of the map
     encoded = packs.select("doc_ids", "sizes", "codes", ids.alias("ids"), "long", "long_words")
