@@ -37,6 +37,11 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def has_repeats(df: DataFrame, name: str) -> bool:
+    """Whether any value of the column, null included, is in several rows."""
+    return not df.groupBy(named(name)).count().where("count > 1").isEmpty()
+
+
 def words_of(text: Column) -> Column:
     """The words of a text in order; none for null."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))

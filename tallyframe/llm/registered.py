@@ -12,6 +12,7 @@ from tallyframe.llm.bpe import decode, encode
 from tallyframe.llm.common import text_batches
 from tallyframe.llm.host_rules import apply_host_rules
 from tallyframe.llm.html_text import extract_text
+from tallyframe.llm.licenses import scan_licences, scan_sql
 from tallyframe.llm.mixing import mix_sources
 from tallyframe.llm.pivot_search import top_k
 from tallyframe.llm.quality import score_quality
@@ -131,3 +132,8 @@ def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_html_text")
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op7_licence_scan", sql=scan_sql())
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"))

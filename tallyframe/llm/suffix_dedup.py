@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import materialize, named, text_batches
+from tallyframe.llm.common import has_repeats, materialize, named, text_batches
 
 LENGTH = 100
 GRAM = 32
@@ -361,7 +361,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (row, text, spans) to rows with what is left of the text, and the counts."""
     for batch in batches:
-        kept, removed, runs = [], [], []
+        kept, readable, removed, runs = [], [], [], []
         for text, spans in zip(batch.column(1).to_pylist(), batch.column(2)):
             start, end = (v.to_numpy() for v in spans.values.flatten())
             order = np.argsort(start, kind="stable")
@@ -374,11 +374,12 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = b
             left.append(text[at:])
             kept.append(b"".join(left))
+            readable.append("".join(part.decode("utf-8", "ignore") for part in left))
             removed.append(sum(b - a for a, b in cuts))
             runs.append(len(cuts))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
-            ["row", "kept", "n_removed", "n_spans"],
+            [batch.column(0), pa.array(kept, pa.binary()), pa.array(readable, pa.string()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
+            ["row", "kept", "kept_text", "n_removed", "n_spans"],
         )
 
 
@@ -433,7 +434,8 @@ def covered_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """All columns of the documents with kept (binary, what is left of the text's UTF-8 bytes),
-    n_bytes, n_removed and n_spans (maximal removed runs).
+    kept_text (the same without characters that were cut through), n_removed and n_spans (maximal
+    removed runs).
 
     Removed is each byte covered by a string of `length` bytes that also starts earlier: in a document
     of smaller id, or earlier in the same one. Overlaps count, and strings are judged on the input.
@@ -445,7 +447,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     text_batches(docs.sparkSession)
     shape = docs.select(F.struct("*").alias("row"), F.coalesce(named(doc_id).cast("long"), F.lit(_NULL_ID)).alias("d"),
                         F.coalesce(named(text), F.lit("")).cast("binary").alias("text"))
-    repeated = not docs.groupBy(named(doc_id)).count().where("count > 1").isEmpty()
+    repeated = has_repeats(docs, doc_id)
     rows = shape.withColumn("t", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
     spans = covered_spans(rows.select("d", "t", "text"), length, gram)
     lists = spans.groupBy("d", "t").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
@@ -453,9 +455,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     joined = near.join(lists, ["d", "t"], "left")
     touched = joined.where("spans IS NOT NULL")
     rest = joined.where("spans IS NULL").select(near.columns).unionByName(far.select(near.columns))
-    from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+    from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-    out = StructType([StructField("row", shape.schema["row"].dataType), StructField("kept", BinaryType()), StructField("n_removed", LongType()), StructField("n_spans", LongType())])
+    out = StructType([StructField("row", shape.schema["row"].dataType), StructField("kept", BinaryType()), StructField("kept_text", StringType()), StructField("n_removed", LongType()), StructField("n_spans", LongType())])
     cut = touched.select("row", "text", "spans").mapInArrow(_kept, out)
-    whole = rest.select("row", F.col("text").alias("kept"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
-    return cut.unionByName(whole).select("row.*", "kept", "n_removed", "n_spans")
+    whole = rest.select("row", F.col("text").alias("kept"), F.col("text").cast("string").alias("kept_text"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
+    return cut.unionByName(whole).select("row.*", "kept", "kept_text", "n_removed", "n_spans")
