@@ -108,14 +108,14 @@ def _licences(identifiers: Column) -> Column:
 def scan_licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, sentences (identifiers in order, joined by |) and licences (distinct, sorted, joined by a comma).
 
-    Whole texts are read twice: with each line a sentence of its own, and with line breaks as white
-    space, for licences that are wrapped. A rule matches where its sentences stand one after the other
+    Whole texts are read twice: with each line a sentence of its own, and with single line breaks as
+    white space, for licences that are wrapped. A rule matches where its sentences stand one after the other
     among the known ones; rules apply in order, and what one has matched is not matched again.
     `sentences` is that of the reading by lines, or of the other if that finds none. Null and empty
     texts have neither; repeated rows give a row each; no rows give no rows; no shuffle.
     """
     base = docs.select(named(doc_id).alias("doc_id"), F.coalesce(named(text), F.lit("")).alias("text"))
-    read = base.select("doc_id", _identifiers(F.col("text"), BY_LINE).alias("by_line"), _identifiers(F.regexp_replace("text", r"\s+", " "), FLOWING).alias("flowing"))
+    read = base.select("doc_id", _identifiers(F.col("text"), BY_LINE).alias("by_line"), _identifiers(F.regexp_replace(F.regexp_replace("text", r"\n\s*\n", ". "), r"\s+", " "), FLOWING).alias("flowing"))
     some = F.when(F.col("by_line") != "||", F.col("by_line")).otherwise(F.col("flowing"))
     quiet = (F.col("by_line") == "||") & (F.col("flowing") == "||")
     both = F.array_sort(F.array_union(_licences(F.col("by_line")), _licences(F.col("flowing"))))
@@ -140,7 +140,7 @@ WITH known(form, name) AS (VALUES {values}),
 marked AS (
     SELECT doc_id, 1 AS way, regexp_replace(coalesce(text, ''), '([.!?;:])\s+|\n', '\1' || chr(1), 'g') AS t FROM {table}
     UNION ALL
-    SELECT doc_id, 2, regexp_replace(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), '([.!?;:])\s+', '\1' || chr(1), 'g') FROM {table}
+    SELECT doc_id, 2, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\n\s*\n', '. ', 'g'), '\s+', ' ', 'g'), '([.!?;:])\s+', '\1' || chr(1), 'g') FROM {table}
 ), parts AS (
     SELECT doc_id, way, unnest(string_split(t, chr(1))) AS s, generate_subscripts(string_split(t, chr(1)), 1) AS i FROM marked
 ), named AS (

@@ -174,7 +174,7 @@ def with_scores(docs: DataFrame, model: Crf, text: str = "text", score: str = "s
             good = marginals(model, line_features(measures, lengths), lengths)[:, GOOD]
             first = np.cumsum(lengths) - lengths
             values = np.add.reduceat(good * weights, first) / np.add.reduceat(weights, first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(values, 0.0, 1.0))], ["row", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(np.clip(values, 0.0, 1.0), 12))], ["row", "score"])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
