@@ -137,8 +137,8 @@ def _pack(ranks_path: str):
         doc_ids = pa.chunked_array([p.column(0) for p in parts]).combine_chunks()
         coded = pa.chunked_array([p.column(1).flatten().cast(pa.binary()) for p in parts]).dictionary_encode()
         parts.clear()
-        words = coded.chunk(coded.num_chunks - 1).dictionary  # that of the last chunk holds all
-        codes = np.concatenate([chunk.indices.to_numpy() for chunk in coded.chunks]).astype("<i4")
+        words = coded.chunk(coded.num_chunks - 1).dictionary if coded.num_chunks else pa.array([], pa.binary())  # one for all chunks
+        codes = np.concatenate([np.empty(0, np.int32), *(chunk.indices.to_numpy() for chunk in coded.chunks)]).astype("<i4")
         del coded
         widths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         flat = letters[np.frombuffer(words.buffers()[2] or b"", np.uint8)[: int(widths.sum())]]
