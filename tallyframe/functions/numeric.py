@@ -30,6 +30,11 @@ def is_time(data_type: T.DataType) -> bool:
     return isinstance(data_type, (T.TimestampType, T.TimestampNTZType, T.DateType))
 
 
+def column(name: str) -> Column:
+    """The column of that very name, dots and back-ticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def finite(col: Column) -> Column:
     """NaN and the infinities count as missing."""
     return F.when(F.isnan(col) | (F.abs(col) == float("inf")), F.lit(None)).otherwise(col)
@@ -50,7 +55,7 @@ def text_to_double(col: Column) -> Column:
 def as_number(df: DataFrame, name: str) -> Column:
     """The column as a finite double; values that are no number become null."""
     data_type = column_type(df, name)
-    col = F.col(name)
+    col = column(name)
     if isinstance(data_type, FLOATING):
         return finite(col.cast("double"))
     if is_numeric(data_type) or isinstance(data_type, T.BooleanType):
@@ -62,7 +67,7 @@ def as_number(df: DataFrame, name: str) -> Column:
 
 def present(df: DataFrame, name: str) -> Column:
     """The column with NaN turned into null, type kept."""
-    col = F.col(name)
+    col = column(name)
     if isinstance(column_type(df, name), FLOATING):
         return F.when(~F.isnan(col), col)
     return col

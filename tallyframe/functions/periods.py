@@ -6,15 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.functions.numeric import column_type, is_text, is_time
+from tallyframe.functions.numeric import column, column_type, is_text, is_time
 
 GRANULARITIES = ("day", "week", "month", "quarter", "year")
 
-# Dates outside the range of nanosecond timestamps count as unparsable. The range also bounds
-# every calendar spine and every window over periods: at most 213,503 days per series.
-FIRST_DATE = "1677-09-22"
-LAST_DATE = "2262-04-11"
-
 
 def check_granularity(granularity: str) -> str:
     if granularity not in GRANULARITIES:
@@ -29,7 +24,7 @@ def as_timestamp(df: DataFrame, name: str, formats: tuple[str, ...] = ()) -> Col
     or without a time), or one of the extra ``formats``.
     """
     data_type = column_type(df, name)
-    col = F.col(name)
+    col = column(name)
     if is_text(data_type):
         parsed = F.coalesce(F.try_to_timestamp(col), *[F.try_to_timestamp(col, F.lit(f)) for f in formats])
         stamp = parsed.cast("timestamp_ntz")
@@ -39,8 +34,7 @@ def as_timestamp(df: DataFrame, name: str, formats: tuple[str, ...] = ()) -> Col
         stamp = col.cast("timestamp_ntz")
     else:
         raise ValueError(f"column {name!r} of type {data_type.simpleString()} holds no dates")
-    usable = stamp.between(F.lit(FIRST_DATE).cast("timestamp_ntz"), F.lit(LAST_DATE).cast("timestamp_ntz"))
-    return F.when(usable, stamp)
+    return stamp
 
 
 def period_start(stamp: Column, granularity: str) -> Column:

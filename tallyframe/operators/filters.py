@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions import fixed_values as fixed
-from tallyframe.functions.numeric import as_number, column_type, is_numeric, is_text, is_time, present
+from tallyframe.functions.numeric import as_number, column, column_type, is_numeric, is_text, is_time
 from tallyframe.functions.periods import as_timestamp
 
 
@@ -43,6 +43,24 @@ def _bool_literal(value: Any) -> bool:
     return bool(value)
 
 
+WHOLE_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _number_literal(value: Any) -> int | float | None:
+    """Whole numbers exactly, however large; other numbers, and texts such as "1.0", as floats."""
+    if isinstance(value, int):
+        return int(value)
+    if isinstance(value, str):
+        try:
+            return int(value.strip())
+        except ValueError:
+            pass
+    try:
+        return float(value)
+    except (TypeError, ValueError):
+        return None
+
+
 def _timestamp_literal(value: Any) -> pd.Timestamp | None:
     stamp = pd.to_datetime(value, errors="coerce")
     return None if pd.isna(stamp) else stamp
@@ -53,12 +71,12 @@ def coerce_literal(value: Any, data_type: T.DataType) -> Any:
     if isinstance(data_type, T.BooleanType):
         return _bool_literal(value)
     if is_numeric(data_type):
-        try:
-            number = float(value)
-        except (TypeError, ValueError):
+        number = _number_literal(value)
+        if number is None or (isinstance(number, float) and not math.isfinite(number)):
             return NO_MATCH
-        whole = isinstance(data_type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-        return int(number) if whole else number
+        if not isinstance(data_type, WHOLE_TYPES):
+            return float(number)
+        return int(number) if number == int(number) else NO_MATCH
     if is_time(data_type):
         stamp = _timestamp_literal(value)
         return NO_MATCH if stamp is None else stamp
@@ -66,46 +84,51 @@ def coerce_literal(value: Any, data_type: T.DataType) -> Any:
 
 
 def _literal(value: Any, data_type: T.DataType) -> Column:
-    if is_time(data_type):
-        return F.lit(str(value)).cast(data_type)
-    if is_numeric(data_type):
-        # Kept wide: a bound outside an int column's range must not overflow a cast.
-        return F.lit(value)
-    return F.lit(value)
+    return F.lit(str(value)).cast(data_type) if is_time(data_type) else F.lit(value)
 
 
 def _membership(df: DataFrame, field: str, values: Iterable[Any], match_case: bool) -> Column:
-    """Never null: rows without a value are no match."""
+    """Equal to one of the values; null for rows without a value.
+
+    The column stays bare, so that the scan gets the test: a literal is finite and thus no NaN equals
+    it, and numbers beyond the range of a whole-number column equal nothing in it.
+    """
     data_type = column_type(df, field)
     coerced = [v for v in (coerce_literal(v, data_type) for v in values) if v is not NO_MATCH]
+    col = column(field)
+    if isinstance(data_type, WHOLE_TYPES):
+        bits = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31, T.LongType: 63}[type(data_type)]
+        coerced = [v for v in coerced if -(1 << bits) <= v < 1 << bits]
     if not coerced:
         return F.lit(False)
     if is_text(data_type):
-        col = F.col(field) if match_case else F.lower(F.col(field))
-        texts = coerced if match_case else [v.lower() for v in coerced]
-        literals = [F.lit(v) for v in sorted(set(texts))]
+        col = col if match_case else F.lower(col)
+        literals = [F.lit(v) for v in sorted(set(coerced if match_case else [v.lower() for v in coerced]))]
     else:
-        col = present(df, field)
         literals = [_literal(v, data_type) for v in coerced]
-    test = col == literals[0] if len(literals) == 1 else col.isin(*literals)
-    return F.coalesce(test, F.lit(False))
+    return col == literals[0] if len(literals) == 1 else col.isin(*literals)
+
+
+def _no_member(df: DataFrame, field: str, values: Iterable[Any], match_case: bool) -> Column:
+    """Rows without a value are kept."""
+    return ~F.coalesce(_membership(df, field, values, match_case), F.lit(False))
 
 
 def _as_list(value: Any) -> list[Any]:
     return list(value) if isinstance(value, (list, tuple, set, frozenset)) else [value]
 
 
-def _bound(field: str, value: Any) -> float:
-    try:
-        return float(value)
-    except (TypeError, ValueError) as error:
-        raise ValueError(f"filter value {value!r} for field {field!r} must be numeric") from error
+def _bound(field: str, value: Any) -> int | float:
+    number = _number_literal(value)
+    if number is None:
+        raise ValueError(f"filter value {value!r} for field {field!r} must be numeric")
+    return number
 
 
 WHOLE_LIMIT = 2**63 - 1
 
 
-def _between(df: DataFrame, field: str, low: float, high: float, low_open: bool = False, high_open: bool = False) -> Column:
+def _between(df: DataFrame, field: str, low: int | float, high: int | float, low_open: bool = False, high_open: bool = False) -> Column:
     """Finite values within the bounds, written so that the column stays bare and scans can skip.
 
     On whole-number columns the bounds become whole as well. On floats the infinities are open
@@ -113,7 +136,7 @@ def _between(df: DataFrame, field: str, low: float, high: float, low_open: bool
     """
     if math.isnan(low) or math.isnan(high):
         return F.lit(False)
-    data_type, col = column_type(df, field), F.col(field)
+    data_type, col = column_type(df, field), column(field)
     if is_numeric(data_type) and not isinstance(data_type, (T.DoubleType, T.FloatType, T.DecimalType)):
         if low > WHOLE_LIMIT or high < -WHOLE_LIMIT:
             return F.lit(False)
@@ -123,6 +146,7 @@ def _between(df: DataFrame, field: str, low: float, high: float, low_open: bool
         if high < WHOLE_LIMIT:
             tests.append(col <= (math.ceil(high) - 1 if high_open else math.floor(high)))
         return reduce(and_, tests)
+    low, high = float(low), float(high)
     if not isinstance(data_type, (T.DoubleType, T.FloatType)):
         col = as_number(df, field)
     infinity = float("inf")
@@ -138,7 +162,7 @@ def _date_condition(df: DataFrame, field: str, operator: str, value: Any) -> Col
     data_type = column_type(df, field)
     # A time column is compared as it is, so that the bound is pushed to the scan.
     native = is_time(data_type)
-    col = F.col(field) if native else as_timestamp(df, field)
+    col = column(field) if native else as_timestamp(df, field)
 
     def at(moment: pd.Timestamp) -> Column:
         target = data_type if native and not isinstance(data_type, T.DateType) else T.TimestampNTZType()
@@ -159,13 +183,13 @@ def condition_column(df: DataFrame, condition: Condition, match_case: bool = Fal
     if operator == "equals":
         return _membership(df, field, [value], match_case)
     if operator == "not_equals":
-        return ~_membership(df, field, [value], match_case)
+        return _no_member(df, field, [value], match_case)
     if operator == "in":
         return _membership(df, field, _as_list(value), match_case)
     if operator == "not_in":
-        return ~_membership(df, field, _as_list(value), match_case)
+        return _no_member(df, field, _as_list(value), match_case)
     if operator == "contains":
-        return F.lower(F.col(field).cast("string")).contains(str(value).lower())
+        return F.lower(column(field).cast("string")).contains(str(value).lower())
     if operator in ("greater_than", "greater_than_or_equal", "less_than", "less_than_or_equal"):
         bound, infinity = _bound(field, value), float("inf")
         if operator.startswith("greater"):
@@ -211,8 +235,8 @@ def filter_rows(
 ) -> DataFrame:
     """Rows that meet all (``and``) or any (``or``) of the conditions.
 
-    Text is compared without regard to case; ``match_case=True`` compares it as stored, which
-    lets the scan skip row groups.
+    Text is compared without regard to case, which no scan can skip by; ``match_case=True`` compares
+    it as stored, and is pushed to the scan like numbers and times are.
     """
     word = str(logic or "and").lower()
     if word not in ("and", "or"):
@@ -239,7 +263,7 @@ def filter_months(df: DataFrame, date_column: str, months: Iterable[str], throug
 
 def filter_valid_flag(df: DataFrame, flag_column: str) -> DataFrame:
     column_type(df, flag_column)
-    return df.where(F.col(flag_column) == 1)
+    return df.where(column(flag_column) == 1)
 
 
 def filter_active_on(df: DataFrame, start_column: str, end_column: str, day: Any) -> DataFrame:
@@ -247,8 +271,12 @@ def filter_active_on(df: DataFrame, start_column: str, end_column: str, day: Any
     stamp = _timestamp_literal(day)
     if stamp is None:
         raise ValueError(f"invalid date {day!r}")
-    at = F.lit(str(stamp)).cast("timestamp_ntz")
-    return df.where((as_timestamp(df, start_column) <= at) & (as_timestamp(df, end_column) >= at))
+    # Time columns are compared as they are, so that both bounds are pushed to the scan.
+    native = {c: is_time(column_type(df, c)) for c in (start_column, end_column)}
+    side = {c: column(c) if native[c] else as_timestamp(df, c) for c in native}
+    kind = {c: column_type(df, c) if native[c] and not isinstance(column_type(df, c), T.DateType) else T.TimestampNTZType() for c in native}
+    at = {c: F.lit(str(stamp)).cast(kind[c]) for c in native}
+    return df.where((side[start_column] <= at[start_column]) & (side[end_column] >= at[end_column]))
 
 
 def filter_area(df: DataFrame, area_field: str | None, area_value: str | None) -> DataFrame:
@@ -256,4 +284,4 @@ def filter_area(df: DataFrame, area_field: str | None, area_value: str | None) -
     if not area_field or not area_value:
         return df
     column_type(df, area_field)
-    return df.where(F.lower(F.trim(F.col(area_field).cast("string"))) == area_value.strip().lower())
+    return df.where(F.lower(F.trim(column(area_field).cast("string"))) == area_value.strip().lower())

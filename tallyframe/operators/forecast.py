@@ -1,8 +1,7 @@
 """Forecasts of every series in a panel: folds, scores, model choice, prediction and quality.
 
 Features, folds, baselines, scores and the choice are Spark expressions; only the regressions run
-in Python, one series or one fold of it at a time. The calendar bounds a series (see
-periods.FIRST_DATE), so what Python holds stays small however large the raw data is.
+in Python, one series or one fold of it at a time. The calendar bounds a series, so what Python holds stays small however large the raw data is.
 """
 
 from __future__ import annotations

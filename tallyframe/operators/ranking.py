@@ -18,10 +18,6 @@ from tallyframe.operators.metrics import Metric, as_metric, metric_aggregate
 
 DEFAULT_N = 5
 
-# The outer set of a nested ranking is limited to top_n rows, which is its size bound. Above this
-# many rows the join is left to Spark's own choice.
-BROADCAST_ROWS = 10_000
-
 
 def _check_n(n: int) -> int:
     if isinstance(n, bool) or not isinstance(n, int) or n <= 0:
@@ -50,10 +46,9 @@ def bottom_n(df: DataFrame, metric: Metric | str, dimension: str, n: int = DEFAU
     return rank_entities(df, metric, dimension, n, descending=False)
 
 
-def restrict_to(df: DataFrame, chosen: DataFrame, key: str, rows: int) -> DataFrame:
-    """Rows whose key is among at most ``rows`` chosen ones."""
-    side = F.broadcast(chosen) if rows <= BROADCAST_ROWS else chosen
-    return df.join(side, key)
+def restrict_to(df: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among the chosen ones; Spark picks the join by the size it finds."""
+    return df.join(chosen, key)
 
 
 def nested_ranking(
@@ -73,7 +68,7 @@ def nested_ranking(
     ranked = best.withColumn(
         "outer_rank", F.row_number().over(Window.orderBy(*_order("outer_value", outer, descending)))
     )
-    within = restrict_to(df, ranked, outer, outer_n).where(F.col(inner).isNotNull())
+    within = restrict_to(df, ranked, outer).where(F.col(inner).isNotNull())
     values = (
         within.groupBy(outer, "outer_rank", "outer_value", inner)
         .agg(metric_aggregate(df, Metric(metric.field, metric.aggregation, "inner_value")))

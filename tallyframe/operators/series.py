@@ -1,7 +1,7 @@
 """From raw rows to clean, gap-free series and their features.
 
 Raw rows are aggregated per series and period with partial results first. Every window below runs
-over calendar units of one series, and the calendar bounds their number (see periods.FIRST_DATE),
+over calendar units of one series, and the calendar bounds their number (see LONGEST_GAP_DAYS),
 so no task ever holds an unbounded series.
 """
 
@@ -22,6 +22,11 @@ from tallyframe.operators.metrics import Metric, as_metric, metric_aggregate
 ZERO_WHEN_EMPTY = ("sum", "count", "nunique")
 
 
+# Gaps up to this are filled with empty periods, some six centuries. A stray far date, such as the
+# 9999-12-31 of an open end, stays in the series without millions of days before it.
+LONGEST_GAP_DAYS = 213_503
+
+
 def drop_exact_duplicates(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
@@ -146,7 +151,7 @@ def resample_metrics(
     weeks = F.sequence(F.col("period"), F.date_sub("_next", 7), F.expr("interval 7 days"))
     months = F.sequence(F.col("period"), F.add_months("_next", -1), F.expr("interval 1 month"))
     spine = (
-        F.when(F.col("_next").isNull(), F.array("period"))
+        F.when(F.col("_next").isNull() | (F.datediff("_next", "period") > LONGEST_GAP_DAYS), F.array("period"))
         .when(F.col("granularity") == "day", days).when(F.col("granularity") == "week", weeks).otherwise(months)
     )
     filled = long.withColumn("_next", following).select(

@@ -82,7 +82,7 @@ def trend_change(
 
 
 def _period_window(keys: Sequence[str]) -> Window:
-    # Without keys the whole calendar is one group, which is bounded; see periods.FIRST_DATE.
+    # Without keys the whole calendar is one group, which is bounded.
     return Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_start")
 
 

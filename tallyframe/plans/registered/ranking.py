@@ -78,7 +78,7 @@ def nested_bottom_n(spark, sf):
 def nested_rank_restrict(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")
     chosen = ops.top_n(lines, "l_extendedprice", "l_suppkey", 3).select("l_suppkey")
-    return ops.restrict_to(lines, chosen, "l_suppkey", 3)
+    return ops.restrict_to(lines, chosen, "l_suppkey")
 
 
 @query(

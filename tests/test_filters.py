@@ -98,3 +98,43 @@ def test_months(spark):
 def test_active_on(spark):
     spans = spark.sql("SELECT * FROM VALUES (1, '2024-01-01', '2024-02-01'), (2, '2024-01-20', '2024-01-25'), (3, 'soon', '2024-05-01') AS t(id, s, e)")
     assert ids(ops.filter_active_on(spans, "s", "e", "2024-01-10")) == [1]
+
+
+@pytest.mark.parametrize("conditions, logic, pushed", [
+    ([Condition("o_custkey", "equals", "5")], "and", "EqualTo(o_custkey,5)"),
+    ([Condition("o_custkey", "in", [5, 6])], "and", "In(o_custkey, [5,6])"),
+    ([Condition("o_totalprice", "equals", 900.5)], "and", "EqualTo(o_totalprice,900.5)"),
+    ([Condition("o_orderdate", "equals", "1999-01-01")], "and", "EqualTo(o_orderdate,1999-01-01"),
+    ([Condition("o_orderpriority", "equals", "5-LOW")], "and", "EqualTo(o_orderpriority,5-LOW)"),
+    ([Condition("o_custkey", "equals", 5), Condition("o_totalprice", "less_than", 9)], "or", "Or(EqualTo(o_custkey,5)"),
+])
+def test_equality_reaches_the_scan(spark, conditions, logic, pushed):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    plan = filter_rows(orders, conditions, logic, match_case=True)._jdf.queryExecution().executedPlan().toString()
+    assert pushed in plan[plan.index("PushedFilters"):]
+
+
+def test_intervals_reach_the_scan(spark):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    plan = ops.filter_active_on(orders, "o_orderdate", "o_orderdate", "1999-01-01")._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(o_orderdate" in plan and "GreaterThanOrEqual(o_orderdate" in plan
+
+
+def test_whole_numbers_are_exact(spark):
+    big = spark.createDataFrame([(9007199254740992,), (9007199254740993,), (2,), (None,)], "k long")
+    value = lambda op, v: [r.k for r in filter_rows(big, [Condition("k", op, v)]).collect()]
+    assert value("equals", "9007199254740993") == value("greater_than", 9007199254740992) == [9007199254740993]
+    assert value("equals", 2.7) == value("equals", 1 << 70) == []
+    assert value("equals", "2.0") == [2]
+    assert value("not_in", [2, 9007199254740992]) == [9007199254740993, None]
+    floats = spark.createDataFrame([(float("nan"),), (1.5,), (None,)], "x double")
+    assert filter_rows(floats, [Condition("x", "equals", float("nan"))]).count() == 0
+    assert filter_rows(floats, [Condition("x", "not_equals", 1.5)]).count() == 2
+
+
+def test_open_ends_and_dotted_names(spark):
+    spans = spark.sql("SELECT 1 AS id, TIMESTAMP_NTZ '2024-01-01' AS s, TIMESTAMP_NTZ '9999-12-31' AS e")
+    assert ids(ops.filter_active_on(spans, "s", "e", "2024-06-01")) == [1]
+    dotted = spark.createDataFrame([(1, "x"), (2, "y")], "id int, `a.b` string")
+    assert ids(filter_rows(dotted, [Condition("a.b", "equals", "X")])) == [1]
