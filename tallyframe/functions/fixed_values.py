@@ -70,9 +70,7 @@ CONFIRM_BELOW_CONFIDENCE = 0.6
 
 # --- dataset statistics --------------------------------------------------------------------
 STATISTICS_DATE_WORDS = ("date", "time", "timestamp")
-TOP_VALUES_MAX_DISTINCT = 100
 TOP_VALUES_LIMIT = 10
-MAX_CORRELATION_PAIRS = 20
 DIMENSION_EXAMPLES = 25
 
 # --- correlation labels --------------------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import fixed_values as fixed
-from tallyframe.functions.numeric import as_number, column_type, complete_pairs, is_numeric, is_text, pearson, present
+from tallyframe.functions.numeric import as_number, column, column_type, complete_pairs, is_numeric, is_text, pearson, present
 from tallyframe.functions.periods import as_timestamp
 from tallyframe.operators import frequencies as freq
 from tallyframe.operators.profile import metric_columns, name_has
@@ -144,56 +144,60 @@ def column_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     )
 
 
-def top_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """The ten most frequent values of every column with at most 100 distinct ones."""
-    frequencies = freq.value_frequencies(df, columns)
-    return freq.top_values(frequencies, fixed.TOP_VALUES_LIMIT, fixed.TOP_VALUES_MAX_DISTINCT)
+def top_values(df: DataFrame, columns: Sequence[str] | None = None, limit: int = fixed.TOP_VALUES_LIMIT) -> DataFrame:
+    """The most frequent values of every column, with its number of distinct values and whether these are all.
 
+    Texts are given whole; among equally frequent ones those over 256 characters come last.
+    """
+    names = freq.flat_columns(df, columns)
+    return freq.with_whole_texts(df, freq.top_values(freq.value_frequencies(df, names), limit), names)
+
+
+#: Column pairs that one aggregation measures; its generated code stays of a size that compiles.
+PAIRS_AT_ONCE = 30
 
-def correlation_matrix(
-    df: DataFrame, columns: Sequence[str] | None = None, max_pairs: int | None = fixed.MAX_CORRELATION_PAIRS
-) -> DataFrame:
-    """Pairwise-complete Pearson r for the column pairs, all in one scan.
 
-    Pairs follow column order; pairs without variance are skipped, and ``max_pairs`` of the
-    remaining ones are returned (None returns all).
+def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Pairwise-complete Pearson r of all column pairs; pairs without variance are left out.
+
+    Each pair is a few sums in one row of a partial aggregate, so rows are never multiplied. Wide
+    tables take a scan, of the columns concerned, for every thirty pairs.
     """
     names = [c for c in (columns or df.columns) if is_numeric(column_type(df, c))]
     pairs = list(combinations(names, 2))
     if not pairs:
         raise ValueError("correlation needs at least two numeric columns")
     numbers = df.select(*[as_number(df, c).alias(c) for c in names])
-    paired = numbers.select(*[
-        F.struct(F.col(a).alias("x"), F.col(b).alias("y")).alias(str(i)) for i, (a, b) in enumerate(pairs)
-    ])
-    x, y = F.col("entry.x"), F.col("entry.y")
-    # One group per pair: partial results leave each task, and the generated code stays small.
-    measured = paired.unpivot([], [str(i) for i in range(len(pairs))], "pair", "entry").groupBy("pair").agg(
-        F.round(pearson(x, y), 4).alias("correlation"), complete_pairs(x, y).alias("observations")
-    )
-    named = F.create_map(*[
-        part for i, (a, b) in enumerate(pairs)
-        for part in (F.lit(str(i)), F.struct(F.lit(a).alias("first_column"), F.lit(b).alias("second_column")))
-    ])
-    result = measured.where(F.col("correlation").isNotNull()).withColumn("named", named[F.col("pair")]).select(
-        F.col("pair").cast("int").alias("pair"), "named.first_column", "named.second_column", "correlation", "observations"
-    )
-    if max_pairs is not None and len(pairs) > max_pairs:
-        result = result.orderBy("pair").limit(max_pairs)
-    return result.drop("pair")
+    parts = []
+    for at in range(0, len(pairs), PAIRS_AT_ONCE):
+        some = pairs[at : at + PAIRS_AT_ONCE]
+        sums = [
+            e for i, (a, b) in enumerate(some)
+            for e in (F.round(pearson(column(a), column(b)), 4).alias(f"r{i}"), complete_pairs(column(a), column(b)).alias(f"n{i}"))
+        ]
+        rows = [
+            F.struct(F.lit(a).alias("first_column"), F.lit(b).alias("second_column"), F.col(f"r{i}").alias("correlation"), F.col(f"n{i}").alias("observations"))
+            for i, (a, b) in enumerate(some)
+        ]
+        parts.append(numbers.agg(*sums).select(F.inline(F.array(*rows))))
+    return reduce(DataFrame.unionByName, parts).where(F.col("correlation").isNotNull())
 
 
 def dimension_values(df: DataFrame, dimensions: Sequence[str], examples: int = fixed.DIMENSION_EXAMPLES) -> DataFrame:
-    """Per dimension: number of distinct non-blank values and example values, in value order."""
+    """Per dimension: number of distinct non-blank values and example values, in value order.
+
+    Texts are given whole; those over 256 characters come after the others.
+    """
     trimmed = df.select(*[
-        F.when(F.trim(F.col(c).cast("string")) != "", F.trim(F.col(c).cast("string"))).alias(c) for c in dimensions
+        F.when(F.trim(column(c).cast("string")) != "", F.trim(column(c).cast("string"))).alias(c) for c in dimensions
     ])
     frequencies = freq.value_frequencies(trimmed)
+    order = (freq.is_digest(F.col("value")), F.col("value"))
     ranked = frequencies.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("column").orderBy("value"))
-    ).where(F.col("rank") <= examples)
+        "rank", F.row_number().over(Window.partitionBy("column").orderBy(*order))
+    ).where(F.col("rank") <= examples).select("column", "rank", "value")
     # Each list holds at most `examples` values.
-    lists = ranked.groupBy("column").agg(
+    lists = freq.with_whole_texts(trimmed, ranked, list(dimensions)).groupBy("column").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda e: e["value"]).alias("example_values")
     )
     return freq.distinct_counts(frequencies).select("column", "unique_count").join(F.broadcast(lists), "column")

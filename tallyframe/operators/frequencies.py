@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions import fixed_values as fixed
-from tallyframe.functions.numeric import FLOATING, column_type, is_numeric, is_text, is_time, present
+from tallyframe.functions.numeric import FLOATING, column, column_type, is_numeric, is_text, is_time, present
 
 # Longer text is counted under the digest of the whole text: the shuffle then moves 71 characters
 # instead of a document.
@@ -209,16 +209,37 @@ def sequential_shares(frequencies: DataFrame) -> DataFrame:
     )
 
 
-def top_values(frequencies: DataFrame, limit: int, max_distinct: int | None = None) -> DataFrame:
-    """The most frequent values per column, smallest value first among equals.
+def is_digest(value: Column) -> Column:
+    return value.startswith(DIGEST_PREFIX) & (F.length(value) == DIGEST_LENGTH)
+
+
+def with_whole_texts(df: DataFrame, picked: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The picked rows (column, value, ...), few for each column, with texts in place of their digests.
+
+    The texts are looked up in the rows again. A short text that merely looks like a digest finds no
+    long one and stays as it is.
+    """
+    texts = [c for c in columns if is_text(column_type(df, c))]
+    if not texts:
+        return picked
+    wanted = F.broadcast(picked.where(is_digest(F.col("value"))).select("column", "value").distinct())  # a few per column
+    long = (
+        df.select(*[column(c).alias(c) for c in texts]).unpivot([], texts, "column", "_text")
+        .where(F.length("_text") > LONG_TEXT).withColumn("value", text_key(F.col("_text")))
+        .join(wanted, ["column", "value"]).groupBy("column", "value").agg(F.first("_text").alias("_text"))
+    )
+    found = picked.join(long, ["column", "value"], "left")
+    return found.select(*[F.coalesce("_text", "value").alias("value") if c == "value" else F.col(c) for c in picked.columns])
+
+
+def top_values(frequencies: DataFrame, limit: int) -> DataFrame:
+    """The most frequent values of every column, smallest value first among equals.
 
     The rank filter is applied per task before the shuffle, so a wide column sends few rows.
     """
     counts = distinct_counts(frequencies)
-    if max_distinct is not None:
-        counts = counts.where(F.col("unique_count") <= max_distinct)
     ranked = frequencies.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("column").orderBy(F.col("n").desc(), "value")).cast("bigint")
+        "rank", F.row_number().over(Window.partitionBy("column").orderBy(F.col("n").desc(), is_digest(F.col("value")), "value")).cast("bigint")
     ).where(F.col("rank") <= limit)
     return ranked.join(F.broadcast(counts), "column").select(
         "column", "rank", "value", "n", "unique_count", (F.col("unique_count") <= limit).alias("is_complete")

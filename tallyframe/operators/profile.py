@@ -240,26 +240,12 @@ def profile_samples(df: DataFrame, columns: Sequence[str] | None = None, count:
     """The smallest distinct values per column, as text; long texts come whole, after short ones."""
     names = freq.flat_columns(df, columns)
     frequencies = freq.value_frequencies(df, names)
-    is_digest = F.col("value").startswith(freq.DIGEST_PREFIX) & (F.length("value") == freq.DIGEST_LENGTH)
-    order = [is_digest, F.col("number"), F.col("value")]
+    order = [freq.is_digest(F.col("value")), F.col("number"), F.col("value")]
     picked = (
         frequencies.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(*order)).cast("bigint"))
         .where(F.col("rank") <= count).select("column", "rank", "value")
     )
-    texts = [c for c in names if is_text(column_type(df, c))]
-    if not texts:
-        return picked.select("column", "rank", F.col("value").alias("sample"))
-    # At most `count` values per column are looked up again, so this side is tiny by construction.
-    long = (
-        df.select(*texts).unpivot([], texts, "column", "text")
-        .where(F.length("text") > freq.LONG_TEXT).withColumn("value", freq.text_key(F.col("text")))
-        .join(F.broadcast(picked.where(is_digest).select("column", "value")), ["column", "value"])
-        .groupBy("column", "value").agg(F.first("text").alias("text"))
-    )
-    # A short text that merely looks like a digest finds no long one and stays as it is.
-    return picked.join(long, ["column", "value"], "left").select(
-        "column", "rank", F.coalesce("text", "value").alias("sample")
-    )
+    return freq.with_whole_texts(df, picked, names).withColumnRenamed("value", "sample")
 
 
 def sequential_key_test(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -178,10 +178,12 @@ def _samples_sql(source, name):
     "profile_samples",
     " UNION ALL ".join([_samples_sql("documents", c) for c in ("text", "lang", "source")])
     + """ UNION ALL SELECT 'doc_id' AS "column", rank, CAST(doc_id AS VARCHAR) AS sample FROM (
-           SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank FROM (SELECT DISTINCT doc_id FROM documents)) WHERE rank <= 3""",
+           SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank FROM (SELECT DISTINCT doc_id FROM documents)) WHERE rank <= 3
+         UNION ALL SELECT 'n_chars', rank, CAST(n_chars AS VARCHAR) FROM (
+           SELECT n_chars, row_number() OVER (ORDER BY n_chars) AS rank FROM (SELECT DISTINCT n_chars FROM documents)) WHERE rank <= 3""",
 )
 def profile_samples(spark, sf):
-    return profile.profile_samples(table(spark, sf, "documents"), ["doc_id", "text", "lang", "source"])
+    return profile.profile_samples(table(spark, sf, "documents"))
 
 
 @query(
@@ -201,13 +203,12 @@ def detect_identifiers(spark, sf):
     " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", v AS "values", step AS step_share, v >= 20 AND step > 0.9 AS is_sequential FROM (
              SELECT count(*) AS v, avg(CAST(d = 1 AS INT)) FILTER (WHERE d IS NOT NULL) AS step FROM (
-               SELECT x - lag(x) OVER (ORDER BY x) AS d FROM (SELECT DISTINCT {c} AS x FROM lineitem)))"""
-        for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+               SELECT x - lag(x) OVER (ORDER BY x) AS d FROM (SELECT DISTINCT {c} AS x FROM lineitem WHERE {c} % 1 = 0)))"""
+        for c in NUMBERS
     ),
 )
 def sequential_key_test(spark, sf):
-    columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"]
-    return profile.sequential_key_test(table(spark, sf, "lineitem"), columns)
+    return profile.sequential_key_test(table(spark, sf, "lineitem"))
 
 
 ANSWERS = """(SELECT doc_id, quality, CASE WHEN toxic = 1 THEN 'Yes' ELSE 'no' END AS answer,
@@ -417,18 +418,18 @@ def _top_sql(name):
     return f"""SELECT '{name}' AS "column", rank, value, n, u AS unique_count, u <= 10 AS is_complete FROM (
       SELECT CAST({name} AS VARCHAR) AS value, count(*) AS n, count(*) OVER () AS u,
              row_number() OVER (ORDER BY count(*) DESC, CAST({name} AS VARCHAR)) AS rank
-      FROM lineitem GROUP BY {name}) WHERE u <= 100 AND rank <= 10"""
+      FROM lineitem GROUP BY {name}) WHERE rank <= 10"""
 
 
-TOP_COLUMNS = ("l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
+TOP_COLUMNS = tuple(COLUMNS["lineitem"])
 
 
 @query("top_values", " UNION ALL ".join(_top_sql(c) for c in TOP_COLUMNS))
 def top_values(spark, sf):
-    return catalogue.top_values(table(spark, sf, "lineitem"), TOP_COLUMNS)
+    return catalogue.top_values(table(spark, sf, "lineitem"))
 
 
-PAIRS = list(combinations(NUMBERS, 2))[:20]
+PAIRS = list(combinations(NUMBERS, 2))
 
 
 @query(
@@ -443,7 +444,7 @@ def correlation_matrix(spark, sf):
     return catalogue.correlation_matrix(table(spark, sf, "lineitem"))
 
 
-DIMENSIONS = ("p_brand", "p_type", "p_size")
+DIMENSIONS = ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
 
 
 @query(

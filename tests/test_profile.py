@@ -103,3 +103,24 @@ def test_find_value_counts_hot_values_once(spark, rows):
     terms = spark.createDataFrame([("NEW DELHI",), ("Rome",)], "term string")
     got = rows(catalogue.find_value_columns(df, terms), "column")
     assert [(r["column"], r["row_count"]) for r in got] == [("city", 10), ("other", 30)]
+
+
+def test_top_values_of_any_column_and_whole_texts(spark):
+    from tallyframe.operators import catalogue
+
+    long = "x" * 300
+    many = spark.createDataFrame([(i, long if i % 3 else "short") for i in range(150)], "k long, t string")
+    found = catalogue.top_values(many, limit=4).collect()
+    keys = [r for r in found if r["column"] == "k"]
+    assert len(keys) == 4 and keys[0].unique_count == 150 and not keys[0].is_complete
+    assert {(r.value, r.n) for r in found if r["column"] == "t"} == {(long, 100), ("short", 50)}
+    values = {r["column"]: r.example_values for r in catalogue.dimension_values(many, ["t"]).collect()}
+    assert values == {"t": ["short", long]}
+
+
+def test_correlation_of_all_pairs(spark):
+    from tallyframe.operators import catalogue
+
+    wide = spark.range(50).select(*[((F.col("id") * (i + 3)) % (i + 7)).cast("double").alias(f"c.{i}") for i in range(9)])
+    found = catalogue.correlation_matrix(wide).collect()
+    assert len(found) == 36 and all(r.observations == 50 for r in found)
