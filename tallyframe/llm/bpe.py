@@ -22,7 +22,11 @@ _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x
 PLACES = 1 << 20
 _IDS = 1 << 16
 #: Words gathered by one task before their distinct forms are encoded.
-PACK_WORDS = 2_700_000
+PACK_WORDS = 2_000_000
+#: Frequent words whose ids every task is given, and the documents, chosen by a hash of their text, in
+#: which they are counted. They spare folding the same words in every pack; any list gives the same ids.
+FREQUENT_WORDS = 1 << 18
+FREQUENT_DOCS = 20_000
 #: Words of more bytes, long runs without a break, are merged with a heap.
 LONG_WORD = 64
 
@@ -125,11 +129,37 @@ def heap_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _pack(ranks_path: str):
+def _letters(ranks: dict[bytes, int]) -> np.ndarray:
+    return np.array([ranks.get(bytes([i]), 0) for i in range(256)], np.int32)
+
+
+def _spelled(ranks_path: str):
+    """Rows (word) to the word and the ids of its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = _letters(read_ranks(ranks_path))
+        for batch in batches:
+            pieces = [letters[np.frombuffer(word, np.uint8)] for word in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces, pa.list_(pa.int32()))], ["word", "pieces"])
+
+    return run
+
+
+def frequent_words(words: DataFrame, ranks_path: str, table: Column) -> pa.Table:
+    """word and ids of the words most frequent in the given rows that are neither tokens nor long; bounded."""
+    counted = words.select(F.explode("words").alias("w")).groupBy("w").count()
+    top = counted.where((F.col("count") > 1) & (F.octet_length("w") <= LONG_WORD)).orderBy(F.desc("count"), "w").limit(FREQUENT_WORDS)
+    spelled = top.select(F.col("w").cast("binary").alias("word")).repartition(12).mapInArrow(_spelled(ranks_path), "word binary, pieces array<int>")
+    found = spelled.select("word", let(table, lambda t: merged_ids(F.col("pieces"), t)).alias("ids")).toArrow().combine_chunks()
+    vocabulary = pa.array(list(read_ranks(ranks_path)), pa.binary())
+    return found.filter(pc.invert(pc.is_in(found.column("word"), vocabulary))).combine_chunks()
+
+
+def _pack(ranks_path: str, frequent):
     """Rows (doc_id, words) to packs: ids, words per document, a code per word, and the distinct words.
 
     A distinct word is given as the ids of its bytes, as its own id if it is a token, and as nothing
-    if it is a long word, which `_unpack` merges.
+    if it is a frequent one, whose number is in `known`, or a long one, which `_unpack` merges.
     """
 
     def packed(parts: list[pa.RecordBatch], vocabulary: pa.Array, own: np.ndarray, letters: np.ndarray) -> pa.RecordBatch:
@@ -142,24 +172,27 @@ def _pack(ranks_path: str):
         del coded
         widths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         flat = letters[np.frombuffer(words.buffers()[2] or b"", np.uint8)[: int(widths.sum())]]
-        token = pc.index_in(words, vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
+        number = lambda among: pc.index_in(words, among).fill_null(-1).to_numpy(zero_copy_only=False)
+        token, known = number(vocabulary), number(frequent.value[0])
+        long = (widths > LONG_WORD) & (token < 0)
         starts = np.cumsum(widths) - widths
         flat[starts[token >= 0]] = own[token[token >= 0]]
-        kept = np.where(token >= 0, 1, np.where(widths > LONG_WORD, 0, widths))
+        kept = np.where(token >= 0, 1, np.where(long | (known >= 0), 0, widths))
         ends = np.cumsum(kept)
         flat = flat[np.repeat(starts - (ends - kept), kept) + np.arange(int(ends[-1]) if len(ends) else 0)]
         pieces = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat, pa.int32()))
-        long = np.flatnonzero((widths > LONG_WORD) & (token < 0))
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        return pa.RecordBatch.from_arrays([
-            one(doc_ids), pa.array([sizes.tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary()),
-            one(pieces), one(pa.array(long, pa.int32())), one(words.take(pa.array(long))),
-        ], ["doc_ids", "sizes", "codes", "pieces", "long", "long_words"])
+        raw = lambda values: pa.array([values.astype("<i4").tobytes()], pa.binary())
+        at = np.flatnonzero(long)
+        return pa.RecordBatch.from_arrays(
+            [one(doc_ids), raw(sizes), raw(codes), raw(known), one(pieces), raw(at), one(words.take(pa.array(at)))],
+            ["doc_ids", "sizes", "codes", "known", "pieces", "long", "long_words"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = read_ranks(ranks_path)
         vocabulary, own = pa.array(list(ranks), pa.binary()), np.array(list(ranks.values()), np.int32)
-        letters = np.array([ranks.get(bytes([i]), 0) for i in range(256)], np.int32)
+        letters = _letters(ranks)
         parts, held = [], 0
         for batch in batches:
             n = len(batch.column(1).flatten())
@@ -174,31 +207,38 @@ def _pack(ranks_path: str):
     return run
 
 
-def _unpack(ranks_path: str):
+def _unpack(ranks_path: str, frequent):
+    """Packs with the ids of their words to rows (doc_id, ids)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks: dict[bytes, int] = {}
+        ints = lambda value: np.frombuffer(value.as_py(), "<i4").astype(np.int64)
+        known_flat, known_sizes = frequent.value[1:]
+        known_starts = np.cumsum(known_sizes) - known_sizes
         for batch in batches:
             for row in range(len(batch)):
-                ids, long, words = (batch.column(c)[row].values for c in (3, 4, 5))
+                per_doc, codes, known, long = (ints(batch.column(c)[row]) for c in (1, 2, 3, 5))
+                doc_ids, ids = batch.column(0)[row].values, batch.column(4)[row].values
                 sizes = np.diff(ids.offsets.to_numpy())[: len(ids)].astype(np.int64)
-                flat = ids.flatten().to_numpy()
-                if len(long := long.to_numpy()):
+                own = ids.flatten().to_numpy()
+                starts = np.cumsum(sizes) - sizes + len(known_flat)
+                listed = known >= 0
+                starts[listed], sizes[listed] = known_starts[known[listed]], known_sizes[known[listed]]
+                extra: list[np.ndarray] = []
+                if len(long):
                     ranks = ranks or read_ranks(ranks_path)
-                    extra = [np.array(heap_ids(word, ranks), np.int64) for word in words.to_pylist()]
-                    flat = np.insert(flat, np.repeat(np.cumsum(sizes)[long], list(map(len, extra))), np.concatenate(extra))
+                    extra = [np.array(heap_ids(word, ranks), np.int32) for word in batch.column(6)[row].values.to_pylist()]
                     sizes[long] = list(map(len, extra))
-                starts = np.cumsum(sizes) - sizes
-                codes = np.frombuffer(batch.column(2)[row].as_py(), "<i4")
-                per_doc = np.frombuffer(batch.column(1)[row].as_py(), "<i4").astype(np.int64)
-                doc_ids = batch.column(0)[row].values
+                    starts[long] = len(known_flat) + len(own) + np.cumsum(sizes[long]) - sizes[long]
+                flat = np.concatenate([known_flat, own, *extra])
                 ends = np.cumsum(per_doc)
                 at = 0
                 while at < len(per_doc):  # some documents at a time, about a quarter of a million words
                     to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 250_000)))
-                    own = codes[ends[at] - per_doc[at] : ends[to - 1]]
-                    lengths = sizes[own]
+                    mine = codes[ends[at] - per_doc[at] : ends[to - 1]]
+                    lengths = sizes[mine]
                     stops = np.cumsum(lengths)
-                    tokens = flat[np.repeat(starts[own] - (stops - lengths), lengths) + np.arange(int(stops[-1]) if len(stops) else 0)]
+                    tokens = flat[np.repeat(starts[mine] - (stops - lengths), lengths) + np.arange(int(stops[-1]) if len(stops) else 0)]
                     cuts = np.concatenate(([0], stops))[np.concatenate(([0], ends[at:to] - (ends[at] - per_doc[at])))]
                     yield pa.RecordBatch.from_arrays(
                         [doc_ids.slice(at, to - at), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(tokens, pa.int32()))],
@@ -212,22 +252,32 @@ def _unpack(ranks_path: str):
 def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every row: the whole text encoded, without special tokens.
 
-    Each match of the pattern is a word. A task gathers the words of some millions, and Spark folds
-    the merges over the distinct ones; their ids then stand for every place of theirs. No shuffle.
+    Each match of the pattern is a word. A task gathers some two million words, and Spark folds the
+    merges over the distinct ones; their ids then stand for every place of theirs. Words that are
+    frequent in a sample are folded once beforehand, and every task is given their ids, some 10 MB.
+    Texts are never shuffled.
     Words of more than 64 bytes, which a fold would copy too often, are merged with a heap instead.
     Null and empty texts have no ids; a null doc_id is kept; repeated rows each give a row; no rows
     give no rows; other columns are ignored.
     """
-    text_batches(docs.sparkSession)
-    words = docs.select(
-        named(doc_id).cast("long").alias("doc_id"),
-        F.regexp_extract_all(F.coalesce(named(text), F.lit("")), F.lit(spark_pattern(pattern)), F.lit(0)).alias("words"),
-    )
-    shape = "doc_ids array<bigint>, sizes binary, codes binary, pieces array<array<int>>, long array<int>, long_words array<binary>"
-    packs = words.mapInArrow(_pack(ranks_path), shape)
-    ids = let(rank_map(read_ranks(ranks_path)), lambda t: F.transform("pieces", lambda p: merged_ids(p, t)))  # one copy of the map
-    encoded = packs.select("doc_ids", "sizes", "codes", ids.alias("ids"), "long", "long_words")
-    return encoded.mapInArrow(_unpack(ranks_path), "doc_id long, ids array<int>")
+    spark = text_batches(docs.sparkSession)
+    table = rank_map(read_ranks(ranks_path))
+
+    def split(rows: DataFrame) -> DataFrame:
+        found = F.regexp_extract_all(F.coalesce(named(text), F.lit("")), F.lit(spark_pattern(pattern)), F.lit(0))
+        return rows.select(named(doc_id).cast("long").alias("doc_id"), found.alias("words"))
+
+    every = max(1, -(-docs.count() // FREQUENT_DOCS))
+    some = docs.where(F.pmod(F.xxhash64(named(text)), F.lit(every)) == 0) if every > 1 else docs
+    top = frequent_words(split(some), ranks_path, table)
+    ids, words = top.column("ids").combine_chunks(), top.column("word").combine_chunks()
+    sizes = np.diff(ids.offsets.to_numpy())[: len(ids)].astype(np.int64)
+    frequent = spark.sparkContext.broadcast((words, ids.flatten().to_numpy(), sizes))  # at most 262,144 short words
+    shape = "doc_ids array<bigint>, sizes binary, codes binary, known binary, pieces array<array<int>>, long binary, long_words array<binary>"
+    packs = split(docs).mapInArrow(_pack(ranks_path, frequent), shape)
+    folded = let(table, lambda t: F.transform("pieces", lambda p: merged_ids(p, t)))  # one copy of the map
+    encoded = packs.select("doc_ids", "sizes", "codes", "known", folded.alias("ids"), "long", "long_words")
+    return encoded.mapInArrow(_unpack(ranks_path, frequent), "doc_id long, ids array<int>")
 
 
 def decode_pieces(ids: pa.Array, pieces: pa.Array) -> pa.Array:
