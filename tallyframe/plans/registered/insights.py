@@ -1,27 +1,39 @@
-"""Insights over monthly supplier series; the months of 2001 stand for the forecast."""
+"""Insights over monthly supplier series: all their history, and the library's own baseline forecast of it.
+
+The last value is carried on for six months, between bounds that widen with the square root of the step.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyframe.operators import insights as ops
+from tallyframe.operators.forecast import prediction_interval
 from tallyframe.plans.registered.base import query
 from tallyframe.plans.registered.forecasting import KEYS, MONTHLY_SQL, monthly
 
-PAST_SQL = f"(SELECT * FROM {MONTHLY_SQL} WHERE period < DATE '2001-01-01')"
-AHEAD_SQL = f"""(SELECT l_suppkey, period, value AS predicted_value, value * 0.9 AS lower_bound, value * 1.1 + month(period) AS upper_bound
-  FROM {MONTHLY_SQL} WHERE period >= DATE '2001-01-01')"""
+STEPS = 6
+PAST_SQL = MONTHLY_SQL
+# The baseline has a closed form: the last value, and bounds from the mean squared step of the history.
+AHEAD_SQL = f"""(SELECT l_suppkey, (last + to_months(CAST(h AS INT)))::DATE AS period, predicted_value, greatest(predicted_value - 1.2816 * rmse * sqrt(h), 0) AS lower_bound,
+    predicted_value + 1.2816 * rmse * sqrt(h) AS upper_bound
+  FROM (SELECT l_suppkey, max(period) AS last, arg_max(value, period) AS predicted_value, sqrt(avg(d * d)) AS rmse FROM (
+      SELECT l_suppkey, period, value, value - lag(value) OVER (PARTITION BY l_suppkey ORDER BY period) AS d FROM {MONTHLY_SQL}) GROUP BY 1),
+    (SELECT unnest(generate_series(1, {STEPS})) AS h) WHERE rmse IS NOT NULL)"""
 
 
 def past(spark, sf):
-    return monthly(spark, sf).where("period < DATE '2001-01-01'")
+    return monthly(spark, sf)
 
 
 def ahead(spark, sf):
-    return monthly(spark, sf).where("period >= DATE '2001-01-01'").select(
-        *KEYS, "period", F.col("value").alias("predicted_value"), (F.col("value") * 0.9).alias("lower_bound"),
-        (F.col("value") * 1.1 + F.month("period")).alias("upper_bound"),
-    )
+    steps = monthly(spark, sf).withColumn("_d", F.col("value") - F.lag("value").over(Window.partitionBy(*KEYS).orderBy("period")))
+    fitted = steps.groupBy(*KEYS).agg(
+        F.max("period").alias("_last"), F.max_by("value", "period").alias("predicted_value"), F.sqrt(F.avg(F.col("_d") * F.col("_d"))).alias("_rmse")
+    ).where("_rmse IS NOT NULL").withColumn("_h", F.explode(F.sequence(F.lit(1), F.lit(STEPS))))
+    low, high = prediction_interval(F.col("predicted_value"), F.col("_rmse"), F.col("_h"), F.lit(True))
+    return fitted.select(*KEYS, F.add_months("_last", F.col("_h")).alias("period"), "predicted_value", low.alias("lower_bound"), high.alias("upper_bound"))
 
 
 RECENT_SQL = f"""(SELECT l_suppkey, CASE WHEN max(w) >= 2 THEN round((avg(value) FILTER (WHERE rk <= w) - avg(value) FILTER (WHERE rk > w AND rk <= 2 * w))

@@ -185,12 +185,14 @@ ASSESSED_SQL = f"""(SELECT o_orderpriority, granularity, periods, missing_ratio,
             CASE granularity WHEN 'day' THEN 14 WHEN 'week' THEN 8 ELSE 6 END AS need,
             CASE granularity WHEN 'day' THEN 90 WHEN 'week' THEN 26 ELSE 24 END AS cap
           FROM ({_panel_sql("sum(o_totalprice)", "coalesce(v, 0.0)").replace("FROM orders", "FROM sparse_orders")}) GROUP BY 1, 2)))"""
-SPARSE = "SELECT * FROM orders WHERE o_orderpriority <> '5-LOW' OR day(o_orderdate) = 1"
+SPARSE = """SELECT o_orderpriority, o_orderdate,
+  CASE WHEN o_orderpriority <> '5-LOW' OR day(o_orderdate) = 1 THEN o_totalprice END AS o_totalprice FROM orders"""
 SPARSE_SQL = f"WITH sparse_orders AS ({SPARSE})"
 
 
 def sparse_orders(spark, sf):
-    return table(spark, sf, "orders").where("o_orderpriority <> '5-LOW' OR day(o_orderdate) = 1")
+    sparse = "CASE WHEN o_orderpriority <> '5-LOW' OR day(o_orderdate) = 1 THEN o_totalprice END"
+    return table(spark, sf, "orders").withColumn("o_totalprice", F.expr(sparse))
 
 
 @query(
@@ -217,11 +219,13 @@ def recommend_granularity(spark, sf):
 @query(
     "max_horizon",
     f"""{SPARSE_SQL} SELECT o_orderpriority, granularity, CAST(least(max_horizon, 30) AS BIGINT) AS horizon,
-          max_horizon < 30 AS is_capped FROM {ASSESSED_SQL} WHERE granularity = 'week' AND supported""",
+          max_horizon < 30 AS is_capped FROM {ASSESSED_SQL} WHERE supported""",
 )
 def max_horizon(spark, sf):
     assessed = ops.forecastability(sparse_orders(spark, sf), "o_totalprice", "o_orderdate", ["o_orderpriority"])
-    return assessed.where("supported AND granularity = 'week'").select(
-        "o_orderpriority", "granularity", ops.planned_horizon("week", F.col("max_horizon"), 30).alias("horizon"),
-        (F.col("max_horizon") < 30).alias("is_capped"),
+    by_granularity = F.coalesce(*[
+        F.when(F.col("granularity") == g, ops.planned_horizon(g, F.col("max_horizon"), 30)) for g in ("day", "week", "month")
+    ])
+    return assessed.where("supported").select(
+        "o_orderpriority", "granularity", by_granularity.alias("horizon"), (F.col("max_horizon") < 30).alias("is_capped"),
     )

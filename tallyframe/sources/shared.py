@@ -13,10 +13,14 @@ SETTING = "spark.checkpoint.dir"
 def shared_root(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir.
 
-    A local folder is used only where the setting is absent, as in tests on one machine.
+    Where none is named, a session on one machine gets a temporary one; on a cluster, whose executors
+    could not reach that, it is an error.
     """
     root = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"name a folder that all executors share in {SETTING}")
         root = tempfile.mkdtemp(prefix="tallyframe-")
         spark.conf.set(SETTING, root)
     return root.rstrip("/")
@@ -25,4 +29,3 @@ def shared_root(spark: SparkSession) -> str:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new path under the shared folder."""
     return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
-
