@@ -7,8 +7,6 @@ in Python, one series or one fold of it at a time. The calendar bounds a series,
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
-from operator import and_
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -19,8 +17,18 @@ from pyspark.sql import types as T
 from tallyframe.functions import fitting
 from tallyframe.functions import fixed_values as fixed
 from tallyframe.functions.fitting import by_group, fold_predictions, forecast_series
-from tallyframe.operators.metrics import Metric
-from tallyframe.operators.series import make_features, max_horizon, planned_horizon, resample, resample_metrics
+from tallyframe.functions.numeric import column
+from tallyframe.functions.periods import as_timestamp
+from tallyframe.operators.metrics import Metric, as_metric
+from tallyframe.operators.series import (
+    clean_series_input,
+    forecastability,
+    make_features,
+    max_horizon,
+    planned_horizon,
+    resample,
+    resample_metrics,
+)
 
 FEATURES = list(fixed.FEATURE_COLUMNS)
 
@@ -224,6 +232,58 @@ def plan_forecasts(
     )
 
 
+def _series_rows(
+    df: DataFrame, metric: Metric | str, date_column: str, keys: Sequence[str], non_negative: bool, clean: bool
+) -> tuple[DataFrame, Metric, list[str]]:
+    """Rows (_keys, ts, value) for a series chain, the metric of `value`, and the key columns to use.
+
+    The keys of a series become one text, so that a null among them is a key like any other.
+    """
+    metric = as_metric(metric)
+    if clean:
+        rows = clean_series_input(df, metric, date_column, keys, non_negative)
+    else:
+        rows = df.select(*keys, as_timestamp(df, date_column).alias("ts"), column(metric.field).alias("value"))
+    coded = [F.to_json(F.struct(*[column(k) for k in keys])).alias("_keys")] if keys else []
+    return rows.select(*coded, "ts", "value"), Metric("value", metric.aggregation), ["_keys"] if keys else []
+
+
+def _with_keys(df: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The key columns in place of their text."""
+    if not keys:
+        return df
+    shape = T.StructType([T.StructField(k, source.schema[k].dataType) for k in keys])
+    back = df.withColumn("_keys", F.from_json("_keys", shape))
+    return back.select(*[F.col("_keys")[k].alias(k) for k in keys], *[c for c in df.columns if c != "_keys"])
+
+
+def _statuses(rows: DataFrame, metric: Metric, granularity: str, keys: Sequence[str], horizon: int | None) -> DataFrame:
+    assessed = forecastability(rows, metric, "ts", keys, [granularity])
+    lags = 3  # the first periods of a series serve as lags only
+    reason = F.coalesce(
+        "reason", F.when(F.col("periods") - lags < fixed.MIN_FEATURE_ROWS, "too few periods to fit a model")
+    )
+    ahead = planned_horizon(granularity, F.col("max_horizon"), horizon)
+    ready = F.col("status") == "forecast"
+    return assessed.withColumn("status", F.coalesce(reason, F.lit("forecast"))).select(
+        *keys, "granularity", "status", "periods", F.when(ready, ahead).alias("horizon"),
+        F.when(ready, F.lit(horizon or 0) > F.col("max_horizon")).alias("is_capped"),
+    )
+
+
+def series_statuses(
+    df: DataFrame, metric: Metric | str, date_column: str, granularity: str, keys: Sequence[str] = (),
+    horizon: int | None = None, non_negative: bool = False, clean: bool = True,
+) -> DataFrame:
+    """One row for every series with a usable value: what `forecast` does with it.
+
+    status is "forecast", or the reason why there is none; with it come the periods, the horizon that
+    is forecast, and whether that is shorter than the one asked for.
+    """
+    rows, value, names = _series_rows(df, metric, date_column, keys, non_negative, clean)
+    return _with_keys(_statuses(rows, value, granularity, names, horizon), df, keys)
+
+
 def forecast(
     df: DataFrame,
     metric: Metric | str,
@@ -232,17 +292,26 @@ def forecast(
     keys: Sequence[str] = (),
     horizon: int | None = None,
     non_negative: bool = False,
+    clean: bool = True,
 ) -> DataFrame:
-    """Forecast of every series in the table: resample, validate, select, predict with intervals."""
+    """Forecast of every series that can be forecast: clean, test, resample, validate, select, predict.
+
+    Exact copies of rows count once, gaps take the last value and impossible values go, unless `clean`
+    is false. A horizon beyond what the history supports is cut, and `is_capped` says so on each row;
+    `series_statuses` has a row for the other series, too. A null among the keys is a key.
+    """
     if horizon is not None and horizon <= 0:
         raise ValueError("forecast horizon must be a positive integer")
-    # Series without a key cannot be told apart in the joins below. Dropping them here also gives
-    # every reader of the panel the same plan, so that Spark makes its shuffle only once.
-    rows = df.where(reduce(and_, [F.col(k).isNotNull() for k in keys])) if keys else df
-    features = make_features(resample(rows, metric, date_column, granularity, keys), keys)
-    selected = select_model(validate_models(features, keys), keys)
-    plan = plan_forecasts(features, selected, granularity, keys, horizon, non_negative)
-    return forecast_recursive(features, plan, granularity, keys)
+    rows, value, names = _series_rows(df, metric, date_column, keys, non_negative, clean)
+    ready = _with_series(_statuses(rows, value, granularity, names, horizon).where("status = 'forecast'"), names)
+    by = _keyed(ready, names)
+    features = make_features(resample(rows, value, "ts", granularity, names), names)
+    features = _with_series(features, names).join(ready.select(*by), by, "left_semi").drop(*([] if names else ["_series"]))
+    selected = select_model(validate_models(features, names), names)
+    plan = plan_forecasts(features, selected, granularity, names, horizon, non_negative)
+    result = _with_series(forecast_recursive(features, plan, granularity, names), names)
+    capped = result.join(_with_series(plan, names).select(*by, "is_capped"), by).drop(*([] if names else ["_series"]))
+    return _with_keys(capped, df, keys)
 
 
 def forecast_totals(forecasts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

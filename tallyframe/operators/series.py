@@ -247,11 +247,12 @@ def planned_horizon(granularity: str, limit: Column, requested: int | None = Non
 
 
 def forecastability(
-    df: DataFrame, metric: Metric | str, date_column: str, keys: Sequence[str] = ()
+    df: DataFrame, metric: Metric | str, date_column: str, keys: Sequence[str] = (),
+    granularities: Sequence[str] = fixed.GRANULARITIES,
 ) -> DataFrame:
     """Per series and granularity: whether it can be forecast, why not, its score and horizon cap."""
     stamp = as_timestamp(df, date_column)
-    panel = resample_many(df, metric, date_column, fixed.GRANULARITIES, keys)
+    panel = resample_many(df, metric, date_column, granularities, keys)
     filled = F.coalesce("value", F.lit(0.0))
     stats = panel.groupBy(*keys, "granularity").agg(
         F.count(F.lit(1)).alias("periods"), F.avg(F.col("value").isNull().cast("double")).alias("missing_ratio"),

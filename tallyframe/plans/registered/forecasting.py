@@ -8,6 +8,7 @@ from tallyframe.functions import fixed_values as fixed
 from tallyframe.operators import forecast as ops
 from tallyframe.operators import series as prep
 from tallyframe.operators.metrics import Metric
+from tallyframe.plans.registered.series import ASSESSED_SQL
 from tallyframe.plans.registered.base import query, rounded, table
 
 KEYS = ["l_suppkey"]
@@ -129,8 +130,8 @@ def validate_models(spark, sf):
 @query("forecast_recursive")
 def forecast_recursive(spark, sf):
     return ops.forecast(
-        table(spark, sf, "lineitem"), "l_quantity", "l_shipdate", "month", KEYS, horizon=6, non_negative=True
-    )
+        table(spark, sf, "lineitem"), "l_quantity", "l_shipdate", "month", KEYS, horizon=6, non_negative=True, clean=False
+    )  # the statuses below clean first
 
 
 def planned(spark, sf):
@@ -235,3 +236,19 @@ def champion_challenger(spark, sf):
 def forecast_batch(spark, sf):
     metrics = [Metric("o_totalprice", name="revenue"), Metric("o_custkey", "nunique", "customers"), Metric("o_orderkey", "count", "orders")]
     return ops.forecast_batch(table(spark, sf, "orders"), metrics, "o_orderdate")
+
+
+STATUS_SQL = ASSESSED_SQL.replace("o_orderpriority", "o_custkey")
+
+
+@query(
+    "forecast_statuses",
+    f"""WITH sparse_orders AS (SELECT * FROM orders), s AS (
+          SELECT *, coalesce(CASE WHEN brief THEN 'span under one day' END, reason, CASE WHEN periods - 3 < 5 THEN 'too few periods to fit a model' END, 'forecast') AS status
+          FROM {STATUS_SQL} JOIN (SELECT o_custkey, max(o_orderdate) - min(o_orderdate) < INTERVAL 1 DAY AS brief FROM orders GROUP BY 1) USING (o_custkey)
+          WHERE granularity = 'month')
+        SELECT o_custkey, granularity, status, periods, CASE WHEN status = 'forecast' THEN CAST(least(6, max_horizon) AS BIGINT) END AS horizon,
+          CASE WHEN status = 'forecast' THEN 6 > max_horizon END AS is_capped FROM s""",
+)
+def forecast_statuses(spark, sf):
+    return ops.series_statuses(table(spark, sf, "orders"), "o_totalprice", "o_orderdate", "month", ["o_custkey"], horizon=6)

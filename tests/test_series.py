@@ -160,3 +160,16 @@ def test_recommendations(spark, rows):
         (3, "no_action_monitoring", "low", False), (3, "data_collection", "high", True),
         (4, "no_action", "medium", True), (4, "data_collection", "medium", True),
     ]
+
+
+def test_forecast_cleans_gates_and_reports(spark, rows):
+    days = [(f"2024-01-{d:02d}", k, float(10 + d % 4)) for d in range(1, 29) for k in ("a", None)]
+    flat = [(f"2024-01-{d:02d}", "flat", 5.0) for d in range(1, 29)]
+    short = [(f"2024-01-{d:02d}", "short", float(d)) for d in range(1, 7)]
+    df = spark.createDataFrame(days + flat + short, "date string, k string, v double")
+    once = rows(forecast.forecast(df, "v", "date", "day", ["k"], 20), "k", "step")
+    twice = rows(forecast.forecast(df.union(df), "v", "date", "day", ["k"], 20), "k", "step")
+    assert once == twice and {r["k"] for r in once} == {"a", None}
+    assert all(r["is_capped"] for r in once) and max(r["step"] for r in once) == 14
+    status = {r["k"]: (r["status"], r["horizon"]) for r in rows(forecast.series_statuses(df, "v", "date", "day", ["k"], 20))}
+    assert status == {"a": ("forecast", 14), None: ("forecast", 14), "flat": ("flat series", None), "short": ("too few periods", None)}
