@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import let, named, text_batches
+from tallyframe.llm.common import let, named, text_batches, tidy
 
 #: Splits text into the words within which bytes merge. White space is spelled out, since the
 #: engines differ in what they call so.
@@ -149,7 +149,7 @@ def frequent_words(words: DataFrame, ranks_path: str, table: Column) -> pa.Table
     """word and ids of the words most frequent in the given rows that are neither tokens nor long; bounded."""
     counted = words.select(F.explode("words").alias("w")).groupBy("w").count()
     top = counted.where((F.col("count") > 1) & (F.octet_length("w") <= LONG_WORD)).orderBy(F.desc("count"), "w").limit(FREQUENT_WORDS)
-    spelled = top.select(F.col("w").cast("binary").alias("word")).repartition(12).mapInArrow(_spelled(ranks_path), "word binary, pieces array<int>")
+    spelled = top.select(F.col("w").cast("binary").alias("word")).repartition(12).mapInArrow(tidy(_spelled(ranks_path)), "word binary, pieces array<int>")
     found = spelled.select("word", let(table, lambda t: merged_ids(F.col("pieces"), t)).alias("ids")).toArrow().combine_chunks()
     vocabulary = pa.array(list(read_ranks(ranks_path)), pa.binary())
     return found.filter(pc.invert(pc.is_in(found.column("word"), vocabulary))).combine_chunks()
@@ -274,10 +274,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
     sizes = np.diff(ids.offsets.to_numpy())[: len(ids)].astype(np.int64)
     frequent = spark.sparkContext.broadcast((words, ids.flatten().to_numpy(), sizes))  # at most 262,144 short words
     shape = "doc_ids array<bigint>, sizes binary, codes binary, known binary, pieces array<array<int>>, long binary, long_words array<binary>"
-    packs = split(docs).mapInArrow(_pack(ranks_path, frequent), shape)
+    packs = split(docs).mapInArrow(tidy(_pack(ranks_path, frequent)), shape)
     folded = let(table, lambda t: F.transform("pieces", lambda p: merged_ids(p, t)))  # one copy of the map
     encoded = packs.select("doc_ids", "sizes", "codes", "known", folded.alias("ids"), "long", "long_words")
-    return encoded.mapInArrow(_unpack(ranks_path, frequent), "doc_id long, ids array<int>")
+    return encoded.mapInArrow(tidy(_unpack(ranks_path, frequent)), "doc_id long, ids array<int>")
 
 
 def decode_pieces(ids: pa.Array, pieces: pa.Array) -> pa.Array:
@@ -302,4 +302,4 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), decode_pieces(batch.column(1), pieces)], ["doc_id", "ids", "decoded"])
 
     filled = encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    return filled.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return filled.mapInArrow(tidy(run), "doc_id long, ids array<int>, decoded binary")

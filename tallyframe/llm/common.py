@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +61,23 @@ def worker_state(name: str) -> dict:
     """A dict that lives as long as the Python worker, so later tasks of the worker find what earlier ones left."""
     module = sys.modules.setdefault("tallyframe_worker_state", types.ModuleType("tallyframe_worker_state"))
     return module.__dict__.setdefault(name, {})
+
+
+def tidy(run):
+    """The same function over Arrow batches, which at its end gives the memory it used back to the machine.
+
+    Python workers wait for further tasks; what their allocators hold would count against the executor.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped

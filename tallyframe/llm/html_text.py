@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import named, text_batches
+from tallyframe.llm.common import named, text_batches, tidy
 from tallyframe.llm.crf import Crf, best_labels, fit
 
 TRAIN_PAGES = 400
@@ -278,4 +278,4 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", p
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     shape = f"page_id {chosen.schema['page_id'].dataType.simpleString()}, url {chosen.schema['url'].dataType.simpleString()}, text string"
-    return chosen.mapInArrow(run, shape).withColumn("n_chars", F.length("text").cast("long"))
+    return chosen.mapInArrow(tidy(run), shape).withColumn("n_chars", F.length("text").cast("long"))

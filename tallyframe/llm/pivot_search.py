@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import materialize, named
+from tallyframe.llm.common import materialize, named, tidy
 
 PIVOTS = 32
 #: Distinct vectors, those of smallest hash, among which pivots are chosen on the driver.
@@ -158,7 +158,7 @@ def top_k(
             lists = pa.FixedSizeListArray.from_arrays(pa.array(table.ravel()), count).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(table.argmin(axis=1), pa.int32())], ["v", "ids", "d", "home"])
 
-    placed = materialize(distinct.mapInArrow(place_rows, "v array<bigint>, ids array<bigint>, d array<float>, home int"), "pivot-table")
+    placed = materialize(distinct.mapInArrow(tidy(place_rows), "v array<bigint>, ids array<bigint>, d array<float>, home int"), "pivot-table")
     ranges = placed.groupBy("home").agg(
         F.count(F.lit(1)).alias("n"), F.array(*[F.min(F.col("d")[i]) for i in range(count)]).alias("low"),
         F.array(*[F.max(F.col("d")[i]) for i in range(count)]).alias("high"),
@@ -212,14 +212,14 @@ def top_k(
         return pa.table({"q": q.take(index), "score": np.concatenate([s for s, _ in found]), "vec_id": np.concatenate([i for _, i in found])})
 
     keyed = asked.select("q", chunk("q").alias("chunk"))
-    first = keyed.mapInArrow(own_group, "q array<bigint>, chunk int, home int").select("q", "chunk", F.lit(None).cast("double").alias("known"), "home")
+    first = keyed.mapInArrow(tidy(own_group), "q array<bigint>, chunk int, home int").select("q", "chunk", F.lit(None).cast("double").alias("known"), "home")
     shape = "q array<bigint>, score long, vec_id long"
     seeds = first.groupBy("home", "chunk").cogroup(dealt.where("block = 0").groupBy("home", "chunk")).applyInArrow(meet, shape)
     floors = seeds.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s")).select(
         "q", F.when(F.col("n") > k, F.col("s").cast("double")).alias("known")
     )
     known = materialize(keyed.join(floors, "q", "left").select("q", "chunk", "known"), "known-scores")
-    spread = known.mapInArrow(wanted_groups, "q array<bigint>, chunk int, known double, home int").select(
+    spread = known.mapInArrow(tidy(wanted_groups), "q array<bigint>, chunk int, known double, home int").select(
         "q", "chunk", "known", "home", F.explode(F.sequence(F.lit(0), (sub - 1).cast("int"))).alias("block")
     )
     met = spread.groupBy("home", "block", "chunk").cogroup(dealt.groupBy("home", "block", "chunk")).applyInArrow(meet, shape)

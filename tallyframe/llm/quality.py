@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import named, text_batches
+from tallyframe.llm.common import named, text_batches, tidy
 from tallyframe.llm.crf import Crf, fit, marginals
 
 #: The bounds of the training sample: labelled documents, and lines of each.
@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                              "features": features[part].astype("<i2").tobytes(), "weights": (weights[part] / weights[part].sum()).astype("<f4").tobytes()})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("id", pa.int64()), ("label", pa.int32()), ("lines", pa.int32()), ("features", pa.binary()), ("weights", pa.binary())]))
 
-    rows = chosen.select("_id", "text", "_label").mapInArrow(run, "id long, label int, lines int, features binary, weights binary").toArrow().sort_by("id").to_pylist()
+    rows = chosen.select("_id", "text", "_label").mapInArrow(tidy(run), "id long, label int, lines int, features binary, weights binary").toArrow().sort_by("id").to_pylist()
     if not rows:
         return Crf(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)))
     lengths = np.array([r["lines"] for r in rows])
@@ -179,7 +179,7 @@ def with_scores(docs: DataFrame, model: Crf, text: str = "text", score: str = "s
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     shape = StructType([StructField("row", rows.schema["row"].dataType), StructField("score", DoubleType())])
-    return rows.mapInArrow(run, shape).select("row.*", F.col("score").alias(score))
+    return rows.mapInArrow(tidy(run), shape).select("row.*", F.col("score").alias(score))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

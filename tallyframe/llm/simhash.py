@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import materialize, named
+from tallyframe.llm.common import materialize, named, tidy
 from tallyframe.llm.components import components
 
 BITS = 64
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
             values = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, len(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
-    return chosen.mapInArrow(run, "doc_id long, fp long")
+    return chosen.mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def _bounds(blocks: int) -> list[tuple[int, int]]:
@@ -165,7 +165,7 @@ def fingerprint_links(fps: DataFrame, distance: int = 4, block_rows: int = BLOCK
                 full = None
         fit = keyed if full is None else keyed.join(full, "key", "left_anti").select("key", "fp")
         parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        found.append(fit.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_links(distance), "a long, b long").distinct())
+        found.append(fit.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(tidy(_links(distance)), "a long, b long").distinct())
         if full is None:
             break
         rest = materialize(keyed.join(full, "key", "left_semi").select("fp").distinct(), "full-members")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import has_repeats, materialize, named, text_batches
+from tallyframe.llm.common import has_repeats, materialize, named, text_batches, tidy
 
 LENGTH = 100
 GRAM = 32
@@ -400,16 +400,16 @@ def covered_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     """
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    anchors = rows.select("d", "t", "text").mapInArrow(_anchors(length, gram), _ANCHOR)
+    anchors = rows.select("d", "t", "text").mapInArrow(tidy(_anchors(length, gram)), _ANCHOR)
     ordered = anchors.repartition(parts, "h").sortWithinPartitions("kind", "h", "c", "d", "t", "x")
-    found = materialize(ordered.mapInArrow(_resolved, _ANCHOR), "suffix-anchors")
+    found = materialize(ordered.mapInArrow(tidy(_resolved), _ANCHOR), "suffix-anchors")
     open_ = found.where("kind = 2")
     hot = materialize(open_.groupBy("h").count().where(F.col("count") > HOT_ROWS).select("h"), "suffix-hot")
     lists = open_.groupBy("d", "t").agg(F.collect_list(F.struct("h", "x", "a", "b")).alias("places"))
     near, _ = _near_texts(rows.select("d", "t", "text"), open_)
     fetched = near.join(lists, ["d", "t"]).select("d", "t", "text", "places").mapInArrow(
-        _surroundings(length), "h long, d long, t long, x int, a int, b int, around binary"
-    ).mapInArrow(_gathered, "h long, d long, t long, x int, a int, b int, around binary")
+        tidy(_surroundings(length)), "h long, d long, t long, x int, a int, b int, around binary"
+    ).mapInArrow(tidy(_gathered), "h long, d long, t long, x int, a int, b int, around binary")
     spans = [found.where("kind = 1")]
     if hot.isEmpty():
         mild = fetched
@@ -424,7 +424,7 @@ def covered_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
         later = window.join(firsts, "w").where(F.struct("d", "t", "s") > F.col("first"))
         spans.append(later.select(*(F.lit(v).cast(k).alias(n) for v, k, n in ((1, "int", "kind"), (0, "long", "h"), (0, "long", "c"))), "d", "t", F.col("s").alias("x"), F.lit(0).alias("a"), F.lit(0).alias("b")))
     grouped = mild.repartition(parts, "h").sortWithinPartitions("h", "d", "t", "x")
-    spans.append(grouped.mapInArrow(_sorted_groups(length), _ANCHOR))
+    spans.append(grouped.mapInArrow(tidy(_sorted_groups(length)), _ANCHOR))
     both = spans[0]
     for more in spans[1:]:
         both = both.unionByName(more)
@@ -458,6 +458,6 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
     out = StructType([StructField("row", shape.schema["row"].dataType), StructField("kept", BinaryType()), StructField("kept_text", StringType()), StructField("n_removed", LongType()), StructField("n_spans", LongType())])
-    cut = touched.select("row", "text", "spans").mapInArrow(_kept, out)
+    cut = touched.select("row", "text", "spans").mapInArrow(tidy(_kept), out)
     whole = rest.select("row", F.col("text").alias("kept"), F.col("text").cast("string").alias("kept_text"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
     return cut.unionByName(whole).select("row.*", "kept", "kept_text", "n_removed", "n_spans")

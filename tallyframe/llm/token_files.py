@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import materialize, named, text_batches, worker_state
+from tallyframe.llm.common import materialize, named, text_batches, tidy, worker_state
 from tallyframe.sources.shared import shared_folder
 
 #: Pieces of text whose ids a worker keeps, about 100 MB of them.
@@ -136,7 +136,7 @@ def write_token_files(
             pa.schema([("shard", pa.int32()), ("files", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("bytes_each", pa.int32())]),
         )
 
-    shards = materialize(ordered.mapInArrow(run, shape), "token-shards")
+    shards = materialize(ordered.mapInArrow(tidy(run), shape), "token-shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     manifest = shards.select(
         "*", F.lit(folder).alias("folder"), F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long").alias("base")
@@ -170,4 +170,4 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
     shards = max(1, manifest.count())
     dealt = manifest.select("shard", "folder", "files", "n_docs", "bytes_each", "base").repartition(shards, "shard")
-    return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return dealt.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
