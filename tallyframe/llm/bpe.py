@@ -22,7 +22,7 @@ _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x
 PLACES = 1 << 20
 _IDS = 1 << 16
 #: Words gathered by one task before their distinct forms are encoded.
-PACK_WORDS = 2_000_000
+PACK_WORDS = 1_500_000
 #: Frequent words whose ids every task is given, and the documents, chosen by a hash of their text, in
 #: which they are counted. They spare folding the same words in every pack; any list gives the same ids.
 FREQUENT_WORDS = 1 << 18
@@ -252,7 +252,7 @@ def _unpack(ranks_path: str, frequent):
 def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every row: the whole text encoded, without special tokens.
 
-    Each match of the pattern is a word. A task gathers some two million words, and Spark folds the
+    Each match of the pattern is a word. A task gathers some million words, and Spark folds the
     merges over the distinct ones; their ids then stand for every place of theirs. Words that are
     frequent in a sample are folded once beforehand, and every task is given their ids, some 10 MB.
     Texts are never shuffled.
