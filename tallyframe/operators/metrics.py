@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,7 +27,13 @@ class Metric:
         return self.name or self.field
 
 
-def as_metric(metric: Metric | str) -> Metric:
+def as_metric(metric: Metric | str | Mapping[str, str]) -> Metric:
+    """A metric as it is, a column name, or a mapping with field and perhaps aggregation and name."""
+    if isinstance(metric, Mapping):
+        unknown = set(metric) - {"field", "aggregation", "name"}
+        if unknown or not metric.get("field"):
+            raise ValueError(f"a metric needs a field, and takes an aggregation and a name besides; given {dict(metric)}")
+        return Metric(metric["field"], metric.get("aggregation") or "sum", metric.get("name"))
     return metric if isinstance(metric, Metric) else Metric(metric)
 
 

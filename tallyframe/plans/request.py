@@ -27,6 +27,16 @@ REQUEST_KEYS = (
 SINGLE_METRIC = ("total", "average", "maximum", "minimum", "trend", "forecast", "top", "bottom")
 
 
+def _level(level: Mapping[str, Any] | Sequence[Any]) -> tuple[str, int]:
+    """A ranking level given as a pair, or as a mapping with dimension and perhaps top_n."""
+    if isinstance(level, Mapping):
+        if "dimension" not in level:
+            raise ValueError(f"a ranking level needs a dimension; given {dict(level)}")
+        return level["dimension"], level.get("top_n") or ranking.DEFAULT_N
+    dimension, count = level
+    return dimension, count
+
+
 def _checked(df: DataFrame, request: Mapping[str, Any]) -> tuple[str, list[Metric], list[str]]:
     unknown = [k for k in request if k not in REQUEST_KEYS]
     if unknown:
@@ -36,7 +46,7 @@ def _checked(df: DataFrame, request: Mapping[str, Any]) -> tuple[str, list[Metri
         raise ValueError(f"operation {operation!r} is not one of {OPERATIONS}")
     metrics = [as_metric(m) for m in request.get("metrics", [])]
     groups: Sequence[str] = request.get("group_by", [])
-    levels = request.get("ranking_levels") or []
+    levels = [_level(level) for level in request.get("ranking_levels") or []]
     for name in [*[m.field for m in metrics], *groups, *[level[0] for level in levels]]:
         if name not in df.columns:
             raise ValueError(f"field {name!r} does not exist in the dataset")
@@ -60,7 +70,7 @@ def analyze(df: DataFrame, request: Mapping[str, Any]) -> DataFrame:
     if operation in ("top", "bottom"):
         levels = request.get("ranking_levels")
         if levels:
-            return ranking.nested_ranking(rows, metrics[0], levels, operation == "top")
+            return ranking.nested_ranking(rows, metrics[0], [_level(level) for level in levels], operation == "top")
         return ranking.rank_entities(rows, metrics[0], groups[0], request.get("top_n") or ranking.DEFAULT_N, operation == "top")
     if operation == "correlation":
         if groups or granularity:
@@ -71,9 +81,11 @@ def analyze(df: DataFrame, request: Mapping[str, Any]) -> DataFrame:
         if not field:
             raise ValueError(f"a field is required for {operation}")
         return aggregates.distinct_count(rows, field)
-    if operation == "unique_entities":
-        metrics = [Metric(request.get("field") or metrics[0].field, "nunique")]
-        operation = "total"
+    if operation in ("distinct_count", "unique_entities"):
+        field = request.get("field") or (metrics[0].field if metrics else None)
+        if not field:
+            raise ValueError(f"a field is required for {operation}")
+        metrics, operation = [Metric(field, "nunique")], "total"
     if operation == "trend":
         if not date_column:
             raise ValueError("a trend needs a date column")

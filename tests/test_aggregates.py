@@ -101,3 +101,18 @@ def test_iso_year_differs_from_calendar_year(spark, rows):
 def test_numeric_text(spark, text, number):
     got = spark.createDataFrame([(text,)], "t string").select(parse_numeric_text(F.col("t")).alias("n")).first().n
     assert got == number and (got is None or math.isfinite(got))
+
+
+def test_requests_take_mappings_and_grouped_distinct_counts(spark):
+    from tallyframe.plans.request import analyze
+
+    df = spark.createDataFrame([("a", "x", 1, 2.0), ("a", "y", 1, 5.0), ("b", "x", 2, 3.0), ("b", "x", 3, 1.0)], "g string, h string, k long, v double")
+    levels = [{"dimension": "g", "top_n": 1}, {"dimension": "h"}]
+    asked = {"operation": "top", "metrics": [{"field": "v", "aggregation": "sum"}]}
+    as_pairs = analyze(df, {**asked, "ranking_levels": [("g", 1), ("h", 5)]}).collect()
+    assert sorted(analyze(df, {**asked, "ranking_levels": levels}).collect()) == sorted(as_pairs) and len(as_pairs) == 2
+    counts = analyze(df, {"operation": "distinct_count", "field": "k", "group_by": ["g"]}).collect()
+    assert {r.g: r.k for r in counts} == {"a": 1, "b": 2}
+    for wrong in ({**asked, "ranking_levels": [{"top_n": 1}, {"dimension": "h"}]}, {**asked, "metrics": [{"aggregation": "sum"}], "group_by": ["g"]}):
+        with pytest.raises(ValueError):
+            analyze(df, wrong)
