@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import let, named, text_batches, tidy
+from tallyframe.llm.common import let, named, release_memory, text_batches, tidy
 
 #: Splits text into the words within which bytes merge. White space is spelled out, since the
 #: engines differ in what they call so.
@@ -25,7 +25,7 @@ _IDS = 1 << 16
 PACK_WORDS = 1_500_000
 #: Frequent words whose ids every task is given, and the documents, chosen by a hash of their text, in
 #: which they are counted. They spare folding the same words in every pack; any list gives the same ids.
-FREQUENT_WORDS = 1 << 18
+FREQUENT_WORDS = 1 << 17
 FREQUENT_DOCS = 20_000
 #: Words of more bytes, long runs without a break, are merged with a heap.
 LONG_WORD = 64
@@ -254,7 +254,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
 
     Each match of the pattern is a word. A task gathers some million words, and Spark folds the
     merges over the distinct ones; their ids then stand for every place of theirs. Words that are
-    frequent in a sample are folded once beforehand, and every task is given their ids, some 10 MB.
+    frequent in a sample are folded once beforehand, and every task is given their ids, some 5 MB.
     Texts are never shuffled.
     Words of more than 64 bytes, which a fold would copy too often, are merged with a heap instead.
     Null and empty texts have no ids; a null doc_id is kept; repeated rows each give a row; no rows
@@ -272,7 +272,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
     top = frequent_words(split(some), ranks_path, table)
     ids, words = top.column("ids").combine_chunks(), top.column("word").combine_chunks()
     sizes = np.diff(ids.offsets.to_numpy())[: len(ids)].astype(np.int64)
-    frequent = spark.sparkContext.broadcast((words, ids.flatten().to_numpy(), sizes))  # at most 262,144 short words
+    frequent = spark.sparkContext.broadcast((words, ids.flatten().to_numpy(), sizes))  # at most 131,072 short words
+    del top
+    release_memory()
     shape = "doc_ids array<bigint>, sizes binary, codes binary, known binary, pieces array<array<int>>, long binary, long_words array<binary>"
     packs = split(docs).mapInArrow(tidy(_pack(ranks_path, frequent)), shape)
     folded = let(table, lambda t: F.transform("pieces", lambda p: merged_ids(p, t)))  # one copy of the map

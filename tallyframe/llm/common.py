@@ -63,8 +63,18 @@ def worker_state(name: str) -> dict:
     return module.__dict__.setdefault(name, {})
 
 
+def release_memory() -> None:
+    """Gives memory that the allocators of this process hold, but no longer use, back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def tidy(run):
-    """The same function over Arrow batches, which at its end gives the memory it used back to the machine.
+    """The same function over Arrow batches, which at its end releases the memory it used.
 
     Python workers wait for further tasks; what their allocators hold would count against the executor.
     """
@@ -73,11 +83,6 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            release_memory()
 
     return wrapped

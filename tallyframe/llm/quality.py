@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import named, text_batches, tidy
+from tallyframe.llm.common import named, release_memory, text_batches, tidy
 from tallyframe.llm.crf import Crf, fit, marginals
 
 #: The bounds of the training sample: labelled documents, and lines of each.
@@ -155,9 +155,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return Crf(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)))
     lengths = np.array([r["lines"] for r in rows])
     width = 3 * len(_RANGES) + 1
-    features = np.concatenate([np.frombuffer(r["features"], "<i2").reshape(-1, width) for r in rows]).astype(np.int64)
+    features = np.concatenate([np.frombuffer(r["features"], "<i2").reshape(-1, width) for r in rows]).astype(np.int32)
     weights = np.concatenate([np.frombuffer(r["weights"], "<f4") * r["lines"] for r in rows]).astype(np.float64)
-    return fit(features, np.repeat([r["label"] for r in rows], lengths), lengths, N_FEATURES, 2, row_weights=weights)
+    model = fit(features, np.repeat([r["label"] for r in rows], lengths), lengths, N_FEATURES, 2, row_weights=weights)
+    del rows, features, weights
+    release_memory()
+    return model
 
 
 def with_scores(docs: DataFrame, model: Crf, text: str = "text", score: str = "score") -> DataFrame:
