@@ -384,3 +384,57 @@ def test_pipeline_stages(spark, odd):
     assert left == expected
     rows = corpus_pipeline.run(spark, sf)
     assert rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and rows.count() > 0
+
+
+def jaccard(x, y):
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def shingle_set(text):
+    own = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))} if own else set()
+
+
+def similar_ids(texts, threshold=0.8):
+    """The smallest id of each component, by brute force."""
+    ids = sorted(texts)
+    sets = [shingle_set(texts[i]) for i in ids]
+    root = list(range(len(ids)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if jaccard(x, sets[j]) >= threshold:
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    return {ids[find(i)] for i in range(len(ids))}
+
+
+def planted_copies(seed=11):
+    """Texts, each with copies of a shingle similarity just over 0.8, 0.85, 0.9 and 0.95, and one under 0.8."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("aeiounrstlkm", k=rng.randint(3, 7)))
+    texts = []
+    for _ in range(40):
+        base = [word() for _ in range(rng.randint(150, 400))]
+        for goal in (0.8, 0.85, 0.9, 0.95, 0.7):
+            copy = list(base)
+            while jaccard(shingle_set(" ".join(copy)), shingle_set(" ".join(base))) >= goal:
+                before, at = list(copy), rng.randrange(len(copy))
+                copy[at] = word()
+            texts.append(" ".join(copy if goal == 0.7 else before))
+        texts.append(" ".join(base))
+    return dict(enumerate(texts))
+
+
+def test_pipeline_links_copies_of_similarity_four_fifths(spark):
+    import corpus_pipeline
+
+    texts = planted_copies()
+    frame = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame.repartition(4), "").collect()}
+    assert kept == similar_ids(texts)
