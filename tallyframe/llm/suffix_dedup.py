@@ -449,7 +449,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                         F.coalesce(named(text), F.lit("")).cast("binary").alias("text"))
     repeated = has_repeats(docs, doc_id)
     rows = shape.withColumn("t", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
-    spans = covered_spans(rows.select("d", "t", "text"), length, gram)
+    ones = rows.select("d", "t", "text")
+    # else the anchors of a document would be covered by those of its own other row
+    spans = covered_spans(materialize(ones.dropDuplicates(["d", "t"]), "suffix-documents") if repeated else ones, length, gram)
     lists = spans.groupBy("d", "t").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     near, far = _near_texts(rows, spans)
     joined = near.join(lists, ["d", "t"], "left")

@@ -438,3 +438,16 @@ def test_pipeline_links_copies_of_similarity_four_fifths(spark):
     frame = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame.repartition(4), "").collect()}
     assert kept == similar_ids(texts)
+
+
+def test_rows_of_one_document_keep_a_copy(spark):
+    rng = random.Random(4)
+    line = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage, alone, null = line(300), line(250), line(180)
+    rows = [(5, passage), (5, passage), (5, passage), (7, alone + passage), (7, alone + passage), (None, null), (None, null), (9, line(40) + null)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    expected = repeats({-1 if i is None else i: t for i, t in rows})
+    assert len(got) == len(rows)
+    for r in got:
+        assert (bytes(r.kept), r.n_removed, r.n_spans) == expected[-1 if r.doc_id is None else r.doc_id]
+    assert {r.n_removed for r in got if r.doc_id in (5, None)} == {0}
