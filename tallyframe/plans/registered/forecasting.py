@@ -119,7 +119,7 @@ def fit_ridge(spark, sf):
 
 @query("fit_boosted_trees")
 def fit_boosted_trees(spark, sf):
-    return ops.fit_boosted_trees(monthly_features(spark, sf), KEYS, max_iterations=10)
+    return ops.fit_boosted_trees(monthly_features(spark, sf), KEYS)
 
 
 @query("validate_models")

@@ -173,3 +173,18 @@ def test_forecast_cleans_gates_and_reports(spark, rows):
     assert all(r["is_capped"] for r in once) and max(r["step"] for r in once) == 14
     status = {r["k"]: (r["status"], r["horizon"]) for r in rows(forecast.series_statuses(df, "v", "date", "day", ["k"], 20))}
     assert status == {"a": ("forecast", 14), None: ("forecast", 14), "flat": ("flat series", None), "short": ("too few periods", None)}
+
+
+def test_registered_boosted_trees_run_the_default_rounds(monkeypatch):
+    import inspect
+
+    from tallyframe.plans.registered import forecasting
+
+    real, used = forecasting.ops.fit_boosted_trees, []
+    monkeypatch.setattr(forecasting, "monthly_features", lambda spark, sf: None)
+    monkeypatch.setattr(
+        forecasting.ops, "fit_boosted_trees",
+        lambda *args, **named: used.append(inspect.signature(real).bind(*args, **named).arguments.get("max_iterations")),
+    )
+    forecasting.fit_boosted_trees(None, "")
+    assert used == [None]
