@@ -12,6 +12,7 @@ from tallyframe.llm.bpe import decode, encode
 from tallyframe.llm.common import text_batches
 from tallyframe.llm.host_rules import apply_host_rules
 from tallyframe.llm.html_text import extract_text
+from tallyframe.llm.lexical_search import search
 from tallyframe.llm.licenses import scan_licences, scan_sql
 from tallyframe.llm.mixing import mix_sources
 from tallyframe.llm.pivot_search import top_k
@@ -137,3 +138,34 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_licence_scan", sql=scan_sql())
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
+
+
+@query("op13_lexical_search", sql=r"""
+WITH counted AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+    FROM documents
+), docs AS (
+    SELECT r, doc_id, len(t)::BIGINT AS n, t FROM counted WHERE len(t) > 0
+), whole AS (
+    SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM docs
+), item_terms AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+), tfs AS (
+    SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, n, unnest(t) AS term FROM docs)
+    WHERE term IN (SELECT term FROM item_terms) GROUP BY ALL
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, whole GROUP BY term
+), scored AS (
+    SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::BIGINT AS score
+    FROM item_terms JOIN tfs USING (term) JOIN weights USING (term), whole GROUP BY item_id, r, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+""")
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
