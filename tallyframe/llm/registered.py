@@ -20,6 +20,7 @@ from tallyframe.llm.quality import score_quality
 from tallyframe.llm.simhash import near_duplicates
 from tallyframe.llm.suffix_dedup import remove_repeats
 from tallyframe.llm.token_files import read_token_files, write_token_files
+from tallyframe.llm.turn_repair import damaged, repair_conversations
 from tallyframe.plans.registered.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +170,8 @@ FROM scored WHERE score > 0 QUALIFY rank <= 10
 """)
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_turn_repair")
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damaged(table(spark, sf_dir, "conversations")), gone="gone").report()
