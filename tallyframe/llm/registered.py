@@ -21,6 +21,7 @@ from tallyframe.llm.simhash import near_duplicates
 from tallyframe.llm.suffix_dedup import remove_repeats
 from tallyframe.llm.token_files import read_token_files, write_token_files
 from tallyframe.llm.turn_repair import damaged, repair_conversations
+from tallyframe.llm.warc import read_warc, write_warc
 from tallyframe.plans.registered.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +176,9 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_turn_repair")
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damaged(table(spark, sf_dir, "conversations")), gone="gone").report()
+
+
+@query("op11_warc")
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_warc(write_warc(table(spark, sf_dir, "pages")), payload=False).where("record_type in ('response', 'revisit')")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
