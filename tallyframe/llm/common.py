@@ -30,6 +30,12 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def refuse_clash(df: DataFrame, *added: str) -> None:
+    """An error where the rows already have a column of a name that is to be added."""
+    if clash := sorted({c.lower() for c in df.columns} & {c.lower() for c in added}):
+        raise ValueError(f"columns that would be there twice: {', '.join(clash)}")
+
+
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
     """The rows written as Parquet into the folder that all executors share, and read from there.
 

@@ -16,7 +16,10 @@ class Crf:
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         """features: for each row the numbers of its features, as many for every row."""
-        return self.weights[features].sum(axis=1)
+        total = np.zeros((len(features), self.weights.shape[1]))
+        for j in range(features.shape[1]):  # one column at a time, so that memory stays that of the scores
+            total += self.weights[features[:, j]]
+        return total
 
 
 def _order(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

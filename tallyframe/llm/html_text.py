@@ -39,7 +39,8 @@ _HINTS = tuple((name, re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I))
     ("form", r"search\w*|login|form|contact|poll|survey"),
 ))
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]{0,10000}+"|'[^']{0,10000}+')*+)>""")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_SPECIAL = re.compile("[>\"']")
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^<>]*+)>?")
 
 
@@ -51,6 +52,35 @@ class Block:
     linked: int  # characters inside links
 
 
+class _TagEnds:
+    """Where tags of a page end: at the first > outside quotes.
+
+    Quotes from which no such end follows are kept, and so is the next special character, so a page of
+    unclosed tags or quotes is not read again for each of them. Asked for rising places.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.dead: set[int] = set()
+        self.next = -1
+
+    def after(self, at: int) -> int:
+        """The place behind the tag whose name ends at `at`; -1 if it has no end."""
+        if self.next < at:
+            found = _SPECIAL.search(self.page, at)
+            self.next = found.start() if found else len(self.page)
+        place, passed = self.next, []
+        while place < len(self.page) and place not in self.dead:
+            if self.page[place] == ">":
+                return place + 1
+            passed.append(place)
+            closed = self.page.find(self.page[place], place + 1)
+            found = _SPECIAL.search(self.page, closed + 1) if closed >= 0 else None
+            place = found.start() if found else len(self.page)
+        self.dead.update(passed)
+        return -1
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The blocks of a page in order: runs of text and inline elements between block elements.
 
@@ -62,6 +92,7 @@ def leaf_blocks(page: str) -> list[Block]:
     open_: Counter[str] = Counter()
     pieces: list[str] = []
     linked, in_link, at = 0, 0, 0
+    ends = _TagEnds(page)
     lower = page.lower() if len(page.lower()) == len(page) else None
 
     def flush() -> None:
@@ -100,13 +131,17 @@ def leaf_blocks(page: str) -> list[Block]:
             end = page.find(">", start)
             at = len(page) if end < 0 else end + 1
             continue
-        found = _TAG.match(page, start) or _LOOSE_TAG.match(page, start)
+        found = _NAME.match(page, start)
         if not found:
             add("<")
             at = start + 1
             continue
-        closing, tag, rest = found[1], found[2].lower(), found[3]
-        at = found.end()
+        closing, tag, after = found[1], found[2].lower(), ends.after(found.end())
+        if after < 0:
+            loose = _LOOSE_TAG.match(page, start)
+            rest, at = loose[3], loose.end()
+        else:
+            rest, at = page[found.end() : after - 1], after
         if tag in _SKIPPED and not closing and not rest.endswith("/"):
             if tag == "head":  # its children are skipped one by one; it ends where the body begins
                 flush()

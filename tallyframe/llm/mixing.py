@@ -64,7 +64,8 @@ def balanced_tilts(cells: DataFrame, targets: DataFrame, most: int = MOST, toler
     bound on each rate, has a convex dual with one multiplier a source. Newton steps on the logarithm
     of the constraint solve it, each an aggregation of all cells; steps out of the bracket, where the
     bound makes a kink, are halved instead. Sources whose target is their bound or zero need no step.
-    `scale` is the source's mean size. At most 60 steps; fewer than ten are usual.
+    `scale` is the source's mean size. Fewer than ten steps are usual;
+    not to settle in 60 is an error.
     """
     sized = cells.where("size > 0")
     ends = sized.groupBy("source").agg(
@@ -102,6 +103,8 @@ def balanced_tilts(cells: DataFrame, targets: DataFrame, most: int = MOST, toler
         ), "mix-tilts")
         if state.where("NOT done").isEmpty():
             break
+    else:
+        raise RuntimeError("the tilts of the mix did not settle")
     return state.select("source", "scale", "tilt")
 
 

@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import named, release_memory, text_batches, tidy
+from tallyframe.llm.common import named, refuse_clash, release_memory, text_batches, tidy
 from tallyframe.llm.crf import Crf, fit, marginals
 
-#: The bounds of the training sample: labelled documents, and lines of each.
+#: The bounds of the training sample: labelled documents, and lines of each, chosen by a hash of their place.
 TRAIN_DOCS = 4000
 TRAIN_LINES = 300
 #: Upper ends of the value ranges of each measure of a line; a feature is a measure in a range.
@@ -121,15 +121,25 @@ def line_features(measures: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.hstack([own, before + (_OWN + 1), after + 2 * (_OWN + 1), np.full((n, 1), 3 * (_OWN + 1))])
 
 
+def chosen_lines(doc_id: int, lines: int) -> np.ndarray:
+    """The places, in order, of the lines of a text that training sees: all, or TRAIN_LINES of least hash."""
+    if lines <= TRAIN_LINES:
+        return np.arange(lines)
+    mixed = (np.arange(lines, dtype=np.uint64) + np.uint64(doc_id % (1 << 64))) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.sort(np.argsort(mixed ^ (mixed >> np.uint64(32)), kind="stable")[:TRAIN_LINES])
+
+
 def _bytes(column: pa.Array) -> list[bytes]:
     return [(v or "").encode("utf-8", "surrogatepass") for v in column.to_pylist()]
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> Crf:
-    """A field fitted on a bounded sample: at most 4,000 labelled documents, the first 300 lines of each.
+    """A field fitted on a bounded sample: at most 4,000 labelled documents, and 300 lines of each.
 
-    Documents are chosen by a hash of their id among `labels`; every line takes its document's label,
-    weighted by its share of it. Rows without label, id or text are left out; with none, all weights
+    Documents are chosen by a hash of their id among `labels`, lines by a hash of their place in the whole
+    text, with the features of their neighbours there. Every line takes its document's label, weighted by
+    its share of the lines chosen. Of rows that share an id, one counts. Rows without label, id or text are left out; with none, all weights
     are zero. Only features reach the driver: some 40 small numbers a line.
     """
     text_batches(docs.sparkSession)
@@ -145,12 +155,15 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             features, ends = line_features(measures, lengths), np.cumsum(lengths)
             rows = []
             for i, (end, length) in enumerate(zip(ends, lengths)):
-                part = slice(end - length, end - length + min(length, TRAIN_LINES))
-                rows.append({"id": batch.column(0)[i].as_py(), "label": batch.column(2)[i].as_py(), "lines": min(int(length), TRAIN_LINES),
+                doc = batch.column(0)[i].as_py()
+                part = end - length + chosen_lines(doc, int(length))
+                rows.append({"id": doc, "label": batch.column(2)[i].as_py(), "lines": len(part),
                              "features": features[part].astype("<i2").tobytes(), "weights": (weights[part] / weights[part].sum()).astype("<f4").tobytes()})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("id", pa.int64()), ("label", pa.int32()), ("lines", pa.int32()), ("features", pa.binary()), ("weights", pa.binary())]))
 
-    rows = chosen.select("_id", "text", "_label").mapInArrow(tidy(run), "id long, label int, lines int, features binary, weights binary").toArrow().sort_by("id").to_pylist()
+    found = chosen.select("_id", "text", "_label").mapInArrow(tidy(run), "id long, label int, lines int, features binary, weights binary")
+    ones = found.groupBy("id").agg(F.min(F.struct("lines", "features", "weights", "label")).alias("row")).select("id", "row.*")
+    rows = ones.toArrow().sort_by("id").to_pylist()
     if not rows:
         return Crf(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)))
     lengths = np.array([r["lines"] for r in rows])
@@ -163,8 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return model
 
 
-def with_scores(docs: DataFrame, model: Crf, text: str = "text", score: str = "score") -> DataFrame:
-    """All columns of the documents and the score of each text, 0 to 1: the length-weighted mean of
+def scored_rows(docs: DataFrame, model: Crf, text: str = "text") -> DataFrame:
+    """row (all columns of a document) and the score of its text, 0 to 1: the length-weighted mean of
     its lines' probabilities of being good. Null and empty texts are scored as one empty line."""
     text_batches(docs.sparkSession)
     rows = docs.select(F.struct("*").alias("row"), named(text).alias("text"))
@@ -182,7 +195,13 @@ def with_scores(docs: DataFrame, model: Crf, text: str = "text", score: str = "s
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     shape = StructType([StructField("row", rows.schema["row"].dataType), StructField("score", DoubleType())])
-    return rows.mapInArrow(tidy(run), shape).select("row.*", F.col("score").alias(score))
+    return rows.mapInArrow(tidy(run), shape)
+
+
+def with_scores(docs: DataFrame, model: Crf, text: str = "text", score: str = "score") -> DataFrame:
+    """All columns of the documents and the score of `scored_rows`; a document column of that name is an error."""
+    refuse_clash(docs, score)
+    return scored_rows(docs, model, text).select("row.*", F.col("score").alias(score))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import has_repeats, materialize, named, text_batches, tidy
+from tallyframe.llm.common import has_repeats, materialize, named, refuse_clash, text_batches, tidy
 
 LENGTH = 100
 GRAM = 32
@@ -432,8 +432,8 @@ def covered_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     return materialize(both.select("d", "t", start.alias("start"), (start + F.col("b") + length).alias("end")), "suffix-spans")
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """All columns of the documents with kept (binary, what is left of the text's UTF-8 bytes),
+def cut_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """row (all columns of a document) with kept (binary, what is left of the text's UTF-8 bytes),
     kept_text (the same without characters that were cut through), n_removed and n_spans (maximal
     removed runs).
 
@@ -462,4 +462,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     out = StructType([StructField("row", shape.schema["row"].dataType), StructField("kept", BinaryType()), StructField("kept_text", StringType()), StructField("n_removed", LongType()), StructField("n_spans", LongType())])
     cut = touched.select("row", "text", "spans").mapInArrow(tidy(_kept), out)
     whole = rest.select("row", F.col("text").alias("kept"), F.col("text").cast("string").alias("kept_text"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
-    return cut.unionByName(whole).select("row.*", "kept", "kept_text", "n_removed", "n_spans")
+    return cut.unionByName(whole)
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """All columns of the documents with kept, kept_text, n_removed and n_spans, as `cut_rows` gives them;
+    document columns of these names are an error."""
+    refuse_clash(docs, "kept", "kept_text", "n_removed", "n_spans")
+    return cut_rows(docs, doc_id, text, length, gram).select("row.*", "kept", "kept_text", "n_removed", "n_spans")

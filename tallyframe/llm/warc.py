@@ -29,6 +29,8 @@ from tallyframe.sources.shared import shared_folder
 #: Bytes of an archive after which a task begins another, and of a range that one task searches.
 FILE_BYTES = 1 << 30
 SPLIT_BYTES = 8 << 20
+#: Ranges beyond this number share tasks.
+MOST_TASKS = 50_000
 _CHUNK = 1 << 16
 _END = b"\r\n\r\n"
 _PLAIN, _PACKED = b"WARC/1.", b"\x1f\x8b\x08"
@@ -331,6 +333,11 @@ def _read(with_payload: bool):
     return run
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Short rows that each stand for a long read, one a task; a number keeps Spark from merging them by their size."""
+    return rows.repartition(max(1, min(rows.count(), MOST_TASKS)))
+
+
 def verified_starts(files: DataFrame, split_bytes: int = SPLIT_BYTES, rounds: int = 64) -> DataFrame:
     """folder, file, bytes, at and end: the first record that truly begins in each range, and the range's end.
 
@@ -342,7 +349,7 @@ def verified_starts(files: DataFrame, split_bytes: int = SPLIT_BYTES, rounds: in
     real = files.where("bytes > 0").select("folder", "file", "bytes")
     begins = real.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("begin"))
     ranges = begins.withColumn("end", F.least(F.col("begin") + split_bytes, F.col("bytes")))
-    found = materialize(ranges.repartition("folder", "file", "begin").mapInArrow(tidy(_searched), _FOUND), "warc-candidates")
+    found = materialize(_dealt(ranges).mapInArrow(tidy(_searched), _FOUND), "warc-candidates")
     key = ["folder", "file"]
     reached = real.select(*key, F.lit(0).cast("long").alias("at"))
     jumps = found.where("leaves is not null and leaves < bytes").select(*key, "at", F.col("leaves").alias("to"))
@@ -371,8 +378,7 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, payload: bool =
     Empty archives, and no archives, have no records.
     """
     text_batches(files.sparkSession)
-    starts = verified_starts(files, split_bytes).repartition("folder", "file", "at")
-    return starts.mapInArrow(tidy(_read(payload)), RECORD)
+    return _dealt(verified_starts(files, split_bytes)).mapInArrow(tidy(_read(payload)), RECORD)
 
 
 def with_revisited(records: DataFrame) -> DataFrame:

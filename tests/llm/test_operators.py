@@ -343,7 +343,7 @@ def every_operator(frame):
     yield "simhash", simhash.near_duplicates(frame)
     yield "mix", mixing.mix_sources(frame)
     yield "licences", licenses.scan_licences(frame)
-    yield "repeats", suffix_dedup.remove_repeats(frame)
+    yield "repeats", suffix_dedup.cut_rows(frame)
     yield "rules", apply_host_rules(frame)
 
 
@@ -376,9 +376,7 @@ def test_pipeline_stages(spark, odd):
         assert stage(spark, odd, sf).columns == odd.columns, name
     texts = {r.doc_id: r.text for r in docs.collect()}
     near = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()}
-    ids = sorted(texts)
-    roots = closest([fingerprint(texts[i], 5) for i in ids], 4)
-    assert near == {ids[r] for r in roots}
+    assert near == similar_ids(texts)
     left = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, sf).collect()}
     expected = {i: kept.decode("utf-8", "ignore") for i, (kept, removed, _) in repeats(texts).items() if kept or not removed}
     assert left == expected
@@ -386,6 +384,98 @@ def test_pipeline_stages(spark, odd):
     assert rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and rows.count() > 0
 
 
+#: Names that operators and stages use inside or add.
+INNER = """
+    a a_ action advert after aim at b b_ bands base base_failed block both bucket buckets c cell code codes component component_id copies copy count
+    cut d d_ decoded digest end extra fingerprint first flat fp got group h has hash held held_out held_id high home host host_rate id ids ids_crc32
+    ids_sha256 item kept kept_text key known label lack least left licences lines low m mass me more n n_dup_lines n_removed n_repeat_words n_spans
+    n_symbols n_tokens n_words newton node of open part pieces place places predicted quality quota rank rate root row score sentence sentences set
+    shard size sizes sketch slope sp source_size spans start state sub t t_ taken target text_ tilt twice w weight whole word word_chars words x
+    _b _copies _copy _id _l _label _m _q _qb _qs _qz _quality _s _size _source _t _z
+""".split()
+
+
+@pytest.fixture(scope="module")
+def crowded(spark):
+    rows = [(i, f"line {i} of a text that is good.\n" + "words come here " * 12 * (i % 4), "en", "ab"[i % 2], 5) for i in range(14)]
+    rows += [(20, None, None, None, None), (None, "", "en", "a", 0), (3, "again", "en", "a", 5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in INNER)
+    return spark.createDataFrame([(*r, *["x"] * len(INNER)) for r in rows], schema)
+
+
+def test_clashing_names(spark, crowded):
+    import corpus_pipeline
+
+    for name, result in every_operator(crowded):
+        assert result.count() == 17, name
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, crowded, "/root/testdata/sf0.001")
+        assert out.columns == crowded.columns, name
+        assert all(r.fp == "x" for r in out.collect()), name
+    with pytest.raises(ValueError, match="twice: kept, kept_text, n_removed, n_spans"):
+        suffix_dedup.remove_repeats(crowded)
+    with pytest.raises(ValueError, match="twice: score"):
+        quality.with_scores(crowded, crf.Crf(np.zeros((quality.N_FEATURES, 2)), np.zeros((2, 2))))
+    extra = [F.lit("x").alias(c) for c in INNER if c not in ("row",)]
+    pages = spark.createDataFrame([(1, "u", "<article><p>Some words stand here, and more of them.</p></article>")], "page_id long, url string, html string")
+    assert html_text.extract_text(pages.select("*", *extra, F.lit("x").alias("row"))).count() == 1
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "vec_id long, embedding array<double>")
+    assert top_k(vectors.select("*", *extra, F.lit("x").alias("row")), F.col("vec_id") % 3 == 0, k=2).count() == 4
+
+
+def test_long_attributes_and_unclosed_tags():
+    import time
+
+    page = f"<article><p title=\"{'a > b ' * 200_000}\" class=x>Kept words.</p><div data='{'>' * 20_000}\"'>More.</div></article>"
+    assert [b.text for b in html_text.leaf_blocks(page)] == ["Kept words.", "More."]
+    for piece in ('<a "', "<a ", "<a '\"", '<a"', "<a b='\">", "<a b=\"'x"):
+        for end in ("", ">", '"', "'>"):
+            start = time.perf_counter()
+            html_text.leaf_blocks(piece * (1_000_000 // len(piece)) + end)
+            assert time.perf_counter() - start < 15
+
+
+def plain_tag_end(page, at):
+    quote = None
+    for i in range(at, len(page)):
+        if quote:
+            quote = None if page[i] == quote else quote
+        elif page[i] == ">":
+            return i + 1
+        elif page[i] in "'\"":
+            quote = page[i]
+    return -1
+
+
+def test_tag_ends_equal_a_plain_scan():
+    rng = random.Random(8)
+    for _ in range(3000):
+        page = "".join(rng.choices("<a>'\" ", weights=(3, 2, 1, 2, 2, 1), k=rng.randint(0, 24)))
+        ends = html_text._TagEnds(page)
+        for at in range(len(page) + 1):
+            assert ends.after(at) == plain_tag_end(page, at)
+
+
+def test_lines_of_long_texts_are_chosen_all_over():
+    chosen = quality.chosen_lines(7, 30_000)
+    assert len(chosen) == quality.TRAIN_LINES == len(set(chosen.tolist())) and (np.diff(chosen) > 0).all()
+    assert np.histogram(chosen, 10, (0, 30_000))[0].min() > 10
+    assert quality.chosen_lines(7, 5).tolist() == list(range(5))
+
+
+def test_unsettled_mix_is_an_error(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    with pytest.raises(RuntimeError, match="settle"):
+        mixing.mix_sources(docs)
+
+
+def test_repeated_ids_train_once(spark):
+    rows = [(i % 4, f"good text {i % 4}. It goes on.") for i in range(40)]
+    model = quality.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int"))
+    once = quality.train(spark.createDataFrame(rows[:4], "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int"))
+    assert np.array_equal(model.weights, once.weights)
+
+
 def jaccard(x, y):
     return len(x & y) / len(x | y) if x | y else 1.0
 
