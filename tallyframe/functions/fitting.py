@@ -1,80 +1,325 @@
-"""The per-series fit: the one step that runs Python on the executors.
+"""The fits of series: the one step that runs Python on the executors.
 
-Each call sees one short series (or one fold of it) as an Arrow table; Spark decides where.
+Rows come sorted by series and period and pass once. What expanding folds have in common is summed once:
+the regressions of all folds, and the one of the whole series, come from moments of the blocks between
+the folds' starts, merged one after the other; the boosted trees of all folds and series of a batch grow
+together from one histogram of gradients a level.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tallyframe.functions.fixed_values import FEATURE_COLUMNS, LINEAR, RIDGE, RIDGE_ALPHA, SEASONAL
+from tallyframe.functions.fixed_values import (
+    BOOSTED, BOOSTED_DEPTH, BOOSTED_MIN_ROWS, BOOSTING_BINS, BOOSTING_LEAF_ROWS, BOOSTING_RATE, BOOSTING_ROUNDS, FEATURE_COLUMNS, LINEAR,
+    MODELS, NAIVE, RIDGE, RIDGE_ALPHA, SEASONAL,
+)
 
 FEATURES = list(FEATURE_COLUMNS)
+_LAG_1 = FEATURES.index("lag_1")
+#: Rows of whole series that are fitted together.
+BATCH_ROWS = 16_384
+#: Share of the largest eigenvalue, of moments in units of each feature's spread, below which a direction has none.
+_NO_SPREAD = 1e-11
+
+
+@dataclass(frozen=True)
+class Moments:
+    """What least squares needs of some rows: how many, their means, and products of the distances from these.
+
+    The last column is the target. Moments of two sets of rows merge into those of both.
+    """
+
+    n: int
+    mean: np.ndarray
+    products: np.ndarray
+
+    @classmethod
+    def of(cls, features: np.ndarray, target: np.ndarray) -> Moments:
+        rows = np.column_stack([features, target])
+        if not len(rows):
+            return cls(0, np.zeros(rows.shape[1]), np.zeros((rows.shape[1], rows.shape[1])))
+        mean = rows.mean(axis=0)
+        apart = rows - mean
+        return cls(len(rows), mean, apart.T @ apart)
+
+    def merge(self, other: Moments) -> Moments:
+        n = self.n + other.n
+        if not self.n or not other.n:
+            return self if other.n == 0 else other
+        gap = other.mean - self.mean
+        return Moments(n, self.mean + gap * (other.n / n), self.products + other.products + np.outer(gap, gap) * (self.n * other.n / n))
+
+    def solve(self, algorithm: str) -> tuple[np.ndarray, float]:
+        """Slope and intercept. Ridge shrinks the slope only; least squares takes the shortest of the best slopes."""
+        square, cross = self.products[:-1, :-1], self.products[:-1, -1]
+        if algorithm == RIDGE:
+            square = square + RIDGE_ALPHA * np.eye(len(square))
+        spread = np.sqrt(np.diag(square))
+        unit = np.where(spread > 0, spread, 1.0)
+        scaled, aim = square / np.outer(unit, unit), cross / unit
+        if algorithm == RIDGE:
+            slope = np.linalg.solve(scaled, aim) / unit
+        else:
+            size, axes = np.linalg.eigh(scaled)
+            real = size > _NO_SPREAD * max(size[-1], 0.0) if len(size) else np.zeros(0, bool)
+            slope = axes[:, real] @ ((axes[:, real].T @ aim) / size[real]) / unit
+            if not real.all():  # what the rows leave open is chosen so that the slope is shortest
+                free = axes[:, ~real] / unit[:, None]
+                length = np.sqrt((free * free).sum(axis=0))
+                slope = slope - free / length @ np.linalg.lstsq(free / length, slope, rcond=None)[0]
+        return slope, float(self.mean[-1] - self.mean[:-1] @ slope)
 
 
 def coefficients(features: np.ndarray, target: np.ndarray, algorithm: str) -> tuple[np.ndarray, float]:
-    """Slope and intercept by least squares on centred data; ridge shrinks the slope only."""
-    centre, level = features.mean(axis=0), target.mean()
-    x, y = features - centre, target - level
-    if algorithm == RIDGE:
-        slope = np.linalg.solve(x.T @ x + RIDGE_ALPHA * np.eye(x.shape[1]), x.T @ y)
-    else:
-        slope = np.linalg.lstsq(x, y, rcond=None)[0]
-    return slope, float(level - centre @ slope)
+    """Slope and intercept by least squares or ridge over all rows."""
+    return Moments.of(features, target).solve(algorithm)
+
+
+def fold_bounds(n: int) -> list[tuple[int, int]]:
+    """First row and end of the test block of each expanding fold over n rows; what comes before it trains."""
+    if n < 3:
+        return []
+    k = min(5, max(2, n // 6), n - 1)
+    size = n // (k + 1)
+    return [(n - (k - f) * size, n - (k - f - 1) * size) for f in range(k)]
+
+
+def fold_coefficients(features: np.ndarray, target: np.ndarray, bounds: list[tuple[int, int]], algorithms: Sequence[str]) -> dict:
+    """(algorithm, fold) to slope and intercept of the rows before the fold; each row is summed once."""
+    out, known, done = {}, Moments.of(features[:0], target[:0]), 0
+    for fold, (start, _) in enumerate(bounds):
+        known, done = known.merge(Moments.of(features[done:start], target[done:start])), start
+        for algorithm in algorithms:
+            out[algorithm, fold] = known.solve(algorithm)
+    return out
+
+
+@dataclass(frozen=True)
+class Trees:
+    """Boosted trees of one fit: a start value, and trees of 31 places, the children of place i at 2 i and 2 i + 1."""
+
+    start: float
+    feature: np.ndarray
+    threshold: np.ndarray
+    value: np.ndarray
+
+    def predict(self, row: np.ndarray) -> float:
+        tree, place = np.arange(len(self.feature)), np.ones(len(self.feature), np.int64)
+        for _ in range(BOOSTED_DEPTH):
+            feature = self.feature[tree, place]
+            place = np.where(feature < 0, place, 2 * place + (row[feature] > self.threshold[tree, place]))
+        return float(self.start + self.value[tree, place].sum())
 
 
-def by_group(batches: Iterator[pa.RecordBatch], names: list[str], function: Callable[[pa.Table], pa.Table]) -> Iterator[pa.RecordBatch]:
-    """Apply a function to every run of rows with equal keys in batches that are sorted by them.
+def bin_edges(column: np.ndarray) -> np.ndarray:
+    """Upper ends of the bins of a feature: halfway between its values, or between percentiles of many."""
+    known = np.unique(column)
+    if len(known) <= BOOSTING_BINS:
+        return (known[:-1] + known[1:]) / 2
+    return np.unique(np.percentile(column, np.linspace(0, 100, BOOSTING_BINS + 1)[1:-1], method="midpoint"))
 
-    A run may go on into the next batch, so the last one of each batch waits for it.
+
+def boost(
+    fits: list[tuple[np.ndarray, np.ndarray, int]], keep: bool = False, rounds: int = BOOSTING_ROUNDS,
+) -> tuple[list[np.ndarray], list[Trees]]:
+    """Boosted trees of many fits at once: predictions of all their rows, and the trees if they are to be kept.
+
+    A fit is (features, target, how many rows at its front train). Features are put into bins once.
+    In each round the trees of all fits grow level by level: gradients are summed over (node, feature,
+    bin) in one pass, their running sums give the gain of every split, and the best one of each node is
+    taken, the first feature and lowest bin among equals. Leaves hold 20 rows or more, so most fits stop early.
     """
-    waiting = None
+    n_features = len(FEATURES) if not fits else fits[0][0].shape[1]
+    starts = [float(y[:n].mean()) for _, y, n in fits]
+    live = [i for i, (_, _, n) in enumerate(fits) if n >= 2 * BOOSTING_LEAF_ROWS]  # others have one leaf, their mean
+    predictions = [np.full(len(x), start) for (x, _, _), start in zip(fits, starts)]
+    places = 1 << (BOOSTED_DEPTH + 1)
+    trees = [Trees(start, np.full((0, places), -1, np.int16), np.zeros((0, places)), np.zeros((0, places))) for start in starts]
+    if not live:
+        return predictions, trees
+    edges = [[bin_edges(fits[i][0][: fits[i][2], f]) for f in range(n_features)] for i in live]
+    bins = max(len(e) for own in edges for e in own) + 1
+    code = np.concatenate([
+        np.column_stack([np.searchsorted(e, fits[i][0][:, f], "left") for f, e in enumerate(own)]) for i, own in zip(live, edges)
+    ]).astype(np.int64)
+    sizes = np.array([len(fits[i][0]) for i in live])
+    unit = np.repeat(np.arange(len(live)), sizes)
+    inside = np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    train = inside < np.repeat([fits[i][2] for i in live], sizes)
+    target = np.concatenate([fits[i][1] for i in live])
+    raw = np.repeat([starts[i] for i in live], sizes)
+    spot = code + np.arange(n_features) * bins
+    cells = n_features * bins
+    kept = [(np.full((rounds, places), -1, np.int16), np.zeros((rounds, places)), np.zeros((rounds, places))) for _ in live] if keep else []
+    root_counts = None
+    for step in range(rounds):
+        gradient = (raw - target).astype(np.float32).astype(np.float64)
+        place = np.ones(len(unit), np.int64)
+        nodes = np.arange(len(live)) * places + 1  # of every fit, those that may still be split
+        for depth in range(BOOSTED_DEPTH):
+            number = np.full(len(live) * places, -1)
+            number[nodes] = np.arange(len(nodes))
+            at = number[unit * places + place]
+            rows = np.flatnonzero(at >= 0)
+            mine = rows[train[rows]]
+            flat = (at[mine, None] * cells + spot[mine]).ravel()
+            shape = (len(nodes), n_features, bins)
+            sums = np.bincount(flat, np.repeat(gradient[mine], n_features), len(nodes) * cells).reshape(shape)
+            if depth or root_counts is None:
+                counts = np.bincount(flat, minlength=len(nodes) * cells).reshape(shape)
+                root_counts = counts if not depth else root_counts
+            else:
+                counts = root_counts
+            left_n, left = counts.cumsum(axis=2)[:, :, :-1], sums.cumsum(axis=2)[:, :, :-1]
+            n, total = counts[:, :1].sum(axis=2)[:, :, None], sums[:, :1].sum(axis=2)[:, :, None]
+            right_n = n - left_n
+            fair = (left_n >= BOOSTING_LEAF_ROWS) & (right_n >= BOOSTING_LEAF_ROWS)
+            gain = left * left / np.maximum(left_n, 1) + (total - left) ** 2 / np.maximum(right_n, 1) - total * total / n
+            gain = np.where(fair, gain, -1.0).reshape(len(nodes), -1)
+            if not gain.shape[1]:
+                break
+            best = gain.argmax(axis=1)
+            splits = gain[np.arange(len(nodes)), best] > 0
+            feature, bin_ = np.divmod(best, bins - 1)
+            if keep:
+                for node, f, b in zip(nodes[splits], feature[splits], bin_[splits]):
+                    own, spot_of = divmod(int(node), places)
+                    kept[own][0][step, spot_of], kept[own][1][step, spot_of] = f, edges[own][f][b]
+            moved = rows[splits[at[rows]]]
+            node = at[moved]
+            place[moved] = 2 * place[moved] + (code[moved, feature[node]] > bin_[node])
+            held = left_n.reshape(len(nodes), -1)[np.arange(len(nodes)), best]
+            parents, lefts = nodes[splits], held[splits]
+            rights = n[splits, 0, 0] - lefts
+            base, own = parents // places * places, parents % places
+            both = np.concatenate([base + 2 * own, base + 2 * own + 1])
+            nodes = np.sort(both[np.concatenate([lefts, rights]) >= 2 * BOOSTING_LEAF_ROWS])
+            if not len(nodes):
+                break
+        leaf = unit * places + place
+        size = len(live) * places
+        count = np.bincount(leaf[train], minlength=size)
+        value = -BOOSTING_RATE * np.bincount(leaf[train], gradient[train], size) / np.maximum(count, 1)
+        raw = raw + value[leaf]
+        if keep:
+            for own in range(len(live)):
+                kept[own][2][step] = value[own * places : (own + 1) * places]
+    for own, (i, part) in enumerate(zip(live, np.split(raw, np.cumsum(sizes)[:-1]))):
+        predictions[i] = part
+        if keep:
+            trees[i] = Trees(starts[i], *kept[own])
+    return predictions, trees
+
+
+def in_batches(
+    batches: Iterator[pa.RecordBatch], names: list[str], function: Callable[[pa.Table, list[int]], pa.Table], rows: int = BATCH_ROWS,
+) -> Iterator[pa.RecordBatch]:
+    """Apply a function to whole series, many at a time, in batches that are sorted by the names.
+
+    It is given a table and the places where its series begin, and the table's length. A series may go on
+    into the next batch, so the last one always waits for it.
+    """
+    held: list[pa.Table] = []
+    size = 0
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if waiting is not None:
-            table = pa.concat_tables([waiting, table]).combine_chunks()
-        changes = np.zeros(max(len(table) - 1, 0), dtype=bool)
-        for name in names:
-            column = table.column(name).combine_chunks()
-            before, after = column.slice(0, len(column) - 1), column.slice(1)
-            differs = pc.fill_null(pc.not_equal(before, after), False).to_numpy(zero_copy_only=False)
-            gap = pc.is_null(before).to_numpy(zero_copy_only=False) != pc.is_null(after).to_numpy(zero_copy_only=False)
-            changes |= differs | gap
-        starts = [0, *(np.flatnonzero(changes) + 1).tolist()]
-        done = [function(table.slice(a, b - a)) for a, b in zip(starts, starts[1:])]
-        waiting = table.slice(starts[-1])
-        if done:
-            yield from pa.concat_tables(done).combine_chunks().to_batches()
-    if waiting is not None and len(waiting):
-        yield from function(waiting).combine_chunks().to_batches()
+        held.append(pa.Table.from_batches([batch]))
+        size += len(batch)
+        if size >= rows:
+            table = pa.concat_tables(held).combine_chunks()
+            starts = _starts(table, names)
+            if len(starts) > 1:
+                yield from function(table.slice(0, starts[-1]).combine_chunks(), starts).combine_chunks().to_batches()
+            held, size = [table.slice(starts[-1])], len(table) - starts[-1]
+    if size:
+        table = pa.concat_tables(held).combine_chunks()
+        yield from function(table, [*_starts(table, names), len(table)]).combine_chunks().to_batches()
+
+
+def _starts(table: pa.Table, names: list[str]) -> list[int]:
+    changes = np.zeros(max(len(table) - 1, 0), dtype=bool)
+    for name in names:
+        column = table.column(name).combine_chunks()
+        before, after = column.slice(0, len(column) - 1), column.slice(1)
+        differs = pc.fill_null(pc.not_equal(before, after), False).to_numpy(zero_copy_only=False)
+        gap = pc.is_null(before).to_numpy(zero_copy_only=False) != pc.is_null(after).to_numpy(zero_copy_only=False)
+        changes |= differs | gap
+    return [0, *(np.flatnonzero(changes) + 1).tolist()]
 
 
 def matrix(rows: pa.Table) -> np.ndarray:
     return np.column_stack([rows.column(c).to_numpy().astype(float) for c in FEATURES])
 
 
-def fold_predictions(rows: pa.Table, kept: list[str]) -> pa.Table:
-    """Predictions of both regressions for the test rows of one fold; none on a constant target."""
-    is_train = rows.column("is_train").to_numpy(zero_copy_only=False)
-    features, target = matrix(rows), rows.column("value").to_numpy()
-    train_x, train_y, test_x = features[is_train], target[is_train], features[~is_train]
-    constant = len(train_y) == 0 or train_y.min() == train_y.max()
-    test = rows.filter(pa.array(~is_train & (not constant))).select([*kept, "value"])
-    parts = []
-    for algorithm in (LINEAR, RIDGE):
-        if len(test):
-            slope, intercept = coefficients(train_x, train_y, algorithm)
-            predicted = pa.array(test_x @ slope + intercept)
-        else:
-            predicted = pa.array([], pa.float64())
-        named = test.append_column("algorithm", pa.array([algorithm] * len(test), pa.string()))
-        parts.append(named.append_column("predicted", predicted))
-    return pa.concat_tables(parts)
+def series_predictions(features: np.ndarray, target: np.ndarray, starts: list[int], algorithms: Sequence[str]) -> Iterator[tuple]:
+    """(series, fold, algorithm, first row, end, predictions) of every test block of every series.
+
+    Regressions and trees have none where the rows that train are constant, trees none in short series.
+    """
+    fits, of = [], []
+    for series, (a, b) in enumerate(zip(starts, starts[1:])):
+        x, y = features[a:b], target[a:b]
+        bounds = fold_bounds(b - a)
+        varied = [f for f, (start, _) in enumerate(bounds) if start and y[:start].min() != y[:start].max()]
+        solved = fold_coefficients(x, y, bounds, [m for m in algorithms if m in (LINEAR, RIDGE)])
+        for fold, (start, end) in enumerate(bounds):
+            if NAIVE in algorithms:
+                yield series, fold, NAIVE, a + start, a + end, np.full(end - start, y[start - 1])
+            if SEASONAL in algorithms:
+                yield series, fold, SEASONAL, a + start, a + end, x[start:end, _LAG_1]
+            if fold not in varied:
+                continue
+            for algorithm in (LINEAR, RIDGE):
+                if algorithm in algorithms:
+                    slope, intercept = solved[algorithm, fold]
+                    yield series, fold, algorithm, a + start, a + end, x[start:end] @ slope + intercept
+            if BOOSTED in algorithms and b - a >= BOOSTED_MIN_ROWS:
+                fits.append((x[:end], y[:end], start))
+                of.append((series, fold, BOOSTED, a + start, a + end))
+    for (*place, start, end), predicted in zip(of, boost(fits)[0] if fits else ()):
+        yield *place, start, end, predicted[start - end :]
+
+
+def fold_predictions(rows: pa.Table, starts: list[int], kept: list[str], algorithms: Sequence[str]) -> pa.Table:
+    """Predictions of the test rows of every fold: the kept columns, fold (from 1), actual, algorithm and predicted."""
+    features, target = matrix(rows), rows.column("value").to_numpy().astype(float)
+    found = list(series_predictions(features, target, starts, algorithms))
+    at = np.concatenate([np.arange(a, b) for *_, a, b, _ in found]) if found else np.zeros(0, np.int64)
+    sizes = [len(p) for *_, p in found]
+    out = rows.select(kept).take(pa.array(at))
+    out = out.append_column("fold", pa.array(np.repeat([f + 1 for _, f, *_ in found], sizes).astype(np.int64)))
+    out = out.append_column("actual", pa.array(target[at]))
+    out = out.append_column("algorithm", pa.array(np.repeat([m for _, _, m, *_ in found], sizes).astype(object), pa.string()))
+    return out.append_column("predicted", pa.array(np.concatenate([p for *_, p in found]) if found else np.zeros(0)))
+
+
+def _errors(actual: np.ndarray, predicted: np.ndarray) -> tuple[float, float, float | None, float | None]:
+    error, size = np.abs(predicted - actual), np.abs(actual) + np.abs(predicted)
+    squares = error * error
+    varied, real = actual.min() != actual.max(), size != 0
+    r2 = 1 - squares.sum() / ((actual - actual.mean()) ** 2).sum() if varied else None
+    return error.mean(), np.sqrt(squares.mean()), r2, (2 * error[real] / size[real]).mean() * 100 if real.any() else None
+
+
+def fold_scores(rows: pa.Table, starts: list[int], kept: list[str], algorithms: Sequence[str] = MODELS) -> pa.Table:
+    """For each series and model the means of its folds' errors: mae, rmse, r2, smape and n_folds."""
+    features, target = matrix(rows), rows.column("value").to_numpy().astype(float)
+    errors: dict[tuple[int, str], list] = {}
+    for series, _, algorithm, a, b, predicted in series_predictions(features, target, starts, algorithms):
+        errors.setdefault((series, algorithm), []).append(_errors(target[a:b], predicted))
+    keys = sorted(errors)
+    out = rows.select(kept).take(pa.array([starts[s] for s, _ in keys], pa.int64()))
+    out = out.append_column("algorithm", pa.array([m for _, m in keys], pa.string()))
+    for i, name in enumerate(("mae", "rmse", "r2", "smape")):
+        means = [[e[i] for e in errors[k] if e[i] is not None] for k in keys]
+        out = out.append_column(name, pa.array([float(np.mean(m)) if m else None for m in means], pa.float64()))
+    return out.append_column("n_folds", pa.array([len(errors[k]) for k in keys], pa.int64()))
 
 
 def next_period(period: pd.Timestamp, granularity: str) -> pd.Timestamp:
@@ -93,34 +338,40 @@ def next_features(values: list[float], mean: float, t: int, period: pd.Timestamp
     ]
 
 
-def forecast_series(rows: pa.Table, granularity: str, kept: list[str]) -> pa.Table:
-    """Step-by-step forecast of one series: each prediction becomes history for the next step.
+def forecast_series(rows: pa.Table, starts: list[int], granularity: str, kept: list[str]) -> pa.Table:
+    """Step-by-step forecasts: each prediction becomes history for the next step of its series.
 
-    Position and running mean go on from the whole series, as they did in training.
+    The chosen model of each series is fitted on all its rows. Position and running mean go on from the
+    whole series, as they did in training.
     """
-    rows = rows.sort_by("period")
-    last = {c: rows.column(c)[-1].as_py() for c in ("t", "value", "cumulative_trend", "algorithm", "period", "horizon", "non_negative")}
-    values = rows.column("value").to_pylist()
-    t, algorithm, period = last["t"], last["algorithm"], pd.Timestamp(last["period"])
-    mean = (last["cumulative_trend"] * t + last["value"]) / (t + 1)
-    slope, intercept = np.zeros(len(FEATURES)), last["value"]
-    if algorithm in (LINEAR, RIDGE):
-        slope, intercept = coefficients(matrix(rows), np.array(values), algorithm)
-    periods, predictions = [], []
-    for _ in range(last["horizon"]):
-        period = next_period(period, granularity)
-        t += 1
-        features = next_features(values, mean, t, period)
-        predicted = values[-1] if algorithm == SEASONAL else float(np.dot(features, slope) + intercept)
-        if last["non_negative"]:
-            predicted = max(0.0, predicted)
-        periods.append(period.date())
-        predictions.append(predicted)
-        values.append(predicted)
-        mean = (mean * t + predicted) / (t + 1)
-    same = rows.slice(0, 1).select(kept).take(pa.array([0] * len(periods), pa.int64()))
-    steps = pa.array(range(1, len(periods) + 1), pa.int64())
+    features, target = matrix(rows), rows.column("value").to_numpy().astype(float)
+    ends = [b - 1 for b in starts[1:]]
+    last = {c: rows.column(c).take(pa.array(ends, pa.int64())).to_pylist() for c in ("t", "cumulative_trend", "algorithm", "period", "horizon", "non_negative")}
+    grown = [i for i, algorithm in enumerate(last["algorithm"]) if algorithm == BOOSTED]
+    trees = dict(zip(grown, boost([(features[starts[i] : starts[i + 1]], target[starts[i] : starts[i + 1]], starts[i + 1] - starts[i]) for i in grown], keep=True)[1]))
+    of, periods, steps, predictions = [], [], [], []
+    for i, (a, b) in enumerate(zip(starts, starts[1:])):
+        algorithm, t, period = last["algorithm"][i], last["t"][i], pd.Timestamp(last["period"][i])
+        values = [*features[a, [_LAG_1 + 2, _LAG_1 + 1, _LAG_1]].tolist(), *target[a:b].tolist()][-7:]
+        mean = (last["cumulative_trend"][i] * t + values[-1]) / (t + 1)
+        slope, intercept = coefficients(features[a:b], target[a:b], algorithm) if algorithm in (LINEAR, RIDGE) else (None, values[-1])
+        for step in range(1, last["horizon"][i] + 1):
+            period = next_period(period, granularity)
+            t += 1
+            if algorithm in (NAIVE, SEASONAL):
+                predicted = values[-1] if algorithm == SEASONAL else intercept
+            else:
+                row = np.array(next_features(values, mean, t, period), float)
+                predicted = trees[i].predict(row) if algorithm == BOOSTED else float(row @ slope + intercept)
+            if last["non_negative"][i]:
+                predicted = max(0.0, predicted)
+            of.append(a)
+            periods.append(period.date())
+            steps.append(step)
+            predictions.append(predicted)
+            values.append(predicted)
+            mean = (mean * t + predicted) / (t + 1)
     return (
-        same.append_column("period", pa.array(periods, pa.date32())).append_column("step", steps)
-        .append_column("predicted", pa.array(predictions, pa.float64()))
+        rows.select(kept).take(pa.array(of, pa.int64())).append_column("period", pa.array(periods, pa.date32()))
+        .append_column("step", pa.array(steps, pa.int64())).append_column("predicted", pa.array(predictions, pa.float64()))
     )

@@ -99,7 +99,10 @@ INTERVAL_Z = 1.2816
 RIDGE_ALPHA = 1.0
 BOOSTED_MIN_ROWS = 40
 BOOSTED_DEPTH = 4
-BOOSTED_SEED = 42
+BOOSTING_ROUNDS = 100
+BOOSTING_RATE = 0.1
+BOOSTING_LEAF_ROWS = 20
+BOOSTING_BINS = 255
 MIN_IMPROVEMENT = 0.03
 RETRAIN_ROW_GROWTH = 0.01
 RETRAIN_NEW_ROWS = 500

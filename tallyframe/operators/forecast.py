@@ -1,7 +1,8 @@
 """Forecasts of every series in a panel: folds, scores, model choice, prediction and quality.
 
-Features, folds, baselines, scores and the choice are Spark expressions; only the regressions run
-in Python, one series or one fold of it at a time. The calendar bounds a series, so what Python holds stays small however large the raw data is.
+Features, baselines, the choice and intervals are Spark expressions; only the fits run in Python, some
+whole series at a time, whose rows pass once for all models and folds. The calendar bounds a series, so
+what Python holds stays small however large the raw data is.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 
 from tallyframe.functions import fitting
 from tallyframe.functions import fixed_values as fixed
-from tallyframe.functions.fitting import by_group, fold_predictions, forecast_series
+from tallyframe.functions.fitting import fold_predictions, fold_scores, forecast_series, in_batches
 from tallyframe.functions.numeric import column
 from tallyframe.functions.periods import as_timestamp
 from tallyframe.operators.metrics import Metric, as_metric
@@ -46,18 +47,18 @@ def _with_series(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def apply_by_series(
-    df: DataFrame, keys: Sequence[str], function: Callable[[pa.Table], pa.Table], schema: T.StructType
+    df: DataFrame, keys: Sequence[str], function: Callable[[pa.Table, list[int]], pa.Table], schema: T.StructType
 ) -> DataFrame:
-    """The function applied to the rows of each key, in period order.
+    """The function applied to the rows of some whole keys at a time, in period order.
 
     Rows are hashed to the session's shuffle partitions and sorted there by Spark, and each task
-    streams them through Python, holding one series at a time. A panel is small in bytes but dear
+    streams them through Python, holding some 16,000 rows, or one series, at a time. A panel is small in bytes but dear
     in Python time, so the number of partitions is stated: they are then not merged by size.
     """
     names = list(keys)
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     arranged = df.repartition(partitions, *names).sortWithinPartitions(*names, "period")
-    return arranged.mapInArrow(lambda batches: by_group(batches, names, function), schema)
+    return arranged.mapInArrow(lambda batches: in_batches(batches, names, function), schema)
 
 
 def _fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
@@ -110,18 +111,29 @@ def baseline_predictions(folds: DataFrame, keys: Sequence[str] = ()) -> DataFram
     return tested.select(*keys, "fold", "period", F.col("value").alias("actual"), F.inline(models))
 
 
-def regression_predictions(folds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Test rows of every fold predicted by least squares and by ridge, one group per fold."""
-    names = [*keys, "fold", "period"]
+def model_predictions(
+    features: DataFrame, keys: Sequence[str] = (), algorithms: Sequence[str] = (fixed.LINEAR, fixed.RIDGE, fixed.BOOSTED)
+) -> DataFrame:
+    """Test rows of the folds of `time_folds` predicted by the models fitted on the rows before each.
+
+    No row is copied for a fold: the regressions of all folds come from moments that are summed once, and
+    the trees of many series and folds grow together. Folds whose training rows are constant have no
+    fitted models, series of under 40 rows no trees.
+    """
+    unknown = [a for a in algorithms if a not in fixed.MODELS]
+    if unknown:
+        raise ValueError(f"models are {fixed.MODELS}, not {unknown}")
+    keyed, chosen = _with_series(features, keys), list(algorithms)
+    names = _keyed(keyed, keys)
     schema = T.StructType([
-        *_fields(folds, names), T.StructField("actual", T.DoubleType()),
+        *_fields(keyed, [*names, "period"]), T.StructField("fold", T.LongType()), T.StructField("actual", T.DoubleType()),
         T.StructField("algorithm", T.StringType()), T.StructField("predicted", T.DoubleType()),
     ])
 
-    def fit(rows: pa.Table) -> pa.Table:
-        return fold_predictions(rows, names).rename_columns([*names, "actual", "algorithm", "predicted"])
+    def fit(rows: pa.Table, starts: list[int]) -> pa.Table:
+        return fold_predictions(rows, starts, [*names, "period"], chosen)
 
-    return apply_by_series(folds, [*keys, "fold"], fit, schema)
+    return apply_by_series(keyed, names, fit, schema).select(*keys, "fold", "period", "actual", "algorithm", "predicted")
 
 
 def error_metrics(predictions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -170,10 +182,17 @@ def select_model(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def validate_models(features: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Cross-validated scores of every candidate model for every series."""
-    folds = time_folds(features, keys)
-    predictions = baseline_predictions(folds, keys).unionByName(regression_predictions(folds, keys))
-    return cv_scores(predictions, keys)
+    """Cross-validated scores of every candidate model for every series, in one pass over its rows.
+
+    The candidates are the two baselines, least squares, ridge and, from 40 rows on, boosted trees.
+    """
+    keyed = _with_series(features, keys)
+    names = _keyed(keyed, keys)
+    measures = [T.StructField(c, T.DoubleType()) for c in ("mae", "rmse", "r2", "smape")]
+    schema = T.StructType([*_fields(keyed, names), T.StructField("algorithm", T.StringType()), *measures, T.StructField("n_folds", T.LongType())])
+    scores = apply_by_series(keyed, names, lambda rows, starts: fold_scores(rows, starts, names), schema)
+    digits = {"mae": 4, "rmse": 4, "r2": 4, "smape": 2}
+    return scores.select(*keys, "algorithm", *[F.round(c, d).alias(c) for c, d in digits.items()], "n_folds")
 
 
 def prediction_interval(predicted: Column, rmse: Column, step: Column, non_negative: Column) -> tuple[Column, Column]:
@@ -200,8 +219,8 @@ def forecast_recursive(
     ])
     constant = [*names, "algorithm", "non_negative", "rmse"]
 
-    def run(rows: pa.Table) -> pa.Table:
-        return forecast_series(rows, granularity, constant)
+    def run(rows: pa.Table, starts: list[int]) -> pa.Table:
+        return forecast_series(rows, starts, granularity, constant)
 
     forecasts = apply_by_series(joined, names, run, schema)
     lower, upper = prediction_interval(F.col("predicted"), F.col("rmse"), F.col("step"), F.col("non_negative"))
@@ -425,24 +444,6 @@ def forecast_batch(
     )
 
 
-def fit_boosted_trees(features: DataFrame, keys: Sequence[str] = (), max_iterations: int = 20) -> DataFrame:
-    """Boosted trees fitted once over all series with at least 40 rows; predicts their last block.
-
-    One pooled fit replaces a fit per series, so that training is distributed over the rows. The
-    last fold of each series is held out and returned as (keys, period, actual, predicted).
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    folds = time_folds(features, keys)
-    by_series = Window.partitionBy(*(keys or [F.lit(0)]))
-    last = folds.withColumn("_last", F.max("fold").over(by_series)).where(F.col("fold") == F.col("_last"))
-    sized = last.withColumn("_rows", F.count(F.lit(1)).over(by_series)).where(F.col("_rows") >= fixed.BOOSTED_MIN_ROWS)
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="_vector").transform(sized)
-    model = GBTRegressor(
-        featuresCol="_vector", labelCol="value", predictionCol="predicted", maxDepth=fixed.BOOSTED_DEPTH,
-        seed=fixed.BOOSTED_SEED, maxIter=max_iterations,
-    ).fit(vectors.where("is_train"))
-    return model.transform(vectors.where("NOT is_train")).select(
-        *keys, "period", F.col("value").alias("actual"), "predicted"
-    )
+def fit_boosted_trees(features: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Test rows of every fold predicted by boosted trees, for series with at least 40 rows."""
+    return model_predictions(features, keys, [fixed.BOOSTED]).drop("algorithm")

@@ -90,8 +90,6 @@ def error_metrics(spark, sf):
     return rounded(ops.error_metrics(baselines(spark, sf), ["algorithm"]), 4, "mae", "rmse", "r2", "smape", "wape")
 
 
-
-
 @query("cv_scores", f"SELECT * FROM {SCORES_SQL}")
 def cv_scores(spark, sf):
     return baseline_scores(spark, sf)
@@ -102,19 +100,14 @@ def select_model(spark, sf):
     return ops.select_model(baseline_scores(spark, sf), KEYS)
 
 
-def _regression(spark, sf, algorithm):
-    folds = ops.time_folds(monthly_features(spark, sf), KEYS)
-    return ops.regression_predictions(folds, KEYS).where(F.col("algorithm") == algorithm)
-
-
 @query("fit_linear")
 def fit_linear(spark, sf):
-    return _regression(spark, sf, fixed.LINEAR)
+    return ops.model_predictions(monthly_features(spark, sf), KEYS, [fixed.LINEAR])
 
 
 @query("fit_ridge")
 def fit_ridge(spark, sf):
-    return _regression(spark, sf, fixed.RIDGE)
+    return ops.model_predictions(monthly_features(spark, sf), KEYS, [fixed.RIDGE])
 
 
 @query("fit_boosted_trees")
