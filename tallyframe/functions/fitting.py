@@ -158,7 +158,7 @@ def boost(
     spot = code + np.arange(n_features) * bins
     cells = n_features * bins
     kept = [(np.full((rounds, places), -1, np.int16), np.zeros((rounds, places)), np.zeros((rounds, places))) for _ in live] if keep else []
-    root_counts = None
+    root = None
     for step in range(rounds):
         gradient = (raw - target).astype(np.float32).astype(np.float64)
         place = np.ones(len(unit), np.int64)
@@ -172,21 +172,29 @@ def boost(
             flat = (at[mine, None] * cells + spot[mine]).ravel()
             shape = (len(nodes), n_features, bins)
             sums = np.bincount(flat, np.repeat(gradient[mine], n_features), len(nodes) * cells).reshape(shape)
-            if depth or root_counts is None:
-                counts = np.bincount(flat, minlength=len(nodes) * cells).reshape(shape)
-                root_counts = counts if not depth else root_counts
+            if depth or root is None:
+                counts = np.bincount(flat, minlength=len(nodes) * cells).reshape(shape).cumsum(axis=2)
+                n, left_n = counts[:, 0, -1], counts[:, :, :-1]
+                right_n = n[:, None, None] - left_n
+                fair = (left_n >= BOOSTING_LEAF_ROWS) & (right_n >= BOOSTING_LEAF_ROWS)
+                weights = np.divide(1.0, left_n, out=np.zeros(left_n.shape), where=fair), np.divide(1.0, right_n, out=np.zeros(left_n.shape), where=fair)
+                root = root or (n, left_n, weights)
             else:
-                counts = root_counts
-            left_n, left = counts.cumsum(axis=2)[:, :, :-1], sums.cumsum(axis=2)[:, :, :-1]
-            n, total = counts[:, :1].sum(axis=2)[:, :, None], sums[:, :1].sum(axis=2)[:, :, None]
-            right_n = n - left_n
-            fair = (left_n >= BOOSTING_LEAF_ROWS) & (right_n >= BOOSTING_LEAF_ROWS)
-            gain = left * left / np.maximum(left_n, 1) + (total - left) ** 2 / np.maximum(right_n, 1) - total * total / n
-            gain = np.where(fair, gain, -1.0).reshape(len(nodes), -1)
+                n, left_n, weights = root
+            left = sums.cumsum(axis=2)
+            total = left[:, 0, -1]
+            left = left[:, :, :-1]
+            right = total[:, None, None] - left
+            np.multiply(left, left, out=left)
+            left *= weights[0]
+            np.multiply(right, right, out=right)
+            right *= weights[1]
+            left += right  # what the squared error falls by, but for the node's own share
+            gain = left.reshape(len(nodes), -1)
             if not gain.shape[1]:
                 break
             best = gain.argmax(axis=1)
-            splits = gain[np.arange(len(nodes)), best] > 0
+            splits = gain[np.arange(len(nodes)), best] > total * total / n
             feature, bin_ = np.divmod(best, bins - 1)
             if keep:
                 for node, f, b in zip(nodes[splits], feature[splits], bin_[splits]):
@@ -197,7 +205,7 @@ def boost(
             place[moved] = 2 * place[moved] + (code[moved, feature[node]] > bin_[node])
             held = left_n.reshape(len(nodes), -1)[np.arange(len(nodes)), best]
             parents, lefts = nodes[splits], held[splits]
-            rights = n[splits, 0, 0] - lefts
+            rights = n[splits] - lefts
             base, own = parents // places * places, parents % places
             both = np.concatenate([base + 2 * own, base + 2 * own + 1])
             nodes = np.sort(both[np.concatenate([lefts, rights]) >= 2 * BOOSTING_LEAF_ROWS])

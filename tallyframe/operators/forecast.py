@@ -53,11 +53,12 @@ def apply_by_series(
 
     Rows are hashed to the session's shuffle partitions and sorted there by Spark, and each task
     streams them through Python, holding some 16,000 rows, or one series, at a time. A panel is small in bytes but dear
-    in Python time, so the number of partitions is stated: they are then not merged by size.
+    in Python time, so the number of partitions is stated, and the key hashed: else Spark would take
+    the partitions of the windows before, which it merges by their size.
     """
     names = list(keys)
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    arranged = df.repartition(partitions, *names).sortWithinPartitions(*names, "period")
+    arranged = df.repartition(partitions, F.xxhash64(*names)).sortWithinPartitions(*names, "period")
     return arranged.mapInArrow(lambda batches: in_batches(batches, names, function), schema)
 
 
