@@ -8,6 +8,7 @@ together from one histogram of gradients a level.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -74,6 +75,7 @@ class Moments:
                 free = axes[:, ~real] / unit[:, None]
                 length = np.sqrt((free * free).sum(axis=0))
                 slope = slope - free / length @ np.linalg.lstsq(free / length, slope, rcond=None)[0]
+        slope = np.where(spread > 0, slope, 0.0)
         return slope, float(self.mean[-1] - self.mean[:-1] @ slope)
 
 
@@ -101,7 +103,7 @@ def fold_coefficients(features: np.ndarray, target: np.ndarray, bounds: list[tup
     return out
 
 
-@dataclass(frozen=True)
+@dataclass
 class Trees:
     """Boosted trees of one fit: a start value, and trees of 31 places, the children of place i at 2 i and 2 i + 1."""
 
@@ -315,8 +317,12 @@ def _errors(actual: np.ndarray, predicted: np.ndarray) -> tuple[float, float, fl
     return error.mean(), np.sqrt(squares.mean()), r2, (2 * error[real] / size[real]).mean() * 100 if real.any() else None
 
 
-def fold_scores(rows: pa.Table, starts: list[int], kept: list[str], algorithms: Sequence[str] = MODELS) -> pa.Table:
-    """For each series and model the means of its folds' errors: mae, rmse, r2, smape and n_folds."""
+def fold_scores(rows: pa.Table, starts: list[int], kept: list[str], algorithms: Sequence[str] = MODELS, states: bool = False) -> pa.Table:
+    """For each series and model the means of its folds' errors: mae, rmse, r2, smape and n_folds.
+
+    With states also the periods and feature rows of the series and the state to forecast from. Trees are
+    fitted on all rows only where no other model has a lower error, as they could not be chosen.
+    """
     features, target = matrix(rows), rows.column("value").to_numpy().astype(float)
     errors: dict[tuple[int, str], list] = {}
     for series, _, algorithm, a, b, predicted in series_predictions(features, target, starts, algorithms):
@@ -327,7 +333,23 @@ def fold_scores(rows: pa.Table, starts: list[int], kept: list[str], algorithms:
     for i, name in enumerate(("mae", "rmse", "r2", "smape")):
         means = [[e[i] for e in errors[k] if e[i] is not None] for k in keys]
         out = out.append_column(name, pa.array([float(np.mean(m)) if m else None for m in means], pa.float64()))
-    return out.append_column("n_folds", pa.array([len(errors[k]) for k in keys], pa.int64()))
+    out = out.append_column("n_folds", pa.array([len(errors[k]) for k in keys], pa.int64()))
+    if not states:
+        return out
+    error = {k: float(np.mean([e[0] for e in errors[k]])) for k in keys}
+    best: dict[int, float] = {}
+    for (s, m), v in error.items():
+        if m != BOOSTED:
+            best[s] = min(v, best.get(s, v))
+    trees = all_trees(features, target, starts, sorted(s for s, m in keys if m == BOOSTED and error[s, m] <= best.get(s, np.inf) + 1e-3))
+    periods = rows.column("period").take(pa.array([b - 1 for b in starts[1:]], pa.int64())).to_pylist()
+    made = [
+        fitted_state(features[(a := starts[s]) : (b := starts[s + 1])], target[a:b], periods[s], m, trees.get(s) if m == BOOSTED else None)
+        if m != BOOSTED or s in trees else None for s, m in keys
+    ]
+    out = out.append_column("periods", pa.array([int(features[starts[s + 1] - 1, 0]) + 1 for s, _ in keys], pa.int64()))
+    out = out.append_column("history_periods", pa.array([starts[s + 1] - starts[s] for s, _ in keys], pa.int64()))
+    return out.append_column("state", pa.array(made, pa.binary()))
 
 
 def next_period(period: pd.Timestamp, granularity: str) -> pd.Timestamp:
@@ -346,40 +368,71 @@ def next_features(values: list[float], mean: float, t: int, period: pd.Timestamp
     ]
 
 
-def forecast_series(rows: pa.Table, starts: list[int], granularity: str, kept: list[str]) -> pa.Table:
-    """Step-by-step forecasts: each prediction becomes history for the next step of its series.
+def fitted_state(features: np.ndarray, target: np.ndarray, period: object, algorithm: str, trees: Trees | None) -> bytes:
+    """All that a forecast needs of a series: its latest values, position and running mean, and the model fitted on all rows.
 
-    The chosen model of each series is fitted on all its rows. Position and running mean go on from the
-    whole series, as they did in training.
+    Plain arrays, so that a task can read it without this package.
     """
-    features, target = matrix(rows), rows.column("value").to_numpy().astype(float)
-    ends = [b - 1 for b in starts[1:]]
-    last = {c: rows.column(c).take(pa.array(ends, pa.int64())).to_pylist() for c in ("t", "cumulative_trend", "algorithm", "period", "horizon", "non_negative")}
-    grown = [i for i, algorithm in enumerate(last["algorithm"]) if algorithm == BOOSTED]
-    trees = dict(zip(grown, boost([(features[starts[i] : starts[i + 1]], target[starts[i] : starts[i + 1]], starts[i + 1] - starts[i]) for i in grown], keep=True)[1]))
-    of, periods, steps, predictions = [], [], [], []
-    for i, (a, b) in enumerate(zip(starts, starts[1:])):
-        algorithm, t, period = last["algorithm"][i], last["t"][i], pd.Timestamp(last["period"][i])
-        values = [*features[a, [_LAG_1 + 2, _LAG_1 + 1, _LAG_1]].tolist(), *target[a:b].tolist()][-7:]
-        mean = (last["cumulative_trend"][i] * t + values[-1]) / (t + 1)
-        slope, intercept = coefficients(features[a:b], target[a:b], algorithm) if algorithm in (LINEAR, RIDGE) else (None, values[-1])
-        for step in range(1, last["horizon"][i] + 1):
-            period = next_period(period, granularity)
-            t += 1
-            if algorithm in (NAIVE, SEASONAL):
-                predicted = values[-1] if algorithm == SEASONAL else intercept
-            else:
-                row = np.array(next_features(values, mean, t, period), float)
-                predicted = trees[i].predict(row) if algorithm == BOOSTED else float(row @ slope + intercept)
-            if last["non_negative"][i]:
-                predicted = max(0.0, predicted)
-            of.append(a)
-            periods.append(period.date())
-            steps.append(step)
-            predictions.append(predicted)
-            values.append(predicted)
-            mean = (mean * t + predicted) / (t + 1)
+    t = features[-1, FEATURES.index("t")]
+    mean = (features[-1, FEATURES.index("cumulative_trend")] * t + target[-1]) / (t + 1)
+    values = [*features[0, [_LAG_1 + 2, _LAG_1 + 1, _LAG_1]].tolist(), *target.tolist()][-7:]
+    model = coefficients(features, target, algorithm) if algorithm in (LINEAR, RIDGE) else None
+    if trees is not None:
+        model = (trees.start, trees.feature, trees.threshold, trees.value)
+    return pickle.dumps((values, int(t), float(mean), str(period), model))
+
+
+def steps_ahead(state: bytes, algorithm: str, granularity: str, horizon: int, non_negative: bool) -> list[tuple[object, float]]:
+    """Period and prediction of each step; each prediction becomes history for the next one.
+
+    Position and running mean go on from the whole series, as they did in training.
+    """
+    values, t, mean, period, model = pickle.loads(state)
+    if model is None and algorithm not in (NAIVE, SEASONAL):
+        raise ValueError(f"the state holds no {algorithm} model")
+    trees = Trees(*model) if algorithm == BOOSTED else None
+    out, period = [], pd.Timestamp(period)
+    for _ in range(horizon):
+        period = next_period(period, granularity)
+        t += 1
+        if algorithm in (NAIVE, SEASONAL):
+            predicted = values[-1]  # repeated, so both baselines are the last value
+        else:
+            row = np.array(next_features(values, mean, t, period), float)
+            predicted = trees.predict(row) if trees else float(row @ model[0] + model[1])
+        if non_negative:
+            predicted = max(0.0, predicted)
+        out.append((period.date(), predicted))
+        values.append(predicted)
+        mean = (mean * t + predicted) / (t + 1)
+    return out
+
+
+def all_trees(features: np.ndarray, target: np.ndarray, starts: list[int], wanted: Sequence[int]) -> dict[int, Trees]:
+    """Boosted trees over all rows of the wanted series."""
+    fits = [(features[a:b], target[a:b], b - a) for a, b in ((starts[i], starts[i + 1]) for i in wanted)]
+    return dict(zip(wanted, boost(fits, keep=True)[1])) if fits else {}
+
+
+def forecast_rows(rows: pa.Table, granularity: str, kept: list[str]) -> pa.Table:
+    """Forecasts of series given as one row each: algorithm, state, horizon and non_negative."""
+    given = [rows.column(c).to_pylist() for c in ("state", "algorithm", "horizon", "non_negative")]
+    ahead = [steps_ahead(state, algorithm, granularity, horizon, non_negative) for state, algorithm, horizon, non_negative in zip(*given)]
+    out = rows.select(kept).take(pa.array(np.repeat(np.arange(len(ahead)), [len(a) for a in ahead]), pa.int64()))
     return (
-        rows.select(kept).take(pa.array(of, pa.int64())).append_column("period", pa.array(periods, pa.date32()))
-        .append_column("step", pa.array(steps, pa.int64())).append_column("predicted", pa.array(predictions, pa.float64()))
+        out.append_column("period", pa.array([p for a in ahead for p, _ in a], pa.date32()))
+        .append_column("step", pa.array([i for a in ahead for i in range(1, len(a) + 1)], pa.int64()))
+        .append_column("predicted", pa.array([v for a in ahead for _, v in a], pa.float64()))
     )
+
+
+def forecast_series(rows: pa.Table, starts: list[int], granularity: str, kept: list[str]) -> pa.Table:
+    """The same for series given by all their rows, on which the chosen model of each is fitted first."""
+    features, target = matrix(rows), rows.column("value").to_numpy().astype(float)
+    last = rows.take(pa.array([b - 1 for b in starts[1:]], pa.int64()))
+    algorithms, periods = last.column("algorithm").to_pylist(), last.column("period").to_pylist()
+    trees = all_trees(features, target, starts, [i for i, algorithm in enumerate(algorithms) if algorithm == BOOSTED])
+    states = [
+        fitted_state(features[a:b], target[a:b], periods[i], algorithms[i], trees.get(i)) for i, (a, b) in enumerate(zip(starts, starts[1:]))
+    ]
+    return forecast_rows(last.append_column("state", pa.array(states, pa.binary())), granularity, kept)

@@ -7,7 +7,7 @@ what Python holds stays small however large the raw data is.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from tallyframe.functions import fitting
 from tallyframe.functions import fixed_values as fixed
-from tallyframe.functions.fitting import fold_predictions, fold_scores, forecast_series, in_batches
+from tallyframe.functions.fitting import fold_predictions, fold_scores, forecast_rows, forecast_series, in_batches
 from tallyframe.functions.numeric import column
 from tallyframe.functions.periods import as_timestamp
 from tallyframe.operators.metrics import Metric, as_metric
@@ -164,9 +164,13 @@ def cv_scores(predictions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def select_model(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Per series the lowest MAE that beats the naive baseline by more than 3 %, else the baseline."""
+    """Per series the lowest MAE that beats the naive baseline by more than 3 %, else the baseline.
+
+    The states of `fitted_models` go along with their scores.
+    """
     order = F.array_position(F.array(*[F.lit(m) for m in fixed.MODELS]), F.col("algorithm"))
-    row = F.struct("mae", order.alias("o"), "algorithm", "rmse", "r2", "smape", "n_folds")
+    states = [c for c in _STATE if c in scores.columns]
+    row = F.struct("mae", order.alias("o"), "algorithm", "rmse", "r2", "smape", "n_folds", *states)
     is_naive = F.col("algorithm") == fixed.NAIVE
     baseline = F.min(F.when(is_naive, F.col("mae"))).over(Window.partitionBy(*_keyed(scores, keys)))
     judged = _with_series(scores, keys).withColumn("baseline_mae", baseline)
@@ -178,7 +182,7 @@ def select_model(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     improvement = F.round(F.try_divide(F.col("baseline_mae") - F.col("w.mae"), F.col("baseline_mae")) * 100, 2)
     return best.select(
         *keys, "w.algorithm", "w.mae", "w.rmse", "w.r2", "w.smape", "w.n_folds", "baseline_mae",
-        improvement.alias("improvement_pct"),
+        improvement.alias("improvement_pct"), *[f"w.{c}" for c in states],
     )
 
 
@@ -187,13 +191,31 @@ def validate_models(features: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
     The candidates are the two baselines, least squares, ridge and, from 40 rows on, boosted trees.
     """
+    return _scored(features, keys, False)
+
+
+#: What `fitted_models` gives beside the scores.
+_STATE = ("periods", "history_periods", "state")
+
+
+def fitted_models(features: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The scores of `validate_models`, with what a forecast needs: each model fitted on all rows of its series.
+
+    periods and history_periods are the series' length and feature rows. The state of trees is null where
+    another model has a lower error.
+    """
+    return _scored(features, keys, True)
+
+
+def _scored(features: DataFrame, keys: Sequence[str], states: bool) -> DataFrame:
     keyed = _with_series(features, keys)
     names = _keyed(keyed, keys)
-    measures = [T.StructField(c, T.DoubleType()) for c in ("mae", "rmse", "r2", "smape")]
-    schema = T.StructType([*_fields(keyed, names), T.StructField("algorithm", T.StringType()), *measures, T.StructField("n_folds", T.LongType())])
-    scores = apply_by_series(keyed, names, lambda rows, starts: fold_scores(rows, starts, names), schema)
     digits = {"mae": 4, "rmse": 4, "r2": 4, "smape": 2}
-    return scores.select(*keys, "algorithm", *[F.round(c, d).alias(c) for c, d in digits.items()], "n_folds")
+    kinds = {"algorithm": T.StringType(), **{c: T.DoubleType() for c in digits}, "n_folds": T.LongType()}
+    kinds |= dict(zip(_STATE, (T.LongType(), T.LongType(), T.BinaryType()))) if states else {}
+    schema = T.StructType([*_fields(keyed, names), *[T.StructField(c, k) for c, k in kinds.items()]])
+    scores = apply_by_series(keyed, names, lambda rows, starts: fold_scores(rows, starts, names, states=states), schema)
+    return scores.select(*keys, *[F.round(c, digits[c]).alias(c) if c in digits else c for c in kinds])
 
 
 def prediction_interval(predicted: Column, rmse: Column, step: Column, non_negative: Column) -> tuple[Column, Column]:
@@ -223,7 +245,24 @@ def forecast_recursive(
     def run(rows: pa.Table, starts: list[int]) -> pa.Table:
         return forecast_series(rows, starts, granularity, constant)
 
-    forecasts = apply_by_series(joined, names, run, schema)
+    return _with_bounds(apply_by_series(joined, names, run, schema), keys)
+
+
+def forecast_fitted(chosen: DataFrame, granularity: str, keys: Sequence[str] = ()) -> DataFrame:
+    """The same from the states of `fitted_models`: one row a series, no feature rows are read again."""
+    names = [*keys, "algorithm", "non_negative", "rmse"]
+    schema = T.StructType([
+        *_fields(chosen, names), T.StructField("period", T.DateType()), T.StructField("step", T.LongType()), T.StructField("predicted", T.DoubleType()),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from forecast_rows(pa.Table.from_batches([batch]), granularity, names).combine_chunks().to_batches()
+
+    return _with_bounds(chosen.select(*names, "state", "horizon").mapInArrow(run, schema), keys)
+
+
+def _with_bounds(forecasts: DataFrame, keys: Sequence[str]) -> DataFrame:
     lower, upper = prediction_interval(F.col("predicted"), F.col("rmse"), F.col("step"), F.col("non_negative"))
     return forecasts.select(
         *keys, "period", "step", "algorithm", F.round("predicted", 4).alias("predicted_value"),
@@ -232,17 +271,21 @@ def forecast_recursive(
 
 
 def plan_forecasts(
-    features: DataFrame, selected: DataFrame, granularity: str,
+    features: DataFrame | None, selected: DataFrame, granularity: str,
     keys: Sequence[str] = (), horizon: int | None = None, non_negative: bool = False,
 ) -> DataFrame:
-    """Selected model, capped horizon and history length per series with enough feature rows."""
+    """Selected model, capped horizon and history length per series with enough feature rows.
+
+    The lengths are those of the features, or come with the selected models of `fitted_models`.
+    """
     named = lambda df: _with_series(df, keys)
     names = list(keys) or ["_series"]
-    lengths = named(features).groupBy(*names).agg(
-        (F.max("t") + 1).alias("periods"), F.count(F.lit(1)).alias("history_periods")
-    ).where(F.col("history_periods") >= fixed.MIN_FEATURE_ROWS)
+    sized = named(selected)
+    if "history_periods" not in selected.columns:
+        lengths = named(features).groupBy(*names).agg((F.max("t") + 1).alias("periods"), F.count(F.lit(1)).alias("history_periods"))
+        sized = sized.join(lengths, names)
     return (
-        named(selected).join(lengths, names)
+        sized.where(F.col("history_periods") >= fixed.MIN_FEATURE_ROWS)
         .withColumn("granularity", F.lit(granularity))
         .withColumn("max_horizon", max_horizon(F.col("periods")))
         .withColumn("horizon", planned_horizon(granularity, F.col("max_horizon"), horizon))
@@ -327,11 +370,12 @@ def forecast(
     by = _keyed(ready, names)
     features = make_features(resample(rows, value, "ts", granularity, names), names)
     features = _with_series(features, names).join(ready.select(*by), by, "left_semi").drop(*([] if names else ["_series"]))
-    selected = select_model(validate_models(features, names), names)
-    plan = plan_forecasts(features, selected, granularity, names, horizon, non_negative)
-    result = _with_series(forecast_recursive(features, plan, granularity, names), names)
-    capped = result.join(_with_series(plan, names).select(*by, "is_capped"), by).drop(*([] if names else ["_series"]))
-    return _with_keys(capped, df, keys)
+    selected = select_model(fitted_models(features, names), names)
+    plan = plan_forecasts(None, selected, granularity, names, horizon, non_negative)
+    result = forecast_fitted(plan, granularity, names)
+    # capped is every series whose last step comes before the horizon asked for
+    steps = F.max("step").over(Window.partitionBy(*(names or [F.lit(0)])))
+    return _with_keys(result.withColumn("is_capped", F.lit(horizon or 0) > steps), df, keys)
 
 
 def forecast_totals(forecasts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -105,9 +105,50 @@ def fit_linear(spark, sf):
     return ops.model_predictions(monthly_features(spark, sf), KEYS, [fixed.LINEAR])
 
 
-@query("fit_ridge")
+# All features in SQL, the folds over them, and ridge by elimination on the moments of each fold's training rows.
+EARLIER = "OVER (PARTITION BY l_suppkey ORDER BY period ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+WIDE_SQL = f"""(SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY period) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n,
+    [t, lag_1, lag_2, lag_3, rolling_mean_3, rolling_mean_7, rolling_std_3, coalesce((lag_1 - lag_2) / nullif(lag_2, 0), 0) * 100,
+     coalesce((lag_2 - lag_3) / nullif(lag_3, 0), 0) * 100, cumulative_trend, month(period), quarter(period), isodow(period) - 1, week(period),
+     year(period)]::DOUBLE[] AS x
+  FROM (SELECT l_suppkey, period, value, row_number() OVER s - 1 AS t, lag(value) OVER s AS lag_1, lag(value, 2) OVER s AS lag_2, lag(value, 3) OVER s AS lag_3,
+          avg(value) {EARLIER.format(n=3)} AS rolling_mean_3, avg(value) {EARLIER.format(n=7)} AS rolling_mean_7,
+          coalesce(stddev_samp(value) {EARLIER.format(n=3)}, 0) AS rolling_std_3, avg(value) {EARLIER.format(n='UNBOUNDED')} AS cumulative_trend
+        FROM {MONTHLY_SQL} WINDOW s AS (PARTITION BY l_suppkey ORDER BY period)) WHERE lag_3 IS NOT NULL)"""
+RIDGE_SQL = f"""WITH RECURSIVE wide AS {WIDE_SQL}, folded AS (
+    SELECT *, n - (k - fold + 1) * (n // (k + 1)) AS start, n // (k + 1) AS size FROM (
+      SELECT *, unnest(generate_series(1, k)) AS fold FROM (
+        SELECT *, CAST(least(5, greatest(2, n // 6), n - 1) AS BIGINT) AS k FROM wide WHERE n >= 3))
+), train AS (
+    SELECT l_suppkey, fold, list_append(x, value) AS z, value FROM folded WHERE i < start
+), places AS (SELECT unnest(generate_series(1, 16)) AS a), means AS (
+    SELECT l_suppkey, fold, list(m ORDER BY a) AS m FROM (
+      SELECT l_suppkey, fold, a, avg(z[a]) AS m FROM train, places GROUP BY ALL) GROUP BY ALL
+), varied AS (
+    SELECT l_suppkey, fold FROM train GROUP BY ALL HAVING min(value) <> max(value)
+), apart AS (
+    SELECT l_suppkey, fold, list_transform(list_zip(z, m), lambda p: p[1] - p[2]) AS z FROM train JOIN means USING (l_suppkey, fold)
+), products AS (
+    SELECT l_suppkey, fold, list(r ORDER BY a) AS g FROM (
+      SELECT l_suppkey, fold, a, list(v ORDER BY b) AS r FROM (
+        SELECT l_suppkey, fold, p.a AS a, q.a AS b, sum(z[p.a] * z[q.a]) + CASE WHEN p.a = q.a THEN 1.0 ELSE 0.0 END AS v
+        FROM apart, places p, places q WHERE p.a <= 15 GROUP BY l_suppkey, fold, p.a, q.a) GROUP BY ALL) GROUP BY ALL
+), solved AS (
+    SELECT l_suppkey, fold, 1 AS step, g FROM products
+    UNION ALL
+    SELECT l_suppkey, fold, step + 1, list_transform(g, lambda r, i: CASE
+        WHEN i = step THEN list_transform(r, lambda v: v / g[step][step])
+        ELSE list_transform(r, lambda v, j: v - r[step] * g[step][j] / g[step][step]) END)
+    FROM solved WHERE step <= 15
+)
+SELECT l_suppkey, fold, period, value AS actual, 'ridge' AS algorithm, round(m[16] + list_sum(list_transform(g, lambda r, i: r[16] * (x[i] - m[i]))), 3) AS predicted
+FROM folded JOIN means USING (l_suppkey, fold) JOIN solved USING (l_suppkey, fold) JOIN varied USING (l_suppkey, fold)
+WHERE step = 16 AND i >= start AND i < start + size"""
+
+
+@query("fit_ridge", RIDGE_SQL)
 def fit_ridge(spark, sf):
-    return ops.model_predictions(monthly_features(spark, sf), KEYS, [fixed.RIDGE])
+    return rounded(ops.model_predictions(monthly_features(spark, sf), KEYS, [fixed.RIDGE]), 3, "predicted")
 
 
 @query("fit_boosted_trees")

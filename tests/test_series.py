@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyframe.functions import fitting
 from tallyframe.functions import fixed_values as fixed
 from tallyframe.functions.fitting import coefficients
 from tallyframe.operators import forecast, insights, series
@@ -175,16 +176,153 @@ def test_forecast_cleans_gates_and_reports(spark, rows):
     assert status == {"a": ("forecast", 14), None: ("forecast", 14), "flat": ("flat series", None), "short": ("too few periods", None)}
 
 
-def test_registered_boosted_trees_run_the_default_rounds(monkeypatch):
-    import inspect
-
-    from tallyframe.plans.registered import forecasting
-
-    real, used = forecasting.ops.fit_boosted_trees, []
-    monkeypatch.setattr(forecasting, "monthly_features", lambda spark, sf: None)
-    monkeypatch.setattr(
-        forecasting.ops, "fit_boosted_trees",
-        lambda *args, **named: used.append(inspect.signature(real).bind(*args, **named).arguments.get("max_iterations")),
-    )
-    forecasting.fit_boosted_trees(None, "")
-    assert used == [None]
+def test_moments_merge_and_solve_like_all_rows_at_once():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(50, 6)) * [1, 1000, 1e6, 1e-3, 1, 1] + [0, 5e4, 1e7, 0, 2024, 3]
+    x[:, 4] = 2024  # no spread
+    x[:, 5] = 2 * x[:, 0] - x[:, 1] / 1000  # follows from others
+    y = rng.normal(size=50) * 10 + x[:, 1] / 100
+    parts = [fitting.Moments.of(x[a:b], y[a:b]) for a, b in ((0, 0), (0, 7), (7, 8), (8, 30), (30, 50))]
+    merged = parts[0]
+    for part in parts[1:]:
+        merged = merged.merge(part)
+    whole = fitting.Moments.of(x, y)
+    assert merged.n == 50 and np.allclose(merged.mean, whole.mean, rtol=1e-12) and np.allclose(merged.products, whole.products, rtol=1e-9)
+    centre = x.mean(axis=0)
+    for moments in (merged, whole):
+        slope, intercept = moments.solve(fixed.LINEAR)
+        assert np.allclose(slope, np.linalg.lstsq(x - centre, y - y.mean(), rcond=1e-13)[0], rtol=1e-5, atol=1e-12)
+        assert np.isclose(intercept, y.mean() - centre @ slope)
+    few = fitting.Moments.of(x[:4], y[:4])  # fewer rows than features: the shortest slope
+    assert np.allclose(x[:4] @ few.solve(fixed.LINEAR)[0] + few.solve(fixed.LINEAR)[1], y[:4])
+
+
+def plain_boost(x, y, n, rounds=100):
+    """Boosted trees of one fit, row by row and split by split."""
+    raw = np.full(len(x), y[:n].mean())
+    edges = [fitting.bin_edges(x[:n, f]) for f in range(x.shape[1])]
+
+    def grow(rows, depth, gradient):
+        total = gradient[rows].sum()
+        best = (total * total / len(rows), None, None)
+        if depth < 4 and len(rows) >= 40:
+            for f in range(x.shape[1]):
+                for edge in edges[f]:
+                    left = rows[x[rows, f] <= edge]
+                    if min(len(left), len(rows) - len(left)) < 20:
+                        continue
+                    a = gradient[left].sum()
+                    gain = a * a / len(left) + (total - a) ** 2 / (len(rows) - len(left))
+                    if gain > best[0] * (1 + 1e-12) + 1e-12:
+                        best = (gain, f, edge)
+        if best[1] is None:
+            value = -0.1 * total / len(rows)
+            return lambda row: value
+        _, f, edge = best
+        low, high = grow(rows[x[rows, f] <= edge], depth + 1, gradient), grow(rows[x[rows, f] > edge], depth + 1, gradient)
+        return lambda row: low(row) if row[f] <= edge else high(row)
+
+    for _ in range(rounds):
+        tree = grow(np.arange(n), 0, (raw - y).astype(np.float32).astype(float))
+        raw = raw + np.array([tree(row) for row in x])
+    return raw
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_boosting_equals_a_plain_loop(seed):
+    rng = np.random.default_rng(seed)
+    fits = []
+    for size, train in ((30, 25), (50, 40), (90, 75), (170, 150), (60, 60)):
+        x = rng.normal(size=(size, 4))
+        x[:, 1] = rng.integers(0, 5, size)
+        x[:, 2] = 3.0
+        fits.append((x, np.sin(3 * x[:, 0]) + x[:, 1] + rng.normal(size=size) / 5, train))
+    predictions, trees = fitting.boost(fits, keep=True, rounds=12)
+    for (x, y, n), got, tree in zip(fits, predictions, trees):
+        assert np.allclose(got, plain_boost(x, y, n, 12), atol=1e-6)
+        assert np.allclose([tree.predict(row) for row in x], got, atol=1e-9)
+    alone = [fitting.boost([f], rounds=12)[0][0] for f in fits]
+    assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(alone, predictions))
+    assert np.abs(predictions[3] - fits[3][1])[:150].mean() < np.abs(fits[3][1] - fits[3][1][:150].mean())[:150].mean()
+
+
+def test_many_values_are_binned_by_percentiles():
+    values = np.random.default_rng(3).normal(size=5000)
+    edges = fitting.bin_edges(values)
+    assert len(edges) == fixed.BOOSTING_BINS - 1 and np.bincount(np.searchsorted(edges, values)).max() < 40
+    assert fitting.bin_edges(np.array([1.0, 1.0, 2.0, 4.0])).tolist() == [1.5, 3.0]
+
+
+@pytest.fixture(scope="module")
+def panel(spark):
+    """Series with steps, trends, a constant, and few rows."""
+    return spark.sql("""SELECT k, date_add(DATE '2024-01-01', CAST(id AS INT)) AS date, CASE k WHEN 'step' THEN IF(id % 9 < 4, 50.0D, 10.0D) + id % 3
+        WHEN 'trend' THEN 5.0D * id + id % 4 WHEN 'flat' THEN 7.0D WHEN 'wave' THEN 100 + 40 * sin(id / 3.0D) ELSE id * id % 17 * 1.0D END AS v
+      FROM range(130) CROSS JOIN (SELECT explode(array('step', 'trend', 'flat', 'wave', 'short', CAST(NULL AS STRING))) AS k)
+      WHERE coalesce(k, '') != 'short' OR id < 30""")
+
+
+def test_one_pass_scores_equal_scores_by_copied_folds(spark, rows, panel):
+    features = series.make_features(series.resample(panel, "v", "date", "day", ["k"]), ["k"])
+    got = {(r["k"], r["algorithm"]): r for r in rows(forecast.validate_models(features, ["k"]))}
+    folds = forecast.time_folds(features, ["k"])
+    for r in rows(forecast.cv_scores(forecast.baseline_predictions(folds, ["k"]), ["k"])):
+        assert got[r["k"], r["algorithm"]] == r
+    predictions = forecast.model_predictions(features, ["k"], fixed.MODELS)
+    for r in rows(forecast.cv_scores(predictions, ["k"])):
+        assert {k: pytest.approx(v, abs=1e-3) if v is not None else None for k, v in r.items() if k not in ("k", "algorithm")} == {
+            k: v for k, v in got[r["k"], r["algorithm"]].items() if k not in ("k", "algorithm")}
+    assert {k for k, a in got if a == fixed.BOOSTED} == {"step", "trend", "wave", None}  # not short ones, not constant ones
+    assert {a for k, a in got if k == "flat"} == {fixed.NAIVE, fixed.SEASONAL}
+    with pytest.raises(ValueError):
+        forecast.model_predictions(features, ["k"], ["magic"])
+    # the regressions against least squares on the copied rows of each fold
+    copied = folds.where("k = 'wave'").toPandas().sort_values(["fold", "period"])
+    for algorithm in (fixed.LINEAR, fixed.RIDGE):
+        found = predictions.where("k = 'wave'").where(F.col("algorithm") == algorithm).toPandas().sort_values(["fold", "period"])
+        for fold, part in copied.groupby("fold"):
+            x, y = part[list(fixed.FEATURE_COLUMNS)].to_numpy(float), part["value"].to_numpy(float)
+            train = part["is_train"].to_numpy(bool)
+            centre = x[train].mean(axis=0)
+            if algorithm == fixed.LINEAR:
+                slope = np.linalg.lstsq(x[train] - centre, y[train] - y[train].mean(), rcond=1e-12)[0]
+            else:
+                square = (x[train] - centre).T @ (x[train] - centre) + np.eye(x.shape[1])
+                slope = np.linalg.solve(square, (x[train] - centre).T @ (y[train] - y[train].mean()))
+            want = (x[~train] - centre) @ slope + y[train].mean()
+            assert np.allclose(found.loc[found["fold"] == fold, "predicted"], want, rtol=1e-4, atol=1e-3)
+
+
+def test_boosted_trees_are_chosen_and_forecast(spark, rows, panel):
+    features = series.make_features(series.resample(panel, "v", "date", "day", ["k"]), ["k"])
+    fitted = forecast.select_model(forecast.fitted_models(features, ["k"]), ["k"])
+    plan = forecast.plan_forecasts(None, fitted, "day", ["k"], 5, True)
+    again = forecast.plan_forecasts(features, forecast.select_model(forecast.validate_models(features, ["k"]), ["k"]), "day", ["k"], 5, True)
+    chosen = {r["k"]: r for r in rows(plan)}
+    assert chosen["step"]["algorithm"] == fixed.BOOSTED
+    assert [{c: r[c] for c in ("k", "algorithm", "periods", "history_periods", "horizon")} for r in rows(plan.where("k IS NOT NULL"), "k")] == [
+        {c: r[c] for c in ("k", "algorithm", "periods", "history_periods", "horizon")} for r in rows(again, "k")]
+    got, want = rows(forecast.forecast_fitted(plan, "day", ["k"]), "k", "step"), rows(forecast.forecast_recursive(features, again, "day", ["k"]), "k", "step")
+    assert len(got) == 30 and [r for r in got if r["k"]] == want
+    ahead = [r["predicted_value"] for r in got if r["k"] == "step"]
+    assert min(ahead) >= 0 and max(ahead) < 70, ahead
+    whole = rows(forecast.forecast(panel, "v", "date", "day", ["k"], horizon=5, non_negative=True, clean=False).drop("is_capped"), "k", "step")
+    assert whole == [r for r in got if r["k"] != "flat"]
+
+
+def test_series_in_batches_of_any_size():
+    import pyarrow as pa
+
+    rows = pa.table({"k": pa.array(["a"] * 5 + [None] * 3 + ["b"] + ["c"] * 7), "v": list(range(16))})
+    for size in range(1, 18):
+        for limit in (1, 4, 100):
+            seen = []
+
+            def run(part, starts, seen=seen):
+                assert starts[0] == 0 and starts[-1] == len(part)
+                seen += [part.column("v").to_pylist()[a:b] for a, b in zip(starts, starts[1:])]
+                return part
+
+            out = list(fitting.in_batches(iter(rows.to_batches(max_chunksize=size)), ["k"], run, limit))
+            assert seen == [[0, 1, 2, 3, 4], [5, 6, 7], [8], [9, 10, 11, 12, 13, 14, 15]]
+            assert sum(map(len, out)) == 16
