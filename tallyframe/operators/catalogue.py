@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import combinations
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import fixed_values as fixed
-from tallyframe.functions.numeric import as_number, column, column_type, complete_pairs, is_numeric, is_text, pearson, present
+from tallyframe.functions.matrices import NO_SPREAD, PAIR_SUMS, pair_sums
+from tallyframe.functions.numeric import as_number, column, column_type, is_numeric, is_text, present
 from tallyframe.functions.periods import as_timestamp
 from tallyframe.operators import frequencies as freq
 from tallyframe.operators.profile import metric_columns, name_has
@@ -153,34 +153,30 @@ def top_values(df: DataFrame, columns: Sequence[str] | None = None, limit: int =
     return freq.with_whole_texts(df, freq.top_values(freq.value_frequencies(df, names), limit), names)
 
 
-#: Column pairs that one aggregation measures; its generated code stays of a size that compiles.
-PAIRS_AT_ONCE = 30
-
-
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson r of all column pairs; pairs without variance are left out.
 
-    Each pair is a few sums in one row of a partial aggregate, so rows are never multiplied. Wide
-    tables take a scan, of the columns concerned, for every thirty pairs.
+    Two scans for any number of columns: one for each column's centre, one in which every task sums the
+    products of all pairs as matrices. A task sends one row a pair, and these are added up.
     """
     names = [c for c in (columns or df.columns) if is_numeric(column_type(df, c))]
-    pairs = list(combinations(names, 2))
-    if not pairs:
+    if len(names) < 2:
         raise ValueError("correlation needs at least two numeric columns")
-    numbers = df.select(*[as_number(df, c).alias(c) for c in names])
-    parts = []
-    for at in range(0, len(pairs), PAIRS_AT_ONCE):
-        some = pairs[at : at + PAIRS_AT_ONCE]
-        sums = [
-            e for i, (a, b) in enumerate(some)
-            for e in (F.round(pearson(column(a), column(b)), 4).alias(f"r{i}"), complete_pairs(column(a), column(b)).alias(f"n{i}"))
-        ]
-        rows = [
-            F.struct(F.lit(a).alias("first_column"), F.lit(b).alias("second_column"), F.col(f"r{i}").alias("correlation"), F.col(f"n{i}").alias("observations"))
-            for i, (a, b) in enumerate(some)
-        ]
-        parts.append(numbers.agg(*sums).select(F.inline(F.array(*rows))))
-    return reduce(DataFrame.unionByName, parts).where(F.col("correlation").isNotNull())
+    numbers = df.select(*[as_number(df, c).alias(f"c{i}") for i, c in enumerate(names)])
+    ends = numbers.agg(*[f(f"c{i}") for i in range(len(names)) for f in (F.min, F.max, F.avg)]).first()
+    # a value of the column where it has but one, so that its distances are exactly zero
+    centres = [low if low == high else mean for low, high, mean in zip(ends[0::3], ends[1::3], ends[2::3])]
+    sums = numbers.mapInArrow(pair_sums([c or 0.0 for c in centres]), PAIR_SUMS)
+    total = sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    spread = lambda squares, plain: F.col(squares) - F.col(plain) * F.col(plain) / F.col("n")
+    real = lambda squares, plain: F.when(spread(squares, plain) > NO_SPREAD * F.col(squares), spread(squares, plain))
+    r = F.try_divide(F.col("xy") - F.col("x") * F.col("y") / F.col("n"), F.sqrt(real("xx", "x")) * F.sqrt(real("yy", "y")))
+    named = F.array(*[F.lit(c) for c in names])
+    found = total.where("n > 0").select(
+        named[F.col("a")].alias("first_column"), named[F.col("b")].alias("second_column"),
+        F.round(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)), 4).alias("correlation"), F.col("n").alias("observations"),
+    )
+    return found.where(F.col("correlation").isNotNull())
 
 
 def dimension_values(df: DataFrame, dimensions: Sequence[str], examples: int = fixed.DIMENSION_EXAMPLES) -> DataFrame:
@@ -214,7 +210,7 @@ def find_value_columns(df: DataFrame, terms: DataFrame, term: str = "term", colu
     the join, so a value that fills a third of the table joins as one row.
     """
     names = [c for c in (columns or df.columns) if is_text(column_type(df, c))]
-    normalised = df.select(*[normalised_value(F.col(c)).alias(c) for c in names])
+    normalised = df.select(*[normalised_value(column(c)).alias(c) for c in names])
     frequencies = freq.value_frequencies(normalised, names).select("column", F.col("value").alias("_key"), "n")
     wanted = terms.select(F.col(term)).dropna().dropDuplicates().withColumn(
         "_key", freq.text_key(normalised_value(F.col(term)))

@@ -13,34 +13,55 @@ from tallyframe.sources import readers, stores
 from tallyframe.sources.shared import shared_folder
 
 ORDERS = """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus,
-  CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM {source}"""
+  CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority FROM {source}"""
+# Files hold times as text, and so they are read.
+READ_SQL = f"SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g') AS o_orderdate) FROM ({ORDERS.format(source='orders')})"
 
 
 def some_orders(spark, sf):
     return spark.sql(ORDERS.format(source="{orders}"), orders=table(spark, sf, "orders"))
 
 
-@query("read_csv_table", ORDERS.format(source="orders"))
+@query("read_csv_table", READ_SQL)
 def read_csv_table(spark, sf):
     path = shared_folder(spark, "orders-csv")
     some_orders(spark, sf).write.option("header", True).csv(path)
     return readers.read_csv_table(spark, path)
 
 
-@query("read_json_records", ORDERS.format(source="orders"))
+NOTED = """SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN concat('first, "', o_orderpriority, '"', {end}, {end}, 'last of ', o_orderkey) ELSE o_orderpriority END AS note"""
+
+
+@query("read_csv_line_ends", f"{NOTED.format(end='chr(10)')} FROM ({READ_SQL})")
+def read_csv_line_ends(spark, sf):
+    path = shared_folder(spark, "notes-csv")
+    noted = spark.sql(NOTED.format(end="char(10)") + " FROM {orders}", orders=some_orders(spark, sf))
+    noted.write.options(header=True, escape='"').csv(path)
+    return readers.read_csv_table(spark, path)
+
+
+@query("read_json_records", READ_SQL)
 def read_json_records(spark, sf):
     path = shared_folder(spark, "orders-json")
     some_orders(spark, sf).write.json(path)
     return readers.read_json_records(spark, path, lines=True)
 
 
+@query("read_json_list", READ_SQL)
+def read_json_list(spark, sf):
+    path = shared_folder(spark, "orders-lists")
+    orders = some_orders(spark, sf).withColumn("list", F.col("o_orderkey") % 8)
+    lists = orders.groupBy("list").agg(F.to_json(F.collect_list(F.struct(*orders.columns[:-1]))).alias("text"))
+    lists.write.partitionBy("list").text(path)  # a file a list
+    return readers.read_json_records(spark, path)
+
+
 @query(
     "demote_integral",
-    """SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS BIGINT) AS l_quantity, l_discount FROM lineitem""",
+    "SELECT * REPLACE (CAST(l_quantity AS BIGINT) AS l_quantity) FROM lineitem",
 )
 def demote_integral(spark, sf):
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount")
-    return readers.demote_integral(lines)
+    return readers.demote_integral(table(spark, sf, "lineitem"))
 
 
 TEXTED = """SELECT o_orderkey, CAST(o_custkey AS {t}) AS customer_text, ' ' || CAST(o_totalprice AS {t}) AS price_text,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions import fixed_values as fixed
-from tallyframe.functions.numeric import FLOATING, column_type, is_text, parse_numeric_text, present, text_to_double
+from tallyframe.functions.numeric import FLOATING, column, column_type, is_text, parse_numeric_text, present, text_to_double
+from tallyframe.sources.records import delimited_records, has_open_lines, listed_objects
+from tallyframe.sources.shared import shared_folder
 
 
 def demote_integral(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -40,9 +44,9 @@ def coerce_text_columns(df: DataFrame, columns: Sequence[str] | None = None) ->
     names = [c for c in (columns or df.columns) if is_text(column_type(df, c))]
     if not names:
         return df
-    cleaned = df.withColumns({c: F.when(F.trim(F.col(c)) != "", F.trim(F.col(c))) for c in names})
-    col = F.col("value")
-    fits = cleaned.select(*names).unpivot([], names, "column", "value").where(col.isNotNull()).groupBy("column").agg(
+    cleaned = df.withColumns({c: F.when(F.trim(column(c)) != "", F.trim(column(c))) for c in names})
+    col, chosen = F.col("value"), [column(c) for c in names]
+    fits = cleaned.select(*chosen).unpivot([], chosen, "column", "value").where(col.isNotNull()).groupBy("column").agg(
         F.count(F.lit(1)).alias("all"), F.count(_whole(col)).alias("whole"), F.count(text_to_double(col)).alias("number"),
         F.count_if(F.lower(col).isin("true", "false")).alias("bool"),
     )
@@ -51,17 +55,17 @@ def coerce_text_columns(df: DataFrame, columns: Sequence[str] | None = None) ->
     casts = {}
     for c, row in found.items():
         if row["whole"] == row["all"]:
-            casts[c] = _whole(F.col(c))
+            casts[c] = _whole(column(c))
         elif row["number"] == row["all"]:
-            casts[c] = text_to_double(F.col(c))
+            casts[c] = text_to_double(column(c))
         elif row["bool"] == row["all"]:
-            casts[c] = F.lower(F.col(c)) == "true"
+            casts[c] = F.lower(column(c)) == "true"
     return cleaned.withColumns(casts) if casts else cleaned
 
 
 def parse_numeric_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Formatted amounts in the given text columns to doubles."""
-    return df.withColumns({c: parse_numeric_text(F.col(c).cast("string")) for c in columns})
+    return df.withColumns({c: parse_numeric_text(column(c).cast("string")) for c in columns})
 
 
 def read_csv_table(
@@ -69,25 +73,53 @@ def read_csv_table(
 ) -> DataFrame:
     """UTF-8 CSV with a header. Cells that mean missing are null; types follow the content.
 
-    A schema saves the pass over the files that finds the types.
+    Quoted cells may hold line ends; files still split into ranges that many tasks read. A quote that is
+    not closed, and files of different headers, are errors. A schema saves the pass that finds the types.
     """
-    options = {"header": True, "encoding": "UTF-8", "escape": '"', "multiLine": False}
+    options = {"encoding": "UTF-8", "escape": '"', "multiLine": False}
+    if has_open_lines(spark, path):
+        text = _read_records(spark, path, schema, options)
+    else:  # every line is a record, which Spark's own reader cuts the same way
+        reader = spark.read.options(header=True, **options)
+        text = (reader.schema(schema) if schema is not None else reader).csv(path)
     if schema is not None:
-        return spark.read.options(**options).schema(schema).csv(path)
-    text = spark.read.options(**options).csv(path)
+        return text
     missing = [m for m in fixed.MISSING_CELLS]
-    nulled = text.select(*[F.when(~F.col(f"`{c}`").isin(*missing), F.col(f"`{c}`")).alias(c) for c in text.columns])
+    nulled = text.select(*[F.when(~column(c).isin(*missing), column(c)).alias(c) for c in text.columns])
     return coerce_text_columns(nulled)
 
 
+def _read_records(spark: SparkSession, path: str | list[str], schema: T.StructType | None, options: dict) -> DataFrame:
+    records = delimited_records(spark, path)
+    headers = records.where("first").select("text").distinct().limit(2).collect()
+    if len(headers) > 1:
+        raise ValueError("the files have different headers")
+    if schema is None:
+        names: list[str] = []
+        for i, name in enumerate(next(csv.reader(io.StringIO(headers[0]["text"], newline=""))) if headers else []):
+            name = name or f"_c{i}"
+            names.append(name if name not in names else f"{name}{i}")
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
+    return records.where("NOT first").select(F.from_csv("text", ddl, {k: str(v) for k, v in options.items()}).alias("row")).select("row.*")
+
+
 def read_json_records(
     spark: SparkSession, path: str | list[str], schema: T.StructType | None = None, lines: bool = False
 ) -> DataFrame:
     """Files holding a list of records each, or one record per line.
 
-    A list is read by one task per file, so large data should come as many files or as lines.
+    Many tasks read ranges of a list, too. Without a schema its records are written as lines to the
+    shared folder, from which Spark infers one. A file that is no list, or not closed, is an error.
     """
-    reader = spark.read.option("multiLine", not lines)
+    if not lines:
+        records = listed_objects(spark, path)
+        if schema is not None:
+            ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
+            return records.select(F.from_json("text", ddl).alias("row")).select("row.*")
+        path = shared_folder(spark, "records")
+        records.write.text(path)
+    reader = spark.read
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 

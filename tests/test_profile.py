@@ -124,3 +124,40 @@ def test_correlation_of_all_pairs(spark):
     wide = spark.range(50).select(*[((F.col("id") * (i + 3)) % (i + 7)).cast("double").alias(f"c.{i}") for i in range(9)])
     found = catalogue.correlation_matrix(wide).collect()
     assert len(found) == 36 and all(r.observations == 50 for r in found)
+
+
+def test_correlations_of_many_columns_with_gaps(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(9)
+    data = rng.normal(size=(400, 60))
+    data[:, 1] = data[:, 0] * 3 + rng.normal(size=400) / 9
+    data[:, 2] += 1e9  # large values with small differences
+    data[:, 3] = 1e9 + data[:, 2] * 2 - 2e9
+    data[:, 4] = 5.1  # no variance
+    data[rng.random(data.shape) < 0.2] = np.nan
+    data[:, 5] = np.where(np.arange(400) < 300, 7.7, np.nan)
+    data[:, 6] = np.where(np.arange(400) < 300, np.nan, data[:, 7])  # never beside column 5
+    frame = pd.DataFrame(data, columns=[f"c.{i}" for i in range(60)])
+    df = spark.createDataFrame(frame).repartition(5)
+    found = catalogue.correlation_matrix(df)
+    got = {(r.first_column, r.second_column): (r.correlation, r.observations) for r in found.collect()}
+    want, there = frame.corr(), frame.notna().astype(int)
+    both = there.T @ there
+    for i in range(60):
+        for j in range(i + 1, 60):
+            a, b = f"c.{i}", f"c.{j}"
+            if i in (4, 5) or j in (4, 5) or both.loc[a, b] < 2:
+                assert (a, b) not in got
+            else:
+                assert got[a, b] == (pytest.approx(want.loc[a, b], abs=2e-4), both.loc[a, b]), (a, b)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    with pytest.raises(ValueError):
+        catalogue.correlation_matrix(df.select("`c.1`"))
+
+
+def test_values_in_columns_with_dots(spark, rows):
+    df = spark.createDataFrame([("Red", "x"), ("red ", "y")], "`a.b` string, c string")
+    terms = spark.createDataFrame([("RED",)], "term string")
+    assert rows(catalogue.find_value_columns(df, terms)) == [{"term": "RED", "column": "a.b", "row_count": 2}]
