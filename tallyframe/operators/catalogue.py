@@ -174,7 +174,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     named = F.array(*[F.lit(c) for c in names])
     found = total.where("n > 0").select(
         named[F.col("a")].alias("first_column"), named[F.col("b")].alias("second_column"),
-        F.round(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)), 4).alias("correlation"), F.col("n").alias("observations"),
+        F.round(F.when(r.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r))), 4).alias("correlation"), F.col("n").alias("observations"),
     )
     return found.where(F.col("correlation").isNotNull())
 
