@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions import fixed_values as fixed
-from tallyframe.functions.numeric import FLOATING, column, column_type, is_numeric, is_text, is_time, present
+from tallyframe.functions.numeric import FLOATING, as_number, column, column_type, is_numeric, is_text, is_time, present
 
 # Longer text is counted under the digest of the whole text: the shuffle then moves 71 characters
 # instead of a document.
@@ -150,43 +150,61 @@ def measures(frequencies: DataFrame) -> DataFrame:
     return first.join(F.broadcast(spread), "column", "left")
 
 
+#: Ranges that a column's values are counted in at a time.
+RANGES = 1 << 16
+
+
+def _holding(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of counted ranges the one of each key that holds its rank, and the rows before it.
+
+    counts: keys, rows, low, high, rank and before; at most RANGES rows a key.
+    """
+    upto = F.col("before") + F.sum("rows").over(Window.partitionBy(*keys).orderBy("low"))
+    found = counts.withColumn("upto", upto).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("rows") < F.col("rank")))
+    return found.select(*keys, "rank", (F.col("upto") - F.col("rows")).alias("before"), "low", "high")
+
+
 def medians(frequencies: DataFrame) -> DataFrame:
-    """Exact median of every numeric column.
+    """Exact median of every numeric column, by counting in narrowing ranges.
 
-    A range shuffle cuts the values into slices of one task's size. The few slice totals say which
-    slice holds the middle rank, and only that slice is then walked value by value.
+    Values are first counted by sign and power of two, then three times in 65,536 ranges between the
+    lowest and highest value of the range that holds the middle rank; only counts are shuffled. What is
+    left are values of at most a 2^48th of one power of two, so 16 distinct ones, and these are walked.
+    An even number of values has two middle ranks, each with ranges of its own.
     """
     numbers = only(frequencies, F.col("number").isNotNull()).select("column", "number", "n")
-    slices = (
-        numbers.repartitionByRange("column", "number")
-        .select("column", "number", "n", F.spark_partition_id().alias("slice"))
-        .groupBy("column", "slice")
-        .agg(F.sum("n").alias("rows"), F.min("number").alias("low"), F.max("number").alias("high"))
-    )
-    by_low = Window.partitionBy("column").orderBy("low")
-    whole = Window.partitionBy("column")
-    located = (
-        slices.withColumn("upto", F.sum("rows").over(by_low.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("total", F.sum("rows").over(whole))
-        .withColumn("lower_rank", F.floor((F.col("total") + 1) / 2))
-        .withColumn("upper_rank", F.floor(F.col("total") / 2) + 1)
-        .where((F.col("upto") >= F.col("lower_rank")) & (F.col("upto") - F.col("rows") < F.col("upper_rank")))
-        .groupBy("column", "lower_rank", "upper_rank")
-        .agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min(F.col("upto") - F.col("rows")).alias("before"))
-    )
-    # One row per column of the profiled table, so the broadcast is bounded by its width.
-    near = numbers.join(F.broadcast(located), "column").where(F.col("number").between(F.col("low"), F.col("high")))
-    walk = Window.partitionBy("column").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.col("before") + F.sum("n").over(walk)
-    return (
-        near.withColumn("upto", upto)
-        .groupBy("column")
-        .agg(
-            F.min(F.when(F.col("upto") >= F.col("lower_rank"), F.col("number"))).alias("lower"),
-            F.min(F.when(F.col("upto") >= F.col("upper_rank"), F.col("number"))).alias("upper"),
-        )
-        .select("column", ((F.col("lower") + F.col("upper")) / 2).alias("median"))
-    )
+    number, low, high = F.col("number"), F.col("low"), F.col("high")
+    power = F.when(number == 0, 0).otherwise(F.signum(number) * (F.floor(F.log2(F.abs(number))) + 1100)).cast("int")
+    ends = F.sum("n").alias("rows"), F.min("number").alias("low"), F.max("number").alias("high")
+    powers = numbers.groupBy("column", power.alias("range")).agg(*ends)
+    total = F.sum("rows").over(Window.partitionBy("column"))
+    middle = F.array(*[
+        F.struct(F.lit(side).alias("side"), rank.alias("rank"))
+        for side, rank in ((0, F.floor((F.col("total") + 1) / 2)), (1, F.floor(F.col("total") / 2) + 1))
+    ])
+    asked = powers.withColumn("total", total).select("column", "rows", "low", "high", F.inline(middle)).withColumn("before", F.lit(0).cast("bigint"))
+    keys = ["column", "side"]
+    held = _holding(asked, keys)
+
+    def near() -> DataFrame:
+        # Two rows per column of the profiled table, so the broadcast is bounded by its width.
+        return numbers.join(F.broadcast(held), "column").where(number.between(low, high))
+
+    for _ in range(3):
+        place = F.coalesce(F.floor(F.try_divide(number - low, high - low) * RANGES), F.lit(0)).cast("int")
+        counts = near().groupBy(*keys, "rank", "before", place.alias("range")).agg(*ends)
+        held = _holding(counts, keys)
+    walk = Window.partitionBy(*keys).orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    walked = near().withColumn("upto", F.col("before") + F.sum("n").over(walk)).where(F.col("upto") >= F.col("rank"))
+    sides = walked.groupBy(*keys).agg(F.min("number").alias("value"))
+    return sides.groupBy("column").agg((F.sum("value") / 2).alias("median"))
+
+
+def approximate_medians(df: DataFrame, columns: Sequence[str], accuracy: int) -> DataFrame:
+    """Medians from a sketch of each column, off by a rank of at most 1 / accuracy of the rows; one scan."""
+    medians_ = [F.percentile_approx(as_number(df, c), 0.5, accuracy).alias(str(i)) for i, c in enumerate(columns)]
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(str(i)).alias("median")) for i, c in enumerate(columns)])
+    return df.agg(*medians_).select(F.inline(pairs))
 
 
 def sequential_shares(frequencies: DataFrame) -> DataFrame:

@@ -152,7 +152,7 @@ def test_correlations_of_many_columns_with_gaps(spark):
                 assert (a, b) not in got
             else:
                 assert got[a, b] == (pytest.approx(want.loc[a, b], abs=2e-4), both.loc[a, b]), (a, b)
-    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     with pytest.raises(ValueError):
         catalogue.correlation_matrix(df.select("`c.1`"))
 
@@ -161,3 +161,32 @@ def test_values_in_columns_with_dots(spark, rows):
     df = spark.createDataFrame([("Red", "x"), ("red ", "y")], "`a.b` string, c string")
     terms = spark.createDataFrame([("RED",)], "term string")
     assert rows(catalogue.find_value_columns(df, terms)) == [{"term": "RED", "column": "a.b", "row_count": 2}]
+
+
+@pytest.mark.parametrize("values", [
+    [1.0], [1.0, 2.0], [0.0, -0.0, 5.0], [-3.0, -1e300, 1e-310, 1e300], [1e9 + i for i in range(7)], [5.0] * 9 + [6.0], [-2.0, -1.0],
+    [float(2**i) for i in range(-20, 21)], [0.1 + 0.2, 0.3], [1.0, 1.0000000000000002, 1.0000000000000004, 1.0000000000000007],
+])
+def test_medians_of_odd_values(spark, values):
+    df = spark.createDataFrame([(v, float(i)) for i, v in enumerate(values)], "a double, b double")
+    got = {r["column"]: r["median"] for r in profile.profile_columns(df).collect()}
+    assert got["a"] == pytest.approx(statistics.median(values), rel=1e-15, abs=0) and got["b"] == statistics.median(range(len(values)))
+
+
+def test_medians_of_a_million_values_need_no_large_task(spark):
+    df = spark.sql("SELECT pow(id % 1000003 / 7.0D, 3) - 1e6 AS a, CAST(id % 3 AS DOUBLE) AS b FROM range(0, 1000003, 1, 4)")
+    spark.sparkContext.setJobGroup("medians", "")
+    found = frequencies.medians(frequencies.value_frequencies(df, ["a", "b"]))
+    got = {r["column"]: r["median"] for r in found.collect()}
+    assert got["a"] == pytest.approx((500001 / 7.0) ** 3 - 1e6, rel=1e-12) and got["b"] == 1.0
+    # no sort of values: what windows see are counts of at most RANGES ranges
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION" not in plan and "rangepartitioning" not in plan
+    counted = found._jdf.queryExecution().optimizedPlan().toString()
+    assert counted.count("Window") >= 5 and counted.count("Aggregate") >= 6
+
+
+def test_sketched_medians(spark):
+    df = spark.range(100_001).selectExpr("CAST(id AS DOUBLE) AS v", "CAST(NULL AS DOUBLE) AS w", "'x' AS t")
+    got = {r["column"]: r["median"] for r in profile.profile_columns(df, median_accuracy=1000).collect()}
+    assert abs(got["v"] - 50_000) <= 150 and got["w"] is None and got["t"] is None
