@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import fixed_values as fixed
-from tallyframe.functions.numeric import as_number, column_type, is_numeric, present
+from tallyframe.functions.numeric import as_number, column, column_type, is_numeric, present
 from tallyframe.functions.periods import as_timestamp, resample_start
 from tallyframe.operators.metrics import Metric, as_metric, metric_aggregate
 
@@ -118,33 +118,51 @@ def clean_series_input(
     return cleaned.dropna(subset=["ts", "value"])
 
 
-def resample_metrics(
-    df: DataFrame,
-    metrics: Sequence[Metric | str],
-    date_column: str,
-    granularities: Sequence[str] = fixed.GRANULARITIES,
-    keys: Sequence[str] = (),
-) -> DataFrame:
-    """Gap-free (keys, metric_key, granularity, period, value) series of all metrics in one scan.
+def _day_states(df: DataFrame, metrics: dict[str, Metric], date_column: str, keys: Sequence[str]) -> list[tuple[DataFrame, dict[str, Column]]]:
+    """Raw rows reduced to one row a series and day, and for each metric how days merge into longer periods.
 
-    An empty period is 0 for sums and counts, null for means and extremes.
+    Sums, counts and extremes merge as they are, means as sum and count. Distinct values have no such
+    state: they keep a row a series, day and value. Every frame has the first and last moment of its rows.
     """
+    rows = df.withColumn("_ts", as_timestamp(df, date_column)).where(F.col("_ts").isNotNull()).withColumn("_day", F.to_date("_ts"))
+    ends = F.min("_ts").alias("_first"), F.max("_ts").alias("_last")
+    frames: list[tuple[DataFrame, dict[str, Column]]] = []
+    states, merged = [], {}
+    for alias, metric in metrics.items():
+        one = Metric(metric.field, metric.aggregation, f"{alias}_s")
+        if metric.aggregation == "nunique":
+            value = present(rows, metric.field).alias("_value")
+            values = rows.select(*[column(k) for k in keys], "_day", "_ts", value).groupBy(*keys, "_day", "_value").agg(*ends)
+            frames.append((values, {alias: F.count_distinct("_value")}))
+        elif metric.aggregation == "mean":
+            states += [F.sum(as_number(rows, metric.field)).alias(f"{alias}_s"), F.count(as_number(rows, metric.field)).alias(f"{alias}_n")]
+            merged[alias] = F.try_divide(F.sum(f"{alias}_s"), F.sum(f"{alias}_n"))
+        else:
+            states.append(metric_aggregate(rows, one))
+            merged[alias] = {"min": F.min, "max": F.max}.get(metric.aggregation, F.sum)(f"{alias}_s")
+    if states:
+        frames.append((rows.groupBy(*keys, "_day").agg(*states, *ends), merged))
+    return frames
+
+
+def _panel(
+    df: DataFrame, metrics: Sequence[Metric | str], date_column: str, granularities: Sequence[str], keys: Sequence[str]
+) -> DataFrame:
+    """The series of `resample_metrics`, and _first and _last, the first and last moment of a period's rows."""
     unknown = [g for g in granularities if g not in fixed.GRANULARITIES]
     if unknown:
         raise ValueError(f"series granularities are {fixed.GRANULARITIES}, not {unknown}")
-    metrics = [as_metric(m) for m in metrics]
-    stamp = as_timestamp(df, date_column)
-    periods = F.array(*[
-        F.struct(F.lit(g).alias("granularity"), resample_start(F.col("_ts"), g).alias("period")) for g in granularities
-    ])
-    names = list(dict.fromkeys([*keys, *[m.field for m in metrics]]))
-    rows = df.withColumn("_ts", stamp).where(F.col("_ts").isNotNull()).select(*names, F.inline(periods))
     # Metric results are named apart from the keys, which may share their names.
-    named = {f"_m{i}": m for i, m in enumerate(metrics)}
-    totals = rows.groupBy(*keys, "granularity", "period").agg(*[
-        metric_aggregate(rows, Metric(m.field, m.aggregation, alias)).cast("double").alias(alias) for alias, m in named.items()
-    ])
-    long = totals.unpivot([*keys, "granularity", "period"], list(named), "_alias", "value")
+    named = {f"_m{i}": as_metric(m) for i, m in enumerate(metrics)}
+    day = F.col("_day").cast("timestamp_ntz")
+    periods = F.array(*[F.struct(F.lit(g).alias("granularity"), resample_start(day, g).alias("period")) for g in granularities])
+    ids = [*keys, "granularity", "period", "_first", "_last"]
+    parts = []
+    for states, merged in _day_states(df, named, date_column, keys):
+        spread = states.select("*", F.inline(periods)).groupBy(*keys, "granularity", "period")
+        totals = spread.agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"), *[c.cast("double").alias(a) for a, c in merged.items()])
+        parts.append(totals.unpivot(ids, list(merged), "_alias", "value"))
+    long = reduce(DataFrame.unionByName, parts)
     # The gap up to the next period with data is laid out from the earlier side; no join needed.
     following = F.lead("period").over(Window.partitionBy(*keys, "granularity", "_alias").orderBy("period"))
     days = F.sequence(F.col("period"), F.date_sub("_next", 1), F.expr("interval 1 day"))
@@ -155,13 +173,29 @@ def resample_metrics(
         .when(F.col("granularity") == "day", days).when(F.col("granularity") == "week", weeks).otherwise(months)
     )
     filled = long.withColumn("_next", following).select(
-        *keys, "_alias", "granularity", "value", F.posexplode(spine).alias("_gap", "period")
+        *keys, "_alias", "granularity", "value", "_first", "_last", F.posexplode(spine).alias("_gap", "period")
     )
     zero = [alias for alias, m in named.items() if m.aggregation in ZERO_WHEN_EMPTY]
     stated = F.when(F.col("_gap") == 0, F.col("value"))
     value = F.when(F.col("_alias").isin(*zero), F.coalesce(stated, F.lit(0.0))).otherwise(stated) if zero else stated
     key = F.create_map(*[F.lit(x) for alias, m in named.items() for x in (alias, m.alias)])[F.col("_alias")]
-    return filled.select(*keys, key.alias("metric_key"), "granularity", "period", value.alias("value"))
+    return filled.select(*keys, key.alias("metric_key"), "granularity", "period", value.alias("value"), "_first", "_last")
+
+
+def resample_metrics(
+    df: DataFrame,
+    metrics: Sequence[Metric | str],
+    date_column: str,
+    granularities: Sequence[str] = fixed.GRANULARITIES,
+    keys: Sequence[str] = (),
+) -> DataFrame:
+    """Gap-free (keys, metric_key, granularity, period, value) series of all metrics.
+
+    Raw rows are reduced to days first, once for all metrics and granularities (distinct counts each read
+    them once more); weeks and months come from the days. An empty period is 0 for sums and counts, null
+    for means and extremes.
+    """
+    return _panel(df, metrics, date_column, granularities, keys).drop("_first", "_last")
 
 
 def resample_many(
@@ -251,15 +285,14 @@ def forecastability(
     granularities: Sequence[str] = fixed.GRANULARITIES,
 ) -> DataFrame:
     """Per series and granularity: whether it can be forecast, why not, its score and horizon cap."""
-    stamp = as_timestamp(df, date_column)
-    panel = resample_many(df, metric, date_column, granularities, keys)
+    panel = _panel(df, [metric], date_column, granularities, keys)
     filled = F.coalesce("value", F.lit(0.0))
+    micros = F.unix_micros(F.max("_last").cast("timestamp")) - F.unix_micros(F.min("_first").cast("timestamp"))
     stats = panel.groupBy(*keys, "granularity").agg(
+        (micros / 86_400_000_000).alias("span_days"),
         F.count(F.lit(1)).alias("periods"), F.avg(F.col("value").isNull().cast("double")).alias("missing_ratio"),
         F.count_distinct(filled).alias("distinct_values"), F.avg((filled == 0).cast("double")).alias("zero_ratio"),
     )
-    micros = F.unix_micros(F.max(stamp).cast("timestamp")) - F.unix_micros(F.min(stamp).cast("timestamp"))
-    spans = df.withColumn("_all", F.lit(0)).groupBy(*keys, "_all").agg((micros / 86_400_000_000).alias("span_days"))
     needed = _by_granularity(fixed.MIN_PERIODS)
     reason = (
         F.when(F.col("span_days") < 1, "span under one day")
@@ -277,7 +310,7 @@ def forecastability(
     )
     supported = F.col("reason").isNull()
     return (
-        stats.withColumn("_all", F.lit(0)).join(spans, [*keys, "_all"]).withColumn("reason", reason)
+        stats.withColumn("reason", reason)
         .select(
             *keys, "granularity", "periods", "missing_ratio", "distinct_values", "zero_ratio",
             supported.alias("supported"), "reason", F.when(supported, score).otherwise(0.0).alias("score"),

@@ -326,3 +326,26 @@ def test_series_in_batches_of_any_size():
             out = list(fitting.in_batches(iter(rows.to_batches(max_chunksize=size)), ["k"], run, limit))
             assert seen == [[0, 1, 2, 3, 4], [5, 6, 7], [8], [9, 10, 11, 12, 13, 14, 15]]
             assert sum(map(len, out)) == 16
+
+
+def test_periods_come_from_days_once(spark, rows):
+    import re
+
+    df = spark.sql("""SELECT CAST(id % 3 AS INT) AS k, timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, CAST(id AS INT)) AS ts,
+        IF(id % 11 = 0, NULL, id * 1.0D) AS v, IF(id % 13 = 0, NULL, concat('u', id % 29)) AS u FROM range(2000)""").cache()
+    metrics = [Metric("v"), Metric("v", "mean", "mean"), Metric("v", "min", "low"), Metric("v", "max", "high"), Metric("u", "count", "n"), Metric("u", "nunique", "d")]
+    panel = series.resample_metrics(df, metrics, "ts", keys=["k"])
+    got = {(r["k"], r["metric_key"], r["granularity"], r["period"]): r["value"] for r in rows(panel)}
+    frame = df.toPandas()
+    starts = {"day": frame["ts"].dt.date, "week": (frame["ts"].dt.to_period("W-SUN").dt.end_time).dt.date, "month": frame["ts"].dt.to_period("M").dt.start_time.dt.date}
+    for granularity, start in starts.items():
+        for (k, period), part in frame.groupby([frame["k"], start]):
+            want = {"v": part.v.sum(), "mean": part.v.mean(), "low": part.v.min(), "high": part.v.max(), "n": part.u.count(), "d": part.u.nunique()}
+            for name, value in want.items():
+                assert got[k, name, granularity, period] == pytest.approx(value), (k, name, granularity, period)
+    plan = series.resample_metrics(df.select("*"), metrics[:5], "ts", keys=["k"])._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.split("\n")
+    generate = next(i for i, line in enumerate(lines) if "Generate inline" in line)
+    assert any("Aggregate" in line for line in lines[generate:]) and len(re.findall("InMemoryRelation", plan)) == 1
+    lone = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-01 05:00:00' + make_dt_interval(0, CAST(id AS INT)) AS d, id * 1.0D AS v FROM range(12)")
+    assert {r["reason"] for r in rows(series.forecastability(lone, "v", "d"))} == {"span under one day"}
