@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import uuid
 import zlib
@@ -18,54 +19,97 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import materialize, named, text_batches, tidy, worker_state
 from tallyframe.sources.shared import shared_folder
 
-#: Pieces of text whose ids a worker keeps, about 100 MB of them.
-CACHE_PIECES = 500_000
+#: Units of text whose ids a worker keeps, about 100 MB of them, and bytes of texts encoded together.
+CACHE_UNITS = 2_000_000
+PACK_BYTES = 8 << 20
+_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_WORD_AND_SIGNS = "^[A-Za-z]+[" + "".join("\\" + c for c in _SIGNS) + "]*$"
 
 
-def _open(path: str):
-    """The tokenizer and the pieces it has encoded in this worker."""
-    opened = worker_state("tokenizers")
-    if path not in opened:
+class _Units:
+    """A tokenizer, and the units of text that it has encoded in this worker: their ids, one after the other."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         from tokenizers import Tokenizer
 
-        opened[path] = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.units, self.sizes, self.flat = pa.array([], pa.large_string()), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def ids(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For distinct units: where the ids of each start in the returned array, and how many there are."""
+        if len(self.units) + len(units) > max(CACHE_UNITS, len(units)):
+            self.clear()
+        found = pc.index_in(units, self.units)
+        missing = units.filter(found.is_null())
+        sizes, flats = [self.sizes], [self.flat]
+        for at in range(0, len(missing), 20_000):
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast(missing.slice(at, 20_000).to_pylist(), add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, coded), np.int64, len(coded)))
+            flats.append(np.fromiter(itertools.chain.from_iterable(coded), np.uint32, int(sizes[-1].sum())))
+        place = found.to_numpy(zero_copy_only=False).astype(float)
+        place[np.isnan(place)] = len(self.units) + np.arange(len(missing))
+        self.units = pa.concat_arrays([self.units, missing])
+        self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flats)
+        place = place.astype(np.int64)
+        return (np.cumsum(self.sizes) - self.sizes)[place], self.sizes[place], self.flat
+
+
+def _open(path: str) -> _Units:
+    opened = worker_state("tokenizers")
+    if path not in opened:
+        opened[path] = _Units(path)
     return opened[path]
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, as many as its size says, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts, one after the other, and the number of ids of each.
 
-    For tokenizers that drop white space and treat what it separates alone, as word-level BPE does:
-    the library encodes each distinct piece between ASCII white space once, and its ids stand for
-    every place where the piece occurs. Null is empty.
+    For tokenizers that drop white space, treat what it separates alone, and letters and signs alone
+    within that, in lower case, as word-level BPE does: the library encodes each distinct unit once in a
+    worker, and its ids stand for every place where the unit occurs. Units are the pieces between ASCII
+    white space; a piece of ASCII letters and then signs is two, the letters in lower case. Null is empty.
     """
-    tokenizer, cache = _open(path)
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     coded = lists.flatten().dictionary_encode()
-    pieces = coded.dictionary.to_pylist()
-    found = [cache.get(p) for p in pieces]
-    missing = [i for i, ids in enumerate(found) if ids is None]
-    for at in range(0, len(missing), 20_000):
-        part = missing[at : at + 20_000]
-        for i, e in zip(part, tokenizer.encode_batch_fast([pieces[i] for i in part], add_special_tokens=False)):
-            found[i] = np.array(e.ids, np.uint32)
-    if len(cache) + len(missing) > CACHE_PIECES:
-        cache.clear()
-    if len(missing) <= CACHE_PIECES:
-        cache.update((pieces[i], found[i]) for i in missing)
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    starts = np.cumsum(sizes) - sizes
-    flat = np.concatenate(found) if found else np.empty(0, np.uint32)
-    codes = coded.indices.to_numpy()
-    lengths = sizes[codes]
-    ends = np.cumsum(lengths)
-    ids = flat[np.repeat(starts[codes] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
-    bounds = np.concatenate(([0], ends))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    pieces, codes = coded.dictionary, coded.indices.to_numpy()
+    plain = pc.match_substring_regex(pieces, _WORD_AND_SIGNS)
+    first = pc.if_else(plain, pc.ascii_lower(pc.ascii_rtrim(pieces, _SIGNS)), pieces)
+    signs = pc.if_else(plain, pc.ascii_ltrim(pieces, _LETTERS), "")
+    units = pa.chunked_array([first, signs.cast(pa.large_string())]).combine_chunks().dictionary_encode()
+    starts, sizes, flat = _open(path).ids(units.dictionary)
+    pair = units.indices.to_numpy().reshape(2, -1)  # the units of each piece; no signs are a unit without ids
+    both = pair[:, codes].T.ravel()
+    ids = flat[_ranges(starts[both], sizes[both])]
+    ends = np.concatenate(([0], np.cumsum(sizes[pair[0]][codes] + sizes[pair[1]][codes])))
+    bounds = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
     return ids, np.diff(bounds)
 
 
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of some megabytes in the same order, so that a unit is looked up once for many texts."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= PACK_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def with_ends(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with the end id after each document."""
     return np.insert(ids, np.cumsum(counts), end_id), counts + 1
@@ -109,7 +153,7 @@ def write_token_files(
     folder = folder or shared_folder(spark, "token-files")
     store, path = _store(folder)
     store.create_dir(path, recursive=True)
-    kind = id_type(max(_open(tokenizer)[0].get_vocab_size(), end_id + 1))
+    kind = id_type(max(_open(tokenizer).tokenizer.get_vocab_size(), end_id + 1))
     chosen = docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).alias("text"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = chosen.repartitionByRange(parts, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
@@ -121,7 +165,7 @@ def write_token_files(
         store, path = _store(folder)
         docs_out, starts, total = [], [np.zeros(1, np.int64)], 0
         with store.open_output_stream(f"{path}/{name}.ids") as out:
-            for batch in batches:
+            for batch in _packs(batches):
                 ids, counts = with_ends(*encode_texts(batch.column(1), tokenizer), end_id)
                 out.write(ids.astype(kind).tobytes())
                 docs_out.append(pc.fill_null(batch.column(0), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False))

@@ -541,3 +541,32 @@ def test_rows_of_one_document_keep_a_copy(spark):
     for r in got:
         assert (bytes(r.kept), r.n_removed, r.n_spans) == expected[-1 if r.doc_id is None else r.doc_id]
     assert {r.n_removed for r in got if r.doc_id in (5, None)} == {0}
+
+
+def test_units_of_text_encode_like_whole_texts():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tallyframe.llm import token_files
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rng = random.Random(12)
+    odd = ["<|ENDOFTEXT|> a<|endoftext|>b", "It's don't 'S x'Re", "A,B. C!! d-e f_g_ H2O", "İstanbul ΣΑΣ É é É.", "x\x00y \x7f. a\x01,", "", "ſt K", "and...\"' (x) [Y]."]
+    texts = odd + ["".join(rng.choices("aBcéÉ 's,.!<|>\n\t3", k=rng.randint(0, 40))) for _ in range(600)] + [None]
+    ids, counts = token_files.encode_texts(pa.array(texts), path)
+    assert [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    batches = [pa.RecordBatch.from_pylist([{"t": "x" * n}]) for n in (5, 1, 9)]
+    assert [b.column(0).to_pylist() for b in token_files._packs(iter(batches))] == [["x" * 5, "x", "x" * 9]]
+
+
+def test_full_cache_of_units_starts_again(monkeypatch):
+    import pyarrow as pa
+
+    from tallyframe.llm import token_files
+
+    monkeypatch.setattr(token_files, "CACHE_UNITS", 5)
+    units = token_files._Units(public_tokenizers.path("word_bpe_49k.json"))
+    for words_ in (["a", "bc", "d"], ["bc", "e", "f", "a"], ["x", "y", "z", "u", "v", "w", "bc"], ["bc"]):
+        starts, sizes, flat = units.ids(pa.array(words_, pa.large_string()))
+        assert [flat[a : a + n].tolist() for a, n in zip(starts, sizes)] == [units.tokenizer.encode(w, add_special_tokens=False).ids for w in words_]
