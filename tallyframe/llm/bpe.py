@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ _IDS = 1 << 16
 PACK_WORDS = 1_500_000
 #: Frequent words whose ids every task is given, and the documents, chosen by a hash of their text, in
 #: which they are counted. They spare folding the same words in every pack; any list gives the same ids.
-FREQUENT_WORDS = 1 << 17
+FREQUENT_WORDS = 1 << 19
 FREQUENT_DOCS = 20_000
 #: Words of more bytes, long runs without a break, are merged with a heap.
 LONG_WORD = 64
@@ -70,7 +69,12 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
             start = int(rng.integers(PLACES))
         taken[start + places], at[a] = True, start
         of[start + places] = (np.uint32(a << 16) | np.fromiter(row.values(), np.uint32, len(row))).view(np.int32)
-    text = json.dumps({"at": at.tolist(), "of": of.tolist()}, separators=(",", ":"))
+    def listed(values: np.ndarray) -> str:  # some at a time: a list of all numbers as objects is large
+        return ",".join(",".join(map(str, values[i : i + 65536].tolist())) for i in range(0, len(values), 65536))
+
+    text = f'{{"at":[{listed(at)}],"of":[{listed(of)}]}}'
+    del taken, of, at
+    release_memory()
     return F.from_json(F.lit(text), "at array<int>, of array<int>")  # folded to a literal
 
 
@@ -254,7 +258,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
 
     Each match of the pattern is a word. A task gathers some million words, and Spark folds the
     merges over the distinct ones; their ids then stand for every place of theirs. Words that are
-    frequent in a sample are folded once beforehand, and every task is given their ids, some 5 MB.
+    frequent in a sample are folded once beforehand, and every task is given their ids, some 15 MB at most.
     Texts are never shuffled.
     Words of more than 64 bytes, which a fold would copy too often, are merged with a heap instead.
     Null and empty texts have no ids; a null doc_id is kept; repeated rows each give a row; no rows
@@ -272,7 +276,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
     top = frequent_words(split(some), ranks_path, table)
     ids, words = top.column("ids").combine_chunks(), top.column("word").combine_chunks()
     sizes = np.diff(ids.offsets.to_numpy())[: len(ids)].astype(np.int64)
-    frequent = spark.sparkContext.broadcast((words, ids.flatten().to_numpy(), sizes))  # at most 131,072 short words
+    frequent = spark.sparkContext.broadcast((words, ids.flatten().to_numpy(), sizes))  # at most 524,288 short words
     del top
     release_memory()
     shape = "doc_ids array<bigint>, sizes binary, codes binary, known binary, pieces array<array<int>>, long binary, long_words array<binary>"
