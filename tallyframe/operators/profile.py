@@ -211,11 +211,11 @@ STEP_RULES = (
             WHEN unique_count <= {fixed.MAX_CATEGORICAL_CARDINALITY} AND ratio <= {fixed.CATEGORICAL_UNIQUE_RATIO} THEN 'categorical'
             ELSE 'free_text' END""",
         "forecast_rejection_reasons": f"""CASE kind
-            WHEN 'numeric' THEN concat_ws('; ', IF(is_identifier, 'looks like an identifier column', NULL),
-                IF(is_constant, 'column has zero variance (constant)', NULL),
-                IF(unique_count < {fixed.MIN_FORECAST_DISTINCT}, 'fewer than 3 distinct values', NULL))
-            WHEN 'datetime' THEN 'datetime column, not a metric' WHEN 'text' THEN 'non-numeric column'
-            WHEN 'boolean' THEN 'boolean column' ELSE 'unrecognized dtype' END""",
+            WHEN 'numeric' THEN concat_ws('; ', IF(is_identifier, 'identifier', NULL),
+                IF(is_constant, 'constant', NULL),
+                IF(unique_count < {fixed.MIN_FORECAST_DISTINCT}, 'too few values', NULL))
+            WHEN 'datetime' THEN 'time' WHEN 'text' THEN 'text'
+            WHEN 'boolean' THEN 'true or false' ELSE 'unsupported type' END""",
     },
 )
 PROFILE_FIELDS = (

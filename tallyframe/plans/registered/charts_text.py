@@ -25,7 +25,11 @@ def chart_series(spark, sf):
     return rounded(charts.chart_series(events, "day", Metric("value"), "event_type", EVENT_TYPES), 2, *EVENT_TYPES)
 
 
-@query("scatter_sample")
+@query(
+    "scatter_sample",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, greatest((SELECT count(*) FROM lineitem) - 1000, 0) AS left_out
+       FROM lineitem ORDER BY md5(concat_ws('|', '42', l_orderkey, l_linenumber, l_partkey)), l_orderkey, l_linenumber, l_partkey LIMIT 1000""",
+)
 def scatter_sample(spark, sf):
     lines = table(spark, sf, "lineitem")
     return charts.scatter_sample(lines, ["l_quantity", "l_extendedprice"], ["l_orderkey", "l_linenumber", "l_partkey"])

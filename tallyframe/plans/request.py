@@ -49,15 +49,15 @@ def _checked(df: DataFrame, request: Mapping[str, Any]) -> tuple[str, list[Metri
     levels = [_level(level) for level in request.get("ranking_levels") or []]
     for name in [*[m.field for m in metrics], *groups, *[level[0] for level in levels]]:
         if name not in df.columns:
-            raise ValueError(f"field {name!r} does not exist in the dataset")
+            raise ValueError(f"the table has no column {name!r}")
     if operation in SINGLE_METRIC and not metrics:
-        raise ValueError(f"operation {operation!r} requires a metric")
+        raise ValueError(f"give a metric for {operation!r}")
     if operation in ("compare", "correlation") and len(metrics) < 2:
-        raise ValueError(f"operation {operation!r} requires two metrics")
+        raise ValueError(f"give two metrics for {operation!r}")
     if levels and operation not in ("top", "bottom"):
-        raise ValueError("ranking_levels can only be used with a ranking operation")
+        raise ValueError(f"levels are for top and bottom, not for {operation!r}")
     if operation in ("top", "bottom") and not levels and len(groups) != 1:
-        raise ValueError(f"operation {operation!r} requires one ranking dimension")
+        raise ValueError(f"say by which one column {operation!r} ranks")
     if request.get("granularity") and not request.get("date_column"):
         raise ValueError("a granularity needs a date column")
     return operation, metrics, list(groups)

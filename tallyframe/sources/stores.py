@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import fixed_values as fixed
@@ -49,28 +50,54 @@ def stored_metrics(profiles: DataFrame) -> DataFrame:
     )
 
 
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND" or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return None
-        raise
-
-
-def append_runs(runs: DataFrame, path: str, keys: Sequence[str] = RUN_KEYS) -> None:
-    """Append one row per forecast run; its version is one more than the last of the same key."""
-    existing = _existing(runs.sparkSession, path)
-    if existing is None:
-        versioned = runs.withColumn("version", F.lit(1).cast("bigint"))
-    else:
-        last = existing.groupBy(*keys).agg(F.max("version").alias("_last"))
-        versioned = (
-            runs.join(last, list(keys), "left")
-            .withColumn("version", F.coalesce("_last", F.lit(0)).cast("bigint") + 1).drop("_last")
-        )
-    versioned.write.mode("append").parquet(path)
-
-
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def _put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file whole, unless there is one of that name; false then. One of many writers succeeds."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    draft = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{uuid.uuid4().hex}")
+    out = files.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if files.getUri().getScheme() == "file":  # a rename on a local disk would replace the other file
+        try:
+            os.link(draft.toUri().getPath(), target.toUri().getPath())
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            files.delete(draft, False)
+    done = files.rename(draft, target)
+    if not done:
+        files.delete(draft, False)
+    return done
+
+
+def append_runs(runs: DataFrame, path: str) -> int:
+    """Append the rows of one forecast run; returns its place in the order of all runs.
+
+    The rows go into a folder of their own, which a numbered commit file then names. Writers that meet take
+    the next number, so none overwrites another's, and rows without a commit are not read.
+    """
+    spark = runs.sparkSession
+    name = f"run-{uuid.uuid4().hex}"
+    runs.write.parquet(f"{path}/runs/{name}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/commits")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    while True:
+        taken = [status.getPath().getName() for status in files.listStatus(folder)]
+        number = 1 + max((int(t) for t in taken if t.isdigit()), default=0)
+        if _put_if_absent(spark, f"{path}/commits/{number:010d}", name):
+            return number
+
+
+def read_runs(spark: SparkSession, path: str, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
+    """All committed runs with their version: a key's first run has 1, its next 2, and so on."""
+    commits = spark.read.text(f"{path}/commits").select(F.col("value").alias("_run"), F.col("_metadata.file_name").cast("bigint").alias("_commit"))
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/runs")
+    named = rows.select("*", F.regexp_extract(F.col("_metadata.file_path"), "/(run-[0-9a-f]+)/[^/]*$", 1).alias("_run"))
+    # a row a run of the log
+    placed = named.join(F.broadcast(commits), "_run")
+    order = Window.partitionBy(*keys).orderBy("_commit")
+    return placed.withColumn("version", F.dense_rank().over(order).cast("bigint")).drop("_run", "_commit")

@@ -3,9 +3,9 @@ import tempfile
 
 import pytest
 
-from tallyframe.operators import text_tables
+from tallyframe.operators import charts, text_tables
 from tallyframe.plans.request import analyze
-from tallyframe.sources import readers
+from tallyframe.sources import readers, stores
 
 
 def write(name, content):
@@ -115,3 +115,28 @@ def test_bad_requests_raise(table, request_):
 ])
 def test_requests(table, request_, count):
     assert analyze(table, request_).count() == count
+
+
+def test_writers_that_meet_get_versions_of_their_own(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = f"{tmp_path}/log"
+    run = lambda n: spark.sql(f"SELECT 'f' AS fingerprint, 'm' AS metric_key, 'day' AS granularity, {n} AS who")
+    with ThreadPoolExecutor(4) as pool:
+        places = list(pool.map(lambda n: stores.append_runs(run(n), path), range(8)))
+    assert sorted(places) == list(range(1, 9))
+    got = {r.who: r.version for r in stores.read_runs(spark, path).collect()}
+    assert got == dict(enumerate(places))
+    run(99).write.parquet(f"{path}/runs/run-0123")  # a writer that was lost before its commit
+    assert stores.read_runs(spark, path).count() == 8
+    other = run(5).selectExpr("fingerprint", "'other' AS metric_key", "granularity", "who")
+    assert stores.append_runs(other, path) == 9
+    assert [r.version for r in stores.read_runs(spark, path).where("metric_key = 'other'").collect()] == [1]
+
+
+def test_points_left_out_of_a_scatter(spark):
+    df = spark.sql("SELECT id AS `k.id`, IF(id % 5 = 0, NULL, id * 1.0D) AS x, -id AS y FROM range(50)")
+    got = charts.scatter_sample(df, ["x", "y"], ["k.id"], points=15)
+    assert got.columns == ["k.id", "x", "y", "left_out"] and {r.left_out for r in got.collect()} == {25} and got.count() == 15
+    assert got.orderBy("x").collect() == charts.scatter_sample(df.repartition(7), ["x", "y"], ["k.id"], points=15).orderBy("x").collect()
+    assert {r.left_out for r in charts.scatter_sample(df, ["x", "y"], ["k.id"]).collect()} == {0}
