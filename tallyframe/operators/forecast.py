@@ -8,6 +8,7 @@ what Python holds stays small however large the raw data is.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -28,6 +29,7 @@ from tallyframe.operators.series import (
     max_horizon,
     planned_horizon,
     resample,
+    resample_many,
     resample_metrics,
 )
 
@@ -459,15 +461,24 @@ def champion_challenger(
 
 def forecast_batch(
     df: DataFrame, metrics: Sequence[Metric], date_column: str, granularities: Sequence[str] = fixed.GRANULARITIES,
-    runs: DataFrame | None = None,
+    runs: DataFrame | None = None, non_negative: Sequence[str] = (), clean: bool = True,
 ) -> DataFrame:
     """Validate every metric at every granularity as one panel and report what became of each.
 
-    Status is ``skipped`` (too little history), ``updated`` or ``kept`` (an earlier run scored
-    better). The best regression or baseline is scored per (metric, granularity).
+    Each metric's rows are cleaned as for a forecast, those named in ``non_negative`` of values below zero,
+    too. Status is ``error`` (no usable values), ``skipped`` (too little history), ``updated`` or ``kept``
+    (an earlier run scored better). The best model is scored per (metric, granularity).
     """
     keys = ["metric_key", "granularity"]
-    panel = resample_metrics(df, metrics, date_column, granularities)
+    metrics = [as_metric(m) for m in metrics]
+    if clean:
+        panel = reduce(DataFrame.unionByName, [
+            resample_many(
+                clean_series_input(df, m, date_column, (), m.alias in non_negative), Metric("value", m.aggregation), "ts", granularities
+            ).withColumn("metric_key", F.lit(m.alias)) for m in metrics
+        ])
+    else:
+        panel = resample_metrics(df, metrics, date_column, granularities)
     features = make_features(panel, keys)
     needed = F.create_map(*[F.lit(x) for pair in fixed.MIN_PERIODS.items() for x in pair])[F.col("granularity")]
     lengths = panel.groupBy(*keys).agg(F.count(F.lit(1)).alias("periods"))
@@ -482,9 +493,14 @@ def forecast_batch(
         else selected.select(*keys, "r2").where(F.lit(False))
     )
     decided = champion_challenger(selected, champions, keys)
-    status = F.when(~F.col("is_ready"), "skipped").when(F.col("replaces"), "updated").otherwise("kept")
-    return counted.join(selected.select(*keys, "algorithm", "mae"), keys, "left").join(decided, keys, "left").select(
-        *keys, status.alias("status"), "periods", "algorithm", "mae", F.col("challenger_r2").alias("r2"),
+    status = (
+        F.when(F.col("periods").isNull(), "error").when(~F.col("is_ready"), "skipped").when(F.col("replaces"), "updated").otherwise("kept")
+    )
+    asked = F.array(*[F.struct(F.lit(m.alias).alias("metric_key"), F.lit(g).alias("granularity")) for m in metrics for g in granularities])
+    every = df.sparkSession.range(1).select(F.inline(asked)).join(counted, keys, "left")
+    return every.join(selected.select(*keys, "algorithm", "mae"), keys, "left").join(decided, keys, "left").select(
+        *keys, status.alias("status"), F.coalesce("periods", F.lit(0).cast("bigint")).alias("periods"), "algorithm", "mae",
+        F.col("challenger_r2").alias("r2"),
         F.coalesce("r2_dropped", F.lit(False)).alias("r2_dropped"),
     )
 

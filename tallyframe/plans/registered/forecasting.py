@@ -164,8 +164,8 @@ def validate_models(spark, sf):
 @query("forecast_recursive")
 def forecast_recursive(spark, sf):
     return ops.forecast(
-        table(spark, sf, "lineitem"), "l_quantity", "l_shipdate", "month", KEYS, horizon=6, non_negative=True, clean=False
-    )  # the statuses below clean first
+        table(spark, sf, "lineitem"), "l_quantity", "l_shipdate", "month", KEYS, horizon=6, non_negative=True
+    )
 
 
 def planned(spark, sf):
@@ -266,10 +266,24 @@ def champion_challenger(spark, sf):
     )
 
 
+BATCH = [Metric("o_totalprice", name="revenue"), Metric("o_custkey", "nunique", "customers"), Metric("o_orderkey", "count", "orders")]
+
+
 @query("forecast_batch")
 def forecast_batch(spark, sf):
-    metrics = [Metric("o_totalprice", name="revenue"), Metric("o_custkey", "nunique", "customers"), Metric("o_orderkey", "count", "orders")]
-    return ops.forecast_batch(table(spark, sf, "orders"), metrics, "o_orderdate")
+    return ops.forecast_batch(table(spark, sf, "orders"), BATCH, "o_orderdate")
+
+
+@query(
+    "forecast_batch_statuses",
+    """SELECT metric_key, granularity, CASE WHEN periods >= need AND periods - 3 >= 5 THEN 'updated' ELSE 'skipped' END AS status, periods FROM (
+         SELECT 'day' AS granularity, 14 AS need, CAST(date_diff('day', min(o_orderdate), max(o_orderdate)) + 1 AS BIGINT) AS periods FROM orders
+         UNION ALL SELECT 'week', 8, date_diff('day', date_trunc('week', min(o_orderdate)), date_trunc('week', max(o_orderdate))) // 7 + 1 FROM orders
+         UNION ALL SELECT 'month', 6, date_diff('month', date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate))) + 1 FROM orders)
+       CROSS JOIN (SELECT unnest(['revenue', 'customers', 'orders']) AS metric_key)""",
+)
+def forecast_batch_statuses(spark, sf):
+    return ops.forecast_batch(table(spark, sf, "orders"), BATCH, "o_orderdate").select("metric_key", "granularity", "status", "periods")
 
 
 STATUS_SQL = ASSESSED_SQL.replace("o_orderpriority", "o_custkey")

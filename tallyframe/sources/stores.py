@@ -92,6 +92,13 @@ def append_runs(runs: DataFrame, path: str) -> int:
             return number
 
 
+def append_batch(batch: DataFrame, df: DataFrame, path: str) -> int:
+    """Append what a batch of forecasts updated to the log, with the fingerprint and row count of its table."""
+    stamp = dataset_fingerprint(df).withColumnRenamed("row_count", "rows")
+    updated = batch.where("status = 'updated'").drop("status")
+    return append_runs(updated.join(F.broadcast(stamp), F.lit(True)), path)
+
+
 def read_runs(spark: SparkSession, path: str, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
     """All committed runs with their version: a key's first run has 1, its next 2, and so on."""
     commits = spark.read.text(f"{path}/commits").select(F.col("value").alias("_run"), F.col("_metadata.file_name").cast("bigint").alias("_commit"))

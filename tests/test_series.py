@@ -349,3 +349,19 @@ def test_periods_come_from_days_once(spark, rows):
     assert any("Aggregate" in line for line in lines[generate:]) and len(re.findall("InMemoryRelation", plan)) == 1
     lone = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-01 05:00:00' + make_dt_interval(0, CAST(id AS INT)) AS d, id * 1.0D AS v FROM range(12)")
     assert {r["reason"] for r in rows(series.forecastability(lone, "v", "d"))} == {"span under one day"}
+
+
+def test_batches_clean_and_report_every_metric(spark, rows, tmp_path):
+    df = spark.sql("""SELECT date_add(DATE '2024-01-01', CAST(id AS INT)) AS d, IF(id % 9 = 0, -1.0D, id % 7 + 1.0D) AS v, CAST(NULL AS DOUBLE) AS none,
+        concat('c', id % 5) AS who FROM range(80)""")
+    metrics = [Metric("v"), Metric("none"), Metric("who", "nunique", "people")]
+    once, twice = (forecast.forecast_batch(x, metrics, "d", ["day", "month"], non_negative=["v"]) for x in (df, df.union(df)))
+    got = {(r["metric_key"], r["granularity"]): r for r in rows(once)}
+    assert got == {(r["metric_key"], r["granularity"]): r for r in rows(twice)}  # exact copies count once
+    assert {k: r["status"] for k, r in got.items()} == {
+        ("v", "day"): "updated", ("v", "month"): "skipped", ("none", "day"): "error", ("none", "month"): "error",
+        ("people", "day"): "updated", ("people", "month"): "skipped"}
+    assert got["v", "day"]["periods"] == 79 and got["none", "day"]["periods"] == 0  # the first day is below zero and goes
+    assert stores.append_batch(once, df, f"{tmp_path}/log") == 1
+    logged = rows(stores.read_runs(spark, f"{tmp_path}/log"))
+    assert {r["metric_key"] for r in logged} == {"v", "people"} and {r["rows"] for r in logged} == {80}
