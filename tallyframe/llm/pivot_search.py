@@ -19,6 +19,8 @@ BLOCK_ROWS = 8192
 QUERY_ROWS = 16384
 #: Candidates evaluated at once, in bound order.
 _STEP = 256
+#: Queries whose bounds are computed together.
+_QUERIES = 32
 _EXACT = float(1 << 53)
 
 
@@ -89,13 +91,17 @@ def search_block(queries: np.ndarray, known: np.ndarray, rows: np.ndarray, ids:
     norms = (lifted * lifted).sum(axis=1)
     found = []
     by_pivot = np.ascontiguousarray(table.T)
-    low, gap = np.empty(len(rows), np.float32), np.empty(len(rows), np.float32)
     for q in range(len(queries)):
-        low.fill(0)
-        for p in range(len(by_pivot)):
-            np.subtract(by_pivot[p], np.float32(own[q, p]), out=gap)
-            np.maximum(low, np.abs(gap, out=gap), out=low)
-        high = (norms[q] + most - low.astype(np.float64) ** 2) / 2 + 1e-6 * (norms[q] + most + 1)  # the most a score can be
+        if q % _QUERIES == 0:  # bounds of some queries at once, pivot by pivot
+            some = slice(q, q + _QUERIES)
+            near = own[some].astype(np.float32)
+            low, gap = np.zeros((len(near), len(rows)), np.float32), np.empty((len(near), len(rows)), np.float32)
+            for p in range(len(by_pivot)):
+                np.subtract(by_pivot[p], near[:, p : p + 1], out=gap)
+                np.maximum(low, np.abs(gap, out=gap), out=low)
+            ends = norms[some, None] + most
+            bounds = (ends - low.astype(np.float64) ** 2) / 2 + 1e-6 * (ends + 1)  # the most a score can be
+        high = bounds[q % _QUERIES]
         top_s, top_i, floor = np.empty(0, np.int64), np.empty(0, np.int64), known[q]
         order = np.flatnonzero(high >= floor)
         order = order[np.argsort(-high[order], kind="stable")]
