@@ -6,6 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from tallyframe.functions import dates
 from tallyframe.operators import catalogue, profile
 from tallyframe.plans.registered.base import query, rounded, table
 
@@ -287,6 +288,27 @@ def date_parse_rate(spark, sf):
     return rounded(profile.date_parse_rate(dated_orders(spark, sf)), 6, "date_parse_rate")
 
 
+# Dates of several forms in one column, days first in one and months first in another.
+FORMED = """SELECT CASE o_orderkey % 5 WHEN 0 THEN {day} WHEN 1 THEN {slash} WHEN 2 THEN {word} WHEN 3 THEN {long} ELSE NULL END AS mixed_day,
+  CASE WHEN o_orderkey % 7 = 0 THEN o_orderpriority ELSE {month_first} END AS shipped, o_orderstatus FROM {source}"""
+
+
+@query(
+    "mixed_date_rate",
+    """SELECT 'mixed_day' AS "column", 1.0 AS date_parse_rate, true AS is_date_column, min(d) AS first_date, max(d) AS last_date, count(*) AS texts,
+          'cast, parts, day and word, word and day' AS forms, true AS day_first
+        FROM (SELECT CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS d FROM orders WHERE o_orderkey % 5 < 4)
+        UNION ALL SELECT 'shipped', round(count(*) FILTER (WHERE o_orderkey % 7 <> 0) / count(*), 6), true,
+          min(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)) FILTER (WHERE o_orderkey % 7 <> 0), max(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)) FILTER (WHERE o_orderkey % 7 <> 0),
+          count(*), 'parts', false FROM orders
+        UNION ALL SELECT 'o_orderstatus', 0.0, false, NULL, NULL, count(*), '', false FROM orders""",
+)
+def mixed_date_rate(spark, sf):
+    form = lambda pattern: f"date_format(o_orderdate, '{pattern}')"
+    sql = FORMED.format(day=form("yyyy-MM-dd"), slash=form("dd/MM/yyyy"), word=form("d MMM yyyy"), long=form("MMMM d, yyyy"), month_first=form("MM-dd-yyyy"), source="{orders}")
+    return rounded(dates.mixed_date_rate(spark.sql(sql, orders=table(spark, sf, "orders"))), 6, "date_parse_rate")
+
+
 def _date_score_sql(name, stamp, name_bonus):
     return f"""SELECT '{name}' AS "column", round(0.45 * rate + 0.2 * least(u / n * 2, 1) + 0.2 * least(span / 365, 1) + {name_bonus}, 4) AS score,
         round(rate, 4) AS parse_success_rate
