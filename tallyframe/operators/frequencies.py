@@ -83,7 +83,7 @@ def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     for key_class, members in by_class.items():
         counted = (
             df.select(*[_key(df, c, key_class).alias(c) for c in members])
-            .unpivot([], members, "column", "key").where(F.col("key").isNotNull())
+            .unpivot([], [column(c) for c in members], "column", "key").where(F.col("key").isNotNull())
             .groupBy("column", "key").agg(F.count(F.lit(1)).alias("n"))
         )
         key, nothing = F.col("key"), F.lit(None)
@@ -242,7 +242,7 @@ def with_whole_texts(df: DataFrame, picked: DataFrame, columns: Sequence[str]) -
         return picked
     wanted = F.broadcast(picked.where(is_digest(F.col("value"))).select("column", "value").distinct())  # a few per column
     long = (
-        df.select(*[column(c).alias(c) for c in texts]).unpivot([], texts, "column", "_text")
+        df.select(*[column(c).alias(c) for c in texts]).unpivot([], [column(c) for c in texts], "column", "_text")
         .where(F.length("_text") > LONG_TEXT).withColumn("value", text_key(F.col("_text")))
         .join(wanted, ["column", "value"]).groupBy("column", "value").agg(F.first("_text").alias("_text"))
     )
