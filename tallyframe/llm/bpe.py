@@ -17,8 +17,8 @@ from tallyframe.llm.common import let, named, release_memory, text_batches, tidy
 #: Splits text into the words within which bytes merge. White space is spelled out, since the
 #: engines differ in what they call so.
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-#: Places of the rank map, some ten times as many as entries, so that rows of entries fit in quickly.
-PLACES = 1 << 20
+#: Places of the rank map, some five times as many as entries, so that rows of entries fit in quickly.
+PLACES = 1 << 19
 _IDS = 1 << 16
 #: Words gathered by one task before their distinct forms are encoded.
 PACK_WORDS = 1_500_000
