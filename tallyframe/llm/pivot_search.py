@@ -67,11 +67,10 @@ def choose_pivots(rows: np.ndarray, count: int) -> np.ndarray:
     return rows[chosen]
 
 
-def _scores(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    bound = float(np.abs(query).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(1, len(query))
-    if bound < _EXACT:  # every partial sum is a whole number that a double holds
-        return np.rint(rows.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
-    return rows @ query
+def _exact(queries: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as doubles, if these hold every partial sum of their products, which then are exact."""
+    bound = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(1, rows.shape[1])
+    return (queries.astype(np.float64), rows.astype(np.float64)) if bound < _EXACT else (queries, rows)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -91,6 +90,7 @@ def search_block(queries: np.ndarray, known: np.ndarray, rows: np.ndarray, ids:
     norms = (lifted * lifted).sum(axis=1)
     found = []
     by_pivot = np.ascontiguousarray(table.T)
+    factors, terms = _exact(queries, rows)
     for q in range(len(queries)):
         if q % _QUERIES == 0:  # bounds of some queries at once, pivot by pivot
             some = slice(q, q + _QUERIES)
@@ -105,12 +105,14 @@ def search_block(queries: np.ndarray, known: np.ndarray, rows: np.ndarray, ids:
         top_s, top_i, floor = np.empty(0, np.int64), np.empty(0, np.int64), known[q]
         order = np.flatnonzero(high >= floor)
         order = order[np.argsort(-high[order], kind="stable")]
-        for at in range(0, len(order), _STEP):
-            take = order[at : at + _STEP]
+        at, step = 0, _STEP
+        while at < len(order):
+            take = order[at : at + step]
+            at, step = at + step, 2 * step  # the last place moves less and less
             if high[take[0]] < floor:
                 break
             take = take[high[take] >= floor]
-            scores = _scores(queries[q], rows[take])
+            scores = (terms[take] @ factors[q]).astype(np.int64)
             good = scores >= floor
             take, scores = take[good], scores[good]
             if not len(take):
