@@ -45,8 +45,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each component of near duplicates.
 
-    Near are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Rows of one
-    id that are equal in text become one; a null id is kept only in a component of nulls, once for each
+    Near are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Candidates
+    are the members of a SimHash class, as op4 forms them, and texts that share a MinHash band; whole sets
+    decide. Rows of one id that are equal in text become one; a null id is kept only in a component of nulls, once for each
     text.
     """
     repeated = has_repeats(docs, "doc_id")

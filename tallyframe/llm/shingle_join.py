@@ -1,6 +1,8 @@
-"""Near duplicates by the Jaccard similarity of word shingles: candidates from MinHash bands, each verified.
+"""Near duplicates by the Jaccard similarity of word shingles: candidates from SimHash classes and MinHash bands, each verified.
 
-Texts of similarity s agree in a band of ROWS minima with probability s ** ROWS, so a pair at 0.8 meets
+SimHash puts texts whose fingerprints are few bits apart into classes, and every member is compared with
+one of its class. Texts at 0.8 are some ten of 64 bits apart, more than blocks of fingerprints can find,
+so bands of minima bring together what the fingerprints leave apart. Texts of similarity s agree in a band of ROWS minima with probability s ** ROWS, so a pair at 0.8 meets
 in none of the BANDS bands with probability (1 - 0.8 ** 4) ** 32, or 5e-8, and is then not found. What
 meets is compared by its whole sets of shingles before it is linked.
 """
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.common import has_repeats, materialize, named, text_batches, tidy
 from tallyframe.llm.components import components
-from tallyframe.llm.simhash import _LOWER, SEED
+from tallyframe.llm.simhash import _LOWER, SEED, fingerprint, fingerprint_links
 
 ROWS, BANDS = 4, 32
 MINIMA = ROWS * BANDS
@@ -56,22 +58,24 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketches(shingle: int):
-    """Rows (d, t, text) to (d, t, digest, bands, sketch); a sketch has a byte of each minimum."""
+    """Rows (d, t, text) to (d, t, digest, fp, bands, sketch); a sketch has a byte of each minimum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            digests, bands, sketches = [], [], []
-            for text in batch.column(2):
-                digest, hashes = shingles(text.as_py(), shingle)
+            digests, prints, bands, sketches = [], [], [], []
+            for text in batch.column(2).to_pylist():
+                digest, hashes = shingles(text, shingle)
                 least = minima(hashes)
                 digests.append(digest)
+                prints.append(fingerprint(text))
                 bands.append([xxhash.xxh64_intdigest(least[i : i + ROWS].tobytes(), i) - (1 << 63) for i in range(0, MINIMA, ROWS)])
                 sketches.append((least & np.uint64(255)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                ["d", "t", "digest", "bands", "sketch"],
+                [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)),
+                 pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                ["d", "t", "digest", "fp", "bands", "sketch"],
             )
 
     return run
@@ -147,23 +151,36 @@ def _rest(least: int):
     return run
 
 
+def class_pairs(nodes: DataFrame, distance: int = 4) -> DataFrame:
+    """a, b: every node (columns node, fp) but the first of its SimHash class, with that first one.
+
+    Fingerprints at `distance` or fewer bits from each other are linked, and what is linked is a class.
+    """
+    classes = components(fingerprint_links(nodes.select("fp").distinct(), distance)).select(F.col("node").alias("linked"), "root")
+    joined = nodes.select("node", "fp").join(classes, F.col("fp") == F.col("linked"), "left")
+    placed = joined.select("node", F.coalesce("root", "fp").alias("class"))
+    firsts = placed.groupBy("class").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return placed.join(firsts, "class").where("node != a").select("a", F.col("node").alias("b"))
+
+
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """d (the id), t (a hash of the text, 0 where no id repeats) and component_id of every row.
 
     Texts whose sets of shingles have a Jaccard similarity of at least the threshold are linked, and
     linked texts are a component; its id is the smallest id in it, null only if all are null. Shingles
     are runs of `shingle` words (the whole sequence if shorter), A-Z lower-cased. Equal word sequences are
-    one node; texts without words are equal. Nodes that share a band are first compared with one
-    member of a band; then, where a band still holds several components, all pairs across these whose
+    one node; texts without words are equal. Nodes are first compared with one member of their SimHash
+    class (the fingerprints and blocks of `near_duplicates`) and with one member of a band; then, where a band still holds several components, all pairs across these whose
     sketches do not rule out the threshold are compared.
     """
     text_batches(docs.sparkSession)
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     t = F.xxhash64(named(text)) if has_repeats(docs, doc_id) else F.lit(0).cast("long")
     chosen = docs.select(named(doc_id).cast("long").alias("d"), t.alias("t"), named(text).alias("text"))
-    prints = materialize(chosen.mapInArrow(tidy(_sketches(shingle)), "d long, t long, digest binary, bands array<long>, sketch binary"), "shingle-sketches")
+    prints = materialize(chosen.mapInArrow(tidy(_sketches(shingle)), "d long, t long, digest binary, fp long, bands array<long>, sketch binary"), "shingle-sketches")
     nodes = prints.groupBy("digest").agg(
-        F.min("d").alias("least"), F.min(F.struct("d", "t")).alias("row"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+        F.min("d").alias("least"), F.min(F.struct("d", "t")).alias("row"), F.first("fp").alias("fp"), F.first("bands").alias("bands"),
+        F.first("sketch").alias("sketch"),
     )
     # written once, so that the numbers stay
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "shingle-nodes")
@@ -171,10 +188,12 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     firsts = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     met = materialize(keyed.join(firsts, "key").select("key", "node", "first"), "shingle-met")
     # of the first members that a node meets, the one it meets most often
-    pairs = met.where("node != first").groupBy("node", "first").count().groupBy("node").agg(
+    banded = met.where("node != first").groupBy("node", "first").count().groupBy("node").agg(
         F.max(F.struct("count", "first")).alias("best")
     ).select(F.col("best.first").alias("a"), F.col("node").alias("b"))
-    involved = met.select("node").distinct().join(nodes.select("node", "row.d", "row.t"), "node")
+    classed = materialize(class_pairs(nodes), "shingle-classes")
+    pairs = classed.unionByName(banded).distinct()
+    involved = met.select("node").unionByName(classed.select(F.explode(F.array("a", "b")).alias("node"))).distinct().join(nodes.select("node", "row.d", "row.t"), "node")
     own = chosen.select(F.col("d").alias("d_"), F.col("t").alias("t_"), "text").dropDuplicates(["d_", "t_"])
     texts = involved.join(own, F.col("d").eqNullSafe(F.col("d_")) & (F.col("t") == F.col("t_"))).select("node", "text")
     sets = materialize(texts.mapInArrow(tidy(_sets(shingle)), "node long, set binary"), "shingle-sets")

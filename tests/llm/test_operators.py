@@ -570,3 +570,22 @@ def test_full_cache_of_units_starts_again(monkeypatch):
     for words_ in (["a", "bc", "d"], ["bc", "e", "f", "a"], ["x", "y", "z", "u", "v", "w", "bc"], ["bc"]):
         starts, sizes, flat = units.ids(pa.array(words_, pa.large_string()))
         assert [flat[a : a + n].tolist() for a, n in zip(starts, sizes)] == [units.tokenizer.encode(w, add_special_tokens=False).ids for w in words_]
+
+
+def test_pipeline_compares_the_members_of_simhash_classes(spark):
+    from tallyframe.llm import shingle_join
+
+    texts = planted_copies(5)
+    prints = {i: simhash.fingerprint(t) for i, t in texts.items()}
+    root = {i: i for i in prints}
+    for _ in range(20):
+        for i, j in ((i, j) for i in prints for j in prints if (prints[i] ^ prints[j]).bit_count() <= 4):
+            root[i] = root[j] = min(root[i], root[j])
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    nodes = spark.createDataFrame([(i, signed(p)) for i, p in prints.items()], "node long, fp long")
+    pairs = {(r.a, r.b) for r in shingle_join.class_pairs(nodes).collect()}
+    assert pairs == {(root[i], i) for i in prints if root[i] != i} and len(pairs) > 10
+    frame = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    batches = shingle_join._sketches(5)(iter(frame.select("doc_id", F.lit(0), "text").toArrow().to_batches()))
+    assert [v for batch in batches for v in batch.column("fp").to_pylist()] == [signed(p) for p in prints.values()]
+    assert {r.component_id for r in shingle_join.similar_documents(frame).collect()} == similar_ids(texts)
