@@ -8,6 +8,7 @@ together from one histogram of gradients a level.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -26,6 +27,8 @@ FEATURES = list(FEATURE_COLUMNS)
 _LAG_1 = FEATURES.index("lag_1")
 #: Rows of whole series that are fitted together.
 BATCH_ROWS = 16_384
+#: Training rows of fits whose trees grow together; some arrays of 15 doubles a row then fit into the cache.
+GROUP_ROWS = 8_192
 #: Share of the largest eigenvalue, of moments in units of each feature's spread, below which a direction has none.
 _NO_SPREAD = 1e-11
 
@@ -128,104 +131,149 @@ def bin_edges(column: np.ndarray) -> np.ndarray:
     return np.unique(np.percentile(column, np.linspace(0, 100, BOOSTING_BINS + 1)[1:-1], method="midpoint"))
 
 
+def _alike(sizes: Sequence[int], rows: int) -> Iterator[list[int]]:
+    """Numbers of the sizes in groups: the largest is at most a third above the least, and all together hold some `rows`."""
+    held: list[int] = []
+    for i in sorted(range(len(sizes)), key=lambda i: sizes[i]):
+        if held and (3 * sizes[i] > 4 * sizes[held[0]] or (len(held) + 1) * sizes[i] > rows):
+            yield held
+            held = []
+        held.append(i)
+    if held:
+        yield held
+
+
 def boost(
     fits: list[tuple[np.ndarray, np.ndarray, int]], keep: bool = False, rounds: int = BOOSTING_ROUNDS,
 ) -> tuple[list[np.ndarray], list[Trees]]:
     """Boosted trees of many fits at once: predictions of all their rows, and the trees if they are to be kept.
 
-    A fit is (features, target, how many rows at its front train). Features are put into bins once.
-    In each round the trees of all fits grow level by level: gradients are summed over (node, feature,
-    bin) in one pass, their running sums give the gain of every split, and the best one of each node is
-    taken, the first feature and lowest bin among equals. Leaves hold 20 rows or more, so most fits stop early.
+    A fit is (features, target, how many rows at its front train). Fits of like sizes grow together, as
+    many as the processor's cache holds.
     """
-    n_features = len(FEATURES) if not fits else fits[0][0].shape[1]
     starts = [float(y[:n].mean()) for _, y, n in fits]
     live = [i for i, (_, _, n) in enumerate(fits) if n >= 2 * BOOSTING_LEAF_ROWS]  # others have one leaf, their mean
     predictions = [np.full(len(x), start) for (x, _, _), start in zip(fits, starts)]
     places = 1 << (BOOSTED_DEPTH + 1)
     trees = [Trees(start, np.full((0, places), -1, np.int16), np.zeros((0, places)), np.zeros((0, places))) for start in starts]
-    if not live:
-        return predictions, trees
-    edges = [[bin_edges(fits[i][0][: fits[i][2], f]) for f in range(n_features)] for i in live]
-    bins = max(len(e) for own in edges for e in own) + 1
-    code = np.concatenate([
-        np.column_stack([np.searchsorted(e, fits[i][0][:, f], "left") for f, e in enumerate(own)]) for i, own in zip(live, edges)
-    ]).astype(np.int64)
-    sizes = np.array([len(fits[i][0]) for i in live])
-    unit = np.repeat(np.arange(len(live)), sizes)
-    inside = np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    train = inside < np.repeat([fits[i][2] for i in live], sizes)
-    target = np.concatenate([fits[i][1] for i in live])
-    raw = np.repeat([starts[i] for i in live], sizes)
-    spot = code + np.arange(n_features) * bins
-    cells = n_features * bins
-    kept = [(np.full((rounds, places), -1, np.int16), np.zeros((rounds, places)), np.zeros((rounds, places))) for _ in live] if keep else []
-    root = None
+    for group in _alike([fits[i][2] for i in live], GROUP_ROWS):
+        chosen = [live[g] for g in group]
+        raw, kept = _grow([fits[i] for i in chosen], [starts[i] for i in chosen], keep, rounds)
+        for own, i in enumerate(chosen):
+            predictions[i] = raw[own]
+            if keep:
+                trees[i] = Trees(starts[i], *kept[own])
+    return predictions, trees
+
+
+def _running(values: np.ndarray) -> np.ndarray:
+    """Running sums along the first axis, in place."""
+    for i in range(1, len(values)):
+        np.add(values[i - 1], values[i], out=values[i])
+    return values
+
+
+def _grow(fits: list[tuple[np.ndarray, np.ndarray, int]], starts: list[float], keep: bool, rounds: int) -> tuple[list[np.ndarray], list]:
+    """Predictions and trees of fits that all have rows for a split.
+
+    Features are put into bins once, and the training rows of a fit sorted once by the bin of each feature.
+    In each round the trees of all fits grow level by level: running sums of the gradients in that order
+    give the gain of every split between two bins, and the best one of each node is taken, the first
+    feature and lowest bin among equals. Leaves hold 20 rows or more, so most fits stop early.
+    """
+    n_features, n_fits = fits[0][0].shape[1], len(fits)
+    places, least = 1 << (BOOSTED_DEPTH + 1), BOOSTING_LEAF_ROWS
+    edges = [[bin_edges(x[:n, f]) for f in range(n_features)] for x, _, n in fits]
+    codes = [np.column_stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(own)]) for (x, _, _), own in zip(fits, edges)]
+    sizes, trained = np.array([len(x) for x, _, _ in fits]), np.array([n for _, _, n in fits])
+    begins, longest = np.cumsum(sizes) - sizes, int(trained.max())
+    code = np.concatenate(codes)
+    total_rows = len(code)
+    unit = np.repeat(np.arange(n_fits), sizes)
+    train = np.arange(total_rows) - begins[unit] < trained[unit]
+    target = np.concatenate([y for _, y, _ in fits])
+    raw = np.repeat(starts, sizes)
+    # rows of each fit in the order of each feature; behind the last comes a row that weighs nothing
+    order = np.full((longest, n_fits, n_features), total_rows, np.int64)
+    sorted_code = np.full((longest, n_fits, n_features), -1, np.int64)
+    for i, own in enumerate(codes):
+        n = trained[i]
+        rank = np.argsort(own[:n], axis=0, kind="stable")
+        order[:n, i] = begins[i] + rank
+        sorted_code[:n, i] = np.take_along_axis(own[:n], rank, axis=0)
+    # splits lie behind the places from least - 1 to longest - least - 1, between rows of different bins
+    span = slice(least - 1, longest - least)
+    cut = sorted_code[span] < sorted_code[least : longest - least + 1]
+    kept = [(np.full((rounds, places), -1, np.int16), np.zeros((rounds, places)), np.zeros((rounds, places))) for _ in fits] if keep else []
+    gradient = np.zeros(total_rows + 1)
+    place = np.zeros(total_rows + 1, np.int64)
+    learning = np.flatnonzero(train)
+
+    def weights(left_n: np.ndarray, n: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        right_n = n[:, None] - left_n
+        fair = between & (left_n >= least) & (right_n >= least)
+        return fair / np.maximum(left_n, 1.0), fair / np.maximum(right_n, 1.0)
+
+    root_left = np.broadcast_to(np.arange(float(least), longest - least + 1)[:, None, None], cut.shape)
+    root_weights = weights(root_left, trained, cut)
     for step in range(rounds):
-        gradient = (raw - target).astype(np.float32).astype(np.float64)
-        place = np.ones(len(unit), np.int64)
-        nodes = np.arange(len(live)) * places + 1  # of every fit, those that may still be split
+        gradient[:-1] = (raw - target).astype(np.float32)
+        place[:-1] = 1
+        owner, spot, n = np.arange(n_fits), np.ones(n_fits, np.int64), trained  # of every node: its fit, its place, its rows
         for depth in range(BOOSTED_DEPTH):
-            number = np.full(len(live) * places, -1)
-            number[nodes] = np.arange(len(nodes))
-            at = number[unit * places + place]
-            rows = np.flatnonzero(at >= 0)
-            mine = rows[train[rows]]
-            flat = (at[mine, None] * cells + spot[mine]).ravel()
-            shape = (len(nodes), n_features, bins)
-            sums = np.bincount(flat, np.repeat(gradient[mine], n_features), len(nodes) * cells).reshape(shape)
-            if depth or root is None:
-                counts = np.bincount(flat, minlength=len(nodes) * cells).reshape(shape).cumsum(axis=2)
-                n, left_n = counts[:, 0, -1], counts[:, :, :-1]
-                right_n = n[:, None, None] - left_n
-                fair = (left_n >= BOOSTING_LEAF_ROWS) & (right_n >= BOOSTING_LEAF_ROWS)
-                weights = np.divide(1.0, left_n, out=np.zeros(left_n.shape), where=fair), np.divide(1.0, right_n, out=np.zeros(left_n.shape), where=fair)
-                root = root or (n, left_n, weights)
+            if depth:
+                mine = order.take(owner, axis=1)
+                inside = (place.take(mine) == spot[:, None]).astype(np.float64)
+                sums = gradient.take(mine)
+                sums *= inside
+                left_n = _running(inside)[span]
+                weight = weights(left_n, n, cut.take(owner, axis=1))
             else:
-                n, left_n, weights = root
-            left = sums.cumsum(axis=2)
-            total = left[:, 0, -1]
-            left = left[:, :, :-1]
-            right = total[:, None, None] - left
-            np.multiply(left, left, out=left)
-            left *= weights[0]
+                left_n, weight = root_left, root_weights
+                sums = gradient.take(order)
+            total = _running(sums)[-1, :, 0]
+            left = sums[span]
+            right = total[:, None] - left
             np.multiply(right, right, out=right)
-            right *= weights[1]
-            left += right  # what the squared error falls by, but for the node's own share
-            gain = left.reshape(len(nodes), -1)
-            if not gain.shape[1]:
+            right *= weight[1]
+            gain = left * left
+            gain *= weight[0]
+            gain += right  # what the squared error falls by, but for the node's own share
+            every, by_feature = np.arange(len(owner)), gain.max(axis=0)
+            feature = by_feature.argmax(axis=1)
+            taken = np.flatnonzero(by_feature[every, feature] > total * total / n)
+            if not len(taken):
                 break
-            best = gain.argmax(axis=1)
-            splits = gain[np.arange(len(nodes)), best] > total * total / n
-            feature, bin_ = np.divmod(best, bins - 1)
+            feature = feature[taken]
+            at = gain[:, taken, feature].argmax(axis=0)
+            fit, parent = owner[taken], spot[taken]
+            bins = sorted_code[at + least - 1, fit, feature]
             if keep:
-                for node, f, b in zip(nodes[splits], feature[splits], bin_[splits]):
-                    own, spot_of = divmod(int(node), places)
-                    kept[own][0][step, spot_of], kept[own][1][step, spot_of] = f, edges[own][f][b]
-            moved = rows[splits[at[rows]]]
-            node = at[moved]
-            place[moved] = 2 * place[moved] + (code[moved, feature[node]] > bin_[node])
-            held = left_n.reshape(len(nodes), -1)[np.arange(len(nodes)), best]
-            parents, lefts = nodes[splits], held[splits]
-            rights = n[splits] - lefts
-            base, own = parents // places * places, parents % places
-            both = np.concatenate([base + 2 * own, base + 2 * own + 1])
-            nodes = np.sort(both[np.concatenate([lefts, rights]) >= 2 * BOOSTING_LEAF_ROWS])
-            if not len(nodes):
+                for i, p, f, b in zip(fit.tolist(), parent.tolist(), feature.tolist(), bins.tolist()):
+                    kept[i][0][step, p], kept[i][1][step, p] = f, edges[i][f][b]
+            number = np.full(n_fits * places, -1)
+            number[fit * places + parent] = np.arange(len(taken))
+            split = number[unit * places + place[:-1]]
+            moved = np.flatnonzero(split >= 0)
+            split = split[moved]
+            place[moved] = 2 * place[moved] + (code[moved, feature[split]] > bins[split])
+            lefts = left_n[at, taken, feature].astype(np.int64)
+            rights = n[taken] - lefts
+            owner, spot, n = np.concatenate([fit, fit]), np.concatenate([2 * parent, 2 * parent + 1]), np.concatenate([lefts, rights])
+            large = n >= 2 * least
+            owner, spot, n = owner[large], spot[large], n[large]
+            if not len(owner):
                 break
-        leaf = unit * places + place
-        size = len(live) * places
-        count = np.bincount(leaf[train], minlength=size)
-        value = -BOOSTING_RATE * np.bincount(leaf[train], gradient[train], size) / np.maximum(count, 1)
+        leaf = unit * places + place[:-1]
+        size = n_fits * places
+        learnt = leaf[learning]
+        count = np.bincount(learnt, minlength=size)
+        value = -BOOSTING_RATE * np.bincount(learnt, gradient[learning], size) / np.maximum(count, 1)
         raw = raw + value[leaf]
         if keep:
-            for own in range(len(live)):
+            for own in range(n_fits):
                 kept[own][2][step] = value[own * places : (own + 1) * places]
-    for own, (i, part) in enumerate(zip(live, np.split(raw, np.cumsum(sizes)[:-1]))):
-        predictions[i] = part
-        if keep:
-            trees[i] = Trees(starts[i], *kept[own])
-    return predictions, trees
+    return np.split(raw, np.cumsum(sizes)[:-1]), kept
 
 
 def in_batches(
@@ -310,11 +358,11 @@ def fold_predictions(rows: pa.Table, starts: list[int], kept: list[str], algorit
 
 
 def _errors(actual: np.ndarray, predicted: np.ndarray) -> tuple[float, float, float | None, float | None]:
-    error, size = np.abs(predicted - actual), np.abs(actual) + np.abs(predicted)
-    squares = error * error
-    varied, real = actual.min() != actual.max(), size != 0
-    r2 = 1 - squares.sum() / ((actual - actual.mean()) ** 2).sum() if varied else None
-    return error.mean(), np.sqrt(squares.mean()), r2, (2 * error[real] / size[real]).mean() * 100 if real.any() else None
+    n, error, size = len(actual), np.abs(predicted - actual), np.abs(actual) + np.abs(predicted)
+    squares = (error * error).sum()
+    apart, real = actual - actual.sum() / n, size[size != 0]
+    r2 = 1 - squares / (apart * apart).sum() if actual.min() != actual.max() else None
+    return error.sum() / n, math.sqrt(squares / n), r2, (2 * error[size != 0] / real).sum() / len(real) * 100 if len(real) else None
 
 
 def fold_scores(rows: pa.Table, starts: list[int], kept: list[str], algorithms: Sequence[str] = MODELS, states: bool = False) -> pa.Table:

@@ -24,14 +24,15 @@ from tallyframe.functions.periods import as_timestamp
 from tallyframe.operators.metrics import Metric, as_metric
 from tallyframe.operators.series import (
     clean_series_input,
-    forecastability,
     make_features,
     max_horizon,
+    panel_forecastability,
     planned_horizon,
-    resample,
     resample_many,
     resample_metrics,
+    series_panel,
 )
+from tallyframe.sources.shared import shared_folder
 
 FEATURES = list(fixed.FEATURE_COLUMNS)
 
@@ -322,8 +323,8 @@ def _with_keys(df: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFra
     return back.select(*[F.col("_keys")[k].alias(k) for k in keys], *[c for c in df.columns if c != "_keys"])
 
 
-def _statuses(rows: DataFrame, metric: Metric, granularity: str, keys: Sequence[str], horizon: int | None) -> DataFrame:
-    assessed = forecastability(rows, metric, "ts", keys, [granularity])
+def _statuses(panel: DataFrame, granularity: str, keys: Sequence[str], horizon: int | None) -> DataFrame:
+    assessed = panel_forecastability(panel, keys)
     lags = 3  # the first periods of a series serve as lags only
     reason = F.coalesce(
         "reason", F.when(F.col("periods") - lags < fixed.MIN_FEATURE_ROWS, "too few periods to fit a model")
@@ -346,7 +347,7 @@ def series_statuses(
     is forecast, and whether that is shorter than the one asked for.
     """
     rows, value, names = _series_rows(df, metric, date_column, keys, non_negative, clean)
-    return _with_keys(_statuses(rows, value, granularity, names, horizon), df, keys)
+    return _with_keys(_statuses(series_panel(rows, [value], "ts", [granularity], names), granularity, names, horizon), df, keys)
 
 
 def forecast(
@@ -363,14 +364,18 @@ def forecast(
 
     Exact copies of rows count once, gaps take the last value and impossible values go, unless `clean`
     is false. A horizon beyond what the history supports is cut, and `is_capped` says so on each row;
-    `series_statuses` has a row for the other series, too. A null among the keys is a key.
+    `series_statuses` has a row for the other series, too. A null among the keys is a key. The series, a row
+    a period, are written to the shared folder, so that raw rows are cleaned once for the test and the fits.
     """
     if horizon is not None and horizon <= 0:
         raise ValueError("forecast horizon must be a positive integer")
     rows, value, names = _series_rows(df, metric, date_column, keys, non_negative, clean)
-    ready = _with_series(_statuses(rows, value, granularity, names, horizon).where("status = 'forecast'"), names)
+    panel, path = series_panel(rows, [value], "ts", [granularity], names), shared_folder(df.sparkSession, "series")
+    panel.write.parquet(path)
+    panel = df.sparkSession.read.schema(panel.schema).parquet(path)
+    ready = _with_series(_statuses(panel, granularity, names, horizon).where("status = 'forecast'"), names)
     by = _keyed(ready, names)
-    features = make_features(resample(rows, value, "ts", granularity, names), names)
+    features = make_features(panel.select(*names, "period", "value"), names)
     features = _with_series(features, names).join(ready.select(*by), by, "left_semi").drop(*([] if names else ["_series"]))
     selected = select_model(fitted_models(features, names), names)
     plan = plan_forecasts(None, selected, granularity, names, horizon, non_negative)

@@ -145,7 +145,7 @@ def _day_states(df: DataFrame, metrics: dict[str, Metric], date_column: str, key
     return frames
 
 
-def _panel(
+def series_panel(
     df: DataFrame, metrics: Sequence[Metric | str], date_column: str, granularities: Sequence[str], keys: Sequence[str]
 ) -> DataFrame:
     """The series of `resample_metrics`, and _first and _last, the first and last moment of a period's rows."""
@@ -195,7 +195,7 @@ def resample_metrics(
     them once more); weeks and months come from the days. An empty period is 0 for sums and counts, null
     for means and extremes.
     """
-    return _panel(df, metrics, date_column, granularities, keys).drop("_first", "_last")
+    return series_panel(df, metrics, date_column, granularities, keys).drop("_first", "_last")
 
 
 def resample_many(
@@ -285,7 +285,11 @@ def forecastability(
     granularities: Sequence[str] = fixed.GRANULARITIES,
 ) -> DataFrame:
     """Per series and granularity: whether it can be forecast, why not, its score and horizon cap."""
-    panel = _panel(df, [metric], date_column, granularities, keys)
+    return panel_forecastability(series_panel(df, [metric], date_column, granularities, keys), keys)
+
+
+def panel_forecastability(panel: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The same from the rows of `series_panel` for one metric."""
     filled = F.coalesce("value", F.lit(0.0))
     micros = F.unix_micros(F.max("_last").cast("timestamp")) - F.unix_micros(F.min("_first").cast("timestamp"))
     stats = panel.groupBy(*keys, "granularity").agg(

@@ -365,3 +365,39 @@ def test_batches_clean_and_report_every_metric(spark, rows, tmp_path):
     assert stores.append_batch(once, df, f"{tmp_path}/log") == 1
     logged = rows(stores.read_runs(spark, f"{tmp_path}/log"))
     assert {r["metric_key"] for r in logged} == {"v", "people"} and {r["rows"] for r in logged} == {80}
+
+
+def test_trees_grow_in_groups_of_like_sizes():
+    import numpy as np
+
+    from tallyframe.functions import fitting
+
+    sizes = [40, 300, 41, 55, 56, 900, 40, 81, 60]
+    groups = list(fitting._alike(sizes, 130))
+    assert sorted(i for group in groups for i in group) == list(range(len(sizes)))
+    for group in groups:
+        low, high = min(sizes[i] for i in group), max(sizes[i] for i in group)
+        assert len(group) == 1 or (3 * high <= 4 * low and len(group) * high <= 130)
+    rng = np.random.default_rng(8)
+    fits = [(rng.integers(0, 30, (n + 5, len(fitting.FEATURES))).astype(float), rng.normal(9, 4, n + 5), n) for n in [*sizes, 12]]
+    together, trees = fitting.boost(fits, keep=True, rounds=12)
+    for fit, predicted, own in zip(fits, together, trees):
+        (alone,), (tree,) = fitting.boost([fit], keep=True, rounds=12)
+        assert np.array_equal(predicted, alone) and np.array_equal(own.feature, tree.feature) and np.array_equal(own.value, tree.value)
+
+
+def test_forecast_cleans_raw_rows_once(spark):
+    import datetime
+    import os
+
+    from tallyframe.operators.forecast import forecast
+    from tallyframe.sources.shared import shared_root
+
+    day = datetime.datetime(2020, 1, 1)
+    frame = spark.createDataFrame([(k, day + datetime.timedelta(days=30 * i), float(i % 7 + k)) for k in (1, 2) for i in range(30)], "k int, at timestamp, v double")
+    root = shared_root(spark).removeprefix("file:")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    result = forecast(frame, "v", "at", "month", ["k"], horizon=3)
+    assert sum(name.startswith("series-") for name in set(os.listdir(root)) - before) == 1
+    assert "Scan ExistingRDD" not in result._jdf.queryExecution().executedPlan().toString()
+    assert {(r.k, r.step) for r in result.collect()} == {(k, s) for k in (1, 2) for s in (1, 2, 3)}
