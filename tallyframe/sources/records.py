@@ -66,6 +66,7 @@ class _Lines:
     """Delimited text: pieces are lines; a record ends with a line that ends outside quotes."""
 
     separator = "\n"
+    plain_keeps = True  # a piece without a quote changes no state
 
     def move(self, piece: str, inside: bool, depth: int) -> tuple[bool, int, bool]:
         inside = line_state(piece, inside)
@@ -76,6 +77,7 @@ class _Objects:
     """A list of JSON objects: pieces end with a closing brace; a record ends where the depth is that of the list again."""
 
     separator = "}"
+    plain_keeps = False
 
     def move(self, piece: str, inside: bool, depth: int) -> tuple[bool, int, bool]:
         inside, change = brace_state(piece, inside)
@@ -95,7 +97,9 @@ def _pieces(spark: SparkSession, path: str | list[str], separator: str) -> DataF
 
 def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        yield from zip(*(c.to_pylist() for c in batch.columns))
+        file = batch.column(0).dictionary_encode()  # a name is decoded once a batch, not once a piece
+        names = file.dictionary.to_pylist()
+        yield from zip(map(names.__getitem__, file.indices.to_pylist()), *(c.to_pylist() for c in batch.columns[1:]))
 
 
 def _effects(kind):
@@ -105,6 +109,8 @@ def _effects(kind):
         found: dict[tuple[str, int], list] = {}
         for file, at, value in _by_range(batches):
             own = found.setdefault((file, at), [False, True, 0, 0])
+            if kind.plain_keeps and '"' not in value:
+                continue
             for begun in (0, 1):
                 inside, depth, _ = kind.move(value, own[begun], own[2 + begun])
                 own[begun], own[2 + begun] = inside, depth
@@ -179,7 +185,10 @@ def _records(spark: SparkSession, path: str | list[str], kind) -> tuple[DataFram
     states = spark.read.parquet(folder)
     # one row a range of the files, so the broadcast is about a millionth of what is read
     placed = pieces.join(F.broadcast(states.select("file", "at", "inside", "depth")), ["file", "at"]).select("file", "at", "value", "inside", "depth")
-    cut = placed.mapInArrow(_cut(kind), _PIECE)
+    # cut once and written, as whole records and pieces, and then the header, the types and the rows, are read in turn
+    folder = shared_folder(spark, "records")
+    placed.mapInArrow(_cut(kind), _PIECE).write.parquet(folder)
+    cut = spark.read.schema(_PIECE).parquet(folder)
     whole = cut.where("kind = 'whole'").select("file", "first", "text")
     order = Window.partitionBy("file").orderBy("at", "seq")
     parts = cut.where("kind != 'whole'").withColumn("record", F.sum((F.col("kind") == "tail").cast("int")).over(order))

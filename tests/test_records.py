@@ -110,3 +110,10 @@ def test_other_json_is_an_error(spark, tmp_path, text):
     (tmp_path / "bad.json").write_text(text)
     with pytest.raises(Exception, match="not a list of records|not a record"):
         readers.read_json_records(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_records_are_cut_once(spark, tmp_path):
+    written(tmp_path, "t.csv", [["a", "b"], *made_rows(4)[:0], ["1", "x\ny"], ["2", "z"]])
+    cut, _ = records._records(spark, str(tmp_path / "t.csv"), records._Lines())
+    assert "MapInArrow" not in cut._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.first, r.text) for r in cut.collect()) == [(False, '1,"x\ny"'), (False, "2,z"), (True, "a,b")]
