@@ -21,7 +21,7 @@ _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x
 PLACES = 1 << 19
 _IDS = 1 << 16
 #: Words gathered by one task before their distinct forms are encoded.
-PACK_WORDS = 1_500_000
+PACK_WORDS = 1_000_000
 #: Frequent words whose ids every task is given, and the documents, chosen by a hash of their text, in
 #: which they are counted. They spare folding the same words in every pack; any list gives the same ids.
 FREQUENT_WORDS = 1 << 19
@@ -202,6 +202,7 @@ def _pack(ranks_path: str, frequent):
             n = len(batch.column(1).flatten())
             if held and held + n > PACK_WORDS:
                 yield packed(parts, vocabulary, own, letters)
+                release_memory()  # the folds of the pack take long, and the other worker of the task needs room
                 parts, held = [], 0
             parts.append(batch)
             held += n
@@ -249,6 +250,9 @@ def _unpack(ranks_path: str, frequent):
                         ["doc_id", "ids"],
                     )
                     at = to
+                flat = own = starts = sizes = codes = ids = tokens = None
+            del batch
+            release_memory()
 
     return run
 
