@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,9 @@ _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x
 PLACES = 1 << 19
 _IDS = 1 << 16
 #: Words gathered by one task before their distinct forms are encoded.
-PACK_WORDS = 1_000_000
+PACK_WORDS = 500_000
+#: Bytes of one Arrow batch, so that packs go on two at a time at most; Spark's own 64 MB hold some ten and more.
+BATCH_BYTES = "4m"
 #: Frequent words whose ids every task is given, and the documents, chosen by a hash of their text, in
 #: which they are counted. They spare folding the same words in every pack; any list gives the same ids.
 FREQUENT_WORDS = 1 << 19
@@ -197,6 +200,7 @@ def _pack(ranks_path: str, frequent):
         ranks = read_ranks(ranks_path)
         vocabulary, own = pa.array(list(ranks), pa.binary()), np.array(list(ranks.values()), np.int32)
         letters = _letters(ranks)
+        del ranks
         parts, held = [], 0
         for batch in batches:
             n = len(batch.column(1).flatten())
@@ -260,7 +264,7 @@ def _unpack(ranks_path: str, frequent):
 def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every row: the whole text encoded, without special tokens.
 
-    Each match of the pattern is a word. A task gathers some million words, and Spark folds the
+    Each match of the pattern is a word. A task gathers some half a million words, and Spark folds the
     merges over the distinct ones; their ids then stand for every place of theirs. Words that are
     frequent in a sample are folded once beforehand, and every task is given their ids, some 15 MB at most.
     Texts are never shuffled.
@@ -269,6 +273,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
     give no rows; other columns are ignored.
     """
     spark = text_batches(docs.sparkSession)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     table = rank_map(read_ranks(ranks_path))
 
     def split(rows: DataFrame) -> DataFrame:
@@ -290,26 +295,18 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
     return encoded.mapInArrow(tidy(_unpack(ranks_path, frequent)), "doc_id long, ids array<int>")
 
 
-def decode_pieces(ids: pa.Array, pieces: pa.Array) -> pa.Array:
-    """The bytes of each list of ids, their pieces one after the other."""
-    taken = pieces.take(ids.flatten())
-    width = np.concatenate(([0], np.cumsum(pc.binary_length(taken).to_numpy(zero_copy_only=False), dtype=np.int64)))
-    data = taken.buffers()[2]  # the pieces lie one after the other
-    cuts = width[ids.offsets.to_numpy() - ids.offsets[0].as_py()]
-    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), data])
-
-
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id, ids and decoded (binary): the pieces of the ids, concatenated; null ids give no bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(ranks_path)
-        table: list[bytes] = [b""] * (max(ranks.values()) + 1)
-        for piece, rank in ranks.items():
-            table[rank] = piece
-        pieces = pa.array(table, pa.binary())
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), decode_pieces(batch.column(1), pieces)], ["doc_id", "ids", "decoded"])
+    """doc_id, ids and decoded (binary): the pieces of the ids, concatenated; null ids give no bytes.
 
+    Spark's own expressions join the pieces, one character a byte, so a task needs no Python worker for them.
+    """
+    ranks = read_ranks(ranks_path)
+    table = [""] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        table[rank] = piece.decode("latin-1")
+    pieces = F.from_json(F.lit(json.dumps(table)), "array<string>")  # folded to a literal
+    del ranks, table
+    release_memory()
     filled = encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    return filled.mapInArrow(tidy(run), "doc_id long, ids array<int>, decoded binary")
+    joined = F.array_join(F.transform("ids", lambda i: pieces[i]), "")
+    return filled.select("doc_id", "ids", F.encode(joined, "ISO-8859-1").alias("decoded"))

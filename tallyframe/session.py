@@ -15,6 +15,7 @@ SETTINGS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",  # Spark's own; operators on whole texts set a smaller one
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",  # the same
 }
 
 

@@ -67,6 +67,35 @@ def test_bpe_equals_the_library(docs):
         assert bytes(got[doc_id].decoded) == (text or "").encode()
 
 
+def test_packs_of_a_task_go_on_one_by_one(spark, monkeypatch):
+    unpack = bpe._unpack
+
+    def watched(ranks_path, frequent):
+        run = unpack(ranks_path, frequent)
+
+        def bounded(batches):
+            for batch in batches:
+                assert batch.nbytes < 9 << 20, f"{len(batch)} packs in one batch, {batch.nbytes} bytes"
+                yield batch
+
+        return lambda batches: run(bounded(batches))
+
+    monkeypatch.setattr(bpe, "_unpack", watched)
+    docs = spark.range(0, 3_000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a b "), 500).alias("text"))
+    got = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS)
+    assert got.agg(F.count("*"), F.min(F.octet_length("decoded")), F.max(F.octet_length("decoded"))).first() == (3_000, 2_000, 2_000)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2  # as many Python workers a task
+
+
+def test_decoding_needs_no_python_and_keeps_every_byte(spark):
+    ranks = bpe.read_ranks(RANKS)
+    rows = [(1, list(range(len(ranks)))), (2, []), (3, None), (None, [ranks[bytes([i])] for i in range(255, -1, -1)])]
+    got = bpe.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>").coalesce(1), RANKS)
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+    pieces = {rank: piece for piece, rank in ranks.items()}
+    assert {r.doc_id: (r.ids, bytes(r.decoded)) for r in got.collect()} == {i: (ids or [], b"".join(pieces[x] for x in ids or [])) for i, ids in rows}
+
+
 def test_long_words_merge_alike():
     import tiktoken
 
