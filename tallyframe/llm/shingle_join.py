@@ -24,6 +24,8 @@ ROWS, BANDS = 4, 32
 MINIMA = ROWS * BANDS
 #: Minima in which candidates of the second round agree: six standard deviations under those of a pair at the threshold.
 _DEVIATIONS = 6
+#: Rows of one block whose sets meet in one task; of larger blocks every two parts of half as many meet.
+CELL_ROWS = 2048
 _STEP = 1024
 _ODD = np.random.default_rng(SEED).integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(SEED + 1).integers(0, 1 << 63, MINIMA, dtype=np.uint64)
@@ -92,61 +94,141 @@ def _sets(shingle: int):
     return run
 
 
+def alike(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of at least the threshold."""
+    if min(len(x), len(y)) < threshold * max(len(x), len(y)) - 1e-9:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= threshold * (len(x) + len(y) - both) - 1e-9
+
+
 def _similar(threshold: float):
     """Rows (a, b, set of a, set of b) to the links of at least the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fine = []
-            for one, other in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (one, other))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                fine.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
+            pairs = ((np.frombuffer(v.as_py(), np.uint64) for v in both) for both in zip(batch.column(2), batch.column(3)))
+            fine = [alike(x, y, threshold) for x, y in pairs]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
     return run
 
 
-def _block_pairs(root: np.ndarray, sketch: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one block that lie in different components and agree in enough minima.
+def _block_pairs(key: int, root: np.ndarray, sketch: np.ndarray, bands: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """A row of one block and rows of other components that agree with it in enough minima, likeliest first.
 
-    Only rows outside the block's largest component are compared with the block.
+    Only rows outside the largest component are compared with the others. Rows that share an earlier
+    band meet there.
     """
     _, which, count = np.unique(root, return_inverse=True, return_counts=True)
     outside = which != count.argmax()
+    band = int((bands[0] == key).argmax())
     for i in np.flatnonzero(outside):
         others = np.flatnonzero((root != root[i]) & (~outside | (np.arange(len(root)) > i)))
-        near = others[(sketch[others] == sketch[i]).sum(axis=1) >= least]
+        agree = (sketch[others] == sketch[i]).sum(axis=1)
+        order = np.argsort(-agree, kind="stable")[: int((agree >= least).sum())]
+        near = others[order]
+        near = near[(bands[near] == bands[i]).argmax(axis=1) == band]
         if len(near):
-            yield np.full(len(near), i), near
+            yield i, near
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows sorted by their first column, in pieces that cut no group of equal values, with the bounds of the groups."""
+
+    def bounded(rows: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
+        groups = rows.column(0).to_numpy()
+        return rows.combine_chunks().to_batches()[0], np.concatenate(([0], np.flatnonzero(groups[1:] != groups[:-1]) + 1, [len(groups)]))
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        if held[0].column(0)[0] == batch.column(0)[-1]:  # the last group may go on
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        cut = int(np.searchsorted(rows.column(0).to_numpy(), rows.column(0)[-1].as_py()))
+        yield bounded(rows.slice(0, cut))
+        held = rows.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield bounded(pa.Table.from_batches(held))
 
 
-def _rest(least: int):
-    """Rows (key, node, root, sketch) sorted by key to pairs of nodes, each once a key."""
+def _sketched(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The minima and the bands of rows, a line each."""
+    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, MINIMA)
+    return sketch, rows.column("bands").flatten().to_numpy().reshape(-1, BANDS)
 
-    def of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        keys, nodes, roots = (rows.column(i).to_numpy() for i in range(3))
-        sketch = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint8).reshape(-1, MINIMA)
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        for at, end in zip(starts, np.append(starts[1:], len(keys))):
-            for i, j in _block_pairs(roots[at:end], sketch[at:end], least):
-                x, y = nodes[at:end][i], nodes[at:end][j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+def _candidates(least: int, cell_rows: int = CELL_ROWS):
+    """Rows (key, node, root, sketch, bands) sorted by key to those that may be alike to one of another component.
+
+    What meets has one cell: all these rows of a block, or, of more than cell_rows, every two parts of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            held.append(batch)
-            if held[0].column(0)[0] == batch.column(0)[-1]:  # the last key may go on
-                continue
-            rows = pa.Table.from_batches(held).combine_chunks()
-            cut = int(np.searchsorted(rows.column(0).to_numpy(), rows.column(0)[-1].as_py()))
-            yield from of(rows.slice(0, cut))
-            held = rows.slice(cut).combine_chunks().to_batches()
-        if held:
-            yield from of(pa.Table.from_batches(held))
+        import xxhash
+
+        for rows, bounds in _whole_groups(batches):
+            keys, roots = rows.column("key").to_numpy(), rows.column("root").to_numpy()
+            sketch, bands = _sketched(rows)
+            places, cells, held = [], [], 0
+
+            def taken() -> pa.RecordBatch:
+                cell = pa.array(np.concatenate(cells).astype(np.int64))
+                return pa.RecordBatch.from_arrays([cell, *rows.take(pa.array(np.concatenate(places))).columns], ["cell", *rows.schema.names])
+
+            for at, end in zip(bounds, bounds[1:]):
+                marked = np.zeros(end - at, bool)
+                for i, near in _block_pairs(keys[at], roots[at:end], sketch[at:end], bands[at:end], least):
+                    marked[i] = marked[near] = True
+                found = np.flatnonzero(marked) + at
+                n = -(-len(found) // (cell_rows // 2)) if len(found) > cell_rows else 1
+                part = np.arange(len(found)) * n // max(1, len(found))
+                for x, y in ((x, y) for x in range(n) for y in range(x + (n > 1), n)):
+                    mine = (part == x) | (part == y)
+                    cell = keys[at] if n == 1 else xxhash.xxh64_intdigest(f"{keys[at]}:{x}:{y}") - (1 << 63)
+                    places.append(found[mine])
+                    cells.append(np.full(int(mine.sum()), cell))
+                    held += int(mine.sum())
+                    if held >= cell_rows:
+                        yield taken()
+                        places, cells, held = [], [], 0
+            if held:
+                yield taken()
+
+    return run
+
+
+def _forest(threshold: float, least: int):
+    """Rows (cell, key, node, root, sketch, bands, set) sorted by cell to links that join all its components that are alike.
+
+    Whole sets decide. Components that a cell has joined are not compared again, so it has fewer links than rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in _whole_groups(batches):
+            keys, nodes, roots = (rows.column(name).to_numpy() for name in ("key", "node", "root"))
+            sketch, bands = _sketched(rows)
+            sets, links = rows.column("set"), []
+            for at, end in zip(bounds, bounds[1:]):
+                root, above = roots[at:end], {}
+
+                def top(r: int) -> int:
+                    while r in above:
+                        r = above[r]
+                    return r
+
+                for i, near in _block_pairs(keys[at], root, sketch[at:end], bands[at:end], least):
+                    x = np.frombuffer(sets[int(at + i)].as_buffer(), np.uint64)
+                    for j in near:
+                        a, b = top(root[i]), top(root[j])
+                        if a != b and alike(x, np.frombuffer(sets[int(at + j)].as_buffer(), np.uint64), threshold):
+                            above[max(a, b)] = min(a, b)
+                            links.append(sorted((nodes[at + i], nodes[at + j])))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(list(column), pa.int64()) for column in zip(*links)], ["a", "b"])
 
     return run
 
@@ -171,7 +253,8 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     are runs of `shingle` words (the whole sequence if shorter), A-Z lower-cased. Equal word sequences are
     one node; texts without words are equal. Nodes are first compared with one member of their SimHash
     class (the fingerprints and blocks of `near_duplicates`) and with one member of a band; then, where a band still holds several components, all pairs across these whose
-    sketches do not rule out the threshold are compared.
+    sketches do not rule out the threshold are compared, each in the first band where it meets. The sets go to the band's
+    task, which returns the links of a forest, so rows grow with the members of a band, only comparisons with their square.
     """
     text_batches(docs.sparkSession)
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -199,18 +282,18 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     sets = materialize(texts.mapInArrow(tidy(_sets(shingle)), "node long, set binary"), "shingle-sets")
     one, other = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
 
-    def verified(found: DataFrame, purpose: str) -> DataFrame:
-        joined = found.join(one, "a").join(other, "b").select("a", "b", "set_a", "set_b")
-        return materialize(joined.mapInArrow(tidy(_similar(threshold)), "a long, b long"), purpose)
-
-    links = verified(pairs, "shingle-links")
+    joined = pairs.join(one, "a").join(other, "b").select("a", "b", "set_a", "set_b")
+    links = materialize(joined.mapInArrow(tidy(_similar(threshold)), "a long, b long"), "shingle-links")
     roots = materialize(components(links), "shingle-roots")
     labelled = met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     several = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rows = labelled.join(several, "key").join(nodes.select("node", "sketch"), "node").select("key", "node", "root", "sketch")
+    rows = labelled.join(several, "key").join(nodes.select("node", "sketch", "bands"), "node").select("key", "node", "root", "sketch", "bands")
     least = int(MINIMA * threshold - _DEVIATIONS * (MINIMA * threshold * (1 - threshold)) ** 0.5)
-    rest = rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(tidy(_rest(least)), "a long, b long").distinct()
-    links = links.unionByName(verified(materialize(rest, "shingle-pairs"), "shingle-links"))
+    shape = "cell long, key long, node long, root long, sketch binary, bands array<long>"
+    near = rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(tidy(_candidates(least)), shape)
+    near = materialize(near, "shingle-candidates").join(sets, "node").select("cell", "key", "node", "root", "sketch", "bands", "set")
+    forest = near.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(tidy(_forest(threshold, least)), "a long, b long")
+    links = links.unionByName(materialize(forest, "shingle-links"))
     rooted = nodes.select("digest", "node", "least").join(components(links), "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     found = rooted.join(ids, "root").select("digest", "component_id")

@@ -618,3 +618,40 @@ def test_pipeline_compares_the_members_of_simhash_classes(spark):
     batches = shingle_join._sketches(5)(iter(frame.select("doc_id", F.lit(0), "text").toArrow().to_batches()))
     assert [v for batch in batches for v in batch.column("fp").to_pylist()] == [signed(p) for p in prints.values()]
     assert {r.component_id for r in shingle_join.similar_documents(frame).collect()} == similar_ids(texts)
+
+
+def test_candidates_and_links_of_a_band_are_no_more_than_its_members():
+    """Texts of one family, most of them just too far apart, hold many pairs that sketches let through."""
+    import pyarrow as pa
+
+    from tallyframe.llm import shingle_join
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghij", k=4))
+    base, texts = [word() for _ in range(300)], []
+    for _ in range(40):
+        copy = list(base)
+        for at in rng.sample(range(300), 6):
+            copy[at] = word()
+        texts += [" ".join(copy), " ".join([*copy[:-1], word()])]
+    texts = dict(enumerate(texts))
+    sketched = next(shingle_join._sketches(5)(iter([pa.RecordBatch.from_pydict({"d": list(texts), "t": [0] * len(texts), "text": list(texts.values())})])))
+    rows = sorted((key, node, sketch, bands) for node, sketch, bands in zip(*(sketched.column(n).to_pylist() for n in ("d", "sketch", "bands"))) for key in bands)
+    rows = pa.RecordBatch.from_pylist([{"key": k, "node": n, "root": n, "sketch": s, "bands": b} for k, n, s, b in rows])
+    least = 75
+    pairs = sum(len(near) for k in set(rows.column("key").to_pylist()) for block in [rows.filter(pa.compute.equal(rows.column("key"), k))]
+                for _, near in shingle_join._block_pairs(k, block.column("root").to_numpy(), *shingle_join._sketched(block), least))
+    assert pairs > 1_000  # each pair once, over all bands
+    sets = {i: shingle_join.shingles(t)[1].tobytes() for i, t in texts.items()}
+    for cell_rows in (2048, 8):
+        found = pa.Table.from_batches(shingle_join._candidates(least, cell_rows)(iter([rows[:500], rows[500:]]))).sort_by("cell")
+        if cell_rows == 2048:
+            assert len(found) <= len(rows)
+        found = found.append_column("set", pa.array([sets[i] for i in found.column("node").to_pylist()], pa.binary()))
+        links = [(r["a"], r["b"]) for b in shingle_join._forest(0.8, least)(iter(found.to_batches(max_chunksize=97))) for r in b.to_pylist()]
+        assert len(links) < len(found)
+        root = {i: i for i in texts}
+        for _ in range(30):
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        assert set(root.values()) == similar_ids(texts) and len(set(root.values())) > 5
