@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import let, named, release_memory, text_batches, tidy
@@ -27,6 +27,7 @@ PACK_WORDS = 500_000
 BATCH_BYTES = "4m"
 #: Frequent words whose ids every task is given, and the documents, chosen by a hash of their text, in
 #: which they are counted. They spare folding the same words in every pack; any list gives the same ids.
+#: Words seen once are listed, too, while there is room: rare words are most of what packs fold.
 FREQUENT_WORDS = 1 << 19
 FREQUENT_DOCS = 20_000
 #: Words of more bytes, long runs without a break, are merged with a heap.
@@ -54,12 +55,13 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[int, dict[int, int]]:
     return pairs
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks of pairs as one literal: two arrays of int that work as a sparse table.
+def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
+    """The ranks of pairs as one row: two arrays of int that work as a sparse table.
 
     `at` says where the row of a first token begins in `of`; the second token is the place from there.
     Rows lie over each other where their entries leave room, so an entry repeats its first token. A
-    lookup reads one entry; Spark's own maps are searched from their start.
+    lookup reads one entry; Spark's own maps are searched from their start. As a row, which executors get
+    once, it is flat integers; a literal would be boxed ones, sent with every task and printed in every plan.
     """
     if max(ranks.values(), default=0) >= _IDS - 1:
         raise ValueError("ids need to fit in 16 bits")
@@ -72,38 +74,40 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
             start = int(rng.integers(PLACES))
         taken[start + places], at[a] = True, start
         of[start + places] = (np.uint32(a << 16) | np.fromiter(row.values(), np.uint32, len(row))).view(np.int32)
-    def listed(values: np.ndarray) -> str:  # some at a time: a list of all numbers as objects is large
-        return ",".join(",".join(map(str, values[i : i + 65536].tolist())) for i in range(0, len(values), 65536))
-
-    text = f'{{"at":[{listed(at)}],"of":[{listed(of)}]}}'
-    del taken, of, at
-    release_memory()
-    return F.from_json(F.lit(text), "at array<int>, of array<int>")  # folded to a literal
+    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
+    return spark.createDataFrame(pa.table({"at": one(at), "of": one(of)}))
 
 
-def merged_ids(pieces: Column, table: Column) -> Column:
-    """The ids of a word given as the ids of its bytes.
+def merged_ids(pieces: Column, at: Column, of: Column) -> Column:
+    """The ids of a word given as the ids of its bytes, by the arrays of the rank map.
 
     A fold over as many steps as can be needed: each ranks all neighbouring pairs and joins the
     leftmost of the lowest rank, whose rank is the id of what they make.
     """
 
     def rank(a: Column, b: Column) -> Column:
-        entry = F.get(table["of"], F.get(table["at"], a) + b)
+        entry = F.get(of, F.get(at, a) + b)
         return F.when(F.shiftrightunsigned(entry, 16) == a, entry.bitwiseAND(F.lit(_IDS - 1)))
 
-    def joined(p: Column, m: Column, at: Column) -> Column:
-        moved = F.transform(p, lambda x, i: F.when(i == at, F.lit(-1)).when(i == at - 1, m).otherwise(x))
+    def joined(p: Column, m: Column, place: Column) -> Column:
+        moved = F.transform(p, lambda x, i: F.when(i == place, F.lit(-1)).when(i == place - 1, m).otherwise(x))
         return F.filter(moved, lambda x: x >= 0)
 
     def step(p: Column, _: Column) -> Column:
         pairs = F.zip_with(p, F.slice(p, 2, F.size(p)), rank)
         return let(pairs, lambda r: let(F.array_min(r), lambda m: F.when(m.isNull(), p).otherwise(
-            let(F.array_position(r, m).cast("int"), lambda at: joined(p, m, at)))))
+            let(F.array_position(r, m).cast("int"), lambda place: joined(p, m, place)))))
 
     return F.when(F.size(pieces) < 2, pieces).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(pieces)), pieces, step))
 
 
+def _folded(packs: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows that each hold many words, their column pieces replaced by ids; each row meets the rank map once."""
+    ids = let(F.col("at"), lambda at: let(F.col("of"), lambda of: F.transform("pieces", lambda p: merged_ids(p, at, of))))
+    columns = [ids.alias("ids") if name == "pieces" else F.col(name) for name in packs.columns]
+    return packs.crossJoin(F.broadcast(table)).select(*columns)
+
+
 def heap_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same for one long word, in n log n steps: pairs wait in a heap, ordered by rank and place."""
     if word in ranks:
@@ -141,25 +145,30 @@ def _letters(ranks: dict[bytes, int]) -> np.ndarray:
 
 
 def _spelled(ranks_path: str):
-    """Rows (word) to the word and the ids of its bytes."""
+    """Rows (word) to one row a batch: the words that are no tokens, and the ids of the bytes of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = _letters(read_ranks(ranks_path))
+        ranks = read_ranks(ranks_path)
+        letters, vocabulary = _letters(ranks), pa.array(list(ranks), pa.binary())
+        del ranks
         for batch in batches:
-            pieces = [letters[np.frombuffer(word, np.uint8)] for word in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces, pa.list_(pa.int32()))], ["word", "pieces"])
+            words = batch.column(0).filter(pc.invert(pc.is_in(batch.column(0), vocabulary)))
+            pieces = pa.array([letters[np.frombuffer(word, np.uint8)] for word in words.to_pylist()], pa.list_(pa.int32()))
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([one(words), one(pieces)], ["words", "pieces"])
 
     return run
 
 
-def frequent_words(words: DataFrame, ranks_path: str, table: Column) -> pa.Table:
-    """word and ids of the words most frequent in the given rows that are neither tokens nor long; bounded."""
+def frequent_words(words: DataFrame, ranks_path: str, table: DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words most frequent in the given rows that are neither tokens nor long, bounded; their ids, joined; how many each has."""
     counted = words.select(F.explode("words").alias("w")).groupBy("w").count()
-    top = counted.where((F.col("count") > 1) & (F.octet_length("w") <= LONG_WORD)).orderBy(F.desc("count"), "w").limit(FREQUENT_WORDS)
-    spelled = top.select(F.col("w").cast("binary").alias("word")).repartition(12).mapInArrow(tidy(_spelled(ranks_path)), "word binary, pieces array<int>")
-    found = spelled.select("word", let(table, lambda t: merged_ids(F.col("pieces"), t)).alias("ids")).toArrow().combine_chunks()
-    vocabulary = pa.array(list(read_ranks(ranks_path)), pa.binary())
-    return found.filter(pc.invert(pc.is_in(found.column("word"), vocabulary))).combine_chunks()
+    top = counted.where(F.octet_length("w") <= LONG_WORD).orderBy(F.desc("count"), "w").limit(FREQUENT_WORDS)
+    shape = "words array<binary>, pieces array<array<int>>"
+    spelled = top.select(F.col("w").cast("binary").alias("word")).repartition(12).mapInArrow(tidy(_spelled(ranks_path)), shape)
+    found = _folded(spelled, table).toArrow()
+    lists = [pa.concat_arrays([chunk.flatten() for chunk in found.column(i).chunks] or [pa.array([], kind)]) for i, kind in ((0, pa.binary()), (1, pa.list_(pa.int32())))]
+    return lists[0], lists[1].flatten().to_numpy(), pc.list_value_length(lists[1]).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _pack(ranks_path: str, frequent):
@@ -266,7 +275,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
 
     Each match of the pattern is a word. A task gathers some half a million words, and Spark folds the
     merges over the distinct ones; their ids then stand for every place of theirs. Words that are
-    frequent in a sample are folded once beforehand, and every task is given their ids, some 15 MB at most.
+    frequent in a sample are folded once beforehand, and every task is given their ids, some 25 MB at most.
     Texts are never shuffled.
     Words of more than 64 bytes, which a fold would copy too often, are merged with a heap instead.
     Null and empty texts have no ids; a null doc_id is kept; repeated rows each give a row; no rows
@@ -274,7 +283,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
     """
     spark = text_batches(docs.sparkSession)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    table = rank_map(read_ranks(ranks_path))
+    table = rank_map(spark, read_ranks(ranks_path))
+    release_memory()
 
     def split(rows: DataFrame) -> DataFrame:
         found = F.regexp_extract_all(F.coalesce(named(text), F.lit("")), F.lit(spark_pattern(pattern)), F.lit(0))
@@ -282,17 +292,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
 
     every = max(1, -(-docs.count() // FREQUENT_DOCS))
     some = docs.where(F.pmod(F.xxhash64(named(text)), F.lit(every)) == 0) if every > 1 else docs
-    top = frequent_words(split(some), ranks_path, table)
-    ids, words = top.column("ids").combine_chunks(), top.column("word").combine_chunks()
-    sizes = np.diff(ids.offsets.to_numpy())[: len(ids)].astype(np.int64)
-    frequent = spark.sparkContext.broadcast((words, ids.flatten().to_numpy(), sizes))  # at most 524,288 short words
-    del top
+    frequent = spark.sparkContext.broadcast(frequent_words(split(some), ranks_path, table))  # at most 524,288 short words
     release_memory()
     shape = "doc_ids array<bigint>, sizes binary, codes binary, known binary, pieces array<array<int>>, long binary, long_words array<binary>"
     packs = split(docs).mapInArrow(tidy(_pack(ranks_path, frequent)), shape)
-    folded = let(table, lambda t: F.transform("pieces", lambda p: merged_ids(p, t)))  # one copy of the map
-    encoded = packs.select("doc_ids", "sizes", "codes", "known", folded.alias("ids"), "long", "long_words")
-    return encoded.mapInArrow(tidy(_unpack(ranks_path, frequent)), "doc_id long, ids array<int>")
+    return _folded(packs, table).mapInArrow(tidy(_unpack(ranks_path, frequent)), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:

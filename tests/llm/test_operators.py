@@ -655,3 +655,14 @@ def test_candidates_and_links_of_a_band_are_no_more_than_its_members():
             for a, b in links:
                 root[a] = root[b] = min(root[a], root[b])
         assert set(root.values()) == similar_ids(texts) and len(set(root.values())) > 5
+
+
+def test_the_rank_map_is_in_no_plan_and_rare_words_are_listed(spark, docs):
+    got = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS)
+    assert len(got.select("ids")._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+    words_ = spark.createDataFrame([(["qxqzj", "the", "qxqzj"], ), (["zjqxv", "x" * 65], )], "words array<string>")
+    listed, ids, sizes = bpe.frequent_words(words_, RANKS, bpe.rank_map(spark, ranks := bpe.read_ranks(RANKS)))
+    assert sorted(listed.to_pylist()) == [b"qxqzj", b"zjqxv"]
+    assert [part.tolist() for part in np.split(ids, np.cumsum(sizes)[:-1])] == [bpe.heap_ids(w, ranks) for w in listed.to_pylist()]
+    none = bpe.frequent_words(words_.limit(0), RANKS, bpe.rank_map(spark, ranks))
+    assert [len(part) for part in none] == [0, 0, 0]
