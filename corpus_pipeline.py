@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.bpe import decode, encode
+from tallyframe.llm.bpe import decode, encode, ids_digest
 from tallyframe.llm.common import has_repeats, materialize, named, text_batches
 from tallyframe.llm.mixing import mix_sources
 from tallyframe.llm.quality import scored_rows, train
@@ -86,7 +86,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     coded = decode(encode(docs, ranks, public_tokenizers.PATTERN), ranks)
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        ids_digest(F.col("ids")).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 

@@ -188,8 +188,11 @@ def _pack(ranks_path: str, frequent):
         del coded
         widths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         flat = letters[np.frombuffer(words.buffers()[2] or b"", np.uint8)[: int(widths.sum())]]
-        number = lambda among: pc.index_in(words, among).fill_null(-1).to_numpy(zero_copy_only=False)
-        token, known = number(vocabulary), number(frequent.value[0])
+        number = lambda of, among: pc.index_in(of, among).fill_null(-1).to_numpy(zero_copy_only=False)
+        # the longer list is looked up among the words: only what is looked up in has to be hashed
+        token, listed = number(words, vocabulary), number(frequent.value[0], words)
+        known = np.full(len(words), -1, np.int32)
+        known[listed[listed >= 0]] = np.flatnonzero(listed >= 0)
         long = (widths > LONG_WORD) & (token < 0)
         starts = np.cumsum(widths) - widths
         flat[starts[token >= 0]] = own[token[token >= 0]]
@@ -299,6 +302,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
     return _folded(packs, table).mapInArrow(tidy(_unpack(ranks_path, frequent)), "doc_id long, ids array<int>")
 
 
+def ids_digest(ids: Column) -> Column:
+    """The SHA-256 of the decimal ids joined by commas, lowercase hex; written by Spark's JSON writer, without its brackets."""
+    listed = F.to_json(ids).cast("binary")
+    return F.sha2(F.substring(listed, F.lit(2), F.octet_length(listed) - 2), 256)
+
+
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, ids and decoded (binary): the pieces of the ids, concatenated; null ids give no bytes.
 

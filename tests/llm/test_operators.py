@@ -666,3 +666,11 @@ def test_the_rank_map_is_in_no_plan_and_rare_words_are_listed(spark, docs):
     assert [part.tolist() for part in np.split(ids, np.cumsum(sizes)[:-1])] == [bpe.heap_ids(w, ranks) for w in listed.to_pylist()]
     none = bpe.frequent_words(words_.limit(0), RANKS, bpe.rank_map(spark, ranks))
     assert [len(part) for part in none] == [0, 0, 0]
+
+
+def test_digests_of_ids_are_those_of_the_joined_decimals(spark):
+    import hashlib
+
+    rows = [(1, [0, 10, 50255, 7]), (2, []), (3, [5])]
+    got = {r.i: r.h for r in spark.createDataFrame(rows, "i long, ids array<int>").select("i", bpe.ids_digest(F.col("ids")).alias("h")).collect()}
+    assert got == {i: hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() for i, ids in rows}
