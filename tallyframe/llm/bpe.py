@@ -1,4 +1,4 @@
-"""Byte-level BPE: ranked merges folded by higher-order functions over distinct words."""
+"""Byte-level BPE: ranked merges of the distinct words of a task, a step of all words at once."""
 
 from __future__ import annotations
 
@@ -10,10 +10,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import let, named, release_memory, text_batches, tidy
+from tallyframe.llm.common import named, release_memory, text_batches, tidy
 
 #: Splits text into the words within which bytes merge. White space is spelled out, since the
 #: engines differ in what they call so.
@@ -26,8 +27,8 @@ PACK_WORDS = 500_000
 #: Bytes of one Arrow batch, so that packs go on two at a time at most; Spark's own 64 MB hold some ten and more.
 BATCH_BYTES = "4m"
 #: Frequent words whose ids every task is given, and the documents, chosen by a hash of their text, in
-#: which they are counted. They spare folding the same words in every pack; any list gives the same ids.
-#: Words seen once are listed, too, while there is room: rare words are most of what packs fold.
+#: which they are counted. They spare merging the same words in every pack; any list gives the same ids.
+#: Words seen once are listed, too, while there is room: rare words are most of what packs merge.
 FREQUENT_WORDS = 1 << 19
 FREQUENT_DOCS = 20_000
 #: Words of more bytes, long runs without a break, are merged with a heap.
@@ -55,57 +56,68 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[int, dict[int, int]]:
     return pairs
 
 
-def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
-    """The ranks of pairs as one row: two arrays of int that work as a sparse table.
+def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> Broadcast:
+    """The ranks of pairs, which executors get once: two arrays that work as a sparse table.
 
     `at` says where the row of a first token begins in `of`; the second token is the place from there.
-    Rows lie over each other where their entries leave room, so an entry repeats its first token. A
-    lookup reads one entry; Spark's own maps are searched from their start. As a row, which executors get
-    once, it is flat integers; a literal would be boxed ones, sent with every task and printed in every plan.
+    Rows lie over each other where their entries leave room, so an entry repeats its first token, in
+    its upper 16 bits. A lookup reads one entry.
     """
     if max(ranks.values(), default=0) >= _IDS - 1:
         raise ValueError("ids need to fit in 16 bits")
     rng = np.random.default_rng(1)
-    taken, of, at = np.zeros(PLACES + _IDS, bool), np.full(PLACES + _IDS, -1, np.int32), np.zeros(_IDS, np.int32)
+    taken, of, at = np.zeros(PLACES + _IDS, bool), np.full(PLACES + _IDS, 0xFFFFFFFF, np.uint32), np.zeros(_IDS, np.int32)
     for a, row in sorted(pair_ranks(ranks).items(), key=lambda item: (-len(item[1]), item[0])):
         places = np.fromiter(row, np.int64, len(row))
         start = int(rng.integers(PLACES))
         while taken[start + places].any():
             start = int(rng.integers(PLACES))
         taken[start + places], at[a] = True, start
-        of[start + places] = (np.uint32(a << 16) | np.fromiter(row.values(), np.uint32, len(row))).view(np.int32)
-    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
-    return spark.createDataFrame(pa.table({"at": one(at), "of": one(of)}))
+        of[start + places] = np.uint32(a << 16) | np.fromiter(row.values(), np.uint32, len(row))
+    return spark.sparkContext.broadcast((at, of))
 
 
-def merged_ids(pieces: Column, at: Column, of: Column) -> Column:
-    """The ids of a word given as the ids of its bytes, by the arrays of the rank map.
+def merged_ids(pieces: np.ndarray, sizes: np.ndarray, at: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of words, joined, and how many each has; words come as the ids of their bytes, joined, and their sizes.
 
-    A fold over as many steps as can be needed: each ranks all neighbouring pairs and joins the
-    leftmost of the lowest rank, whose rank is the id of what they make.
+    Each step merges in every word the leftmost pair of the lowest rank, which is the id of what the
+    two make; only pairs beside a merge are ranked anew, and words that have no such pair leave the steps.
     """
-
-    def rank(a: Column, b: Column) -> Column:
-        entry = F.get(of, F.get(at, a) + b)
-        return F.when(F.shiftrightunsigned(entry, 16) == a, entry.bitwiseAND(F.lit(_IDS - 1)))
-
-    def joined(p: Column, m: Column, place: Column) -> Column:
-        moved = F.transform(p, lambda x, i: F.when(i == place, F.lit(-1)).when(i == place - 1, m).otherwise(x))
-        return F.filter(moved, lambda x: x >= 0)
-
-    def step(p: Column, _: Column) -> Column:
-        pairs = F.zip_with(p, F.slice(p, 2, F.size(p)), rank)
-        return let(pairs, lambda r: let(F.array_min(r), lambda m: F.when(m.isNull(), p).otherwise(
-            let(F.array_position(r, m).cast("int"), lambda place: joined(p, m, place)))))
-
-    return F.when(F.size(pieces) < 2, pieces).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(pieces)), pieces, step))
-
-
-def _folded(packs: DataFrame, table: DataFrame) -> DataFrame:
-    """Rows that each hold many words, their column pieces replaced by ids; each row meets the rank map once."""
-    ids = let(F.col("at"), lambda at: let(F.col("of"), lambda of: F.transform("pieces", lambda p: merged_ids(p, at, of))))
-    columns = [ids.alias("ids") if name == "pieces" else F.col(name) for name in packs.columns]
-    return packs.crossJoin(F.broadcast(table)).select(*columns)
+    nothing = _IDS - 1
+
+    def rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        entry = of[at[a] + b]
+        return np.where(entry >> 16 == a, entry & nothing, nothing).astype(np.int32)
+
+    out, sizes, starts = np.array(pieces, np.int32), np.array(sizes, np.int64), np.cumsum(sizes) - sizes
+    words = np.flatnonzero(sizes)
+    word, ids, ranks = np.repeat(np.arange(len(sizes)), sizes), out.copy(), np.full(len(out), nothing, np.int32)
+    ranks[:-1] = np.where(word[1:] == word[:-1], rank(ids[:-1], ids[1:]), nothing)
+    while len(words):
+        lengths = sizes[words]
+        lowest = np.minimum.reduceat(ranks, np.cumsum(lengths) - lengths)
+        goes_on = lowest < nothing
+        if not goes_on.all():
+            stays = np.repeat(goes_on, lengths)
+            ended = words[~goes_on]
+            counts = sizes[ended]
+            out[np.repeat(starts[ended] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())] = ids[~stays]
+            words, lengths, lowest, word, ids, ranks = words[goes_on], lengths[goes_on], lowest[goes_on], word[stays], ids[stays], ranks[stays]
+        found = np.flatnonzero(ranks == np.repeat(lowest, lengths))
+        found = found[np.flatnonzero(np.diff(word[found], prepend=-1))]  # the first of each word
+        ids[found] = lowest
+        sizes[words] -= 1
+        ranks[found] = ranks[found + 1]  # nothing where the word ends here
+        kept = np.ones(len(ids), bool)
+        kept[found + 1] = False
+        word, ids, ranks = word[kept], ids[kept], ranks[kept]
+        found -= np.arange(len(found))
+        before = found[np.flatnonzero(word[found] == word[found - 1])] - 1
+        before = before[before >= 0]
+        after = found[:-1] if len(found) and found[-1] == len(ids) - 1 else found
+        after = after[np.flatnonzero(word[after] == word[after + 1])]
+        ranks[before], ranks[after] = rank(ids[before], ids[before + 1]), rank(ids[after], ids[after + 1])
+    return out[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())], sizes
 
 
 def heap_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -144,8 +156,8 @@ def _letters(ranks: dict[bytes, int]) -> np.ndarray:
     return np.array([ranks.get(bytes([i]), 0) for i in range(256)], np.int32)
 
 
-def _spelled(ranks_path: str):
-    """Rows (word) to one row a batch: the words that are no tokens, and the ids of the bytes of each."""
+def _spelled(ranks_path: str, table: Broadcast):
+    """Rows (word) to one row a batch: the words that are no tokens, and the ids of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = read_ranks(ranks_path)
@@ -153,29 +165,30 @@ def _spelled(ranks_path: str):
         del ranks
         for batch in batches:
             words = batch.column(0).filter(pc.invert(pc.is_in(batch.column(0), vocabulary)))
-            pieces = pa.array([letters[np.frombuffer(word, np.uint8)] for word in words.to_pylist()], pa.list_(pa.int32()))
+            widths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, sizes = merged_ids(letters[np.frombuffer(b"".join(words.to_pylist()), np.uint8)], widths, *table.value)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat))
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([one(words), one(pieces)], ["words", "pieces"])
+            yield pa.RecordBatch.from_arrays([one(words), one(ids)], ["words", "ids"])
 
     return run
 
 
-def frequent_words(words: DataFrame, ranks_path: str, table: DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def frequent_words(words: DataFrame, ranks_path: str, table: Broadcast) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The words most frequent in the given rows that are neither tokens nor long, bounded; their ids, joined; how many each has."""
     counted = words.select(F.explode("words").alias("w")).groupBy("w").count()
     top = counted.where(F.octet_length("w") <= LONG_WORD).orderBy(F.desc("count"), "w").limit(FREQUENT_WORDS)
-    shape = "words array<binary>, pieces array<array<int>>"
-    spelled = top.select(F.col("w").cast("binary").alias("word")).repartition(12).mapInArrow(tidy(_spelled(ranks_path)), shape)
-    found = _folded(spelled, table).toArrow()
+    shape = "words array<binary>, ids array<array<int>>"
+    found = top.select(F.col("w").cast("binary").alias("word")).repartition(12).mapInArrow(tidy(_spelled(ranks_path, table)), shape).toArrow()
     lists = [pa.concat_arrays([chunk.flatten() for chunk in found.column(i).chunks] or [pa.array([], kind)]) for i, kind in ((0, pa.binary()), (1, pa.list_(pa.int32())))]
     return lists[0], lists[1].flatten().to_numpy(), pc.list_value_length(lists[1]).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _pack(ranks_path: str, frequent):
-    """Rows (doc_id, words) to packs: ids, words per document, a code per word, and the distinct words.
+def _pack(ranks_path: str, frequent: Broadcast, table: Broadcast):
+    """Rows (doc_id, words) to packs: doc_ids, words per document, a code per word, and the ids of the distinct words.
 
-    A distinct word is given as the ids of its bytes, as its own id if it is a token, and as nothing
-    if it is a frequent one, whose number is in `known`, or a long one, which `_unpack` merges.
+    A distinct word has no ids here if it is a frequent one, whose number is in `known`, or a long
+    one, which `_unpack` merges.
     """
 
     def packed(parts: list[pa.RecordBatch], vocabulary: pa.Array, own: np.ndarray, letters: np.ndarray) -> pa.RecordBatch:
@@ -199,13 +212,13 @@ def _pack(ranks_path: str, frequent):
         kept = np.where(token >= 0, 1, np.where(long | (known >= 0), 0, widths))
         ends = np.cumsum(kept)
         flat = flat[np.repeat(starts - (ends - kept), kept) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        pieces = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat, pa.int32()))
+        flat, kept = merged_ids(flat, kept, *table.value)
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         raw = lambda values: pa.array([values.astype("<i4").tobytes()], pa.binary())
         at = np.flatnonzero(long)
         return pa.RecordBatch.from_arrays(
-            [one(doc_ids), raw(sizes), raw(codes), raw(known), one(pieces), raw(at), one(words.take(pa.array(at)))],
-            ["doc_ids", "sizes", "codes", "known", "pieces", "long", "long_words"],
+            [one(doc_ids), raw(sizes), raw(codes), raw(known), raw(flat), raw(kept), raw(at), one(words.take(pa.array(at)))],
+            ["doc_ids", "sizes", "codes", "known", "ids", "counts", "long", "long_words"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +231,7 @@ def _pack(ranks_path: str, frequent):
             n = len(batch.column(1).flatten())
             if held and held + n > PACK_WORDS:
                 yield packed(parts, vocabulary, own, letters)
-                release_memory()  # the folds of the pack take long, and the other worker of the task needs room
+                release_memory()  # the other worker of the task needs room
                 parts, held = [], 0
             parts.append(batch)
             held += n
@@ -228,7 +241,7 @@ def _pack(ranks_path: str, frequent):
     return run
 
 
-def _unpack(ranks_path: str, frequent):
+def _unpack(ranks_path: str, frequent: Broadcast):
     """Packs with the ids of their words to rows (doc_id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,17 +251,15 @@ def _unpack(ranks_path: str, frequent):
         known_starts = np.cumsum(known_sizes) - known_sizes
         for batch in batches:
             for row in range(len(batch)):
-                per_doc, codes, known, long = (ints(batch.column(c)[row]) for c in (1, 2, 3, 5))
-                doc_ids, ids = batch.column(0)[row].values, batch.column(4)[row].values
-                sizes = np.diff(ids.offsets.to_numpy())[: len(ids)].astype(np.int64)
-                own = ids.flatten().to_numpy()
+                per_doc, codes, known, sizes, long = (ints(batch.column(c)[row]) for c in (1, 2, 3, 5, 6))
+                doc_ids, own = batch.column(0)[row].values, np.frombuffer(batch.column(4)[row].as_py(), "<i4")
                 starts = np.cumsum(sizes) - sizes + len(known_flat)
                 listed = known >= 0
                 starts[listed], sizes[listed] = known_starts[known[listed]], known_sizes[known[listed]]
                 extra: list[np.ndarray] = []
                 if len(long):
                     ranks = ranks or read_ranks(ranks_path)
-                    extra = [np.array(heap_ids(word, ranks), np.int32) for word in batch.column(6)[row].values.to_pylist()]
+                    extra = [np.array(heap_ids(word, ranks), np.int32) for word in batch.column(7)[row].values.to_pylist()]
                     sizes[long] = list(map(len, extra))
                     starts[long] = len(known_flat) + len(own) + np.cumsum(sizes[long]) - sizes[long]
                 flat = np.concatenate([known_flat, own, *extra])
@@ -266,7 +277,7 @@ def _unpack(ranks_path: str, frequent):
                         ["doc_id", "ids"],
                     )
                     at = to
-                flat = own = starts = sizes = codes = ids = tokens = None
+                flat = own = starts = sizes = codes = tokens = None
             del batch
             release_memory()
 
@@ -276,11 +287,10 @@ def _unpack(ranks_path: str, frequent):
 def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every row: the whole text encoded, without special tokens.
 
-    Each match of the pattern is a word. A task gathers some half a million words, and Spark folds the
-    merges over the distinct ones; their ids then stand for every place of theirs. Words that are
-    frequent in a sample are folded once beforehand, and every task is given their ids, some 25 MB at most.
-    Texts are never shuffled.
-    Words of more than 64 bytes, which a fold would copy too often, are merged with a heap instead.
+    Each match of the pattern is a word. A task gathers some half a million words and merges the distinct
+    ones; their ids then stand for every place of theirs. Words that are frequent in a sample are merged
+    once beforehand, and every task is given their ids, some 25 MB at most. Texts are never shuffled.
+    Words of more than 64 bytes, which would take too many steps, are merged with a heap instead.
     Null and empty texts have no ids; a null doc_id is kept; repeated rows each give a row; no rows
     give no rows; other columns are ignored.
     """
@@ -297,9 +307,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
     some = docs.where(F.pmod(F.xxhash64(named(text)), F.lit(every)) == 0) if every > 1 else docs
     frequent = spark.sparkContext.broadcast(frequent_words(split(some), ranks_path, table))  # at most 524,288 short words
     release_memory()
-    shape = "doc_ids array<bigint>, sizes binary, codes binary, known binary, pieces array<array<int>>, long binary, long_words array<binary>"
-    packs = split(docs).mapInArrow(tidy(_pack(ranks_path, frequent)), shape)
-    return _folded(packs, table).mapInArrow(tidy(_unpack(ranks_path, frequent)), "doc_id long, ids array<int>")
+    shape = "doc_ids array<bigint>, sizes binary, codes binary, known binary, ids binary, counts binary, long binary, long_words array<binary>"
+    packs = split(docs).mapInArrow(tidy(_pack(ranks_path, frequent, table)), shape)
+    return packs.mapInArrow(tidy(_unpack(ranks_path, frequent)), "doc_id long, ids array<int>")
 
 
 def ids_digest(ids: Column) -> Column:

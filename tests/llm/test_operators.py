@@ -674,3 +674,29 @@ def test_digests_of_ids_are_those_of_the_joined_decimals(spark):
     rows = [(1, [0, 10, 50255, 7]), (2, []), (3, [5])]
     got = {r.i: r.h for r in spark.createDataFrame(rows, "i long, ids array<int>").select("i", bpe.ids_digest(F.col("ids")).alias("h")).collect()}
     assert got == {i: hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() for i, ids in rows}
+
+
+def test_words_merge_side_by_side_and_only_pairs_beside_a_merge_are_ranked_again(spark, docs):
+    ranks = bpe.read_ranks(RANKS)
+    at, of = bpe.rank_map(spark, ranks).value
+    rng = random.Random(5)
+    tokens = list(ranks)
+    words_ = [bytes(rng.choices(b"adeinorst ", k=rng.randint(0, 40))) for _ in range(800)] + [bytes(rng.choices(range(256), k=9)) for _ in range(200)]
+    words_ += [b"a" * n for n in range(65)] + [b"".join(rng.choices(tokens, k=3)) for _ in range(400)]
+    words_ = [b"", *(w for w in words_ if w not in ranks), b""]
+    looked_up = []
+
+    class Watched:
+        def __getitem__(self, places):
+            looked_up.append(len(places))
+            return of[places]
+
+    sizes = np.array(list(map(len, words_)))
+    letters = bpe._letters(ranks)[np.frombuffer(b"".join(words_), np.uint8)]
+    ids, counts = bpe.merged_ids(letters, sizes, at, Watched())
+    assert [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])] == [bpe.heap_ids(w, ranks) for w in words_]
+    assert sum(looked_up) < 3 * len(letters)
+    none = np.zeros(0, np.int32)
+    assert [len(part) for part in bpe.merged_ids(none, none, at, of)] == [0, 0]
+    plan = bpe.encode(docs, RANKS, public_tokenizers.PATTERN)._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "Join" not in plan  # no fold a word in the interpreted expressions of Spark
