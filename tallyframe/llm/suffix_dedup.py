@@ -5,25 +5,31 @@ anchor, the place inside it where a short gram has the least hash; equal windows
 at the same offset. So only anchors, one in some 35 bytes, are shuffled: by the hash of their gram,
 with a hash of all bytes that the anchor's windows cover. Anchors that agree in both have equal
 windows, and all but the earliest are covered. Where grams agree and surroundings differ, as at the
-ends of a repeated passage, the surroundings are fetched and their suffixes sorted.
+ends of a repeated passage, the surroundings are fetched and their suffixes sorted: those that start
+at an anchor, and backwards those that end before it. Windows are equal where both agree far enough, so
+what neighbours in the two orders share settles all windows of an anchor.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import has_repeats, materialize, named, refuse_clash, text_batches, tidy
+from tallyframe.llm.common import has_repeats, materialize, named, refuse_clash, text_batches, tidy, worker_state
 
 LENGTH = 100
 GRAM = 32
 #: Bytes of text that one step of a task works on; longer texts are cut into overlapping parts.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 _PLACE = 22  # bits of a place in a chunk
+#: Powers of the hashes' base that a worker keeps.
+KEPT_POWERS = 1 << 18
 #: Anchors held before equal ones are combined inside a task.
 HELD = 400_000
 #: Rows with one gram that are sorted in one task; more are compared window by window in a shuffle.
@@ -33,8 +39,24 @@ BROADCAST_DOCS = 500_000
 _BASE = 0x9E3779B97F4A7C15
 _NULL_ID = -(1 << 63)
 _LETTERS = np.random.default_rng(42).integers(1, 1 << 63, 256, dtype=np.uint64)  # a fixed code for each byte
-_ANCHOR = "kind int, h long, c long, d long, t long, x int, a int, b int"
-_NAMES = [part.split()[0] for part in _ANCHOR.split(", ")]
+_FOUND = "h long, d long, t long, x int, a int, b int"
+_NAMES = [part.split()[0] for part in _FOUND.split(", ")]
+#: What a shuffled anchor has besides h, as bytes that sort like the numbers, as a column costs more than its bytes.
+_REST = np.dtype([("c", ">u8"), ("d", ">u8"), ("t", ">u8"), ("x", ">u4"), ("a", ">u4"), ("b", ">u4"), ("covered", "u1")])
+_SIGN = np.uint64(1 << 63)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, from the 0th to the nth."""
+    one = np.ones(1, np.uint64)
+    return tuple(np.cumprod(np.concatenate((one, np.full(n, base, np.uint64)))) for base in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    kept = worker_state("powers")
+    if KEPT_POWERS not in kept:
+        kept[KEPT_POWERS] = _powers(KEPT_POWERS)
+    return kept[KEPT_POWERS]
 
 
 class PrefixHashes:
@@ -42,19 +64,21 @@ class PrefixHashes:
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, _BASE, np.uint64))))
         # powers of the base's inverse, so that a part's hash depends on its bytes alone
-        self.back = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64))))
-        self.prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LETTERS[data] * powers[:n])))
+        powers, self.back = _kept_powers() if n <= KEPT_POWERS else _powers(n)
+        self.prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum(_LETTERS[data] * powers[:n], out=self.prefix[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.prefix[end] - self.prefix[start]) * self.back[start]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+    for _ in range(2):
+        h = h ^ (h >> np.uint64(32))
+        h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def chunk_anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -68,18 +92,17 @@ def chunk_anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram
     if n < length:
         return none.view(np.uint64), none.view(np.uint64), none, none, none
     hashes = PrefixHashes(data)
-    at = np.arange(n - gram + 1)
     full = _mixed((hashes.prefix[gram:] - hashes.prefix[:-gram]) * hashes.back[: n - gram + 1])
     low = np.uint64((1 << _PLACE) - 1)
-    least = (full & ~low) | at.astype(np.uint64)
+    least = full & ~low
+    least |= np.arange(n - gram + 1, dtype=np.uint64)
     span = 1
     while span * 2 <= grams:
         least, span = np.minimum(least[:-span], least[span:]), span * 2
     least = np.minimum(least[: len(least) - (grams - span)], least[grams - span :]) if grams > span else least
     anchor = (least & low).astype(np.int64)  # of the window that starts at each place
-    start = np.arange(len(anchor))
-    text = np.searchsorted(ends, start, side="right")
-    valid = np.flatnonzero(start + length <= ends[np.minimum(text, len(ends) - 1)])
+    last = np.repeat(ends, np.diff(ends, prepend=0))[: len(anchor)]  # the end of each place's text
+    valid = np.flatnonzero(np.arange(length, length + len(anchor)) <= last)
     if not len(valid):
         return none.view(np.uint64), none.view(np.uint64), none, none, none
     own = anchor[valid]
@@ -111,25 +134,49 @@ def _text_bytes(column: pa.Array) -> list[bytes]:
     return [v or b"" for v in column.to_pylist()]
 
 
-def _rows(kind, h, c, d, t, x, a, b) -> pa.RecordBatch:
+def _rows(d, t, x, a, b, h=None) -> pa.RecordBatch:
+    """Covered rows, or with h those that are open."""
+    longs = [pa.array(np.asarray(v, np.int64)) for v in (d, t)]
     ints = [pa.array(np.asarray(v).astype(np.int64).astype(np.int32)) for v in (x, a, b)]
-    longs = [pa.array(np.asarray(v).view(np.int64) if np.asarray(v).dtype == np.uint64 else np.asarray(v, np.int64)) for v in (h, c, d, t)]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(d), kind, np.int32)), *longs, *ints], _NAMES)
+    return pa.RecordBatch.from_arrays([pa.nulls(len(d), pa.int64()) if h is None else pa.array(h), *longs, *ints], _NAMES)
+
+
+def _binary(ends: np.ndarray, data: np.ndarray) -> pa.Array:
+    """A value up to each of the ends."""
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _packed(covered: bool, h, c, d, t, x, a, b) -> pa.RecordBatch:
+    rest = np.empty(len(d), _REST)
+    for name, v in (("c", c), ("d", d.view(np.uint64) ^ _SIGN), ("t", t.view(np.uint64) ^ _SIGN), ("x", x), ("a", a), ("b", b), ("covered", covered)):
+        rest[name] = v
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), _binary(np.arange(1, len(d) + 1) * _REST.itemsize, rest)], ["h", "rest"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    column = batch.column(1).cast(pa.binary())
+    rest = np.frombuffer(column.buffers()[2], _REST, len(column), np.frombuffer(column.buffers()[1], np.int32)[column.offset])
+    table = {n: rest[n].astype(rest.dtype[n].newbyteorder("=")) for n in _REST.names}
+    return table | {n: (table[n] ^ _SIGN).view(np.int64) for n in ("d", "t")} | {"h": batch.column(0).to_numpy()}
 
 
 def _anchors(length: int, gram: int):
-    """Rows (d, t, text) to anchors (kind 0) and, where the task has an equal one earlier, covered ones (kind 1)."""
+    """Rows (d, t, text) to packed anchors, marked as covered where the task has an equal one earlier."""
 
     def combined(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         h, c, d, t, x, a, b = (np.concatenate(v) for v in zip(*held))
-        order = np.lexsort((x, t, d, c, h))
+        order = np.argsort(h)
+        near = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+        few = np.unique(np.concatenate((near, near + 1)))  # only where grams are equal the rest of the order counts
+        some = order[few]
+        order[few] = some[np.lexsort((x[some], t[some], d[some], c[some], h[some]))]
         h, c, d, t, x, a, b = (v[order] for v in (h, c, d, t, x, a, b))
         again = np.concatenate(([False], (h[1:] == h[:-1]) & (c[1:] == c[:-1])))
         keep = ~again
         for at in range(0, int(keep.sum()), 100_000):
-            yield _rows(0, *(v[keep][at : at + 100_000] for v in (h, c, d, t, x, a, b)))
+            yield _packed(False, *(v[keep][at : at + 100_000] for v in (h, c, d, t, x, a, b)))
         if again.any():
-            yield _rows(1, d[again], np.zeros(int(again.sum()), np.int64), *(v[again] for v in (d, t, x, a, b)))
+            yield _packed(True, d[again], np.zeros(int(again.sum()), np.int64), *(v[again] for v in (d, t, x, a, b)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -153,20 +200,32 @@ def _anchors(length: int, gram: int):
     return run
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], least: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Small batches joined into fewer."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        held.append(batch)
+        count += len(batch)
+        if count >= least:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, count = [], 0
+    if count:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted anchors to covered ones (kind 1) and to those that share a gram with other surroundings (kind 2).
+    """Packed anchors sorted by h and the rest to covered ones (h null) and to those that share a gram with other
+    surroundings (h). Rows that are covered already may come anywhere between them.
 
     Streams: of a gram's anchors only the first is kept waiting, until a second kind of surroundings is seen.
     """
     h0 = c0 = waiting = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        table = {n: batch.column(i).to_numpy() for i, n in enumerate(_NAMES)}
-        done = table["kind"] == 1
+    for batch in _gathered(batches, 1 << 16):
+        table = _unpacked(batch)
+        done = table["covered"] == 1
         if done.any():
-            yield batch.filter(pa.array(done))
-            batch = batch.filter(pa.array(~done))
+            yield _rows(*(table[n][done] for n in _NAMES[1:]))
             table = {n: v[~done] for n, v in table.items()}
         h, c = table["h"], table["c"]
         if not len(h):
@@ -174,7 +233,7 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new_h = np.concatenate(([h0 is None or h[0] != h0], h[1:] != h[:-1]))
         new_c = new_h | np.concatenate(([c0 is None or c[0] != c0], c[1:] != c[:-1]))
         if (again := ~new_c).any():
-            yield _rows(1, *(table[n][again] for n in _NAMES[1:]))
+            yield _rows(*(table[n][again] for n in _NAMES[1:]))
         reps = np.flatnonzero(new_c)
         if len(reps):
             more = np.concatenate((~new_h[reps[1:]], [False]))  # the next one has the same gram
@@ -183,9 +242,9 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting = None
             shared = reps[~new_h[reps] | more]
             if len(shared):
-                yield _rows(2, *(table[n][shared] for n in _NAMES[1:]))
+                yield _rows(*(table[n][shared] for n in _NAMES[1:]), h[shared])
             if new_h[reps[-1]]:
-                waiting = _rows(2, *(table[n][reps[-1:]] for n in _NAMES[1:]))
+                waiting = _rows(*(table[n][reps[-1:]] for n in _NAMES[1:]), h[reps[-1:]])
         h0, c0 = h[-1], c[-1]
 
 
@@ -214,18 +273,18 @@ class Suffixes:
         shared = self.common(i, j)
         return (shared < self.length) & (self.data[i + shared] < self.data[j + shared])
 
-    def equal(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Equal in all bytes, not only in their hashes."""
-        same = self.hashes.of(i, i + self.length) == self.hashes.of(j, j + self.length)
-        at = np.flatnonzero(same)
+    def shared(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """As `common`, but by the bytes themselves, not by their hashes."""
         eight = np.ndarray(len(self.data) - 7, "<u8", self.data.data, strides=(1,))
-        fine = np.ones(len(at), bool)
-        for step in [*range(0, self.length - 7, 8), max(0, self.length - 8)] if self.length >= 8 else []:
-            fine &= eight[i[at] + step] == eight[j[at] + step]
-        if self.length < 8:
-            fine = (self.data[i[at][:, None] + np.arange(self.length)] == self.data[j[at][:, None] + np.arange(self.length)]).all(axis=1)
-        same[at] = fine
-        return same
+        found = np.full(len(i), self.length)
+        live = np.arange(len(i))
+        for step in range(0, self.length, 8):
+            differ = eight[i[live] + step] ^ eight[j[live] + step]
+            other = differ != 0
+            differ = differ[other]
+            found[live[other]] = step + np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) // 8
+            live = live[~other]
+        return np.minimum(found, self.length)
 
     def sort(self, places: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """The order that sorts the suffixes at `places` inside each bucket; equal ones keep theirs.
@@ -266,28 +325,59 @@ class Suffixes:
         return order
 
 
+def _neighbours(suffixes: Suffixes, places: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the suffixes in their groups, the places in it, and what each shares with the one before (-1: another group)."""
+    order = suffixes.sort(places, group)
+    at = np.empty(len(order), np.int64)
+    at[order] = np.arange(len(order))
+    shared = np.full(len(order), -1)
+    inner = np.flatnonzero(group[1:] == group[:-1]) + 1  # groups lie where they lay before
+    shared[inner] = suffixes.shared(places[order[inner]], places[order[inner - 1]])
+    return order, at, shared
+
+
 def covered_windows(h: np.ndarray, a: np.ndarray, b: np.ndarray, around: list[bytes], length: int) -> np.ndarray:
     """Flags of all windows of the rows, row by row: equal to a window of an earlier row of the same h.
 
     Rows are in order of h, then of document and place. around: the bytes that a row's windows cover.
+
+    In equal windows the anchor has the same offset, so they are the windows of anchors that share at least
+    `offset` bytes before them and the rest of the window from there on. Among the sorted anchors these are
+    neighbours: a run in which each shares as much with the one before. Two anchors are in the same runs of
+    both orders, or their windows at this offset differ.
     """
+    n, sizes = len(h), b.astype(np.int64) + 1
+    flags = np.zeros(int(sizes.sum()), bool)
+    if not n:
+        return flags
     data = np.frombuffer(b"".join(around), np.uint8)
-    sizes = b.astype(np.int64) + 1
-    row = np.repeat(np.arange(len(h)), sizes)
-    inside = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     widths = sizes + length - 1
-    places = (np.cumsum(widths) - widths)[row] + inside
-    group = np.concatenate(([0], np.cumsum(h[1:] != h[:-1])))[row]
-    offset = a[row] - inside  # of the anchor in the window: the same in equal windows
-    first = np.lexsort((row, offset, group))
-    bucket = group[first] * (length + 1) + offset[first]
-    suffixes = Suffixes(data, length)
-    order = first[suffixes.sort(places[first], bucket)]
-    again = np.zeros(len(order), bool)
-    same_bucket = (group[order][1:] == group[order][:-1]) & (offset[order][1:] == offset[order][:-1])
-    at = np.flatnonzero(same_bucket)
-    again[order[at + 1]] = suffixes.equal(places[order[at + 1]], places[order[at]])
-    return again
+    x = np.cumsum(widths) - widths + a
+    group = np.concatenate(([0], np.cumsum(h[1:] != h[:-1])))
+    after, at_after, shared_after = _neighbours(Suffixes(data, length), x, group)
+    before, at_before, shared_before = _neighbours(Suffixes(data[::-1], max(1, int(a.max()))), len(data) - x, group)
+
+    def most(at, shared):  # that a row shares with any other of its group
+        return np.maximum(shared, np.append(shared[1:], -1))[at]
+
+    least, highest = np.maximum(a - b, length - most(at_after, shared_after)), np.minimum(a, most(at_before, shared_before))
+    able = np.flatnonzero(least <= highest)
+    if not len(able):
+        return flags
+    least, highest, at_after, at_before = least[able], highest[able], at_after[able], at_before[able]
+    window = (np.cumsum(sizes) - sizes + a)[able]  # that of offset 0, were there one
+    numbers = np.arange(n)
+    for offset in range(int(least.min()), int(highest.max()) + 1):
+        own = np.flatnonzero((least <= offset) & (offset <= highest))
+        if len(own) < 2:
+            continue
+        run_after = np.maximum.accumulate(np.where(shared_after < length - offset, numbers, 0))[at_after[own]]
+        run_before = np.maximum.accumulate(np.where(shared_before < offset, numbers, 0))[at_before[own]]
+        runs = run_after * n + run_before
+        order = np.argsort(runs, kind="stable")
+        again = order[1:][runs[order[1:]] == runs[order[:-1]]]
+        flags[window[own[again]] - offset] = True
+    return flags
 
 
 def _sorted_groups(length: int):
@@ -306,7 +396,7 @@ def _sorted_groups(length: int):
         at = np.flatnonzero(head)
         count = np.bincount(number)
         start = (x.astype(np.int64) - a)[row[at]] + inside[at]
-        yield _rows(1, d[row[at]], np.zeros(len(at), np.int64), d[row[at]], t[row[at]], start, np.zeros(len(at), np.int64), count - 1)
+        yield _rows(d[row[at]], t[row[at]], start, np.zeros(len(at), np.int64), count - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -327,37 +417,30 @@ def _sorted_groups(length: int):
 
 
 def _surroundings(length: int):
-    """Rows (text, places) to a row for each place, with the bytes that its windows cover."""
+    """Rows (d, t, text, places) to a row for each place, with the bytes that its windows cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, lists = batch.column(2), batch.column(3)
-            for i in range(len(batch)):
-                text, places = texts[i].as_py(), lists[i].values
-                h, x, a, b = (v.to_numpy() for v in places.flatten())
-                starts = x.astype(np.int64) - a
-                n = len(h)
+            d, t = (batch.column(i).to_numpy() for i in (0, 1))
+            texts, lists = batch.column(2).cast(pa.large_binary()), batch.column(3)
+            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts)]
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+            h, x, a, b = (v.to_numpy() for v in lists.flatten().flatten())
+            text = np.repeat(np.arange(len(batch)), pc.list_value_length(lists).to_numpy())
+            starts, widths = offsets[text] + x - a, b.astype(np.int64) + length
+            for at in range(0, len(h), 4096):
+                part = slice(at, at + 4096)
+                ends = np.cumsum(widths[part])
+                inside = np.arange(ends[-1]) - np.repeat(ends - widths[part], widths[part])
+                around = data[np.repeat(starts[part], widths[part]) + inside]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(h), pa.array(np.full(n, batch.column(0)[i].as_py())), pa.array(np.full(n, batch.column(1)[i].as_py())),
-                    pa.array(x), pa.array(a), pa.array(b),
-                    pa.array([text[s : s + k + length] for s, k in zip(starts.tolist(), b.tolist())], pa.binary()),
+                    *(pa.array(v[part]) for v in (h, d[text], t[text], x, a, b)),
+                    _binary(ends, around),
                 ], ["h", "d", "t", "x", "a", "b", "around"])
 
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Small batches joined into fewer."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(map(len, held)) >= 4096:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held = []
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (row, text, spans) to rows with what is left of the text, and the counts."""
     for batch in batches:
@@ -400,17 +483,17 @@ def covered_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     """
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    anchors = rows.select("d", "t", "text").mapInArrow(tidy(_anchors(length, gram)), _ANCHOR)
-    ordered = anchors.repartition(parts, "h").sortWithinPartitions("kind", "h", "c", "d", "t", "x")
-    found = materialize(ordered.mapInArrow(tidy(_resolved), _ANCHOR), "suffix-anchors")
-    open_ = found.where("kind = 2")
+    anchors = rows.select("d", "t", "text").mapInArrow(tidy(_anchors(length, gram)), "h long, rest binary")
+    ordered = anchors.repartition(parts, "h").sortWithinPartitions("h", "rest")
+    found = materialize(ordered.mapInArrow(tidy(_resolved), _FOUND), "suffix-anchors")
+    open_ = found.where("h IS NOT NULL")
     hot = materialize(open_.groupBy("h").count().where(F.col("count") > HOT_ROWS).select("h"), "suffix-hot")
     lists = open_.groupBy("d", "t").agg(F.collect_list(F.struct("h", "x", "a", "b")).alias("places"))
     near, _ = _near_texts(rows.select("d", "t", "text"), open_)
     fetched = near.join(lists, ["d", "t"]).select("d", "t", "text", "places").mapInArrow(
         tidy(_surroundings(length)), "h long, d long, t long, x int, a int, b int, around binary"
-    ).mapInArrow(tidy(_gathered), "h long, d long, t long, x int, a int, b int, around binary")
-    spans = [found.where("kind = 1")]
+    )
+    spans = []
     if hot.isEmpty():
         mild = fetched
     else:
@@ -422,14 +505,12 @@ def covered_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
         window = materialize(window, "suffix-windows")
         firsts = window.groupBy("w").agg(F.min(F.struct("d", "t", "s")).alias("first"))
         later = window.join(firsts, "w").where(F.struct("d", "t", "s") > F.col("first"))
-        spans.append(later.select(*(F.lit(v).cast(k).alias(n) for v, k, n in ((1, "int", "kind"), (0, "long", "h"), (0, "long", "c"))), "d", "t", F.col("s").alias("x"), F.lit(0).alias("a"), F.lit(0).alias("b")))
+        spans.append(later.select(F.lit(None).cast("long").alias("h"), "d", "t", F.col("s").alias("x"), F.lit(0).alias("a"), F.lit(0).alias("b")))
     grouped = mild.repartition(parts, "h").sortWithinPartitions("h", "d", "t", "x")
-    spans.append(grouped.mapInArrow(tidy(_sorted_groups(length)), _ANCHOR))
-    both = spans[0]
-    for more in spans[1:]:
-        both = both.unionByName(more)
+    spans.append(grouped.mapInArrow(tidy(_sorted_groups(length)), _FOUND))
+    both = found.where("h IS NULL").unionByName(materialize(reduce(DataFrame.unionByName, spans), "suffix-spans"))
     start = F.col("x") - F.col("a")
-    return materialize(both.select("d", "t", start.alias("start"), (start + F.col("b") + length).alias("end")), "suffix-spans")
+    return both.select("d", "t", start.alias("start"), (start + F.col("b") + length).alias("end"))
 
 
 def cut_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -445,23 +526,23 @@ def cut_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length
     that a third of all rows share is shuffled once a task.
     """
     text_batches(docs.sparkSession)
-    shape = docs.select(F.struct("*").alias("row"), F.coalesce(named(doc_id).cast("long"), F.lit(_NULL_ID)).alias("d"),
-                        F.coalesce(named(text), F.lit("")).cast("binary").alias("text"))
+    shape = docs.select(F.struct("*").alias("row"), F.coalesce(named(doc_id).cast("long"), F.lit(_NULL_ID)).alias("d"))
+    own = F.coalesce(F.col("row").getField(text), F.lit("")).cast("binary").alias("text")
     repeated = has_repeats(docs, doc_id)
-    rows = shape.withColumn("t", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
-    ones = rows.select("d", "t", "text")
+    rows = shape.withColumn("t", F.xxhash64(own) if repeated else F.lit(0).cast("long"))
+    ones = rows.select("d", "t", own)
     # else the anchors of a document would be covered by those of its own other row
     spans = covered_spans(materialize(ones.dropDuplicates(["d", "t"]), "suffix-documents") if repeated else ones, length, gram)
-    lists = spans.groupBy("d", "t").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    lists = spans.groupBy("d", "t").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     near, far = _near_texts(rows, spans)
-    joined = near.join(lists, ["d", "t"], "left")
+    joined = near.join(lists, ["d", "t"], "left")  # a row has its text once, as text is read after the join
     touched = joined.where("spans IS NOT NULL")
     rest = joined.where("spans IS NULL").select(near.columns).unionByName(far.select(near.columns))
     from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
     out = StructType([StructField("row", shape.schema["row"].dataType), StructField("kept", BinaryType()), StructField("kept_text", StringType()), StructField("n_removed", LongType()), StructField("n_spans", LongType())])
-    cut = touched.select("row", "text", "spans").mapInArrow(tidy(_kept), out)
-    whole = rest.select("row", F.col("text").alias("kept"), F.col("text").cast("string").alias("kept_text"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
+    cut = touched.select("row", own, "spans").mapInArrow(tidy(_kept), out)
+    whole = rest.select("row", own.alias("kept"), own.cast("string").alias("kept_text"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
     return cut.unionByName(whole)
 
 

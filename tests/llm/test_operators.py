@@ -227,6 +227,53 @@ def test_suffixes_sort_as_bytes_do():
     assert [raw[p : p + 12] for p in places[order]] == sorted(raw[p : p + 12] for p in places)
 
 
+def test_windows_are_settled_by_sorting_their_anchors(monkeypatch):
+    sort, sorted_ = suffix_dedup.Suffixes.sort, []
+    monkeypatch.setattr(suffix_dedup.Suffixes, "sort", lambda self, places, bucket: sorted_.append(len(places)) or sort(self, places, bucket))
+    rng = random.Random(8)
+    for letters, length in (("a", 29), ("ab", 32), ("abc", 27), ("ab\0", 30)):
+        text = "".join(rng.choices(letters, k=200)).encode()
+        rows = []
+        for gram in sorted(rng.choices(range(4), k=60)):
+            a = rng.randint(0, length - 3)
+            b = rng.randint(0, a)
+            at = rng.randint(0, 200 - b - length)
+            rows.append((gram, a, b, text[at : at + b + length]))
+        seen, expected = set(), []
+        for gram, a, b, around in rows:
+            own = [(gram, a - i, around[i : i + length]) for i in range(b + 1)]
+            expected += [window in seen for window in own]
+            seen.update(own)
+        sorted_.clear()
+        h, a, b = (np.array([row[i] for row in rows], np.int64) for i in range(3))
+        got = suffix_dedup.covered_windows(h, a, b, [row[3] for row in rows], length)
+        assert got.tolist() == expected and any(expected)
+        assert sum(sorted_) <= 2 * len(rows) < len(expected)
+
+
+def test_joins_of_all_texts_carry_each_text_once(docs, monkeypatch):
+    near, joined = suffix_dedup._near_texts, []
+    monkeypatch.setattr(suffix_dedup, "_near_texts", lambda rows, wanted: joined.append(rows.columns) or near(rows, wanted))
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_DOCS", 0)  # as where many documents have repeats
+    got = suffix_dedup.remove_repeats(docs.select("doc_id", F.col("text").alias("a.`text`")), text="a.`text`").collect()
+    assert {r.doc_id: (bytes(r.kept), r.n_removed, r.n_spans) for r in got} == repeats(texts_of(docs))
+    assert joined == [["d", "t", "text"], ["row", "d", "t"]]
+
+
+def test_anchors_are_packed_without_loss():
+    rng = np.random.default_rng(4)
+    longs = [np.append(rng.integers(-(1 << 63), 1 << 63, 50), [-(1 << 63), (1 << 63) - 1, 0, -1]) for _ in range(4)]
+    ints = [rng.integers(0, 1 << 31, 54) for _ in range(3)]
+    h, c, d, t = longs
+    batch = suffix_dedup._packed(False, h.view(np.uint64), c.view(np.uint64), d, t, *ints)
+    for part in (slice(0, 54), slice(7, 40)):  # a slice begins inside the bytes
+        got = suffix_dedup._unpacked(batch.slice(part.start, part.stop - part.start))
+        for name, value in zip(("h", "c", "d", "t", "x", "a", "b"), (h, c.view(np.uint64), d, t, *ints)):
+            assert (got[name] == value[part]).all()
+    raw, order = batch.column(1).to_pylist(), np.lexsort((*ints[::-1], t, d, c.view(np.uint64)))
+    assert sorted(raw) == [raw[i] for i in order]
+
+
 def test_mix_meets_its_targets(docs):
     rows = mixing.mix_sources(docs).collect()
     sizes, taken, target = {}, {}, {}
